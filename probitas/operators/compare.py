@@ -115,7 +115,7 @@ def comparison_table(item_scores: DataFrame, truth_long: DataFrame, weights: Dat
     """
     stats = unit_country_stats(paired_vectors(item_scores, truth_long, weights, units, rules))
     rows = units.select("scenario", "model", "unit_key", "country_id", "country", "language", "language_code")
-    return stats.join(bounded_broadcast(rows), UNIT + ["country_id"], "inner").select(*COMPARISON_COLUMNS)
+    return stats.join(rows, UNIT + ["country_id"], "inner").select(*COMPARISON_COLUMNS)
 
 
 def weighted_totals(item_scores: DataFrame, weights: DataFrame, rules: AuditRules) -> DataFrame:

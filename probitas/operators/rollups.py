@@ -24,14 +24,15 @@ def slug(name: str) -> str:
 
 def label_map(df: DataFrame, models: DataFrame, model_col: str = "model") -> DataFrame:
     """Attach (label, ord); unknown models keep their raw name as label."""
-    return (df.join(bounded_broadcast(models), df[model_col] == models["model"], "left")
+    # the model dimension is built from a bounded parameter list
+    return (df.join(F.broadcast(models), df[model_col] == models["model"], "left")
             .drop(models["model"])
             .withColumn("label", F.coalesce(F.col("label"), F.col(model_col))))
 
 
 def ordered_by_model(df: DataFrame, models: DataFrame) -> DataFrame:
     """Rows of known models, in the fixed model order (O1)."""
-    return df.join(bounded_broadcast(models), "model", "inner").orderBy("ord")
+    return df.join(F.broadcast(models), "model", "inner").orderBy("ord")
 
 
 def _label_cols(df: DataFrame, models: DataFrame) -> DataFrame:
@@ -197,8 +198,8 @@ def unit_metric_means(gated_items: DataFrame, units: DataFrame, models: DataFram
                           scenario_label_expr(country_id="country_id").alias("label")).distinct()
     per_unit = gated_items.groupBy("scenario", "model", "unit_key").agg(
         *[F.avg(col).alias(m) for m, col in METRICS])
-    joined = per_unit.join(bounded_broadcast(labels), ["scenario", "model", "unit_key"], "inner")
-    joined = joined.join(bounded_broadcast(models.select("model", "label").withColumnRenamed("label", "model_label")),
+    joined = per_unit.join(labels, ["scenario", "model", "unit_key"], "inner")
+    joined = joined.join(F.broadcast(models.select("model", "label").withColumnRenamed("label", "model_label")),
                          "model", "inner")
     stacked = joined.select("scenario", "model_label", "label", F.explode(F.array(*[
         F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m, _ in METRICS])).alias("m"))

@@ -70,7 +70,10 @@ def completeness_gate(item_scores: DataFrame, n_criteria: int, keys: list[str] =
                 .agg(F.count(F.lit(1)).alias("_n"), F.countDistinct("criterion_id").alias("_nd"))
                 .where((F.col("_n") == n_criteria) & (F.col("_nd") == n_criteria))
                 .select(*keys))
-    return item_scores.join(bounded_broadcast(complete), keys, "left_semi")
+    # No hint: the (small) complete-unit set is known only at runtime, so AQE
+    # picks broadcast or keeps the shuffle on the unit keys that the windows
+    # downstream need anyway.
+    return item_scores.join(complete, keys, "left_semi")
 
 
 def unit_counts(item_scores: DataFrame, keys: list[str] = UNIT) -> DataFrame:
@@ -93,7 +96,7 @@ def unit_status(expected_units: DataFrame, item_scores: DataFrame, n_criteria: i
 def pending_units(expected_units: DataFrame, item_scores: DataFrame, n_criteria: int) -> DataFrame:
     """Expected units that are not complete yet (anti join on the complete ones)."""
     done = completeness_gate(item_scores, n_criteria).select(*UNIT).distinct()
-    return expected_units.select(*UNIT).distinct().join(bounded_broadcast(done), UNIT, "left_anti")
+    return expected_units.select(*UNIT).distinct().join(done, UNIT, "left_anti")
 
 
 def scenario_key_join(unit_rows: DataFrame, units: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ import os
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,11 +69,24 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+_BOUNDED: dict = {}
+
+
 def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast-hint ``df`` only if it provably has at most ``max_rows`` rows.
+    """Broadcast-hint a small table only after proving its size.
 
-    The check reads at most ``max_rows + 1`` rows. Larger inputs are returned
-    unchanged, so the planner (and AQE at runtime) chooses a shuffle join.
+    The table is persisted and counted once (the proof and the later join read
+    the same cached rows; a lost executor recomputes them from their short
+    lineage). Above ``max_rows`` the table is returned without a hint and the
+    planner keeps a shuffle join. Memoised per session by the plan's semantic hash.
     """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    spark = df.sparkSession
+    key = (spark.sparkContext.applicationId, df.semanticHash(), max_rows)
+    hit = _BOUNDED.get(key)
+    if hit is not None:
+        return hit
+    small = df.persist(StorageLevel.MEMORY_AND_DISK)
+    n = small.limit(max_rows + 1).count()
+    out = F.broadcast(small) if n <= max_rows else small
+    _BOUNDED[key] = out
+    return out
