@@ -150,11 +150,11 @@ def answer_text(event_type, event_id, yes_tok, no_tok):
     """Raw model response text of one sample event (covers every normalising branch)."""
     et = F.col(event_type)
     k = F.col(event_id) % 4
-    yes_txt = (F.when(k == 0, F.concat(F.lit("**"), F.initcap(yes_tok), F.lit("**, of course.")))
+    yes_txt = (F.when(k == 0, F.concat(F.lit("**"), F.upper(yes_tok), F.lit("**, of course.")))
                .when(k == 1, F.concat(F.lit("  "), yes_tok, F.lit("!")))
                .when(k == 2, F.concat(F.lit('"'), yes_tok, F.lit('."\n'), no_tok))
                .otherwise(F.concat(F.upper(yes_tok), F.lit("."))))
-    no_txt = (F.when(k == 0, F.concat(F.initcap(no_tok), F.lit(", it does not.")))
+    no_txt = (F.when(k == 0, F.concat(F.upper(no_tok), F.lit(", it does not.")))
               .when(k == 1, F.concat(no_tok, F.lit(";")))
               .otherwise(F.concat(F.lit("*"), no_tok, F.lit("*"))))
     undef_txt = (F.when(k == 0, F.concat(F.lit("Maybe "), yes_tok))
@@ -191,3 +191,85 @@ def samples(spark: SparkSession, sf_dir: str, n_criteria: int = R.TEST_RULES.n_c
         _pick(R.QUESTION_TYPES, F.floor(F.col("event_id") / n_criteria)).alias("question_type"),
         F.col("event_id").alias("sample_order"),
         answer_text("event_type", "event_id", F.element_at(yes_map, lang), F.element_at(no_map, lang)).alias("response"))
+
+
+# ---------------------------------------------------------------------------
+# Text inputs
+# ---------------------------------------------------------------------------
+LANGUAGE_ORDER = _first_seen(l for c in COUNTRY_FIXTURE for l, _ in c[3])
+# quote styles a translated instruction may use: (open, close)
+QUOTE_STYLES = [('"', '"'), ("«", "»"), ("“", "”")]
+
+
+def translated_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidate translated answer instructions (language, conv_id, turn, prompt)
+    from every assistant turn of ``conversations``: language ``conv_id % L``; the
+    instruction quotes the language's yes / no tokens, followed by the turn text."""
+    conv = read(spark, sf_dir, "conversations").where(F.col("role") == "assistant")
+    langs = [l for l in LANGUAGE_ORDER if l != R.ENGLISH]
+    lang = _pick(langs, F.col("conv_id"))
+    style = (F.col("conv_id") % len(QUOTE_STYLES)).cast("int") + 1
+    opens = F.array(*[F.lit(o) for o, _ in QUOTE_STYLES])
+    closes = F.array(*[F.lit(c) for _, c in QUOTE_STYLES])
+    yes_map = F.create_map(*[x for l, (y, _) in PROMPT_TOKENS.items() for x in (F.lit(l), F.lit(y))])
+    no_map = F.create_map(*[x for l, (_, n) in PROMPT_TOKENS.items() for x in (F.lit(l), F.lit(n))])
+    o, c = F.element_at(opens, style), F.element_at(closes, style)
+    prompt = F.concat(F.lit("Answer with "), o, F.element_at(yes_map, lang), c, F.lit(" or "), o,
+                      F.element_at(no_map, lang), c, F.lit(" only. "), F.col("text"))
+    return conv.select(lang.alias("language"), "conv_id", "turn", prompt.alias("prompt"))
+
+
+def reply_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model replies around a translation (doc_id, reply) from ``documents``: the
+    whole text wrapped in one of eight reply shapes chosen by ``doc_id % 8``."""
+    d = read(spark, sf_dir, "documents")
+    k = F.col("doc_id") % 8
+    t = F.col("text")
+    reply = (F.when(k == 0, F.concat(F.lit("Translation: "), t, F.lit("\nNote: this is a comment")))
+             .when(k == 1, F.concat(F.lit("**"), t, F.lit("**")))
+             .when(k == 2, t)
+             .when(k == 3, F.concat(F.lit("Here is the explanation\n"), t))
+             .when(k == 4, F.lit(""))
+             .when(k == 5, F.concat(F.lit("Note: "), t))
+             .when(k == 6, F.concat(t, F.lit(" Note:x tail")))
+             .otherwise(F.concat(F.lit("_"), t, F.lit("_\ncomment: short"))))
+    return d.select("doc_id", reply.alias("reply"))
+
+
+def model_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw generations (conv_id, turn, output) from ``conversations``: the turn text
+    with chat-template markers chosen by ``(conv_id + turn) % 4``."""
+    c = read(spark, sf_dir, "conversations")
+    k = (F.col("conv_id") + F.col("turn")) % 4
+    t = F.col("text")
+    out = (F.when(k == 0, F.concat(F.lit("system<|CHATBOT_TOKEN|>"), t, F.lit("<|im_end|><|endoftext|>")))
+           .when(k == 1, F.concat(t, F.lit(" <|x|>")))
+           .when(k == 2, F.concat(F.lit("a<|CHATBOT_TOKEN|>b<|CHATBOT_TOKEN|> "), t,
+                                  F.lit(" <|im_end|>\n<|endoftext|>")))
+           .otherwise(t))
+    return c.select("conv_id", "turn", out.alias("output"))
+
+
+def quoted_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts carrying quoted tokens (doc_id, text) from ``documents``: the first two
+    words quoted in style ``doc_id % 6`` (5 = no quotes) before the whole text."""
+    d = read(spark, sf_dir, "documents")
+    styles = [('"', '"'), ("«", "»"), ("“", "”"), ("‘", "’"), ("'", "'")]
+    k = (F.col("doc_id") % 6).cast("int")
+    words = F.split(F.col("text"), " ")
+    w1, w2 = F.element_at(words, 1), F.coalesce(F.try_element_at(words, F.lit(2)), F.lit("x"))
+    opens = F.array(*[F.lit(o) for o, _ in styles])
+    closes = F.array(*[F.lit(c) for _, c in styles])
+    o, c = F.element_at(opens, k + 1), F.element_at(closes, k + 1)
+    quoted = F.concat(F.lit("Reply "), o, w1, c, F.lit(" or "), o, F.lit(" "), w2, F.lit(" "), c, F.lit(": "),
+                      F.col("text"))
+    return d.select("doc_id", F.when(k == 5, F.col("text")).otherwise(quoted).alias("text"))
+
+
+def base_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """English questionnaire items (criterion_id, question_type, text) from
+    ``benchmark``: criterion ``item_id div 3``, type ``item_id % 3``."""
+    b = read(spark, sf_dir, "benchmark")
+    return b.select((F.floor(F.col("item_id") / 3)).cast("int").alias("criterion_id"),
+                    _pick(R.QUESTION_TYPES, F.col("item_id")).alias("question_type"),
+                    F.col("text"))
