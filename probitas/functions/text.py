@@ -117,7 +117,8 @@ def remap_language_code(code, text) -> Column:
 
 def cosine_similarity(a, b) -> Column:
     """dot(a, b) / (|a| |b|) of two equal-length float arrays."""
-    dot = F.aggregate(F.zip_with(_c(a), _c(b), lambda x, y: x * y), F.lit(0.0), lambda acc, v: acc + v)
-    na = F.sqrt(F.aggregate(_c(a), F.lit(0.0), lambda acc, v: acc + v * v))
-    nb = F.sqrt(F.aggregate(_c(b), F.lit(0.0), lambda acc, v: acc + v * v))
-    return F.when((na > 0) & (nb > 0), dot / (na * nb))
+    def dot(x, y):
+        return F.aggregate(F.zip_with(x, y, lambda u, v: u.cast("double") * v.cast("double")), F.lit(0.0),
+                           lambda acc, t: acc + t)
+    na, nb = F.sqrt(dot(_c(a), _c(a))), F.sqrt(dot(_c(b), _c(b)))
+    return F.when((na > 0) & (nb > 0), dot(_c(a), _c(b)) / (na * nb))

@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from probitas import rules as R
 from probitas.functions.numeric import np_round
@@ -131,6 +132,6 @@ def collect_samples(prompts: DataFrame, responder: Responder, n: int = R.SAMPLES
     user-supplied responder (``mapInPandas`` over Arrow batches; it must add a
     string column ``response``), and keep the first ``n`` non-empty responses (X1)."""
     attempts = prompts.withColumn("sample_order", F.explode(F.sequence(F.lit(1), F.lit(max_attempts))))
-    schema = attempts.schema.add("response", "string")
+    schema = T.StructType(attempts.schema.fields + [T.StructField("response", T.StringType())])
     answered = attempts.mapInPandas(responder, schema)
     return first_n_samples(answered, n)

@@ -223,6 +223,8 @@ def cte_comparison(rules: R.AuditRules = R.TEST_RULES) -> str:
 
 
 def with_inputs(body: str, *ctes: str) -> str:
+    if not ctes:
+        return body
     return "WITH " + ",\n".join(ctes) + "\n" + body
 
 

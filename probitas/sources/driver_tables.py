@@ -273,3 +273,26 @@ def base_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select((F.floor(F.col("item_id") / 3)).cast("int").alias("criterion_id"),
                     _pick(R.QUESTION_TYPES, F.col("item_id")).alias("question_type"),
                     F.col("text"))
+
+
+# ---------------------------------------------------------------------------
+# Translation-quality inputs
+# ---------------------------------------------------------------------------
+TRANSLATION_SYSTEMS = ["DeepL", "Qwen/Qwen3.5-9B", "Qwen/Qwen3.5-27B", "gpt-5.4"]
+
+
+def translation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embedded original / back-translated sentence pairs from ``embeddings``:
+    an even ``vec_id`` is the original, ``vec_id + 1`` its back-translation;
+    system ``(vec_id div 2) % 4``, language ``label % 7``, question ``vec_id div 2``."""
+    e = read(spark, sf_dir, "embeddings")
+    orig = e.where(F.col("vec_id") % 2 == 0).select(
+        "vec_id", F.col("embedding").alias("original"), "label")
+    back = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("back"))
+    codes = dict((l, c) for cc in COUNTRY_FIXTURE for l, c in cc[3])
+    lang = _pick(LANGUAGE_ORDER, F.col("label"))
+    code_map = F.create_map(*[x for l in LANGUAGE_ORDER for x in (F.lit(l), F.lit(codes[l]))])
+    return orig.join(back, "vec_id", "left").select(
+        _pick(TRANSLATION_SYSTEMS, F.floor(F.col("vec_id") / 2)).alias("model"),
+        lang.alias("language"), F.element_at(code_map, lang).alias("language_code"),
+        F.floor(F.col("vec_id") / 2).alias("question_id"), "original", "back")
