@@ -296,3 +296,61 @@ def translation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
         _pick(TRANSLATION_SYSTEMS, F.floor(F.col("vec_id") / 2)).alias("model"),
         lang.alias("language"), F.element_at(code_map, lang).alias("language_code"),
         F.floor(F.col("vec_id") / 2).alias("question_id"), "original", "back")
+
+
+# ---------------------------------------------------------------------------
+# Knowledge-graph triples
+# ---------------------------------------------------------------------------
+# nation key % 25 -> country label as the graph spells it
+GRAPH_COUNTRY_LABELS = [
+    "Albania", "Andorra", "Armenia", "Austria", "Azerbaijan", "Belgium", "Bosnia and Herzegovina", "Bulgaria",
+    "Croatia", "Cyprus", "Czech Republic", "Denmark", "Estonia", "Finland", "France", "Georgia", "Germany",
+    "Greece", "Kingdom of the Netherlands", "country of the Kingdom of the Netherlands", "Norway", "Switzerland",
+    "Ukraine", "United Kingdom", "Italy",
+]
+# language entity k -> (label, code or None)
+GRAPH_LANGUAGES = [
+    ("Albanian", "sq"), ("Catalan", "ca"), ("Armenian", "hy"), ("German", "de"), ("French", "fr"),
+    ("Modern Greek", "el"), ("Norwegian", "no"), ("Romansh", "rm"), ("Dutch", "nl"), ("English", None),
+]
+
+
+def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(subject, predicate, object, lang) facts about countries and languages from
+    ``nation``: labels, official languages (P37), language codes (P424), ISO codes
+    (P297, missing for key % 7 = 6), demonyms (P1549; English one missing for key % 5 = 4)."""
+    n = read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("k"))
+    subj = F.concat(F.lit("Q"), F.col("k").cast("string"))
+    name = _pick(GRAPH_COUNTRY_LABELS, F.col("k"))
+    lang1 = F.col("k") % len(GRAPH_LANGUAGES)
+    lang2 = (F.col("k") + 4) % len(GRAPH_LANGUAGES)
+    lname = F.array(*[F.lit(l) for l, _ in GRAPH_LANGUAGES])
+    lcode = F.array(*[F.lit(c) for _, c in GRAPH_LANGUAGES])
+
+    def t(s, p, o, lang=None):
+        return F.struct(s.alias("subject"), F.lit(p).alias("predicate"), o.alias("object"),
+                        (F.lit(lang) if lang else F.lit(None).cast("string")).alias("lang"))
+
+    def lent(idx):
+        return F.concat(F.lit("L"), idx.cast("string"))
+
+    facts = F.array(
+        t(subj, "label", name, "en"),
+        t(subj, "P37", lent(lang1)),
+        t(subj, "P37", F.when(F.col("k") % 3 == 0, lent(lang2))),
+        t(subj, "P297", F.when(F.col("k") % 7 != 6, F.upper(F.substring(name, 1, 2)))),
+        t(subj, "P1549", F.when(F.col("k") % 5 != 4, F.concat(name, F.lit("ian"))), "en"),
+        t(subj, "P1549", F.concat(F.lit("les "), name), "fr"),
+        t(lent(lang1), "label", F.element_at(lname, lang1.cast("int") + 1), "en"),
+        t(lent(lang1), "P424", F.element_at(lcode, lang1.cast("int") + 1)),
+        t(lent(lang2), "label", F.element_at(lname, lang2.cast("int") + 1), "en"),
+        t(lent(lang2), "P424", F.element_at(lcode, lang2.cast("int") + 1)),
+    )
+    return (n.select(F.explode(facts).alias("f")).select("f.*")
+            .where(F.col("object").isNotNull()).distinct())
+
+
+def graph_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The subject list of the graph query (with repeats): one per ``supplier`` row."""
+    s = read(spark, sf_dir, "supplier")
+    return s.select(F.concat(F.lit("Q"), F.col("s_nationkey").cast("string")).alias("subject"))
