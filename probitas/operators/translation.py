@@ -41,9 +41,15 @@ def avg_excluding_category(scores: DataFrame, excluded: str = R.BACKTRANSLATION_
 
 
 def upsert(existing: DataFrame, updates: DataFrame, keys: list[str]) -> DataFrame:
-    """Replace rows of ``existing`` whose key is in ``updates`` and append new keys."""
+    """Replace rows of ``existing`` whose key is in ``updates`` and append new keys (U4)."""
     return existing.join(updates.select(*keys), keys, "left_anti").unionByName(updates.select(*existing.columns))
 
 
+def append_missing(existing: DataFrame, candidates: DataFrame, keys: list[str]) -> DataFrame:
+    """Append the candidate rows whose key is absent from ``existing``."""
+    return existing.unionByName(candidates.join(existing.select(*keys), keys, "left_anti")
+                                .select(*existing.columns))
+
+
 def round_half_even(col, digits: int = 2):
     return np_round(col, digits)
