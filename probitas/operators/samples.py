@@ -16,7 +16,6 @@ from probitas.operators.adjust import stance_score_rounded
 from probitas.operators.units import UNIT
 
 GROUP = UNIT + ["criterion_id", "question_type"]
-DEFAULT_SALT_BUCKETS = 32
 
 
 def drop_empty_responses(samples: DataFrame, response: str = "response") -> DataFrame:
@@ -24,31 +23,23 @@ def drop_empty_responses(samples: DataFrame, response: str = "response") -> Data
     return samples.where(F.col(response).isNotNull() & F.col(response).rlike(r"\S"))
 
 
-def top_k_per_group(df: DataFrame, keys: list[str], order: list[Column], k: int,
-                    salt_buckets: int = DEFAULT_SALT_BUCKETS, salt_of: Column | None = None) -> DataFrame:
-    """The first ``k`` rows of every group by ``order`` (ties broken by the order list).
+def top_k_per_group(df: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:
+    """The first ``k`` rows of every group by ``order`` (column ``_rank``).
 
-    Two phases so that one very large group never sits in a single task: first
-    the top ``k`` within (group, salt) -- the hot group is spread over
-    ``salt_buckets`` tasks -- then the top ``k`` of the at most
-    ``k * salt_buckets`` survivors per group.
+    Written as ``row_number() <= k`` so that the planner inserts a partial
+    ``WindowGroupLimit`` before the shuffle: every map task forwards at most
+    ``k`` rows per group, so even a group holding a third of all rows reaches
+    its reducer as at most ``k`` rows per input partition.
     """
-    salt = F.pmod(F.xxhash64(*(salt_of if salt_of is not None else F.monotonically_increasing_id(),)),
-                  F.lit(salt_buckets))
-    first = (df.withColumn("_salt", salt)
-             .withColumn("_rn", F.row_number().over(Window.partitionBy(*keys, "_salt").orderBy(*order)))
-             .where(F.col("_rn") <= k)
-             .drop("_rn", "_salt"))
-    return (first.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-            .where(F.col("_rank") <= k))
+    w = Window.partitionBy(*keys).orderBy(*order)
+    return df.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= k)
 
 
 def first_n_samples(samples: DataFrame, n: int = R.SAMPLES_PER_QUESTION, order: str = "sample_order",
                     keys: list[str] = GROUP) -> DataFrame:
     """First ``n`` non-empty samples per (unit, criterion, question type) in sample order."""
     kept = drop_empty_responses(samples)
-    return (top_k_per_group(kept, keys, [F.col(order)], n, salt_of=F.col(order))
-            .withColumnRenamed("_rank", "sample_no"))
+    return top_k_per_group(kept, keys, [F.col(order)], n).withColumnRenamed("_rank", "sample_no")
 
 
 def label_samples(samples: DataFrame, prompts: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ def comparison_table(spark, sf_dir):
     "SELECT scenario, model, unit_key, country_id, fact_mae, stance_mae FROM ustats", *S.comparison_inputs()))
 def mae_vs_truth(spark, sf_dir):
     """Mean absolute error of the adjusted weighted vectors against the truth."""
-    inp = Inputs(spark, sf_dir)
+    inp = Inputs.of(spark, sf_dir)
     stats = C.unit_country_stats(C.paired_vectors(inp.item_scores, inp.truth_long, inp.weights, inp.units, inp.rules))
     return stats.select("scenario", "model", "unit_key", "country_id", "fact_mae", "stance_mae")
 
@@ -39,7 +39,7 @@ def mae_vs_truth(spark, sf_dir):
     f"CAST(stance_n AS BIGINT) AS stance_nonzero, {S.signed_rank_select('stance')} FROM ustats", *S.comparison_inputs()))
 def wilcoxon_signed_rank(spark, sf_dir):
     """Paired signed-rank test per (unit, country), normal approximation."""
-    inp = Inputs(spark, sf_dir)
+    inp = Inputs.of(spark, sf_dir)
     paired = C.paired_vectors(inp.item_scores, inp.truth_long, inp.weights, inp.units, inp.rules)
     keys = U.UNIT + ["country_id"]
     ranked = C.with_average_rank(C.with_average_rank(paired, keys, "fact_d", "fact"), keys, "stance_d", "stance")
@@ -55,7 +55,7 @@ def wilcoxon_signed_rank(spark, sf_dir):
     *S.comparison_inputs()))
 def average_rank(spark, sf_dir):
     """Average rank with ties of |d| within each (unit, country), zeros apart."""
-    inp = Inputs(spark, sf_dir)
+    inp = Inputs.of(spark, sf_dir)
     paired = C.paired_vectors(inp.item_scores, inp.truth_long, inp.weights, inp.units, inp.rules)
     keys = U.UNIT + ["country_id"]
     return (C.with_average_rank(paired, keys, "fact_d", "fact")
@@ -68,7 +68,7 @@ def average_rank(spark, sf_dir):
     *S.comparison_inputs()))
 def weighted_total(spark, sf_dir):
     """Weighted total (percentage score) per complete unit."""
-    inp = Inputs(spark, sf_dir)
+    inp = Inputs.of(spark, sf_dir)
     return C.weighted_totals(inp.item_scores, inp.weights, inp.rules)
 
 
@@ -77,7 +77,7 @@ def weighted_total(spark, sf_dir):
     *S.comparison_inputs()))
 def truth_total(spark, sf_dir):
     """Weighted total of the adjusted truth vector per country."""
-    inp = Inputs(spark, sf_dir)
+    inp = Inputs.of(spark, sf_dir)
     t = C.truth_vectors(inp.truth_long, inp.weights, inp.rules)
     return t.groupBy("country_id").agg(C.stable_round(F.sum("score_w"), 2).alias("truth_total"),
                                        F.count(F.lit(1)).alias("n_items"))
@@ -108,7 +108,7 @@ LEFT JOIN (SELECT scenario, model, unit_key, count(*) AS n_rows, count(DISTINCT
 @register("unit_status", S.with_inputs(_STATUS_SQL, *BASE(), S.cte_item_scores(N76)))
 def unit_status(spark, sf_dir):
     """Gate diagnostics of every expected unit: complete / incomplete / missing."""
-    inp = Inputs(spark, sf_dir)
+    inp = Inputs.of(spark, sf_dir)
     return U.unit_status(inp.units, _items76(spark, sf_dir), N76)
 
 
@@ -118,14 +118,14 @@ def unit_status(spark, sf_dir):
     *BASE(), S.cte_item_scores(N76), S.cte_gate("m_gated", "item_scores", ["scenario", "model", "unit_key"], N76)))
 def pending_units(spark, sf_dir):
     """Expected units still to be collected: anti join on the complete ones."""
-    inp = Inputs(spark, sf_dir)
+    inp = Inputs.of(spark, sf_dir)
     return U.pending_units(inp.units, _items76(spark, sf_dir), N76)
 
 
 @register("enumerate_units", S.with_inputs("SELECT * FROM units", *BASE()))
 def enumerate_units(spark, sf_dir):
     """Scenario x model x (country, language of the country) work units."""
-    return Inputs(spark, sf_dir).units
+    return Inputs.of(spark, sf_dir).units
 
 
 @register("scenario_key_join", S.with_inputs(
@@ -134,7 +134,7 @@ def enumerate_units(spark, sf_dir):
     f"GROUP BY ALL", *S.comparison_inputs()))
 def scenario_key_join(spark, sf_dir):
     """Unit totals attached to every (country, language) the scenario key reaches."""
-    inp = Inputs(spark, sf_dir)
+    inp = Inputs.of(spark, sf_dir)
     totals = C.weighted_totals(inp.item_scores, inp.weights, inp.rules).select(*U.UNIT, "fact_total")
     return (U.scenario_key_join(totals, inp.units.select(*U.UNIT, "country_id", "language"))
             .select(*U.UNIT, "country_id", "language", "fact_total"))
@@ -145,7 +145,7 @@ def scenario_key_join(spark, sf_dir):
     f"stance AS stance_stored FROM item_scores", S.cte_item_scores()))
 def stance_score(spark, sf_dir):
     """Stance from support and opposition, unrounded and as stored at collection."""
-    it = Inputs(spark, sf_dir).item_scores
+    it = Inputs.of(spark, sf_dir).item_scores
     return it.select(*U.UNIT, "criterion_id", np_round(A.stance_score(), 10).alias("stance"),
                      F.col("stance").alias("stance_stored"))
 
@@ -154,7 +154,7 @@ def stance_score(spark, sf_dir):
     "SELECT scenario, model, unit_key, criterion_id, fact, stance FROM meter_g", *S.comparison_inputs()))
 def prerequisite_gate(spark, sf_dir):
     """Gated criteria score 0 unless their prerequisite scores > 0 in the unit."""
-    inp = Inputs(spark, sf_dir)
+    inp = Inputs.of(spark, sf_dir)
     gated = U.completeness_gate(inp.item_scores, TEST_RULES.n_criteria)
     scores = gated.select(*U.UNIT, "criterion_id", F.col("fact").cast("double").alias("fact"),
                           A.stance_score().alias("stance"))
@@ -172,7 +172,7 @@ GROUP BY ALL"""
 @register("exclusive_group_collapse", S.with_inputs(_COLLAPSE_SQL, *S.comparison_inputs()))
 def exclusive_group_collapse(spark, sf_dir):
     """Exclusive group -> one item with the max score and the weight of the lowest id at the max."""
-    inp = Inputs(spark, sf_dir)
+    inp = Inputs.of(spark, sf_dir)
     gated = U.completeness_gate(inp.item_scores, TEST_RULES.n_criteria)
     scores = gated.select(*U.UNIT, "criterion_id", F.col("fact").cast("double").alias("fact"),
                           A.stance_score().alias("stance"))
@@ -185,7 +185,7 @@ def exclusive_group_collapse(spark, sf_dir):
     "SELECT country_id, criterion_id, score FROM truth_long", S.cte_truth_long()))
 def unpivot_truth(spark, sf_dir):
     """Wide truth (one column per criterion) to long rows."""
-    return Inputs(spark, sf_dir).truth_long.where(F.col("score").isNotNull())
+    return Inputs.of(spark, sf_dir).truth_long.where(F.col("score").isNotNull())
 
 
 _LABEL_SQL = f"""
@@ -200,7 +200,7 @@ LEFT JOIN (SELECT unnest({S.lst(R.MODEL_LIST)}) AS model,
 def label_map(spark, sf_dir):
     """Display label per model with fallback to the raw name."""
     from probitas.operators.rollups import label_map as lm
-    models = Inputs(spark, sf_dir).item_scores.select("model").distinct()
+    models = Inputs.of(spark, sf_dir).item_scores.select("model").distinct()
     return lm(models, R.model_dim(spark)).select("model", "label", "ord")
 
 

@@ -102,7 +102,7 @@ def run(spark: SparkSession, out: str, sf_dir: str | None = None, answers: str |
         rules: R.AuditRules | None = None, csv: bool = True) -> dict:
     if sf_dir:
         require({"sf_dir": sf_dir})
-        inp = Inputs(spark, sf_dir)
+        inp = Inputs.of(spark, sf_dir)
         items, truth_long, w, ctry, rules = inp.item_scores, inp.truth_long, inp.weights, inp.countries, inp.rules
     else:
         require({"answers": answers, "truth": truth, "weights": weights, "countries": countries})

@@ -15,14 +15,32 @@ from probitas.sources import driver_tables as D
 
 
 class Inputs:
-    """Lazily built domain tables over the driver tables in ``sf_dir``."""
+    """Domain tables over the driver tables in ``sf_dir``.
+
+    Each stand-in table is derived once per session and written to the
+    checkpoint folder as Parquet, like the stored tables a deployment reads; all
+    queries of the session then scan those files (column pruning and filter
+    pushdown apply, and a lost executor re-reads files instead of recomputing).
+    """
+
+    _cache: dict = {}
 
     def __init__(self, spark: SparkSession, sf_dir: str, rules: R.AuditRules = R.TEST_RULES):
         self.spark, self.sf_dir, self.rules = spark, sf_dir, rules
 
+    @classmethod
+    def of(cls, spark: SparkSession, sf_dir: str, rules: R.AuditRules = R.TEST_RULES) -> "Inputs":
+        key = (spark.sparkContext.applicationId, sf_dir, repr(rules))
+        if key not in cls._cache:
+            cls._cache[key] = cls(spark, sf_dir, rules)
+        return cls._cache[key]
+
+    def _stage(self, df: DataFrame, name: str) -> DataFrame:
+        return materialize(df, name)
+
     @cached_property
     def countries(self) -> DataFrame:
-        return D.countries(self.spark, self.sf_dir)
+        return self._stage(D.countries(self.spark, self.sf_dir), "countries")
 
     @cached_property
     def units(self) -> DataFrame:
@@ -30,11 +48,11 @@ class Inputs:
 
     @cached_property
     def item_scores(self) -> DataFrame:
-        return D.item_scores(self.spark, self.sf_dir, self.rules.n_criteria)
+        return self._stage(D.item_scores(self.spark, self.sf_dir, self.rules.n_criteria), "item_scores")
 
     @cached_property
     def truth_wide(self) -> DataFrame:
-        return D.truth_wide(self.spark, self.sf_dir, self.rules.n_criteria)
+        return self._stage(D.truth_wide(self.spark, self.sf_dir, self.rules.n_criteria), "truth_wide")
 
     @cached_property
     def truth_long(self) -> DataFrame:
@@ -42,11 +60,11 @@ class Inputs:
 
     @cached_property
     def weights(self) -> DataFrame:
-        return D.weights(self.spark, self.sf_dir, self.rules.n_criteria)
+        return self._stage(D.weights(self.spark, self.sf_dir, self.rules.n_criteria), "weights")
 
     @cached_property
     def samples(self) -> DataFrame:
-        return D.samples(self.spark, self.sf_dir, self.rules.n_criteria)
+        return self._stage(D.samples(self.spark, self.sf_dir, self.rules.n_criteria), "samples")
 
     def comparison(self) -> DataFrame:
         return comparison_table(self.item_scores, self.truth_long, self.weights, self.units, self.rules)
@@ -60,5 +78,5 @@ def staged_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     re-read by every roll-up (the one stage boundary of the evaluation)."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _STAGED:
-        _STAGED[key] = materialize(Inputs(spark, sf_dir).comparison(), "comparison")
+        _STAGED[key] = materialize(Inputs.of(spark, sf_dir).comparison(), "comparison")
     return _STAGED[key]

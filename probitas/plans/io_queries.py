@@ -30,7 +30,7 @@ ITEMS_SQL = S.with_inputs(f"SELECT {', '.join(ITEM_COLS)} FROM item_scores", S.c
 def scan_delimited(spark, sf_dir):
     """Answer rows written as a ';'-delimited file with header and read back with an explicit schema."""
     path = stage_path(spark, "delimited")
-    IO.write_delimited(Inputs(spark, sf_dir).item_scores.select(*ITEM_COLS), path)
+    IO.write_delimited(Inputs.of(spark, sf_dir).item_scores.select(*ITEM_COLS), path)
     return IO.read_delimited(spark, path, ITEM_SCHEMA).select(*ITEM_COLS)
 
 
@@ -38,7 +38,7 @@ def scan_delimited(spark, sf_dir):
 def scan_answer_store(spark, sf_dir):
     """Answer rows through the (scenario, model)-partitioned store: partition columns from the layout."""
     root = stage_path(spark, "answer_store")
-    IO.write_answer_store(Inputs(spark, sf_dir).item_scores.select(*ITEM_COLS), root)
+    IO.write_answer_store(Inputs.of(spark, sf_dir).item_scores.select(*ITEM_COLS), root)
     return IO.scan_answer_store(spark, root).select(*ITEM_COLS)
 
 
@@ -51,7 +51,7 @@ _JSON_SQL = S.with_inputs(
 def scan_json_map(spark, sf_dir):
     """Country records as one JSON map document, read back and exploded."""
     path = stage_path(spark, "countries_json")
-    countries = Inputs(spark, sf_dir).countries
+    countries = Inputs.of(spark, sf_dir).countries
     IO.write_json_map(countries, "country", path)
     schema = T.StructType([T.StructField("country_id", T.StringType()), T.StructField("citizenship", T.StringType()),
                            T.StructField("languages", T.ArrayType(T.StringType())),
@@ -104,13 +104,13 @@ _HASH_SQL = f"((CAST(criterion_id AS BIGINT) * 2654435761 + {SAMPLE_SEED} * 97)
     f"QUALIFY row_number() OVER (PARTITION BY question_type ORDER BY {_HASH_SQL}, criterion_id) <= 3",
     ST.cte_base_questions()))
 def stratified_sample(spark, sf_dir):
-    """3 items per question type, drawn once by a seeded hash order (O6); a
-    salted two-phase top-k, as each type holds a third of the items."""
+    """3 items per question type, drawn once by a seeded hash order (O6). Each type
+    holds a third of the items: the top-k keeps only 3 rows per type and map task
+    before the shuffle."""
     items = D.base_questions(spark, sf_dir)
     draw = (F.col("criterion_id").cast("bigint") * F.lit(2654435761) + F.lit(SAMPLE_SEED * 97)) % F.lit(4294967296)
     items = items.withColumn("draw", draw)
-    top = SM.top_k_per_group(items, ["question_type"], [F.col("draw"), F.col("criterion_id")], 3,
-                             salt_of=F.col("criterion_id"))
+    top = SM.top_k_per_group(items, ["question_type"], [F.col("draw"), F.col("criterion_id")], 3)
     return top.select("question_type", "criterion_id", "text", "draw")
 
 

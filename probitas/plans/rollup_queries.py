@@ -194,14 +194,14 @@ metric_means AS (
 
 
 def _gated_items(spark, sf_dir):
-    inp = Inputs(spark, sf_dir)
+    inp = Inputs.of(spark, sf_dir)
     return completeness_gate(inp.item_scores, inp.rules.n_criteria)
 
 
 @register("unit_metric_means", comp_sql("SELECT * FROM metric_means", _METRIC_CTE))
 def unit_metric_means(spark, sf_dir):
     """Null-skipping means of the six response-quality metrics per answer file and label (A5, P10)."""
-    inp = Inputs(spark, sf_dir)
+    inp = Inputs.of(spark, sf_dir)
     return RU.unit_metric_means(_gated_items(spark, sf_dir), inp.units, R.model_dim(spark))
 
 
@@ -215,7 +215,7 @@ FROM metric_means WHERE scenario = {S.q(R.SCENARIO_COUNTRY)} GROUP BY metric, mo
 @register("metric_matrix", _MATRIX_SQL)
 def metric_matrix(spark, sf_dir):
     """Model x country matrix of each metric in the country scenario, with row average."""
-    inp = Inputs(spark, sf_dir)
+    inp = Inputs.of(spark, sf_dir)
     means = RU.unit_metric_means(_gated_items(spark, sf_dir), inp.units, R.model_dim(spark))
     return RU.metric_matrix(means, R.SCENARIO_COUNTRY, COUNTRIES)
 

@@ -17,7 +17,7 @@ GRP = "scenario, model, unit_key, criterion_id, question_type"
 
 
 def _prompts(spark, sf_dir):
-    inp = Inputs(spark, sf_dir)
+    inp = Inputs.of(spark, sf_dir)
     return Q.prompt_table(Q.distinct_languages(inp.countries), D.translated_prompts(spark, sf_dir))
 
 
@@ -30,7 +30,7 @@ def _sql(body: str, *extra: str) -> str:
                                               ST.cte_countries_langs()))
 def distinct_languages(spark, sf_dir):
     """Distinct languages in first-seen order with their first code."""
-    return Q.distinct_languages(Inputs(spark, sf_dir).countries)
+    return Q.distinct_languages(Inputs.of(spark, sf_dir).countries)
 
 
 @register("prompt_table", _sql("SELECT * FROM prompt_table"))
@@ -45,26 +45,26 @@ def prompt_table(spark, sf_dir):
     f"LEFT JOIN prompt_table p ON p.language = s.prompt_language"))
 def normalize_answer(spark, sf_dir):
     """yes / no / undefined for every raw sample response."""
-    lab = SM.label_samples(Inputs(spark, sf_dir).samples, _prompts(spark, sf_dir))
+    lab = SM.label_samples(Inputs.of(spark, sf_dir).samples, _prompts(spark, sf_dir))
     return lab.select("scenario", "model", "unit_key", "criterion_id", "question_type", "sample_order", "answer")
 
 
 @register("drop_empty_responses", _sql(f"SELECT {GRP}, sample_order FROM kept"))
 def drop_empty_responses(spark, sf_dir):
     """Samples left after missing / blank responses are dropped."""
-    kept = SM.drop_empty_responses(Inputs(spark, sf_dir).samples)
+    kept = SM.drop_empty_responses(Inputs.of(spark, sf_dir).samples)
     return kept.select(*SM.GROUP, "sample_order")
 
 
 @register("first_n_samples", _sql(f"SELECT {GRP}, sample_order, sample_no FROM firstn"))
 def first_n_samples(spark, sf_dir):
-    """First 5 non-empty samples per (unit, criterion, question type), salted two-phase top-k."""
-    return SM.first_n_samples(Inputs(spark, sf_dir).samples).select(*SM.GROUP, "sample_order",
+    """First 5 non-empty samples per (unit, criterion, question type); top-k limited before the shuffle."""
+    return SM.first_n_samples(Inputs.of(spark, sf_dir).samples).select(*SM.GROUP, "sample_order",
                                                                      F.col("sample_no").cast("bigint"))
 
 
 def _scores(spark, sf_dir):
-    inp = Inputs(spark, sf_dir)
+    inp = Inputs.of(spark, sf_dir)
     return SM.sample_scores(SM.label_samples(SM.first_n_samples(inp.samples), _prompts(spark, sf_dir)))
 
 
@@ -118,7 +118,7 @@ _INCR_SQL = S.with_inputs(
 def incremental_scores(spark, sf_dir):
     """Scores of the first arrival batch, plus scores of groups first seen in the
     second batch; groups already scored are left alone (I1, U2, U4)."""
-    samples = Inputs(spark, sf_dir).samples
+    samples = Inputs.of(spark, sf_dir).samples
     prompts = _prompts(spark, sf_dir)
     # arrival split point as a scalar subquery (one number, no join)
     split = D.read(spark, sf_dir, "events").agg(((F.min("event_id") + F.max("event_id")) / 2)).scalar()

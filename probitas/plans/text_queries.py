@@ -74,7 +74,7 @@ def _qsql(body: str, *extra: str) -> str:
 @register("build_question", _qsql("SELECT * FROM qlong"))
 def build_question(spark, sf_dir):
     """Question text per item and unit key: article for some countries, scenario rules."""
-    inp = Inputs(spark, sf_dir)
+    inp = Inputs.of(spark, sf_dir)
     keys = Q.questionnaire_units(inp.units)
     items = D.base_questions(spark, sf_dir).withColumn("scenario", F.explode(F.array(*[F.lit(s) for s in R.SCENARIOS])))
     return (items.join(keys, "scenario")
@@ -90,7 +90,7 @@ _QWIDE = ("qwide AS (SELECT scenario, unit_key, criterion_id, " + ", ".join(
 @register("build_questionnaire", _qsql("SELECT * FROM qwide", _QWIDE))
 def build_questionnaire(spark, sf_dir):
     """One questionnaire per scenario key, first writer wins, question types as columns."""
-    inp = Inputs(spark, sf_dir)
+    inp = Inputs.of(spark, sf_dir)
     return Q.build_questionnaire(inp.units, D.base_questions(spark, sf_dir))
 
 
@@ -107,7 +107,7 @@ JOIN (SELECT language, prompt FROM prompt_table WHERE status = 'ok') p ON p.lang
 @register("build_prompt", _PROMPT_SQL)
 def build_prompt(spark, sf_dir):
     """Full prompt: question + instruction of the unit's language, English in the country scenario."""
-    inp = Inputs(spark, sf_dir)
+    inp = Inputs.of(spark, sf_dir)
     qn = Q.build_questionnaire(inp.units, D.base_questions(spark, sf_dir))
     return Q.build_prompts(qn, inp.units, _prompts(spark, sf_dir))
 
@@ -134,7 +134,7 @@ def hash_responder(batches):
 def collect_samples(spark, sf_dir):
     """Prompts fanned out to attempts, answered by a pluggable responder through
     mapInPandas, first 5 non-empty responses per question, then scored (X1, I1)."""
-    inp = Inputs(spark, sf_dir)
+    inp = Inputs.of(spark, sf_dir)
     prompts = build_prompt(spark, sf_dir).withColumn("model", F.lit(D.TEST_MODELS[0]))
     got = SM.collect_samples(prompts, hash_responder)
     labelled = SM.label_samples(got, _prompts(spark, sf_dir))

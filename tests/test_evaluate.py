@@ -14,7 +14,7 @@ from probitas.sources import io as IO
 
 
 def _write_original_formats(spark, root):
-    inp = Inputs(spark, SF_SMALL)
+    inp = Inputs.of(spark, SF_SMALL)
     items = inp.item_scores.toPandas()
     for (s, m, k), g in items.groupby(["scenario", "model", "unit_key"]):
         d = os.path.join(root, "answers", s, m)

@@ -13,7 +13,7 @@ from probitas.streaming.incremental import latest_scores, run_incremental
 
 def test_stream_matches_batch(spark):
     root = tempfile.mkdtemp(prefix="probitas-stream-", dir="/tmp")
-    samples = Inputs(spark, SF_SMALL).samples
+    samples = Inputs.of(spark, SF_SMALL).samples
     prompts = _prompts(spark, SF_SMALL)
     split = samples.agg(F.expr("percentile_approx(sample_order, 0.5)")).first()[0]
     src, sink, ckpt = f"{root}/src", f"{root}/sink", f"{root}/ckpt"
