@@ -41,15 +41,22 @@ def first_token(x) -> Column:
     return F.regexp_extract(_c(x), r"^\s*(\S+)", 1)
 
 
+def let(value, body) -> Column:
+    """Evaluate ``value`` once and pass it to ``body`` (a lambda over one column):
+    ``transform(array(value), body)[0]``. Keeps an expensive expression that
+    ``body`` uses several times from being evaluated once per use."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def normalize_answer(response, yes, no) -> Column:
     """yes / no / undefined from a raw response (T1): lower-case, delete ``.*"``,
     take the first whitespace token, strip ``,;:!?.`` and compare with the
     language's yes and no tokens. Empty or missing -> undefined."""
     cleaned = F.translate(F.lower(_c(response)), ANSWER_DELETE_CHARS, "")
-    tok = F.regexp_replace(first_token(cleaned), r"^[,;:!?.]+|[,;:!?.]+$", "")
-    return (F.when((tok != "") & (tok == F.lower(_c(yes))), F.lit(R.YES))
-            .when((tok != "") & (tok == F.lower(_c(no))), F.lit(R.NO))
-            .otherwise(F.lit(R.UNDEFINED)))
+    token = F.regexp_replace(first_token(cleaned), r"^[,;:!?.]+|[,;:!?.]+$", "")
+    return let(token, lambda tok: F.when((tok != "") & (tok == F.lower(_c(yes))), F.lit(R.YES))
+               .when((tok != "") & (tok == F.lower(_c(no))), F.lit(R.NO))
+               .otherwise(F.lit(R.UNDEFINED)))
 
 
 def answer_value(answer) -> Column:
@@ -67,11 +74,17 @@ def clean_text(text) -> Column:
     t = F.regexp_replace(t, MARKUP, "")
     t = F.regexp_replace(t, LEADING_LABEL, "")
     lines = F.filter(F.transform(F.split(t, "\n"), lambda l: strip_ws(l)), lambda l: l != "")
-    kept = F.filter(lines, lambda l: ~l.rlike(COMMENTARY_LINE))
-    pool = F.when(F.size(kept) > 0, kept).otherwise(lines)
-    longest = F.aggregate(pool, F.try_element_at(pool, F.lit(1)),
-                          lambda acc, l: F.when(F.length(l) > F.length(acc), l).otherwise(acc))
-    return F.when(F.size(lines) == 0, F.lit("")).otherwise(longest)
+
+    def longest(pool):
+        return F.aggregate(pool, F.try_element_at(pool, F.lit(1)),
+                           lambda acc, l: F.when(F.length(l) > F.length(acc), l).otherwise(acc))
+
+    def choose(ls):
+        kept = F.filter(ls, lambda l: ~l.rlike(COMMENTARY_LINE))
+        pool = let(kept, lambda k: F.when(F.size(k) > 0, k).otherwise(ls))
+        return F.when(F.size(ls) == 0, F.lit("")).otherwise(let(pool, longest))
+
+    return let(lines, choose)
 
 
 def extract_answer_text(text) -> Column:

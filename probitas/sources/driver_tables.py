@@ -184,13 +184,15 @@ def samples(spark: SparkSession, sf_dir: str, n_criteria: int = R.TEST_RULES.n_c
     no_map = F.create_map(*[x for lang, (_, n) in PROMPT_TOKENS.items() for x in (F.lit(lang), F.lit(n))])
     base = ev.select("event_id", "event_type", F.element_at(units, unit_idx).alias("u"),
                      _pick(TEST_MODELS[:4], F.col("user_id")).alias("model"))
-    lang = F.col("u.l")
-    return base.select(
-        F.col("u.s").alias("scenario"), "model", F.col("u.k").alias("unit_key"), lang.alias("prompt_language"),
+    # tokens as their own columns first (not re-derived inside every text branch)
+    toks = base.select("*", F.element_at(yes_map, F.col("u.l")).alias("_yes"),
+                       F.element_at(no_map, F.col("u.l")).alias("_no"))
+    return toks.select(
+        F.col("u.s").alias("scenario"), "model", F.col("u.k").alias("unit_key"), F.col("u.l").alias("prompt_language"),
         (F.col("event_id") % n_criteria).cast("int").alias("criterion_id"),
         _pick(R.QUESTION_TYPES, F.floor(F.col("event_id") / n_criteria)).alias("question_type"),
         F.col("event_id").alias("sample_order"),
-        answer_text("event_type", "event_id", F.element_at(yes_map, lang), F.element_at(no_map, lang)).alias("response"))
+        answer_text("event_type", "event_id", F.col("_yes"), F.col("_no")).alias("response"))
 
 
 # ---------------------------------------------------------------------------
