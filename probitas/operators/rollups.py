@@ -39,30 +39,36 @@ def _label_cols(df: DataFrame, models: DataFrame) -> DataFrame:
     return label_map(df, models).withColumnRenamed("label", "model_label")
 
 
+def by_test(comp: DataFrame, keep: list[str]) -> DataFrame:
+    """Fact and Stance side by side -> one row per (comparison row, test) with
+    ``score``, ``mae`` and ``p``: every roll-up then aggregates once for both tests."""
+    return comp.select(*keep, F.explode(F.array(*[
+        F.struct(F.lit(t).alias("test"), F.col(c).alias("score"), F.col(f"{c}_mae").alias("mae"),
+                 F.col(f"{c}_pvalue").alias("p"))
+        for t, c in TESTS])).alias("_t")).select(*keep, "_t.*")
+
+
 # -- A9 ------------------------------------------------------------------------------------------
 def model_mae_summary(comp: DataFrame, models: DataFrame) -> DataFrame:
     """Per test and model: "<mae> <pct>\\%" per scenario and on average.
 
     Scenario MAE = mean of the unit MAEs (2 dp); pct = share of rows whose rounded
     p-value is below 0.05. Average = mean of the *rounded* scenario MAEs and the
-    pooled share. A missing scenario shows "-".
+    pooled share. A missing scenario shows "-". The scenario cells and the
+    average come out of one aggregation (conditional aggregates = the pivot).
     """
-    long = comp.select("model", "scenario", F.explode(F.array(*[
-        F.struct(F.lit(t).alias("test"), F.col(f"{c}_mae").alias("mae"), F.col(f"{c}_pvalue").alias("p"))
-        for t, c in TESTS])).alias("t")).select("model", "scenario", "t.*")
-    per = long.groupBy("test", "model", "scenario").agg(
+    per = by_test(comp, ["model", "scenario"]).groupBy("test", "model", "scenario").agg(
         stable_round(F.avg("mae"), 2).alias("mae"),
         F.sum(F.when(F.col("p") < R.SIGNIFICANCE_LEVEL, 1).otherwise(0)).alias("sig"),
         F.count(F.lit(1)).alias("n"))
-    cell = F.concat(F.col("mae").cast("string"), F.lit(" "),
-                    np_round(F.col("sig") / F.col("n") * 100, 0).cast("string"), F.lit("\\%"))
-    wide = (per.withColumn("cell", cell)
-            .groupBy("test", "model").pivot("scenario", R.SCENARIOS).agg(F.first("cell")))
-    avg = per.groupBy("test", "model").agg(
-        F.concat(stable_round(F.avg("mae"), 2).cast("string"), F.lit(" "),
-                 np_round(F.sum("sig") / F.sum("n") * 100, 0).cast("string"), F.lit("\\%")).alias("average"))
-    out = wide.join(avg, ["test", "model"])
-    out = out.select("test", "model", *[F.coalesce(F.col(s), F.lit("-")).alias(s) for s in R.SCENARIOS], "average")
+
+    def cell(mae, sig, n):
+        return F.concat(mae.cast("string"), F.lit(" "), np_round(sig / n * 100, 0).cast("string"), F.lit("\\%"))
+
+    out = per.groupBy("test", "model").agg(
+        *[F.coalesce(F.first(F.when(F.col("scenario") == s, cell(F.col("mae"), F.col("sig"), F.col("n"))),
+                             ignorenulls=True), F.lit("-")).alias(s) for s in R.SCENARIOS],
+        cell(stable_round(F.avg("mae"), 2), F.sum("sig"), F.sum("n")).alias("average"))
     return ordered_by_model(out, models).select("test", F.col("label").alias("model"), "ord", *R.SCENARIOS, "average")
 
 
@@ -74,15 +80,12 @@ def model_scenario_percentage(comp: DataFrame, models: DataFrame) -> DataFrame:
            .groupBy("model_label", "scenario")
            .agg(np_round(stable_round(F.avg("fact"), 6), 0).alias("fact"),
                 np_round(stable_round(F.avg("stance"), 6), 0).alias("stance")))
-    wide = per.groupBy("model_label").pivot("scenario", R.SCENARIOS).agg(F.first("fact").alias("fact"),
-                                                                       F.first("stance").alias("stance"))
-    avg = per.groupBy("model_label").agg(np_round(stable_round(F.avg("fact"), 6), 0).alias("fact_average"),
-                                         np_round(stable_round(F.avg("stance"), 6), 0).alias("stance_average"))
-    cols = [F.col(f"{s}_{m}").cast("bigint").alias(f"{s}_{m}") for s in R.SCENARIOS for m in ("fact", "stance")]
-    return (wide.join(avg, "model_label")
-            .select(F.col("model_label").alias("model"), *cols,
-                    F.col("fact_average").cast("bigint").alias("fact_average"),
-                    F.col("stance_average").cast("bigint").alias("stance_average")))
+    cells = [F.first(F.when(F.col("scenario") == s, F.col(m)), ignorenulls=True).cast("bigint").alias(f"{s}_{m}")
+             for s in R.SCENARIOS for m in ("fact", "stance")]
+    return (per.groupBy("model_label")
+            .agg(*cells, np_round(stable_round(F.avg("fact"), 6), 0).cast("bigint").alias("fact_average"),
+                 np_round(stable_round(F.avg("stance"), 6), 0).cast("bigint").alias("stance_average"))
+            .withColumnRenamed("model_label", "model"))
 
 
 # -- A11 / A12 -----------------------------------------------------------------------------------
@@ -117,37 +120,28 @@ def scenario_country_mae(comp: DataFrame) -> DataFrame:
 def language_country_mae(comp: DataFrame) -> DataFrame:
     """Long (test, language, country, value): language scenario with country
     "No Country", country scenario with language "English", pairs as they are."""
-    parts = []
-    for test, c in TESTS:
-        v = f"{c}_mae"
-        lang = (comp.where(F.col("scenario") == R.SCENARIO_LANGUAGE).groupBy("language")
-                .agg(F.avg(v).alias("value")).select(F.lit(test).alias("test"), "language",
-                                                     F.lit(R.NO_COUNTRY).alias("country"), "value"))
-        ctry = (comp.where(F.col("scenario") == R.SCENARIO_COUNTRY).groupBy("country")
-                .agg(F.avg(v).alias("value")).select(F.lit(test).alias("test"), F.lit(R.ENGLISH).alias("language"),
-                                                    "country", "value"))
-        pair = (comp.where(F.col("scenario") == R.SCENARIO_LANGUAGE_COUNTRY).groupBy("language", "country")
-                .agg(F.avg(v).alias("value")).select(F.lit(test).alias("test"), "language", "country", "value"))
-        parts += [lang, ctry, pair]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.withColumn("value", stable_round(F.col("value"), 2))
+    long = by_test(comp, ["scenario", "language", "country"])
+    sc = F.col("scenario")
+    lang = (long.where(sc == R.SCENARIO_LANGUAGE).groupBy("test", "language").agg(F.avg("mae").alias("value"))
+            .select("test", "language", F.lit(R.NO_COUNTRY).alias("country"), "value"))
+    ctry = (long.where(sc == R.SCENARIO_COUNTRY).groupBy("test", "country").agg(F.avg("mae").alias("value"))
+            .select("test", F.lit(R.ENGLISH).alias("language"), "country", "value"))
+    pair = (long.where(sc == R.SCENARIO_LANGUAGE_COUNTRY).groupBy("test", "language", "country")
+            .agg(F.avg("mae").alias("value")))
+    return (lang.unionByName(ctry).unionByName(pair.select("test", "language", "country", "value"))
+            .withColumn("value", stable_round(F.col("value"), 2)))
 
 
 # -- A13 / A14 / R1 / R4 ---------------------------------------------------------------------------
 def country_model_percentage_long(comp: DataFrame, models: DataFrame) -> DataFrame:
     """Long (test, country, model, truth, value): integer-rounded means of the
     score per (country, model) and of the truth per country."""
-    rows = []
-    for test, c in TESTS:
-        per = (_label_cols(comp, models).groupBy("country", "model_label")
-               .agg(np_round(stable_round(F.avg(c), 6), 0).cast("bigint").alias("value")))
-        truth = comp.groupBy("country").agg(np_round(stable_round(F.avg("truth"), 6), 0).cast("bigint").alias("truth"))
-        rows.append(per.join(truth, "country", "inner")
-                    .select(F.lit(test).alias("test"), "country", F.col("model_label").alias("model"), "truth",
-                            "value"))
-    return rows[0].unionByName(rows[1])
+    per = (by_test(_label_cols(comp, models), ["country", "model_label"])
+           .groupBy("test", "country", "model_label")
+           .agg(np_round(stable_round(F.avg("score"), 6), 0).cast("bigint").alias("value")))
+    truth = comp.groupBy("country").agg(np_round(stable_round(F.avg("truth"), 6), 0).cast("bigint").alias("truth"))
+    return (per.join(truth, "country", "inner")
+            .select("test", "country", F.col("model_label").alias("model"), "truth", "value"))
 
 
 def country_model_percentage(comp: DataFrame, models: DataFrame, model_labels: list[str]) -> DataFrame:
@@ -209,12 +203,10 @@ def unit_metric_means(gated_items: DataFrame, units: DataFrame, models: DataFram
 
 def metric_matrix(means: DataFrame, scenario: str, labels: list[str]) -> DataFrame:
     """Model x label matrix of one scenario, plus the row average of the rounded
-    cells (2 dp) as ``average`` (R2, A15)."""
+    cells (2 dp) as ``average`` -- one aggregation (R2, A15)."""
     one = means.where(F.col("scenario") == scenario)
-    wide = one.groupBy("metric", "model").pivot("label", labels).agg(F.first("value"))
-    avg = one.groupBy("metric", "model").agg(stable_round(F.avg("value"), 2).alias("average"))
-    return (wide.join(avg, ["metric", "model"])
-            .select("metric", "model", *[F.col(f"`{l}`").alias(slug(l)) for l in labels], "average"))
+    cells = [F.first(F.when(F.col("label") == l, F.col("value")), ignorenulls=True).alias(slug(l)) for l in labels]
+    return one.groupBy("metric", "model").agg(*cells, stable_round(F.avg("value"), 2).alias("average"))
 
 
 # -- A17 / J8 / J10 / R3 / R5 --------------------------------------------------------------------
@@ -233,39 +225,43 @@ def scenario_country_series(sc_mae: DataFrame) -> DataFrame:
     (country, value); pair rows stay as they are, so the full joins on country
     multiply rows exactly as the report's merge does.
     """
-    out = []
-    for test, c in TESTS:
-        lcol, ccol, pcol = (f"{s}_{c}_mae" for s in R.SCENARIOS)
-        lang = (sc_mae.where(F.col(lcol).isNotNull()).groupBy("country")
-                .agg(F.avg(lcol).alias("language_scenario_mae")))
-        ctry = sc_mae.where(F.col(ccol).isNotNull()).select("country", F.col(ccol).alias("country_scenario_mae")).distinct()
-        pair = sc_mae.where(F.col(pcol).isNotNull()).select("country", F.col(pcol).alias("language_country_scenario_mae"))
-        merged = ctry.join(lang, "country", "full").join(pair, "country", "full")
-        out.append(merged.select(F.lit(test).alias("test"), "country",
-                                 stable_round(F.col("country_scenario_mae"), 4).alias("country_scenario_mae"),
-                                 stable_round(F.col("language_scenario_mae"), 4).alias("language_scenario_mae"),
-                                 F.col("language_country_scenario_mae")))
-    return out[0].unionByName(out[1])
+    cols = [f"{s}_{c}_mae" for s in R.SCENARIOS for _, c in TESTS]
+    long = (sc_mae.unpivot(["language", "country"], cols, "measure", "mae").where(F.col("mae").isNotNull())
+            .select("country", "mae",
+                    F.when(F.col("measure").contains("_fact_"), F.lit("Fact")).otherwise(F.lit("Stance")).alias("test"),
+                    F.regexp_extract("measure", "^(.*)_(fact|stance)_mae$", 1).alias("scenario")))
+    sc = F.col("scenario")
+    lang = (long.where(sc == R.SCENARIO_LANGUAGE).groupBy("test", "country")
+            .agg(F.avg("mae").alias("language_scenario_mae")))
+    ctry = (long.where(sc == R.SCENARIO_COUNTRY)
+            .select("test", "country", F.col("mae").alias("country_scenario_mae")).distinct())
+    pair = (long.where(sc == R.SCENARIO_LANGUAGE_COUNTRY)
+            .select("test", "country", F.col("mae").alias("language_country_scenario_mae")))
+    merged = ctry.join(lang, ["test", "country"], "full").join(pair, ["test", "country"], "full")
+    return merged.select("test", "country",
+                         stable_round(F.col("country_scenario_mae"), 4).alias("country_scenario_mae"),
+                         stable_round(F.col("language_scenario_mae"), 4).alias("language_scenario_mae"),
+                         "language_country_scenario_mae")
 
 
 def percentage_series(comp: DataFrame) -> DataFrame:
     """Per test, (country, language) series of the three scenarios and the truth."""
-    out = []
-    for test, c in TESTS:
-        lang = (comp.where(F.col("scenario") == R.SCENARIO_LANGUAGE).groupBy("country", "language")
-                .agg(F.avg(c).alias("language_scenario_per")))
-        ctry = (comp.where(F.col("scenario") == R.SCENARIO_COUNTRY).groupBy("country")
-                .agg(F.avg(c).alias("country_scenario_per")))
-        pair = (comp.where(F.col("scenario") == R.SCENARIO_LANGUAGE_COUNTRY).groupBy("country", "language")
-                .agg(F.avg(c).alias("language_country_scenario_per")))
-        truth = comp.groupBy("country", "language").agg(F.avg("truth").alias("truth_score"))
-        merged = (lang.join(ctry, "country", "left").join(pair, ["country", "language"], "left")
-                  .join(truth, ["country", "language"], "left"))
-        out.append(merged.select(F.lit(test).alias("test"), "country", "language",
-                                 *[stable_round(F.col(x), 4).alias(x) for x in
-                                   ("language_scenario_per", "country_scenario_per",
-                                    "language_country_scenario_per", "truth_score")]))
-    return out[0].unionByName(out[1]).orderBy("test", "truth_score")
+    long = by_test(comp, ["scenario", "country", "language", "truth"])
+    sc = F.col("scenario")
+    lang = (long.where(sc == R.SCENARIO_LANGUAGE).groupBy("test", "country", "language")
+            .agg(F.avg("score").alias("language_scenario_per")))
+    ctry = (long.where(sc == R.SCENARIO_COUNTRY).groupBy("test", "country")
+            .agg(F.avg("score").alias("country_scenario_per")))
+    pair = (long.where(sc == R.SCENARIO_LANGUAGE_COUNTRY).groupBy("test", "country", "language")
+            .agg(F.avg("score").alias("language_country_scenario_per")))
+    truth = comp.groupBy("country", "language").agg(F.avg("truth").alias("truth_score"))
+    merged = (lang.join(ctry, ["test", "country"], "left").join(pair, ["test", "country", "language"], "left")
+              .join(truth, ["country", "language"], "left"))
+    return (merged.select("test", "country", "language",
+                          *[stable_round(F.col(x), 4).alias(x) for x in
+                            ("language_scenario_per", "country_scenario_per",
+                             "language_country_scenario_per", "truth_score")])
+            .orderBy("test", "truth_score"))
 
 
 def x_label_expr() -> Column:
@@ -277,14 +273,11 @@ def x_label_expr() -> Column:
 
 def model_label_mae(comp: DataFrame, models: DataFrame) -> DataFrame:
     """Long (test, scenario, model, x_label, mae): mean MAE per model and axis label."""
-    rows = []
-    for test, c in TESTS:
-        per = (comp.withColumn("x_label", x_label_expr())
-               .groupBy("scenario", "model", "x_label").agg(F.avg(f"{c}_mae").alias("mae")))
-        rows.append(ordered_by_model(per, models)
-                    .select(F.lit(test).alias("test"), "scenario", F.col("label").alias("model"), "ord", "x_label",
-                            stable_round(F.col("mae"), 4).alias("mae")))
-    return rows[0].unionByName(rows[1])
+    per = (by_test(comp.withColumn("x_label", x_label_expr()), ["scenario", "model", "x_label"])
+           .groupBy("test", "scenario", "model", "x_label").agg(F.avg("mae").alias("mae")))
+    return (ordered_by_model(per, models)
+            .select("test", "scenario", F.col("label").alias("model"), "ord", "x_label",
+                    stable_round(F.col("mae"), 4).alias("mae")))
 
 
 def language_country_matrix(lc_mae: DataFrame, countries: list[str]) -> DataFrame:

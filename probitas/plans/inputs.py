@@ -66,6 +66,13 @@ class Inputs:
     def samples(self) -> DataFrame:
         return self._stage(D.samples(self.spark, self.sf_dir, self.rules.n_criteria), "samples")
 
+    @cached_property
+    def prompts(self) -> DataFrame:
+        """Instruction and yes / no tokens per language (the prompt table), staged once."""
+        from probitas.operators.questionnaire import distinct_languages, prompt_table
+        return self._stage(prompt_table(distinct_languages(self.countries),
+                                        D.translated_prompts(self.spark, self.sf_dir)), "prompts")
+
     def comparison(self) -> DataFrame:
         return comparison_table(self.item_scores, self.truth_long, self.weights, self.units, self.rules)
 

@@ -17,8 +17,8 @@ GRP = "scenario, model, unit_key, criterion_id, question_type"
 
 
 def _prompts(spark, sf_dir):
-    inp = Inputs.of(spark, sf_dir)
-    return Q.prompt_table(Q.distinct_languages(inp.countries), D.translated_prompts(spark, sf_dir))
+    """The staged prompt table of the session (built by ``prompt_table`` once)."""
+    return Inputs.of(spark, sf_dir).prompts
 
 
 def _sql(body: str, *extra: str) -> str:
@@ -36,7 +36,8 @@ def distinct_languages(spark, sf_dir):
 @register("prompt_table", _sql("SELECT * FROM prompt_table"))
 def prompt_table(spark, sf_dir):
     """Answer instruction and yes / no tokens per language, English fixed, status per row."""
-    return _prompts(spark, sf_dir)
+    inp = Inputs.of(spark, sf_dir)
+    return Q.prompt_table(Q.distinct_languages(inp.countries), D.translated_prompts(spark, sf_dir))
 
 
 @register("normalize_answer", _sql(
