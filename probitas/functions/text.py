@@ -15,7 +15,7 @@ from probitas import rules as R
 # Fixed values (patterns of the answer and text rules)
 # ---------------------------------------------------------------------------
 ANSWER_DELETE_CHARS = '.*"'          # removed from a response before tokenising
-ANSWER_STRIP_CHARS = ",;:!?."        # stripped from both ends of the first token
+ANSWER_STRIP_CHARS = ",;:!?."        # stripped from both ends of the first token (pattern below)
 NOTE_CUT = r"(?i)\bNote:\b"          # text from here on is commentary
 MARKUP = r"[*_`]+"                   # emphasis marks
 LEADING_LABEL = r"^[A-Za-zÀ-ÖØ-öø-ÿ\s]+:\s*"  # "Translation: ", "Në shqip: "
@@ -53,7 +53,8 @@ def normalize_answer(response, yes, no) -> Column:
     take the first whitespace token, strip ``,;:!?.`` and compare with the
     language's yes and no tokens. Empty or missing -> undefined."""
     cleaned = F.translate(F.lower(_c(response)), ANSWER_DELETE_CHARS, "")
-    token = F.regexp_replace(first_token(cleaned), r"^[,;:!?.]+|[,;:!?.]+$", "")
+    strip = "[" + ANSWER_STRIP_CHARS + "]+"
+    token = F.regexp_replace(first_token(cleaned), f"^{strip}|{strip}$", "")
     return let(token, lambda tok: F.when((tok != "") & (tok == F.lower(_c(yes))), F.lit(R.YES))
                .when((tok != "") & (tok == F.lower(_c(no))), F.lit(R.NO))
                .otherwise(F.lit(R.UNDEFINED)))

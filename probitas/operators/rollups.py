@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from probitas import rules as R
 from probitas.functions.numeric import np_round, stable_round
 from probitas.operators.units import scenario_label_expr
-from probitas.session import bounded_broadcast
 
 TESTS = [("Fact", "fact"), ("Stance", "stance")]
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from probitas import rules as R
-from probitas.functions.numeric import np_round, stable_round
+from probitas.functions.numeric import stable_round
 from probitas.functions.text import cosine_similarity, remap_language_code
 
 MACHINE_TRANSLATION = "DeepL"
@@ -50,6 +50,3 @@ def append_missing(existing: DataFrame, candidates: DataFrame, keys: list[str])
     return existing.unionByName(candidates.join(existing.select(*keys), keys, "left_anti")
                                 .select(*existing.columns))
 
-
-def round_half_even(col, digits: int = 2):
-    return np_round(col, digits)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from probitas import rules as R
 from probitas.operators import rollups as RU

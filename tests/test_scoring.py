@@ -1,6 +1,5 @@
 """Scoring operators on literal rows: sample scores, adjustment rules, signed-rank test."""
 
-import itertools
 
 from pyspark.sql import functions as F
 
