@@ -121,14 +121,27 @@ def _bt_half(spark, sf_dir, first: bool):
     return TR.backtranslation_score(TR.pair_similarity(part)).select("model", "language", "score")
 
 
-@register("append_missing_rows")
+_MID = "(SELECT floor(max(vec_id) / 4) FROM embeddings)"
+
+
+def _halves_sql(body: str) -> str:
+    from probitas.plans.text_queries import _bt_cte, _trans_ctes
+    return S.with_inputs(body, *_trans_ctes(), _bt_cte("bt1", f"WHERE question_id < {_MID}"),
+                         _bt_cte("bt2", f"WHERE question_id >= {_MID}"))
+
+
+@register("append_missing_rows", _halves_sql(
+    "SELECT model, language, score FROM bt1 UNION ALL "
+    "SELECT model, language, score FROM bt2 ANTI JOIN bt1 USING (model, language)"))
 def append_missing_rows(spark, sf_dir):
     """Scores of the first question half, plus the second-half rows whose
     (system, language) key is still absent (U2)."""
     return TR.append_missing(_bt_half(spark, sf_dir, True), _bt_half(spark, sf_dir, False), ["model", "language"])
 
 
-@register("upsert_rows")
+@register("upsert_rows", _halves_sql(
+    "SELECT model, language, score FROM bt1 ANTI JOIN bt2 USING (model, language) UNION ALL "
+    "SELECT model, language, score FROM bt2"))
 def upsert_rows(spark, sf_dir):
     """Scores of the first question half with every (system, language) key that the
     second half scored replaced by its new value (U4)."""

@@ -141,7 +141,14 @@ def collect_samples(spark, sf_dir):
     return SM.sample_scores(labelled)
 
 
-def _trans_sql(body: str) -> str:
+def _bt_cte(name: str, where: str = "") -> str:
+    return f"""{name} AS (SELECT model, language, count(*) AS n_questions,
+  CAST(sum(CASE WHEN similarity IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_missing,
+  CASE WHEN language = 'English' THEN 1.0 ELSE {S.stable('avg(similarity)', 2)} END AS score
+  FROM sims {where} GROUP BY model, language)"""
+
+
+def _trans_ctes() -> list[str]:
     langs = D.LANGUAGE_ORDER
     codes = dict((l, c) for cc in D.COUNTRY_FIXTURE for l, c in cc[3])
     li = f"CAST(o.label % {len(langs)} AS INTEGER) + 1"
@@ -153,10 +160,11 @@ def _trans_sql(body: str) -> str:
     empty = f"(model = 'DeepL' AND {ST.remap_sql('language_code', chr(39) + 'x' + chr(39))} = '')"
     sims = f"""sims AS (SELECT model, language, question_id,
   CASE WHEN {empty} THEN 0.0 ELSE {ST.cosine_sql('original', 'back')} END AS similarity FROM tpairs)"""
-    scores = f"""bt AS (SELECT model, language, count(*) AS n_questions,
-  CAST(sum(CASE WHEN similarity IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_missing,
-  CASE WHEN language = 'English' THEN 1.0 ELSE {S.stable('avg(similarity)', 2)} END AS score FROM sims GROUP BY model, language)"""
-    return S.with_inputs(body, pairs, sims, scores)
+    return [pairs, sims]
+
+
+def _trans_sql(body: str, *extra: str) -> str:
+    return S.with_inputs(body, *_trans_ctes(), _bt_cte("bt"), *extra)
 
 
 @register("cosine_similarity", _trans_sql(
