@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from probitas import rules as R
 from probitas.functions.text import build_prompt, build_question, extract_quoted
 from probitas.operators.units import country_language_pairs
+from probitas.session import bounded_broadcast
 
 # Fixed value: the English answer instruction and its tokens.
 ENGLISH_PROMPT = ('Answer to the question with "yes" or "no" only.', R.YES, R.NO)
@@ -88,6 +89,6 @@ def build_prompts(questionnaire: DataFrame, units: DataFrame, prompts: DataFrame
     with_lang = long.join(keys, ["scenario", "unit_key"]).withColumn(
         "prompt_language", prompt_language("scenario", "language"))
     instr = prompts.where(F.col("status") == "ok").select(F.col("language").alias("prompt_language"), "prompt")
-    return (with_lang.join(F.broadcast(instr), "prompt_language", "inner")
+    return (with_lang.join(bounded_broadcast(instr), "prompt_language", "inner")
             .select("scenario", "unit_key", "criterion_id", "question_type", "prompt_language",
                     build_prompt("question", "prompt").alias("full_prompt")))

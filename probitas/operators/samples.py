@@ -14,6 +14,7 @@ from probitas.functions.numeric import np_round
 from probitas.functions.text import normalize_answer
 from probitas.operators.adjust import stance_score_rounded
 from probitas.operators.units import UNIT
+from probitas.session import bounded_broadcast
 
 GROUP = UNIT + ["criterion_id", "question_type"]
 
@@ -49,7 +50,7 @@ def label_samples(samples: DataFrame, prompts: DataFrame) -> DataFrame:
     """
     toks = prompts.select(F.col("language").alias("prompt_language"), F.col("yes").alias("_yes"),
                           F.col("no").alias("_no"))
-    return (samples.join(F.broadcast(toks), "prompt_language", "left")
+    return (samples.join(bounded_broadcast(toks), "prompt_language", "left")
             .withColumn("answer", normalize_answer(F.col("response"), F.col("_yes"), F.col("_no")))
             .drop("_yes", "_no"))
 

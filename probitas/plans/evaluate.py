@@ -79,8 +79,15 @@ def result_tables(comp: DataFrame, gated_items: DataFrame, units: DataFrame, spa
     countries = sorted(r[0] for r in comp.select("country").distinct().collect())
     sc_mae = RU.scenario_country_mae(comp)
     lc_mae = RU.language_country_mae(comp)
+    means = RU.unit_metric_means(gated_items, units, models)
+    matrices = {}
+    for s in R.SCENARIOS:
+        # pivot values: the bounded label list of the scenario
+        labels = sorted(r[0] for r in means.where(F.col("scenario") == s).select("label").distinct().collect())
+        matrices[f"metric_matrix_{s}"] = RU.metric_matrix(means, s, labels)
     return {
-        "unit_metric_means": RU.unit_metric_means(gated_items, units, models),
+        "unit_metric_means": means,
+        **matrices,
         "model_mae_summary": RU.model_mae_summary(comp, models),
         "language_country_mae": lc_mae,
         "scenario_country_mae": sc_mae,
