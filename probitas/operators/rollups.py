@@ -154,19 +154,27 @@ def country_model_percentage(comp: DataFrame, models: DataFrame, model_labels: l
 
 def model_country_distance(comp: DataFrame, models: DataFrame) -> DataFrame:
     """Long (test, model, country, distance): model score - truth, both integers."""
-    long = country_model_percentage_long(comp, models)
+    return distances(country_model_percentage_long(comp, models))
+
+
+def distances(long: DataFrame) -> DataFrame:
+    """(test, country, model, truth, value) -> (test, model, country, distance = value - truth)."""
     return long.select("test", "model", "country", (F.col("value") - F.col("truth")).alias("distance"))
 
 
-def avg_distance(comp: DataFrame, models: DataFrame, drop_last_country: bool = False) -> DataFrame:
-    """Mean signed distance per (test, model). ``drop_last_country`` reproduces the
-    published tables, which leave out the alphabetically last country (A14)."""
-    dist = model_country_distance(comp, models)
+def mean_distance(dist: DataFrame, drop_last_country: bool = False, digits: int = 4) -> DataFrame:
+    """Mean signed distance per (test, model); ``drop_last_country`` leaves out the
+    alphabetically last country, as the published tables do (A14)."""
     if drop_last_country:
-        last = comp.agg(F.max("country").alias("_last"))
+        last = dist.agg(F.max("country").alias("_last"))
         # one-row aggregate: broadcast is bounded by construction
         dist = dist.join(F.broadcast(last), F.col("country") == F.col("_last"), "left_anti")
-    return dist.groupBy("test", "model").agg(stable_round(F.avg("distance"), 4).alias("avg_distance"))
+    return dist.groupBy("test", "model").agg(stable_round(F.avg("distance"), digits).alias("avg_distance"))
+
+
+def avg_distance(comp: DataFrame, models: DataFrame, drop_last_country: bool = False) -> DataFrame:
+    """Mean signed distance per (test, model) over the integer country tables."""
+    return mean_distance(model_country_distance(comp, models), drop_last_country)
 
 
 def distance_matrix(comp: DataFrame, models: DataFrame, countries: list[str]) -> DataFrame:

@@ -25,19 +25,32 @@ ISO_NAMES = {
 }
 
 
+# Fixed test values: language codes of the snapshot's language files -> language names of the published tables.
+LANGUAGE_NAMES = {"az": "Azerbaijani", "bs": "Bosnian", "da": "Danish", "en": "English", "lb": "Luxembourgish",
+                  "pl": "Polish", "ru": "Russian", "tr": "Turkish", "cnr": "Montenegrin", "de": "German",
+                  "ga": "Irish", "hu": "Hungarian", "is": "Icelandic", "lv": "Latvian", "nl": "Dutch", "mt": "Maltese"}
+
+
+def _countries(spark, scenario):
+    if scenario == R.SCENARIO_COUNTRY:
+        rows = [(cid, name, ["x"], ["x"], i) for i, (cid, name) in enumerate(ISO_NAMES.items())]
+    else:  # one pseudo-country per language: the label of a language unit is the language name
+        rows = [(f"C{i}", f"C{i}", [name], [code], i) for i, (code, name) in enumerate(LANGUAGE_NAMES.items())]
+    return spark.createDataFrame(rows, "country_id string, country string, languages array<string>, "
+                                       "language_codes array<string>, ord int")
+
+
 @pytest.mark.skipif(not os.path.isdir(f"{SNAPSHOT}/rainbow_meter"), reason="snapshot not present")
-def test_unit_metric_means_equal_published(spark):
-    items = IO.scan_answer_files(spark, f"{SNAPSHOT}/rainbow_meter/{R.SCENARIO_COUNTRY}")
-    countries = spark.createDataFrame([(cid, name, ["x"], ["x"], i) for i, (cid, name) in enumerate(ISO_NAMES.items())],
-                                      "country_id string, country string, languages array<string>, "
-                                      "language_codes array<string>, ord int")
-    units = enumerate_units(countries, R.MODEL_LIST, [R.SCENARIO_COUNTRY])
+@pytest.mark.parametrize("scenario", [R.SCENARIO_COUNTRY, R.SCENARIO_LANGUAGE])
+def test_unit_metric_means_equal_published(spark, scenario):
+    items = IO.scan_answer_files(spark, f"{SNAPSHOT}/rainbow_meter/{scenario}")
+    units = enumerate_units(_countries(spark, scenario), R.MODEL_LIST, [scenario])
     means = RU.unit_metric_means(completeness_gate(items, R.PUBLISHED_N_CRITERIA), units, R.model_dim(spark))
     got = {(r.metric, r.model, r.label): r.value for r in means.collect()}
     assert len(got) > 0
     checked = 0
     for metric, _ in RU.METRICS:
-        pub = pd.read_csv(f"{SNAPSHOT}/evaluations/model_performances/{R.SCENARIO_COUNTRY}/{metric}.csv", index_col=0)
+        pub = pd.read_csv(f"{SNAPSHOT}/evaluations/model_performances/{scenario}/{metric}.csv", index_col=0)
         for (m, model, label), v in got.items():
             if m != metric:
                 continue
@@ -45,3 +58,46 @@ def test_unit_metric_means_equal_published(spark):
             assert (pd.isna(want) and v is None) or abs(float(want) - v) < 1e-9, (metric, model, label, v, want)
             checked += 1
     assert checked == len(got)
+
+
+def _read_semicolon(spark, path):
+    return spark.read.option("sep", ";").option("header", True).csv(path)
+
+
+@pytest.mark.skipif(not os.path.isdir(f"{SNAPSHOT}/evaluations"), reason="snapshot not present")
+@pytest.mark.parametrize("test", ["Fact", "Stance"])
+def test_distances_equal_published(spark, test):
+    """P15 and A14 on the published integer tables: model - truth per country, and
+    the per-model mean without the alphabetically last country."""
+    from pyspark.sql import functions as F
+    raw = _read_semicolon(spark, f"{SNAPSHOT}/evaluations/percentage/country_model_{test}.csv")
+    models = [c for c in raw.columns if c not in ("Country", "Rainbow Map")]
+    long = (raw.unpivot(["Country", "Rainbow Map"], models, "model", "value")
+            .select(F.lit(test).alias("test"), F.col("Country").alias("country"), "model",
+                    F.col("Rainbow Map").try_cast("long").alias("truth"), F.col("value").try_cast("long").alias("value")))
+    dist = RU.distances(long)
+    pub = pd.read_csv(f"{SNAPSHOT}/evaluations/percentage/model_country_distance_{test}.csv", sep=";", index_col=0)
+    got = {(r.model, r.country): r.distance for r in dist.collect()}
+    for (model, country), v in got.items():
+        want = pub.loc[model, country]
+        assert (pd.isna(want) and v is None) or float(want) == v, (model, country)
+    means = {r.model: r.avg_distance for r in RU.mean_distance(dist, drop_last_country=True).collect()}
+    for model, v in means.items():
+        assert abs(round(float(pub.loc[model, "avg_distance"]), 4) - v) < 1e-9, model
+
+
+@pytest.mark.skipif(not os.path.isfile(f"{SNAPSHOT}/data/back_translation.csv"), reason="snapshot not present")
+def test_backtranslation_average_equals_published(spark):
+    """A16 on the published back-translation table: mean over languages without Montenegrin."""
+    from pyspark.sql import functions as F
+
+    from probitas.operators.translation import avg_excluding_category
+    raw = _read_semicolon(spark, f"{SNAPSHOT}/data/back_translation.csv")
+    langs = [c for c in raw.columns if c not in ("model", "avg_score")]
+    long = raw.unpivot(["model"], langs, "language", "score").select(
+        "model", "language", F.col("score").try_cast("double").alias("score"))
+    got = {r.model: r.avg_score for r in avg_excluding_category(long).collect()}
+    pub = pd.read_csv(f"{SNAPSHOT}/data/back_translation.csv", sep=";", index_col="model")
+    assert len(got) == len(pub) == 11
+    for model, v in got.items():
+        assert abs(float(pub.loc[model, "avg_score"]) - v) < 1e-9, model
