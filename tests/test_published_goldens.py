@@ -101,3 +101,27 @@ def test_backtranslation_average_equals_published(spark):
     assert len(got) == len(pub) == 11
     for model, v in got.items():
         assert abs(float(pub.loc[model, "avg_score"]) - v) < 1e-9, model
+
+
+@pytest.mark.skipif(not os.path.isdir(f"{SNAPSHOT}/evaluations"), reason="snapshot not present")
+@pytest.mark.parametrize("scenario", [R.SCENARIO_COUNTRY, R.SCENARIO_LANGUAGE])
+def test_metric_matrix_average_equals_published(spark, scenario):
+    """R2 / A15 on the published matrices: long -> matrix with the row average of the cells."""
+    from pyspark.sql import functions as F
+    for metric, _ in RU.METRICS:
+        path = f"{SNAPSHOT}/evaluations/model_performances/{scenario}/{metric}.csv"
+        pub = pd.read_csv(path, index_col=0)
+        avg_col = [c for c in pub.columns if c.endswith("Average")][0]
+        labels = [c for c in pub.columns if c != avg_col]
+        raw = spark.read.option("header", True).csv(path).withColumnRenamed("_c0", "model")
+        long = (raw.unpivot(["model"], [f"`{l}`" for l in labels], "label", "value")
+                .select(F.lit(scenario).alias("scenario"), F.lit(metric).alias("metric"), "model", "label",
+                        F.col("value").try_cast("double").alias("value")))
+        got = {r.model: r for r in RU.metric_matrix(long, scenario, labels).collect()}
+        assert set(got) == set(pub.index)
+        for model, row in got.items():
+            want = pub.loc[model, avg_col]
+            assert (pd.isna(want) and row.average is None) or abs(float(want) - row.average) < 1e-9, (metric, model)
+            for label in labels:
+                cell, ref = row[RU.slug(label)], pub.loc[model, label]
+                assert (pd.isna(ref) and cell is None) or abs(float(ref) - cell) < 1e-9, (metric, model, label)
