@@ -229,8 +229,10 @@ def scenario_country_series(sc_mae: DataFrame) -> DataFrame:
     """Per test, country-axis MAE series of the three scenarios.
 
     Language-scenario rows are averaged per country; country rows are distinct
-    (country, value); pair rows stay as they are, so the full joins on country
-    multiply rows exactly as the report's merge does.
+    (country, value); pair rows stay as they are, and the report's full joins on
+    country multiply them. Here that product comes from one aggregation per
+    (test, country) -- the distinct country values and the pair values are
+    bounded per country (one per language) -- followed by two ``explode_outer``.
     """
     cols = [f"{s}_{c}_mae" for s in R.SCENARIOS for _, c in TESTS]
     long = (sc_mae.unpivot(["language", "country"], cols, "measure", "mae").where(F.col("mae").isNotNull())
@@ -238,17 +240,18 @@ def scenario_country_series(sc_mae: DataFrame) -> DataFrame:
                     F.when(F.col("measure").contains("_fact_"), F.lit("Fact")).otherwise(F.lit("Stance")).alias("test"),
                     F.regexp_extract("measure", "^(.*)_(fact|stance)_mae$", 1).alias("scenario")))
     sc = F.col("scenario")
-    lang = (long.where(sc == R.SCENARIO_LANGUAGE).groupBy("test", "country")
-            .agg(F.avg("mae").alias("language_scenario_mae")))
-    ctry = (long.where(sc == R.SCENARIO_COUNTRY)
-            .select("test", "country", F.col("mae").alias("country_scenario_mae")).distinct())
-    pair = (long.where(sc == R.SCENARIO_LANGUAGE_COUNTRY)
-            .select("test", "country", F.col("mae").alias("language_country_scenario_mae")))
-    merged = ctry.join(lang, ["test", "country"], "full").join(pair, ["test", "country"], "full")
-    return merged.select("test", "country",
-                         stable_round(F.col("country_scenario_mae"), 4).alias("country_scenario_mae"),
-                         stable_round(F.col("language_scenario_mae"), 4).alias("language_scenario_mae"),
-                         "language_country_scenario_mae")
+    per = long.groupBy("test", "country").agg(
+        F.avg(F.when(sc == R.SCENARIO_LANGUAGE, F.col("mae"))).alias("language_scenario_mae"),
+        F.array_sort(F.collect_set(F.when(sc == R.SCENARIO_COUNTRY, F.col("mae")))).alias("_c"),
+        F.collect_list(F.when(sc == R.SCENARIO_LANGUAGE_COUNTRY, F.col("mae"))).alias("_p"))
+    rows = (per.select("test", "country", "language_scenario_mae", "_p",
+                       F.explode_outer("_c").alias("country_scenario_mae"))
+            .select("test", "country", "language_scenario_mae", "country_scenario_mae",
+                    F.explode_outer("_p").alias("language_country_scenario_mae")))
+    return rows.select("test", "country",
+                       stable_round(F.col("country_scenario_mae"), 4).alias("country_scenario_mae"),
+                       stable_round(F.col("language_scenario_mae"), 4).alias("language_scenario_mae"),
+                       "language_country_scenario_mae")
 
 
 def percentage_series(comp: DataFrame) -> DataFrame:
