@@ -42,3 +42,25 @@ def test_json_map_roundtrip(spark, tmp_path):
     arr = tmp_path / "q.json"
     arr.write_text(json.dumps(["a", "b"]))
     assert [(r.pos, r.value) for r in IO.scan_json_array(spark, str(arr)).collect()] == [(0, "a"), (1, "b")]
+
+
+def test_answer_store_lookup_prunes_and_pushes_down(spark, tmp_path):
+    import contextlib
+    import io
+
+    from conftest import SF_SMALL
+    from probitas.plans.inputs import Inputs
+    root = str(tmp_path / "store")
+    items = Inputs.of(spark, SF_SMALL).item_scores
+    IO.write_answer_store(items, root)
+    one = IO.scan_answer_store(spark, root, scenario="country_scenario", model="deepseek-chat", unit_key="IT")
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        one.select("criterion_id", "fact").explain()
+    plan = buf.getvalue()
+    part = plan[plan.index("PartitionFilters: ["):]
+    assert part.startswith("PartitionFilters: [isnotnull(scenario") and "= country_scenario)" in part
+    assert "PushedFilters: [IsNotNull(unit_key), EqualTo(unit_key,IT)]" in plan
+    assert "ReadSchema: struct<unit_key:string,criterion_id:int,fact:double>" in plan
+    want = items.where("scenario = 'country_scenario' AND model = 'deepseek-chat' AND unit_key = 'IT'").count()
+    assert one.count() == want > 0
