@@ -14,7 +14,7 @@ from probitas.functions.numeric import np_round
 from probitas.functions.text import normalize_answer
 from probitas.operators.adjust import stance_score_rounded
 from probitas.operators.units import UNIT
-from probitas.session import bounded_broadcast
+from probitas.session import bounded_broadcast, ship_package
 
 GROUP = UNIT + ["criterion_id", "question_type"]
 
@@ -123,6 +123,7 @@ def collect_samples(prompts: DataFrame, responder: Responder, n: int = R.SAMPLES
     """Fan every prompt out to ``max_attempts`` attempts, answer them with a
     user-supplied responder (``mapInPandas`` over Arrow batches; it must add a
     string column ``response``), and keep the first ``n`` non-empty responses (X1)."""
+    ship_package(prompts.sparkSession)
     attempts = prompts.withColumn("sample_order", F.explode(F.sequence(F.lit(1), F.lit(max_attempts))))
     schema = T.StructType(attempts.schema.fields + [T.StructField("response", T.StringType())])
     answered = attempts.mapInPandas(responder, schema)

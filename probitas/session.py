@@ -90,3 +90,31 @@ def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) ->
     out = F.broadcast(small) if n <= max_rows else small
     _BOUNDED[key] = out
     return out
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``probitas`` importable in Python workers (the ``--py-files`` of a
+    submitted job): zip the package once per application and ``addPyFile`` it.
+    Needed by operators that run Python on executors (the responder plug point,
+    the streaming state function)."""
+    import zipfile
+
+    import probitas
+
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(probitas.__file__))
+    fd, path = tempfile.mkstemp(prefix="probitas-pyfiles-", suffix=".zip")
+    os.close(fd)
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    sc.addPyFile(path)
+    _SHIPPED.add(sc.applicationId)

@@ -20,6 +20,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 
 from probitas import rules as R
 from probitas.operators.samples import GROUP, drop_empty_responses, label_samples, scores_from_counts
+from probitas.session import ship_package
 
 COUNT_FIELDS = ["n_samples", "n_yes", "n_no", "n_undefined"]
 STATE_SCHEMA = T.StructType([T.StructField(c, T.LongType()) for c in COUNT_FIELDS])
@@ -57,6 +58,7 @@ def first_n_counter(n: int):
 def score_stream(stream: DataFrame, prompts: DataFrame, n: int = R.SAMPLES_PER_QUESTION) -> DataFrame:
     """Streaming scores: drop empty, normalise against the (static) prompt table,
     keep the first ``n`` per group in state, derive the scores from the counts."""
+    ship_package(stream.sparkSession)
     labelled = label_samples(drop_empty_responses(stream), prompts)
     counts = (labelled.select(*GROUP, "sample_order", "answer").groupBy(*GROUP)
               .applyInPandasWithState(first_n_counter(n), _out_schema(), STATE_SCHEMA, "update",
