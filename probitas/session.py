@@ -73,21 +73,23 @@ _BOUNDED: dict = {}
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast-hint a small table only after proving its size.
+    """Broadcast-hint a table only after proving it has at most ``max_rows`` rows.
 
-    The table is persisted and counted once (the proof and the later join read
-    the same cached rows; a lost executor recomputes them from their short
-    lineage). Above ``max_rows`` the table is returned without a hint and the
-    planner keeps a shuffle join. Memoised per session by the plan's semantic hash.
+    The proof is ``limit(max_rows + 1).count()``, so a large input stops early
+    and is returned untouched (no hint: the planner keeps a shuffle join). A
+    proven-small table is persisted, so the proof and the later join read the
+    same rows (a lost executor recomputes them from their short lineage).
+    Memoised per session by the plan's semantic hash.
     """
     spark = df.sparkSession
     key = (spark.sparkContext.applicationId, df.semanticHash(), max_rows)
     hit = _BOUNDED.get(key)
     if hit is not None:
         return hit
-    small = df.persist(StorageLevel.MEMORY_AND_DISK)
-    n = small.limit(max_rows + 1).count()
-    out = F.broadcast(small) if n <= max_rows else small
+    if df.limit(max_rows + 1).count() > max_rows:
+        out = df
+    else:
+        out = F.broadcast(df.persist(StorageLevel.MEMORY_AND_DISK))
     _BOUNDED[key] = out
     return out
 
