@@ -59,7 +59,7 @@ def normalize_names(bindings: DataFrame) -> DataFrame:
 
 
 def complete_bindings(normalized: DataFrame) -> DataFrame:
-    """Rows with every field present; the others are skipped (and can be counted)."""
+    """Rows with every field present; the others are skipped (``language_counts`` counts them)."""
     need = ["country_name", "citizenship", "language_name", "language_code", "country_code"]
     cond = F.lit(True)
     for c in need:
@@ -86,8 +86,15 @@ def collect_country_languages(rows: DataFrame) -> DataFrame:
         F.size("l").alias("n_languages"))
 
 
-def language_counts(rows: DataFrame) -> DataFrame:
-    """Language rows, distinct language codes and distinct countries."""
-    return rows.agg(F.count(F.lit(1)).alias("n_language_rows"),
-                    F.countDistinct("language_code").alias("n_codes"),
-                    F.countDistinct("country_name").alias("n_countries"))
+def language_counts(normalized: DataFrame) -> DataFrame:
+    """Language rows, distinct language codes and distinct countries of the
+    complete bindings, and the number of bindings skipped for a missing field (A22)."""
+    need = ["country_name", "citizenship", "language_name", "language_code", "country_code"]
+    complete = F.lit(True)
+    for c in need:
+        complete = complete & F.col(c).isNotNull()
+    return normalized.agg(
+        F.count(F.when(complete, F.lit(1))).alias("n_language_rows"),
+        F.count_distinct(F.when(complete, F.col("language_code"))).alias("n_codes"),
+        F.count_distinct(F.when(complete, F.col("country_name"))).alias("n_countries"),
+        F.count(F.when(~complete, F.lit(1))).alias("n_skipped_rows"))
