@@ -89,7 +89,9 @@ def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) ->
     if df.limit(max_rows + 1).count() > max_rows:
         out = df
     else:
-        out = F.broadcast(df.persist(StorageLevel.MEMORY_AND_DISK))
+        small = df.persist(StorageLevel.MEMORY_AND_DISK)
+        small.count()  # fill the cache once; the join reads it
+        out = F.broadcast(small)
     _BOUNDED[key] = out
     return out
 
