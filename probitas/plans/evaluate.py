@@ -76,6 +76,7 @@ def read_countries(spark: SparkSession, path: str) -> DataFrame:
 def result_tables(comp: DataFrame, gated_items: DataFrame, units: DataFrame, spark: SparkSession) -> dict:
     models = R.model_dim(spark)
     labels = [R.MODEL_LABEL.get(m, m) for m in R.MODEL_LIST]
+    # pivot values: the bounded list of country names
     countries = sorted(r[0] for r in comp.select("country").distinct().collect())
     sc_mae = RU.scenario_country_mae(comp)
     lc_mae = RU.language_country_mae(comp)
@@ -123,7 +124,7 @@ def run(spark: SparkSession, out: str, sf_dir: str | None = None, answers: str |
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{out}/{name}")
         if csv:
-            IO.write_delimited(df.coalesce(1), f"{out}/csv/{name}")
+            IO.write_delimited(df, f"{out}/csv/{name}")  # part files, written in parallel
     return tables
 
 
