@@ -84,8 +84,8 @@ def result_tables(comp: DataFrame, gated_items: DataFrame, units: DataFrame, spa
     matrices = {}
     for s in R.SCENARIOS:
         # pivot values: the bounded label list of the scenario
-        labels = sorted(r[0] for r in means.where(F.col("scenario") == s).select("label").distinct().collect())
-        matrices[f"metric_matrix_{s}"] = RU.metric_matrix(means, s, labels)
+        unit_labels = sorted(r[0] for r in means.where(F.col("scenario") == s).select("label").distinct().collect())
+        matrices[f"metric_matrix_{s}"] = RU.metric_matrix(means, s, unit_labels)
     return {
         "unit_metric_means": means,
         **matrices,

@@ -45,6 +45,10 @@ def test_file_formats_match_driver_tables(spark):
         rb = sorted(map(tuple, b[name].collect()), key=repr)
         assert ra == rb and len(ra) > 0, name
     assert os.path.isdir(f"{root}/out_b/csv/comparison")
+    from probitas.operators.rollups import slug
+    cols = a["country_model_percentage"].columns
+    assert cols[:3] == ["test", "country", "truth"] and cols[3:] == [slug(R.MODEL_LABEL[m]) for m in R.MODEL_LIST]
+    assert set(a["metric_matrix_country_scenario"].columns) >= {"metric", "model", "average"}
 
 
 def test_missing_input_fails_clearly(spark):
