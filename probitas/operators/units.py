@@ -63,8 +63,9 @@ def completeness_gate(item_scores: DataFrame, n_criteria: int, keys: list[str] =
     """Keep a unit only if it has exactly ``n_criteria`` rows with distinct criteria.
 
     The per-unit counts are a partial (map-side combined) aggregation, so a unit
-    holding a large share of rows never lands in one task; the small set of
-    complete units is then semi-joined back (broadcast when proven small).
+    holding a large share of rows never lands in one task; the complete units
+    are then semi-joined back, and the planner / AQE picks broadcast (small set)
+    or a shuffle on the unit keys (which the downstream windows reuse).
     """
     complete = (item_scores.groupBy(*keys)
                 .agg(F.count(F.lit(1)).alias("_n"), F.countDistinct("criterion_id").alias("_nd"))

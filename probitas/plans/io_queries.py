@@ -64,7 +64,7 @@ def scan_json_map(spark, sf_dir):
 
 @register("sink_roundtrip", S.with_inputs("SELECT * FROM comparison", *S.comparison_inputs()))
 def sink_roundtrip(spark, sf_dir):
-    """Comparison table through a ';'-delimited sink and back (S6, S8/S9 stage boundary)."""
+    """Staged comparison table through a ';'-delimited sink and back."""
     comp = staged_comparison(spark, sf_dir)
     path = stage_path(spark, "comparison_csv")
     IO.write_delimited(comp, path)

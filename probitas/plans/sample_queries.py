@@ -118,7 +118,7 @@ _INCR_SQL = S.with_inputs(
 @register("incremental_scores", _INCR_SQL)
 def incremental_scores(spark, sf_dir):
     """Scores of the first arrival batch, plus scores of groups first seen in the
-    second batch; groups already scored are left alone (I1, U2, U4)."""
+    second batch; groups already scored are left alone (I1, U2)."""
     samples = Inputs.of(spark, sf_dir).samples
     prompts = _prompts(spark, sf_dir)
     # arrival split point as a scalar subquery (one number, no join)
