@@ -60,6 +60,13 @@ def truth_vectors(truth_long: DataFrame, weights: DataFrame, rules: AuditRules)
     return adjusted_weighted(complete, ["country_id"], ["score"], weights, rules)
 
 
+def countries_without_truth(units: DataFrame, truth_long: DataFrame, rules: AuditRules) -> DataFrame:
+    """Countries the units ask for that have no complete truth vector (J4, strict lookup)."""
+    complete = completeness_gate(truth_long.where(F.col("score").isNotNull()), rules.n_criteria, ["country_id"])
+    return units.select("country_id").distinct().join(complete.select("country_id").distinct(), "country_id",
+                                                      "left_anti")
+
+
 def meter_vectors(item_scores: DataFrame, weights: DataFrame, rules: AuditRules) -> DataFrame:
     """Adjusted, weighted fact and stance per (unit, item_id), for complete units.
 

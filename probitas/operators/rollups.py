@@ -208,12 +208,14 @@ def unit_metric_means(gated_items: DataFrame, units: DataFrame, models: DataFram
             .agg(stable_round(F.avg("m.value"), 2).alias("value")))
 
 
-def metric_matrix(means: DataFrame, scenario: str, labels: list[str]) -> DataFrame:
+def metric_matrix(means: DataFrame, scenario: str, labels: list[str], fill: float | None = None) -> DataFrame:
     """Model x label matrix of one scenario, plus the row average of the rounded
-    cells (2 dp) as ``average`` -- one aggregation (R2, A15)."""
+    cells (2 dp) as ``average`` -- one aggregation (R2, A15). ``fill`` replaces
+    missing cells after the average is taken (P13, as for drawing)."""
     one = means.where(F.col("scenario") == scenario)
     cells = [F.first(F.when(F.col("label") == l, F.col("value")), ignorenulls=True).alias(slug(l)) for l in labels]
-    return one.groupBy("metric", "model").agg(*cells, stable_round(F.avg("value"), 2).alias("average"))
+    out = one.groupBy("metric", "model").agg(*cells, stable_round(F.avg("value"), 2).alias("average"))
+    return out.fillna(fill, subset=[slug(l) for l in labels]) if fill is not None else out
 
 
 # -- A17 / J8 / J10 / R3 / R5 --------------------------------------------------------------------

@@ -40,6 +40,14 @@ def avg_excluding_category(scores: DataFrame, excluded: str = R.BACKTRANSLATION_
             .agg(stable_round(F.avg(F.when(F.col("language") != excluded, F.col("score"))), 2).alias("avg_score")))
 
 
+def backtranslation_matrix(scores: DataFrame, languages: list[str]) -> DataFrame:
+    """System x language matrix of the scores, without the average column."""
+    from probitas.operators.rollups import slug
+    cells = [F.first(F.when(F.col("language") == l, F.col("score")), ignorenulls=True).alias(slug(l))
+             for l in languages]
+    return scores.groupBy("model").agg(*cells)
+
+
 def upsert(existing: DataFrame, updates: DataFrame, keys: list[str]) -> DataFrame:
     """Replace rows of ``existing`` whose key is in ``updates`` and append new keys (U4)."""
     return existing.join(updates.select(*keys), keys, "left_anti").unionByName(updates.select(*existing.columns))

@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from probitas import rules as R
 from probitas.operators import rollups as RU
-from probitas.operators.compare import comparison_table
+from probitas.operators.compare import comparison_table, countries_without_truth
 from probitas.operators.units import completeness_gate, enumerate_units
 from probitas.plans.inputs import Inputs
 from probitas.session import get_session, materialize
@@ -119,6 +119,9 @@ def run(spark: SparkSession, out: str, sf_dir: str | None = None, answers: str |
         truth_long, w = read_truth_wide(spark, truth), read_weights(spark, weights)
         ctry = read_countries(spark, countries)
     units = enumerate_units(ctry, R.MODEL_LIST)
+    lost = [r[0] for r in countries_without_truth(units, truth_long, rules).limit(20).collect()]
+    if lost:
+        raise MissingInput(f"countries without a complete truth vector: {lost}")
     comp = materialize(comparison_table(items, truth_long, w, units, rules), "comparison")
     tables = {"comparison": comp, **result_tables(comp, completeness_gate(items, rules.n_criteria), units, spark)}
     for name, df in tables.items():

@@ -9,6 +9,7 @@ from probitas.functions import numeric as NU
 from probitas.functions import text as TX
 from probitas.operators import questionnaire as Q
 from probitas.operators import samples as SM
+from probitas.operators import rollups as RU
 from probitas.operators import translation as TR
 from probitas.plans import sql_inputs as S
 from probitas.plans import sql_text as ST
@@ -187,3 +188,15 @@ def backtranslation_score(spark, sf_dir):
 def avg_excluding_category(spark, sf_dir):
     """Per system, mean language score leaving out Montenegrin."""
     return TR.avg_excluding_category(TR.backtranslation_score(TR.pair_similarity(D.translation_pairs(spark, sf_dir))))
+
+
+_BT_LANGS = list(D.LANGUAGE_ORDER)
+
+
+@register("backtranslation_matrix", _trans_sql(
+    "SELECT model, " + ", ".join(f"max(CASE WHEN language = {S.q(l)} THEN score END) AS {RU.slug(l)}"
+                                 for l in _BT_LANGS) + " FROM bt GROUP BY model"))
+def backtranslation_matrix(spark, sf_dir):
+    """System x language back-translation matrix without the average column."""
+    scores = TR.backtranslation_score(TR.pair_similarity(D.translation_pairs(spark, sf_dir)))
+    return TR.backtranslation_matrix(scores, _BT_LANGS)

@@ -30,8 +30,10 @@ ANSWER_FILE_SCHEMA = T.StructType(
     [T.StructField("criterion_id", T.IntegerType())]
     + [T.StructField(c, T.DoubleType()) for c in ANSWER_FILE_COLUMNS[1:]])
 
+# Fixed value: file-name prefix of an answer file (``<prefix><key>.csv``).
+ANSWER_FILE_PREFIX = "rm_answers_"
+
 _SCEN = "|".join(R.SCENARIOS)
-ANSWER_PATH_PATTERN = rf"/({_SCEN})/(.+)/rm_answers_([^/]+)\.csv$"
 
 
 def read_delimited(spark: SparkSession, path: str, schema: T.StructType, sep: str = ";",
@@ -49,18 +51,31 @@ def write_delimited(df: DataFrame, path: str, sep: str = ";", partition_by: list
     w.csv(path)
 
 
+def read_matrix(spark: SparkSession, path: str, row_label: str = "model", sep: str = ",") -> DataFrame:
+    """A matrix file whose first, unnamed header column holds the row labels."""
+    df = spark.read.option("sep", sep).option("header", True).csv(path)
+    return df.withColumnRenamed(df.columns[0], row_label)
+
+
+def scan_keyed_files(spark: SparkSession, root: str, prefix: str, schema: T.StructType) -> DataFrame:
+    """Every ``<root>/<scenario>/[<sub dirs>/]<prefix><key>.csv`` file under ``root`` in one
+    recursive scan, with ``scenario``, ``subpath`` (e.g. the model) and ``unit_key``
+    parsed from each row's file path (S3, S4)."""
+    raw = (spark.read.schema(schema).option("sep", ";").option("header", True)
+           .option("recursiveFileLookup", True).option("pathGlobFilter", f"{prefix}*.csv").csv(root))
+    pattern = rf"/({_SCEN})/(?:(.+)/)?{prefix}([^/]+)\.csv$"
+    path = F.col("_metadata.file_path")
+    return raw.select(F.regexp_extract(path, pattern, 1).alias("scenario"),
+                      F.regexp_extract(path, pattern, 2).alias("subpath"),
+                      F.regexp_extract(path, pattern, 3).alias("unit_key"), "*")
+
+
 def scan_answer_files(spark: SparkSession, root: str) -> DataFrame:
     """All answer files under ``root`` in the original layout, as long rows with
     scenario, model and unit_key parsed from the file path (S3)."""
-    raw = (spark.read.schema(ANSWER_FILE_SCHEMA).option("sep", ";").option("header", True)
-           .option("recursiveFileLookup", True).option("pathGlobFilter", "rm_answers_*.csv").csv(root))
-    path = F.col("_metadata.file_path")
-    out = raw.select(
-        F.regexp_extract(path, ANSWER_PATH_PATTERN, 1).alias("scenario"),
-        F.regexp_extract(path, ANSWER_PATH_PATTERN, 2).alias("model"),
-        F.regexp_extract(path, ANSWER_PATH_PATTERN, 3).alias("unit_key"),
-        *[F.col(f"`{src}`").alias(dst) for src, dst in zip(ANSWER_FILE_COLUMNS, ANSWER_COLUMNS)])
-    return out
+    raw = scan_keyed_files(spark, root, ANSWER_FILE_PREFIX, ANSWER_FILE_SCHEMA)
+    return raw.select("scenario", F.col("subpath").alias("model"), "unit_key",
+                      *[F.col(f"`{src}`").alias(dst) for src, dst in zip(ANSWER_FILE_COLUMNS, ANSWER_COLUMNS)])
 
 
 def write_answer_store(item_scores: DataFrame, root: str) -> None:

@@ -64,3 +64,25 @@ def test_answer_store_lookup_prunes_and_pushes_down(spark, tmp_path):
     assert "ReadSchema: struct<unit_key:string,criterion_id:int,fact:double>" in plan
     want = items.where("scenario = 'country_scenario' AND model = 'deepseek-chat' AND unit_key = 'IT'").count()
     assert one.count() == want > 0
+
+
+def test_keyed_files_flat_and_nested(spark, tmp_path):
+    """Questionnaire-style flat files and answer-style nested files, keys from the path."""
+    from pyspark.sql import types as T
+    for rel in ("language_scenario/qn_en.csv", "country_scenario/qn_IT.csv",
+                "language_country_scenario/some/model/qn_de_IT.csv"):
+        p = tmp_path / rel
+        p.parent.mkdir(parents=True, exist_ok=True)
+        p.write_text("criterion_id;Fact\n0;Is it?\n1;Is that?\n")
+    schema = T.StructType([T.StructField("criterion_id", T.IntegerType()), T.StructField("Fact", T.StringType())])
+    rows = {(r.scenario, r.subpath, r.unit_key) for r in IO.scan_keyed_files(spark, str(tmp_path), "qn_", schema)
+            .collect()}
+    assert rows == {("language_scenario", "", "en"), ("country_scenario", "", "IT"),
+                    ("language_country_scenario", "some/model", "de_IT")}
+
+
+def test_read_matrix_names_row_labels(spark, tmp_path):
+    p = tmp_path / "m.csv"
+    p.write_text(",Italy,Malta,Fact Average\nQwen 2B,1.0,0.5,0.75\nGemini,,1.0,1.0\n")
+    df = IO.read_matrix(spark, str(p))
+    assert df.columns[0] == "model" and {r.model for r in df.collect()} == {"Qwen 2B", "Gemini"}
