@@ -72,7 +72,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 _BOUNDED: dict = {}
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+def bounded_broadcast(df: DataFrame, max_rows: int | None = None) -> DataFrame:
     """Broadcast-hint a table only after proving it has at most ``max_rows`` rows.
 
     The proof is ``limit(max_rows + 1).count()``, so a large input stops early
@@ -81,6 +81,7 @@ def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) ->
     same rows (a lost executor recomputes them from their short lineage).
     Memoised per session by the plan's semantic hash.
     """
+    max_rows = DEFAULT_BROADCAST_ROWS if max_rows is None else max_rows
     spark = df.sparkSession
     key = (spark.sparkContext.applicationId, df.semanticHash(), max_rows)
     hit = _BOUNDED.get(key)

@@ -123,3 +123,17 @@ def test_enumerate_units_fan_out(spark):
     assert lang.select("country_id").distinct().count() == 2  # the German file meets both countries
     keys = {r.unit_key for r in units.where(F.col("scenario") == R.SCENARIO_LANGUAGE_COUNTRY).collect()}
     assert keys == {"it_IT", "de_IT", "de_AT"}
+
+
+def test_gate_drops_hot_incomplete_unit(spark):
+    """A unit holding most of the rows (duplicated criteria) is dropped by the
+    partial-count gate; the complete units are unaffected."""
+    rules = R.AuditRules(n_criteria=4, prerequisites={}, exclusive_groups={})
+    ok = [("s", "m", k, c, 0.5, 0.5, 0.5) for k in ("a", "b") for c in range(4)]
+    hot = [("s", "m", "hot", i % 4, 1.0, 1.0, 0.0) for i in range(20000)]
+    schema = "scenario string, model string, unit_key string, criterion_id int, fact double, support double, " \
+             "opposition double"
+    items = spark.createDataFrame(ok + hot, schema)
+    weights = spark.createDataFrame([(c, 25.0) for c in range(4)], "criterion_id int, weight double")
+    totals = {r.unit_key: r.fact_total for r in C.weighted_totals(items, weights, rules).collect()}
+    assert totals == {"a": 50.0, "b": 50.0}
