@@ -120,7 +120,7 @@ def cte_truth_long(n: int = R.TEST_RULES.n_criteria) -> str:
 
 def cte_weights(n: int = R.TEST_RULES.n_criteria) -> str:
     return f"""weights AS (
-  SELECT criterion_id, w * 100.0 / sum(w) OVER () AS weight
+  SELECT criterion_id, {npr('w * 100.0 / sum(w) OVER ()', 10)} AS weight
   FROM (SELECT CAST(p_partkey % {n} AS INTEGER) AS criterion_id, avg(p_size) AS w FROM part GROUP BY 1))"""
 
 
