@@ -53,7 +53,7 @@ def cte_countries() -> str:
 
 def cte_pairs() -> str:
     return """pairs AS (
-  SELECT country_id, country, ord AS country_ord, pos - 1 AS lang_pos,
+  SELECT country_id, country, ord AS country_ord, CAST(pos - 1 AS INTEGER) AS lang_pos,
          languages[pos] AS language, language_codes[pos] AS language_code
   FROM (SELECT *, unnest(generate_series(1, len(languages))) AS pos FROM countries))"""
 

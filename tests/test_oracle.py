@@ -41,6 +41,11 @@ def test_query_matches_oracle(spark, con, name):
     dcols = [d[0] for d in cur.description]
     drows = [tuple(r[dcols.index(c)] for c in sorted(dcols)) for r in cur.fetchall()]
     assert cols == sorted(dcols)
+    type_map = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
+    duck_types = {d[0]: str(d[1]) for d in cur.description}
+    for f in df.schema.fields:
+        st = f.dataType.simpleString()
+        assert type_map.get(st, st) == duck_types[f.name], (f.name, st, duck_types[f.name])
     assert len(srows) == len(drows)
     assert _key(srows) == _key(drows)
 
