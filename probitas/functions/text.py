@@ -25,6 +25,7 @@ END_MARKS = ["<|im_end|>\n<|endoftext|>", "<|im_end|><|endoftext|>"]
 SPECIAL_TOKEN = r"<\|.*?\|>"
 # quote styles for yes / no tokens: "x", «x», “x”, ‘x’, 'x'
 QUOTED = "\"[^\"]+\"|«[^»]+»|“[^”]+”|‘[^’]+’|'[^']+'"
+WHITESPACE = " \t\n\r\x0b\x0c"        # the characters of the regex class \s
 # ---------------------------------------------------------------------------
 
 
@@ -33,8 +34,9 @@ def _c(x) -> Column:
 
 
 def strip_ws(x) -> Column:
-    """Strip leading / trailing whitespace (``trim`` only removes blanks)."""
-    return F.regexp_replace(_c(x), r"^\s+|\s+$", "")
+    """Strip leading / trailing whitespace (plain ``trim`` only removes blanks):
+    ``trim`` with the explicit whitespace set -- linear in the stripped ends only."""
+    return F.trim(_c(x), F.lit(WHITESPACE))
 
 
 def first_token(x) -> Column:
@@ -71,7 +73,8 @@ def clean_text(text) -> Column:
     marks and a leading label, split lines, drop commentary lines unless none is
     left, and return the longest line (the first one on a tie)."""
     t = strip_ws(F.coalesce(_c(text), F.lit("")))
-    t = F.split(t, NOTE_CUT, 2).getItem(0)
+    # the case-insensitive regex only runs on texts that contain the marker at all
+    t = let(t, lambda s: F.when(F.lower(s).contains("note:"), F.split(s, NOTE_CUT, 2).getItem(0)).otherwise(s))
     t = F.regexp_replace(t, MARKUP, "")
     t = F.regexp_replace(t, LEADING_LABEL, "")
     lines = F.filter(F.transform(F.split(t, "\n"), lambda l: strip_ws(l)), lambda l: l != "")

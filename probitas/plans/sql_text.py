@@ -10,7 +10,8 @@ from probitas.sources import driver_tables as D
 
 
 def strip_sql(x: str) -> str:
-    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+    chars = " || ".join(f"chr({ord(c)})" for c in TX.WHITESPACE)
+    return f"trim({x}, {chars})"
 
 
 def normalize_sql(resp: str, yes: str, no: str) -> str:
@@ -22,7 +23,8 @@ def normalize_sql(resp: str, yes: str, no: str) -> str:
 
 def clean_sql(text: str) -> str:
     t = strip_sql(f"coalesce({text}, '')")
-    t = f"regexp_replace({t}, {q('(?is)' + TX.NOTE_CUT[4:] + '.*')}, '')"
+    t = (f"(SELECT CASE WHEN contains(lower(_s), 'note:') THEN regexp_replace(_s, {q('(?is)' + TX.NOTE_CUT[4:] + '.*')}, '')"
+         f" ELSE _s END FROM (SELECT {t} AS _s))")
     t = f"regexp_replace({t}, {q(TX.MARKUP)}, '', 'g')"
     t = f"regexp_replace({t}, {q(TX.LEADING_LABEL)}, '')"
     lines = f"list_filter(list_transform(string_split({t}, chr(10)), lambda l: {strip_sql('l')}), lambda l: l <> '')"
