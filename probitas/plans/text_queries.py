@@ -95,14 +95,14 @@ def build_questionnaire(spark, sf_dir):
     return Q.build_questionnaire(inp.units, D.base_questions(spark, sf_dir))
 
 
-_PROMPT_SQL = _qsql(f"""
+_BPROMPT_BODY = f"""
 SELECT l.scenario, l.unit_key, l.criterion_id, l.question_type, l.prompt_language,
        concat_ws(chr(10), l.question, p.prompt) AS full_prompt
 FROM (SELECT x.*, CASE WHEN x.scenario = {S.q(R.SCENARIO_COUNTRY)} THEN 'English' ELSE q.language END
              AS prompt_language
       FROM qlong x JOIN qunits q USING (scenario, unit_key) WHERE x.question IS NOT NULL) l
-JOIN (SELECT language, prompt FROM prompt_table WHERE status = 'ok') p ON p.language = l.prompt_language""",
-    ST.cte_countries_langs(), ST.cte_prompt_table())
+JOIN (SELECT language, prompt FROM prompt_table WHERE status = 'ok') p ON p.language = l.prompt_language"""
+_PROMPT_SQL = _qsql(_BPROMPT_BODY, ST.cte_countries_langs(), ST.cte_prompt_table())
 
 
 @register("build_prompt", _PROMPT_SQL)
@@ -113,31 +113,55 @@ def build_prompt(spark, sf_dir):
     return Q.build_prompts(qn, inp.units, _prompts(spark, sf_dir))
 
 
-def hash_responder(batches):
-    """Deterministic test responder: a hash of (prompt, attempt) picks a reply
-    (yes / no token of the instruction, an empty reply or a refusal)."""
+# Fixed test-responder rule: reply kind = (prompt length * 31 + attempt) % 5; the
+# instruction's first two quoted tokens stand for yes / no.
+RESPONDER_QUOTES = r'["«“]([^"»”]+)["»”][^"«“]*["«“]([^"»”]+)["»”]'
+MAX_ATTEMPTS = 2 * R.SAMPLES_PER_QUESTION
+
+
+def formula_responder(batches):
+    """Deterministic test responder (Arrow batches in, batches out): the reply kind
+    follows the prompt length and the attempt number -- the yes token, the no token
+    in markup, an empty reply, a bare yes token, or a refusal."""
     import pandas as pd
 
     for pdf in batches:
-        h = pd.util.hash_pandas_object(pdf[["full_prompt", "sample_order"]], index=False).to_numpy() % 5
-        quoted = pdf["full_prompt"].str.extract(r'["«“]([^"»”]+)["»”][^"«“]*["«“]([^"»”]+)["»”]')
+        kind = (pdf["full_prompt"].str.len() * 31 + pdf["sample_order"]) % 5
+        quoted = pdf["full_prompt"].str.extract(RESPONDER_QUOTES)
         yes = quoted[0].fillna("yes")
         no = quoted[1].fillna("no")
         resp = pd.Series(["Maybe."] * len(pdf), index=pdf.index, dtype=object)
-        resp[h == 0] = yes[h == 0] + "."
-        resp[h == 1] = "**" + no[h == 1] + "**"
-        resp[h == 2] = ""
-        resp[h == 3] = yes[h == 3]
+        resp[kind == 0] = yes[kind == 0] + "."
+        resp[kind == 1] = "**" + no[kind == 1] + "**"
+        resp[kind == 2] = ""
+        resp[kind == 3] = yes[kind == 3]
         yield pdf.assign(response=resp.astype(str))
 
 
-@register("collect_samples")
+def _collect_sql() -> str:
+    kind = "((length(full_prompt) * 31 + sample_order) % 5)"
+    yes = f"coalesce(nullif(regexp_extract(full_prompt, {S.q(RESPONDER_QUOTES)}, 1), ''), 'yes')"
+    no = f"coalesce(nullif(regexp_extract(full_prompt, {S.q(RESPONDER_QUOTES)}, 2), ''), 'no')"
+    attempts = f"""attempts AS (
+  SELECT b.*, {S.q(D.TEST_MODELS[0])} AS model, CAST(unnest(range(1, {MAX_ATTEMPTS + 1})) AS INTEGER) AS sample_order
+  FROM bprompts b),
+samples AS (
+  SELECT *, CASE WHEN {kind} = 0 THEN {yes} || '.' WHEN {kind} = 1 THEN '**' || {no} || '**'
+                 WHEN {kind} = 2 THEN '' WHEN {kind} = 3 THEN {yes} ELSE 'Maybe.' END AS response
+  FROM attempts)"""
+    return _qsql("SELECT scenario, model, unit_key, criterion_id, question_type, n_samples, n_yes, n_no, "
+                 "n_undefined, mean, coherence, validity, weighted FROM scores",
+                 ST.cte_countries_langs(), ST.cte_prompt_table(), f"bprompts AS ({_BPROMPT_BODY})", attempts,
+                 ST.cte_scored_samples())
+
+
+@register("collect_samples", _collect_sql())
 def collect_samples(spark, sf_dir):
     """Prompts fanned out to attempts, answered by a pluggable responder through
     mapInPandas, first 5 non-empty responses per question, then scored (X1, I1)."""
     inp = Inputs.of(spark, sf_dir)
     prompts = build_prompt(spark, sf_dir).withColumn("model", F.lit(D.TEST_MODELS[0]))
-    got = SM.collect_samples(prompts, hash_responder)
+    got = SM.collect_samples(prompts, formula_responder, max_attempts=MAX_ATTEMPTS)
     labelled = SM.label_samples(got, _prompts(spark, sf_dir))
     return SM.sample_scores(labelled)
 
