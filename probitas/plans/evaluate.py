@@ -24,7 +24,7 @@ from probitas.operators import rollups as RU
 from probitas.operators.compare import comparison_table, countries_without_truth
 from probitas.operators.units import completeness_gate, enumerate_units
 from probitas.plans.inputs import Inputs
-from probitas.session import get_session, materialize
+from probitas.session import get_session, materialize, release_broadcasts
 from probitas.sources import io as IO
 
 
@@ -128,7 +128,8 @@ def run(spark: SparkSession, out: str, sf_dir: str | None = None, answers: str |
         df.write.mode("overwrite").parquet(f"{out}/{name}")
         if csv:
             IO.write_delimited(df, f"{out}/csv/{name}")  # part files, written in parallel
-    return tables
+    release_broadcasts(spark)
+    return {name: spark.read.parquet(f"{out}/{name}") for name in tables}
 
 
 def main() -> None:

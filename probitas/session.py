@@ -97,6 +97,18 @@ def bounded_broadcast(df: DataFrame, max_rows: int | None = None) -> DataFrame:
     return out
 
 
+def release_broadcasts(spark: SparkSession) -> int:
+    """Unpersist the proven-small tables cached by ``bounded_broadcast`` for this
+    application and forget them (end of a run in a long-lived session)."""
+    app = spark.sparkContext.applicationId
+    keys = [k for k in _BOUNDED if k[0] == app]
+    for k in keys:
+        df = _BOUNDED.pop(k)
+        if df.storageLevel.useMemory or df.storageLevel.useDisk:
+            df.unpersist()
+    return len(keys)
+
+
 _SHIPPED: set = set()
 
 

@@ -3,7 +3,7 @@
 import contextlib
 import io
 
-from probitas.session import bounded_broadcast, checkpoint_root, materialize
+from probitas.session import bounded_broadcast, checkpoint_root, materialize, release_broadcasts
 
 
 def _plan(df):
@@ -30,3 +30,10 @@ def test_materialize_under_checkpoint_root(spark):
     df = materialize(spark.range(7), "unit-test")
     assert df.count() == 7
     assert checkpoint_root(spark)
+
+
+def test_release_broadcasts(spark):
+    small = spark.range(0, 3).withColumnRenamed("id", "k")
+    b = bounded_broadcast(small, max_rows=10)
+    assert b.count() == 3
+    assert release_broadcasts(spark) >= 1
