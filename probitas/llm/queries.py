@@ -34,3 +34,11 @@ def op8_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shard_by_bytes(table(spark, sf_dir, "documents"), 24)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
                       F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query
+def op10_min_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents tokenised and packed into windows of 2048 tokens."""
+    import public_tokenizers
+    from probitas.llm.packing import pack
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
