@@ -38,13 +38,12 @@ def lookup_join(left: DataFrame, right: DataFrame, key: str, count: str) -> Data
     their left rows then carry random salts that match nothing, so the shuffle of the
     second join spreads them evenly. Null keys are spread the same way and match nothing.
     """
-    total = right.agg(F.sum(count).alias("__total"))
+    total = right.agg(F.sum(count)).first()[0] or 0  # one number
     values = [c for c in right.columns if c != key]
-    sized = right.join(F.broadcast(total))  # one row
-    is_heavy = F.col(count) * HEAVY_SHARE > F.col("__total")
-    heavy = (sized.where(is_heavy)
+    is_heavy = F.col(count) * HEAVY_SHARE > F.lit(total)
+    heavy = (right.where(is_heavy)
              .select(F.col(key).alias("__hkey"), F.struct(*values).alias("__hval")))
-    light = (sized.where(~is_heavy)
+    light = (right.where(~is_heavy)
              .select(F.lit(0).alias("__lsalt"), F.col(key).alias("__lkey"), F.struct(*values).alias("__lval")))
     spread = F.col("__hval").isNotNull() | F.col(key).isNull()
     tagged = (left.join(F.broadcast(heavy), F.col(key) == F.col("__hkey"), "left").drop("__hkey")

@@ -42,3 +42,11 @@ def op10_min_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
     from probitas.llm.packing import pack
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
+
+
+@query
+def op4_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded by chunks and decoded again, as digests."""
+    import public_tokenizers
+    from probitas.llm.chunked_bpe import encode_documents
+    return encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
