@@ -50,3 +50,11 @@ def op4_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
     from probitas.llm.chunked_bpe import encode_documents
     return encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
+
+
+@query
+def op9_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents by 3-word SimHash, linked at two or fewer differing bits."""
+    from probitas.llm.simhash import simhash_components
+    out = simhash_components(table(spark, sf_dir, "documents"), shingle=3, max_bits=2)
+    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
