@@ -58,3 +58,11 @@ def op9_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from probitas.llm.simhash import simhash_components
     out = simhash_components(table(spark, sf_dir, "documents"), shingle=3, max_bits=2)
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@query
+def op7_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents by voting rules, weighed without labels."""
+    from probitas.llm.quality_rules import judge_quality
+    out = judge_quality(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
