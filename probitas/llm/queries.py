@@ -66,3 +66,19 @@ def op7_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     from probitas.llm.quality_rules import judge_quality
     out = judge_quality(table(spark, sf_dir, "documents"), keep=["doc_id"])
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def held_out_fold(doc_id, folds: int):
+    """crc32 of the id as text, modulo the number of folds; null for a null id."""
+    return F.pmod(F.crc32(doc_id.cast("string")), F.lit(folds))
+
+
+@query
+def op5_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents by a line CRF learnt from labels outside of fold 0 of 5."""
+    from probitas.llm.line_crf import score_documents
+    labels = table(spark, sf_dir, "labels").where(held_out_fold(F.col("doc_id"), 5) != 0)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = score_documents(docs, labels)
+    return out.select("doc_id", F.coalesce(held_out_fold(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), "score",
+                      (F.col("score") >= 0.3).cast("int").alias("predicted"))
