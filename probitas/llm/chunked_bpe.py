@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from probitas.llm.common import ship_package
-from probitas.llm.tokenizing import load_tokenizer, tokenizer_json
+from probitas.llm.tokenizing import byte_characters, load_tokenizer, tokenizer_json
 
 WINDOW = 16              # bytes that decide on a cut
 MASK = np.uint32(1023)   # a cut every 1,024 bytes on average
@@ -70,21 +70,13 @@ def _at_character(b: np.ndarray, p: int) -> int:
     return p
 
 
-def _byte_of() -> dict[str, int]:
-    """The characters in which byte-level vocabularies spell bytes: printable ones stand for themselves, the
-    others follow from code point 256 in order."""
-    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [x for x in range(256) if x not in own]
-    return {chr(x): x for x in own} | {chr(256 + k): x for k, x in enumerate(rest)}
-
-
 class ChunkEncoder:
     """Ids of whole texts, equal to those of the tokenizer file, by chunks that are encoded once."""
 
     def __init__(self, json_text: str):
         import tiktoken
         spec = json.loads(json_text)
-        byte_of = _byte_of()
+        byte_of = {c: x for x, c in enumerate(byte_characters())}
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         ranks = {bytes(byte_of[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"  # fixed by the tokenizer

@@ -83,7 +83,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, window: int, end_id: int,
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, seen, part = None, {}, TaskContext.get().partitionId()
         for batch in batches:
-            memo = memo or WordMemo(model.value)
+            memo = memo or WordMemo.of(model.value)
             for at in range(0, batch.num_rows, DOCS_AT_ONCE):
                 some = batch.slice(at, DOCS_AT_ONCE)
                 rows, starts, lengths, crcs, totals, ranks, ids = [], [], [], [], [], [], []

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import json
 import os
+import re
 
 import numpy as np
 
-MEMO_WORDS = 300_000  # words remembered by a task; beyond that it starts afresh
-_PLAIN_MARKS = b".,!?;:"
+MEMO_WORDS = 1_000_000  # words that a Python worker remembers from task to task; beyond that it starts afresh
+AT_ONCE = 256         # pieces encoded in one call
+
+# The pieces of a lower-case word of Latin letters, digits and marks without an apostrophe, as the pattern
+# "letters | one digit | anything else" of word-level vocabularies finds them.
+_PIECES = re.compile(r"[^\W\d_]+|[0-9]|[\W_]+")
 
 
 def tokenizer_json(path: str) -> str:
@@ -25,65 +31,91 @@ def load_tokenizer(json_text: str):
     return tok
 
 
+def byte_characters() -> list[str]:
+    """The character in which byte-level vocabularies spell each byte: printable ones stand for themselves, the
+    others follow from code point 256 in order."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return [chr(x) if x in own else chr(next(rest)) for x in range(256)]
+
+
 class WordMemo:
-    """Ids of whole texts for a tokenizer that drops white space and marks word ends (``</w>``).
+    """Ids of whole texts for a tokenizer that lower-cases, drops white space and marks the ends of pieces (``</w>``).
 
-    Such a tokenizer never joins characters across ASCII white space, so a text's ids are those of its words one
-    after the other; each word is encoded once by the library and then remembered as packed ids. New
-    words of letters only are encoded together: each must give exactly one word-end token,
-    else every one of them is encoded alone.
+    Such a tokenizer never joins characters across ASCII white space, so a text's ids are those of its words one after
+    the other; a worker encodes each word once and remembers its packed ids. Words of Latin letters, digits and marks are cut
+    into the tokenizer's own pieces, which go to its model together, already normalised and spelt in bytes: each
+    piece must give one end, else every word is encoded alone by the full tokenizer, as are all other words.
     """
 
+    _kept: dict[str, WordMemo] = {}
+
+    @classmethod
+    def of(cls, json_text: str) -> WordMemo:
+        """The memo of this Python worker, which outlives a task."""
+        if json_text not in cls._kept:
+            cls._kept.clear()
+            cls._kept[json_text] = cls(json_text)
+        return cls._kept[json_text]
+
     def __init__(self, json_text: str):
-        self.tok = load_tokenizer(json_text)
-        vocab = self.tok.get_vocab()
+        self.full = load_tokenizer(json_text)
+        bare = json.loads(json_text) | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "post_processor": None,
+                                        "added_tokens": []}
+        self.model = load_tokenizer(json.dumps(bare))
+        vocab = self.full.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.memo: dict[bytes, bytes] = {}
+        self.spelt = byte_characters()
+        self.words: dict[bytes, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
 
     def _alone(self, words: list[bytes]) -> None:
-        got = self.tok.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        self.memo.update((w, np.array(g.ids, "<u4").tobytes()) for w, g in zip(words, got))
-
-    def _together(self, words: list[bytes]) -> None:
-        for at in range(0, len(words), 4096):
-            part = words[at:at + 4096]
-            ids = np.array(self.tok.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, "<u4")
-            stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) != len(part) or stops[-1] != len(ids):
-                self._alone(part)
-                continue
-            packed, a = ids.tobytes(), 0
-            for w, b in zip(part, (stops * 4).tolist()):
-                self.memo[w] = packed[a:b]
-                a = b
+        got = self.full.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
+        self.words.update((w, np.array(g.ids, "<u4").tobytes()) for w, g in zip(words, got))
+
+    def _spell(self, piece: str) -> str:
+        return piece if piece.isascii() else "".join(map(self.spelt.__getitem__, piece.encode()))
+
+    def _learn_pieces(self, pieces: list[str]) -> bool:
+        """Whether every piece gave one end."""
+        lines = [" ".join(map(self._spell, pieces[at:at + AT_ONCE])) for at in range(0, len(pieces), AT_ONCE)]
+        ids = np.array([i for g in self.model.encode_batch_fast(lines, add_special_tokens=False) for i in g.ids], "<u4")
+        stops = np.flatnonzero(self.ends[ids]) + 1
+        if len(stops) != len(pieces) or (len(stops) and stops[-1] != len(ids)):
+            return False
+        packed, a = ids.tobytes(), 0
+        for piece, z in zip(pieces, (stops * 4).tolist()):
+            self.pieces[piece] = packed[a:z]
+            a = z
+        return True
 
     def learn(self, seen: set[bytes]) -> None:
-        if len(self.memo) > MEMO_WORDS:
-            self.memo = {}
-        new = [w for w in seen if w not in self.memo]
-        letters, marked, rest = set(), [], []
-        for w in new:
-            base = w.rstrip(_PLAIN_MARKS)
-            if base and base.decode().isalpha():
-                letters.add(base)
-                if len(base) < len(w):
-                    letters_tail = w[len(base):]
-                    marked.append((w, base, letters_tail))
+        if len(self.words) > MEMO_WORDS:
+            self.words, self.pieces = {}, {}
+        cut, other = {}, []
+        for w in seen.difference(self.words):
+            low = w.decode().lower()
+            latin = low.isascii() or (max(low) <= "\u024f" and all(c.isascii() or c.isalpha() for c in low))
+            if not latin or "'" in low or "<|" in low or not low.isprintable():
+                other.append(w)
+            elif low.isalpha():
+                cut[w] = low
             else:
-                rest.append(w)
-        tails = {t for _, _, t in marked if t not in self.memo} - set(rest)
-        letters = [w for w in letters if w not in self.memo]
-        if letters:
-            self._together(letters)
-        if rest or tails:
-            self._alone(rest + list(tails))
-        for w, base, tail in marked:
-            self.memo[w] = self.memo[base] + self.memo[tail]
+                cut[w] = _PIECES.findall(low)
+        new = {p for c in cut.values() for p in ((c,) if isinstance(c, str) else c)}.difference(self.pieces)
+        if new and not self._learn_pieces(list(new)):
+            other += cut
+            cut = {}
+        get = self.pieces.__getitem__
+        for w, c in cut.items():
+            self.words[w] = get(c) if isinstance(c, str) else b"".join(map(get, c))
+        if other:
+            self._alone(other)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as packed little-endian 32-bit numbers (null: empty)."""
         split = [(t or "").encode().split() for t in texts]  # bytes split at ASCII white space only
-        self.learn(set().union(*split) if split else set())
-        get = self.memo.__getitem__
+        self.learn(set().union(*split))
+        get = self.words.__getitem__
         return [b"".join(map(get, ws)) for ws in split]
