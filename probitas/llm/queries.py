@@ -82,3 +82,10 @@ def op5_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = score_documents(docs, labels)
     return out.select("doc_id", F.coalesce(held_out_fold(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), "score",
                       (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query
+def op1_vector_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings of equal label linked at a cosine of 0.93 or more."""
+    from probitas.llm.vector_graph import near_duplicates
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
