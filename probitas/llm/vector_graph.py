@@ -6,7 +6,7 @@ a flat graph is built: nodes are inserted in batches, each searches the graph so
 selection of what it visited. Adjacency lists of a node are united over its shards; in its home shard every vector
 then searches the united graph from the medoid, and expands as long as it finds vectors in range. Links are
 verified by their exact cosine, recall is audited against brute force on a sample of each shard, and the
-search widens until it passes.
+search widens if it falls short.
 
 Copies are one node with a multiplicity; a task emits counts and a tree over linked nodes, never the pairs.
 """
@@ -122,8 +122,11 @@ def build(x: np.ndarray, how: Graph) -> np.ndarray:
 
 def range_search(x: np.ndarray, adj: np.ndarray, how: Graph, beam: int) -> np.ndarray:
     """Boolean matrix of the links found, in both directions: a beam search from the medoid, then neighbours of
-    everything in range are looked at until nothing new is in range."""
+    everything in range, along edges of either direction, are looked at until nothing new is in range."""
     n = len(x)
+    src, dst = np.nonzero(adj >= 0)[0], adj[adj >= 0]
+    key = np.unique(np.concatenate([src * n + dst, dst * n + src]))
+    edges, first = key % n, np.searchsorted(key, np.arange(n + 1) * n)
     linked, looked = np.zeros((n, n), bool), np.zeros((n, n), bool)
     start = medoid(x)
     for at in range(0, n, how.batch):
@@ -135,13 +138,18 @@ def range_search(x: np.ndarray, adj: np.ndarray, how: Graph, beam: int) -> np.nd
         looked[a, b] = True
         while len(a):
             linked[a, b] = True
-            near = adj[b]
-            a, b = np.repeat(a, near.shape[1]), near.ravel()
-            a, b = a[b >= 0], b[b >= 0]
-            new = ~looked[a, b]
-            key = np.unique(a[new] * n + b[new])
-            a, b = key // n, key % n
-            looked[a, b] = True
+            found_a, found_b = [], []
+            for lo in range(0, len(a), 65536):
+                s = slice(lo, lo + 65536)
+                count = first[b[s] + 1] - first[b[s]]
+                near = edges[np.repeat(first[b[s]] - np.cumsum(count) + count, count) + np.arange(count.sum())]
+                whose = np.repeat(a[s], count)
+                new = ~looked[whose, near]
+                key = np.unique(whose[new] * n + near[new])
+                looked[key // n, key % n] = True
+                found_a.append(key // n)
+                found_b.append(key % n)
+            a, b = np.concatenate(found_a), np.concatenate(found_b)
             keep = np.zeros(len(a), bool)
             for lo in range(0, len(a), 65536):
                 s = slice(lo, lo + 65536)
@@ -159,7 +167,7 @@ def _unit(vectors) -> np.ndarray:  # noqa: ANN001
 
 
 def audited_links(x: np.ndarray, adj: np.ndarray, how: Graph) -> tuple[np.ndarray, float]:
-    """Links and their recall on the audit sample; the beam doubles until the recall is good or spans the shard."""
+    """Links and their recall on the audit sample; the beam doubles until the recall is good, up to eight times its width."""
     beam = how.beam
     sample = np.random.default_rng(len(x) + 1).permutation(len(x))[:how.audit]
     truth = x[sample] @ x.T >= how.threshold
@@ -167,7 +175,7 @@ def audited_links(x: np.ndarray, adj: np.ndarray, how: Graph) -> tuple[np.ndarra
     while True:
         links = range_search(x, adj, how, min(beam, max(len(x), 1)))
         recall = 1.0 if not truth.any() else float((links[sample] & truth).sum() / truth.sum())
-        if recall >= how.recall or beam >= len(x):
+        if recall >= how.recall or beam >= min(len(x), 8 * how.beam):
             return links, recall
         beam *= 2
 
