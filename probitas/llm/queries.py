@@ -89,3 +89,10 @@ def op1_vector_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All embeddings of equal label linked at a cosine of 0.93 or more."""
     from probitas.llm.vector_graph import near_duplicates
     return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the 50-byte strings that also start in a document of smaller id."""
+    from probitas.llm.suffix_dedup import remove_repeats
+    return remove_repeats(table(spark, sf_dir, "documents"), keep=["doc_id"], with_text=False)
