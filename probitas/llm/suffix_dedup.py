@@ -26,16 +26,14 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from probitas.llm.blocks import NULL_ID, SHIPPED, block_texts, blocks, by_key, gather, pack, ship_texts, unpack
 from probitas.llm.common import materialize, ship_package
 
 GRAM = 16
-BLOCK_ROWS, BLOCK_BYTES = 1024, 4_000_000  # documents of a block
 SEGMENT = 200_000                          # bytes hashed together; longer texts are cut with an overlap
-NULL_ID = np.iinfo(np.int64).max           # null ids come after all others
 
 
 @dataclass(frozen=True)
@@ -243,25 +241,7 @@ def equal_windows(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarr
     return text[at], offset[at], group[slots], key
 
 
-# ---- packing arrays into cells of a table ----------------------------------------------------------
-
-def _pack(arrays: dict[str, np.ndarray]) -> bytes:
-    return b"".join(np.ascontiguousarray(a).tobytes() for a in arrays.values())
-
-
-def _unpack(blob: bytes, kinds: dict[str, str]) -> dict[str, np.ndarray]:
-    n = len(blob) // sum(np.dtype(k).itemsize for k in kinds.values())
-    out, at = {}, 0
-    for name, kind in kinds.items():
-        out[name] = np.frombuffer(blob, kind, n, at)
-        at += n * np.dtype(kind).itemsize
-    return out
-
-
-def _gather(blobs, kinds: dict[str, str]) -> dict[str, np.ndarray]:  # noqa: ANN001
-    parts = [_unpack(b, kinds) for b in blobs]
-    return {name: np.concatenate([p[name] for p in parts]) for name in kinds}
-
+# ---- what the stages exchange, packed ----------------------------------------------------------
 
 ENTRY = {"a": "<u4", "a2": "u1", "c": "<u4", "c2": "<u2", "row": "<u4", "pos": "<u8", "id": "<i8", "lo": "u1", "hi": "u1", "deal": "u1"}
 COVER = {"row": "<u4", "start": "<i8", "end": "<i8"}
@@ -270,53 +250,29 @@ CONTEXT = {"block": "<i8", "row": "<u4", "id": "<i8", "start": "<i8", "size": "<
 LEADER = {"key": "<u8", "id": "<i8", "block": "<i8", "row": "<u4", "start": "<i8"}
 
 
-def _by_key(key: np.ndarray, arrays: dict[str, np.ndarray]) -> Iterator[tuple[int, dict[str, np.ndarray]]]:
-    order = np.argsort(key, kind="stable")
-    values, first = np.unique(key[order], return_index=True)
-    for k, at, to in zip(values.tolist(), first, [*first[1:], len(order)]):
-        yield k, {n: a[order[at:to]] for n, a in arrays.items()}
-
-
 # ---- the stages ---------------------------------------------------------------------------------
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, list[bytes]]]:
-    """(block number, ids, texts) for a task's rows; the same rows form the same blocks in every stage."""
-    block = TaskContext.get().partitionId() << 24
-    for batch in batches:
-        at = 0
-        while at < batch.num_rows:
-            texts, size = [], 0
-            for text in batch.column(1).slice(at, BLOCK_ROWS):
-                texts.append((text.as_py() or "").encode())
-                size += len(texts[-1])
-                if size >= BLOCK_BYTES:
-                    break
-            ids = batch.column(0).slice(at, len(texts)).fill_null(NULL_ID).to_numpy(zero_copy_only=False).astype(np.int64)
-            yield block, ids, texts
-            block, at = block + 1, at + len(texts)
-
-
 def _deal_anchors(how: Repeats, shards: int, frequent: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, ids, texts in _blocks(batches):
+        for block, ids, texts in blocks(batches):
             row, pos, a, c, lo, hi = text_anchors(texts, how.length)
             deal = np.isin(a, frequent)
             spread = (np.int64(block) * 1_000_003 + row * 7919) % shards
             shard = np.where(deal, spread, ((a >> np.uint64(40)) % np.uint64(shards)).astype(np.int64))
-            rows = list(_by_key(shard, {
+            rows = list(by_key(shard, {
                 "a": (a & np.uint64(0xFFFFFFFF)).astype("<u4"), "a2": (a >> np.uint64(32)).astype("u1"),
                 "c": (c & np.uint64(0xFFFFFFFF)).astype("<u4"), "c2": (c >> np.uint64(32)).astype("<u2"), "row": row.astype("<u4"),
                 "pos": pos.astype("<u8"), "id": ids[row] - row, "lo": lo.astype("u1"), "hi": hi.astype("u1"), "deal": deal.astype("u1")}))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([k for k, _ in rows], pa.int32()), pa.array([block] * len(rows), pa.int64()),
-                 pa.array([_pack(x) for _, x in rows], pa.binary())], names=["shard", "block", "entries"])
+                 pa.array([pack(x) for _, x in rows], pa.binary())], names=["shard", "block", "entries"])
     return run
 
 
 def _meet(part: pd.DataFrame) -> pd.DataFrame:
     """A shard's anchors: what is covered by an equal context, and which contexts need a closer look."""
     shard = int(part["shard"].iloc[0])
-    x = _gather(part["entries"], ENTRY)
+    x = gather(part["entries"], ENTRY)
     block = np.repeat(part["block"].to_numpy(), [len(b) // sum(np.dtype(k).itemsize for k in ENTRY.values()) for b in part["entries"]])
     row = x["row"].astype(np.int64)
     ids = x["id"] + row
@@ -335,61 +291,31 @@ def _meet(part: pd.DataFrame) -> pd.DataFrame:
     over = ids > least
     look = ~over & (several | (deal > 0))
     out = []
-    for k, v in _by_key(block[over], {"row": row[over].astype("<u4"), "start": (pos - lo)[over], "end": (pos + hi)[over]}):
-        out.append((k, _pack(v), None))
+    for k, v in by_key(block[over], {"row": row[over].astype("<u4"), "start": (pos - lo)[over], "end": (pos + hi)[over]}):
+        out.append((k, pack(v), None))
     asked = {"row": row[look].astype("<u4"), "pos": pos[look], "lo": lo[look], "hi": hi[look],
              "shard": np.full(look.sum(), shard, "<i4"), "deal": deal[look]}
-    for k, v in _by_key(block[look], asked):
-        out.append((k, None, _pack(v)))
+    for k, v in by_key(block[look], asked):
+        out.append((k, None, pack(v)))
     return pd.DataFrame(out, columns=["block", "covers", "requests"])
 
 
-def _ship_texts(kept: int):
-    """Blocks as rows of compressed texts, with the first ``kept`` columns after the text as Arrow bytes."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press, held = zstandard.ZstdCompressor(level=1), []
-
-        def seen() -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                held[:] = [batch, 0]
-                yield batch
-
-        for block, ids, texts in _blocks(seen()):
-            part = held[0].slice(held[1], len(texts))
-            held[1] += len(texts)
-            sink = pa.BufferOutputStream()
-            others = pa.RecordBatch.from_arrays(part.columns[2:2 + kept], names=[f"c{k}" for k in range(kept)])
-            with pa.ipc.new_stream(sink, others.schema) as out:
-                out.write_batch(others)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([block], pa.int64()), pa.array([ids.tobytes()], pa.binary()),
-                 pa.array([np.array([len(t) for t in texts], "<i8").tobytes()], pa.binary()),
-                 pa.array([press.compress(b"".join(texts))], pa.binary()), pa.array([sink.getvalue().to_pybytes()], pa.binary())],
-                names=["block", "ids", "sizes", "texts", "others"])
-    return run
-
-
-def _texts(row) -> tuple[np.ndarray, np.ndarray, bytes]:  # noqa: ANN001
-    sizes = np.frombuffer(row["sizes"], "<i8")
-    return np.frombuffer(row["ids"], "<i8"), np.cumsum(sizes) - sizes, zstandard.ZstdDecompressor().decompress(row["texts"])
-
-
 def _fetch(texts: pd.DataFrame, requests: pd.DataFrame) -> pd.DataFrame:
     """The contexts asked for, by shard."""
     if not len(texts) or not len(requests):
         return pd.DataFrame({"shard": [], "contexts": [], "data": []})
     block = int(texts["block"].iloc[0])
-    ids, starts, data = _texts(texts.iloc[0])
-    x = _gather(requests["requests"], REQUEST)
+    ids, starts, data = block_texts(texts.iloc[0])
+    x = gather(requests["requests"], REQUEST)
     row = x["row"].astype(np.int64)
     first = starts[row] + x["pos"] - x["lo"]
     size = x["lo"] + x["hi"]
     held = {"block": np.full(len(row), block, "<i8"), "row": x["row"], "id": ids[row], "start": x["pos"] - x["lo"], "size": size,
             "deal": x["deal"], "first": first}
     press, out = zstandard.ZstdCompressor(level=1), []
-    for k, v in _by_key(x["shard"].astype(np.int64), held):
+    for k, v in by_key(x["shard"].astype(np.int64), held):
         raw = b"".join([data[f:f + s] for f, s in zip(v.pop("first").tolist(), v["size"].tolist())])
-        out.append((k, _pack(v), press.compress(raw)))
+        out.append((k, pack(v), press.compress(raw)))
     return pd.DataFrame(out, columns=["shard", "contexts", "data"])
 
 
@@ -398,7 +324,7 @@ def _look(how: Repeats, ranges: int):
     the first is sent on to the merge."""
     def run(part: pd.DataFrame) -> pd.DataFrame:
         open_ = zstandard.ZstdDecompressor()
-        x = _gather(part["contexts"], CONTEXT)
+        x = gather(part["contexts"], CONTEXT)
         data = b"".join(open_.decompress(d) for d in part["data"])
         ends = np.cumsum(x["size"])
         texts = [data[e - s:e] for s, e in zip(x["size"].tolist(), ends.tolist())]
@@ -417,10 +343,10 @@ def _look(how: Repeats, ranges: int):
         lead = frequent & ~over
         sent = {"key": key[lead], "id": ids[lead], "block": x["block"][text[lead]], "row": x["row"][text[lead]],
                 "start": x["start"][text[lead]] + offset[lead]}
-        by_key = np.argsort(sent["key"], kind="stable")
-        sent = {n: v[by_key] for n, v in sent.items()}
+        run_order = np.argsort(sent["key"], kind="stable")
+        sent = {n: v[run_order] for n, v in sent.items()}
         place = (sent["key"] >> np.uint64(32)).astype(np.int64) * ranges >> 32
-        rows = [(None, None, k, _pack(v)) for k, v in _by_key(place, sent)]
+        rows = [(None, None, k, pack(v)) for k, v in by_key(place, sent)]
         return pd.DataFrame([(*c, None, None) for c in out] + rows, columns=["block", "covers", "range", "leaders"]).astype(
             {"block": "Int64", "range": "Int64"})
     return run
@@ -436,13 +362,13 @@ def _covers(block: np.ndarray, row: np.ndarray, start: np.ndarray, length: int)
     first = np.flatnonzero(new)
     last = np.concatenate([first[1:] - 1, [len(start) - 1]])
     ranges = {"row": row[first].astype("<u4"), "start": start[first], "end": start[last] + length}
-    return [(k, _pack(v)) for k, v in _by_key(block[first], ranges)]
+    return [(k, pack(v)) for k, v in by_key(block[first], ranges)]
 
 
 def _merge(how: Repeats):
     """Sorted runs of window keys from all shards, merged: a window whose key is in another run with a smaller id is covered."""
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        runs = [_unpack(b, LEADER) for b in part["leaders"]]
+        runs = [unpack(b, LEADER) for b in part["leaders"]]
         keys = np.unique(np.concatenate([r["key"] for r in runs]))
         least = np.full(len(keys), NULL_ID)
         found = [np.searchsorted(keys, r["key"]) for r in runs]  # binary search of each run in the merged order
@@ -464,9 +390,9 @@ def _remove(kept: int, with_text: bool):
     def run(texts: pd.DataFrame, covers: pd.DataFrame) -> pd.DataFrame:
         if not len(texts):
             return pd.DataFrame([], columns=names)
-        ids, starts, data = _texts(texts.iloc[0])
+        ids, starts, data = block_texts(texts.iloc[0])
         ends = np.append(starts[1:], len(data))
-        x = _gather(covers["covers"], COVER) if len(covers) else {k: np.zeros(0, np.int64) for k in COVER}
+        x = gather(covers["covers"], COVER) if len(covers) else {k: np.zeros(0, np.int64) for k in COVER}
         row = x["row"].astype(np.int64)
         order = np.lexsort((x["start"], row))
         row, a, z = row[order], x["start"][order], x["end"][order]
@@ -526,9 +452,8 @@ def remove_repeats(docs: DataFrame, how: Repeats = Repeats(), id_col: str = "doc
     frequent = _frequent_anchors(plain, how)
     entries = plain.mapInArrow(_deal_anchors(how, shards, frequent), "shard int, block long, entries binary")
     met = materialize(entries.groupBy("shard").applyInPandas(_meet, "block long, covers binary, requests binary"), "anchors")
-    shipped = "block long, ids binary, sizes binary, texts binary, others binary"
     requests = met.where(F.col("requests").isNotNull()).select("block", "requests")
-    contexts = (plain.mapInArrow(_ship_texts(0), shipped).groupBy("block").cogroup(requests.groupBy("block"))
+    contexts = (plain.mapInArrow(ship_texts(0), SHIPPED).groupBy("block").cogroup(requests.groupBy("block"))
                 .applyInPandas(_fetch, "shard int, contexts binary, data binary"))
     looked = materialize(contexts.groupBy("shard").applyInPandas(
         _look(how, shards), "block long, covers binary, range long, leaders binary"), "suffixes")
@@ -537,6 +462,6 @@ def remove_repeats(docs: DataFrame, how: Repeats = Repeats(), id_col: str = "doc
     covers = (met.where(F.col("covers").isNotNull()).select("block", "covers")
               .unionByName(looked.where(F.col("covers").isNotNull()).select("block", "covers")).unionByName(merged))
     schema = ", ".join([f"c{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(kept)] + [RESULT])
-    out = (source.mapInArrow(_ship_texts(len(kept)), shipped).groupBy("block").cogroup(covers.groupBy("block"))
+    out = (source.mapInArrow(ship_texts(len(kept)), SHIPPED).groupBy("block").cogroup(covers.groupBy("block"))
            .applyInPandas(_remove(len(kept), with_text), schema))
     return out.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(kept)], *(result if with_text else result[:4]))
