@@ -7,10 +7,47 @@ return the columns of documents. :func:`run` applies them in order.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from probitas.llm import line_crf, packing, quality_rules, simhash, suffix_dedup
 from probitas.llm.common import materialize, table
+from probitas.llm.queries import held_out_fold
 
-STAGES: list = []
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the line CRF scores 0.3 or more; labels of fold 0 of 5 are left out of its fit."""
+    labels = table(spark, sf_dir, "labels").where(held_out_fold(F.col("doc_id"), 5) != 0)
+    return line_crf.keep_above(docs, labels, 0.3)
+
+
+def quality_rule_votes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rule and are good by the weighed votes of all rules."""
+    return quality_rules.keep_good(docs)
+
+
+def simhash_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked at two or fewer bits of 3-word SimHash."""
+    return simhash.keep_one_per_group(docs, shingle=3, max_bits=2)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the 50-byte strings that also start in a document of smaller id."""
+    return suffix_dedup.strip_repeats(docs)
+
+
+def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their token ids, packed into windows of 2048 tokens."""
+    import public_tokenizers
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("quality rules", quality_rule_votes),
+    ("simhash near-dedup", simhash_groups),
+    ("suffix-array dedup", repeated_passages),
+    ("packing", packed_sequences),
+]
 
 ORACLE_SQL = None  # iterative models, fingerprints and tokenizers cannot be written in SQL
 
@@ -18,5 +55,5 @@ ORACLE_SQL = None  # iterative models, fingerprints and tokenizers cannot be wri
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
     return docs

@@ -193,6 +193,14 @@ def score_column(model: LineModel, text: Column) -> Column:
     return F.pandas_udf(score, "double")(text)
 
 
+def keep_above(docs: DataFrame, labels: DataFrame, threshold: float, how: Training = Training(), id_col: str = "doc_id",
+               text_col: str = "text", label_col: str = "quality") -> DataFrame:
+    """The documents with a score of at least ``threshold``, all columns as they are."""
+    ship_package(docs.sparkSession)
+    model = train(docs, labels, how, id_col, text_col, label_col)
+    return docs.where(score_column(model, F.col(text_col)) >= threshold)
+
+
 def score_documents(docs: DataFrame, labels: DataFrame, how: Training = Training(), id_col: str = "doc_id",
                     text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """The documents with a score column added (replaced, if there is one).

@@ -157,7 +157,7 @@ def judge_quality(docs: DataFrame, rules: tuple[VotingRule, ...] = RULES, thresh
 
     Defined cases: null, empty and blank texts have no words and fail the base rule; null ids, repeated rows and
     ties are judged row by row and alike; a rule whose measure divides by zero abstains; an empty table
-    gives an empty result; kept columns named like an added one, or starting with ``__``, are not supported but others are untouched.
+    gives an empty result; a kept column takes the place of an added one of the same name (:func:`keep_good` has no such clash).
     """
     kept = [c for c in docs.columns if c != text_col] if keep is None else keep
     spare = {c: f"__keep{i}" for i, c in enumerate(kept)}  # names that clash with none of the counts
@@ -175,6 +175,12 @@ def judge_quality(docs: DataFrame, rules: tuple[VotingRule, ...] = RULES, thresh
     return out.select(*[F.col(s).alias(c) for c, s in spare.items()], *added)
 
 
+def keep_good(docs: DataFrame, rules: tuple[VotingRule, ...] = RULES, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The documents that :func:`judge_quality` keeps, all columns as they are."""
+    source = docs.select(F.col(text_col).alias("__text"), F.struct(*[F.col(c) for c in docs.columns]).alias("__doc"))
+    return judge_quality(source, rules, threshold, "__text", ["__doc"]).where("kept").select("__doc.*")
+
+
 def _guarded(rule: VotingRule) -> Column:
     """The rule's vote; texts without words get none."""
     return F.when(F.col("n_words") > 0, rule.vote()).otherwise(ABSTAIN).cast("int")

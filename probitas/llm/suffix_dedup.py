@@ -252,6 +252,19 @@ LEADER = {"key": "<u8", "id": "<i8", "block": "<i8", "row": "<u4", "start": "<i8
 
 # ---- the stages ---------------------------------------------------------------------------------
 
+def strip_repeats(docs: DataFrame, how: Repeats = Repeats(), id_col: str = "doc_id", text_col: str = "text",
+                  size_col: str | None = "n_chars") -> DataFrame:
+    """The documents with what remains of their texts (a null text comes back empty); ``size_col``, if there is such a column,
+    is counted anew. All other columns stay. Cases are as in :func:`remove_repeats`."""
+    names = {c: f"d{k}" for k, c in enumerate(docs.columns)}  # clash with no result column
+    out = remove_repeats(docs.toDF(*names.values()), how, names[id_col], names[text_col])
+    cols = []
+    for f in docs.schema.fields:
+        col = F.col(names[f.name]) if f.name != text_col else F.col("kept_text")
+        cols.append((F.length("kept_text").cast(f.dataType) if f.name == size_col else col).alias(f.name))
+    return out.select(*cols)
+
+
 def _deal_anchors(how: Repeats, shards: int, frequent: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, ids, texts in blocks(batches):
@@ -380,7 +393,7 @@ def _merge(how: Repeats):
     return run
 
 
-RESULT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<array<long>>"
+RESULT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, kept_text string, spans array<array<long>>"
 
 
 def _remove(kept: int, with_text: bool):
@@ -408,7 +421,7 @@ def _remove(kept: int, with_text: bool):
             text, edges = data[s:e], [0, *[v for sp in spans for v in sp], e - s]
             rest = b"".join(text[p:q] for p, q in zip(edges[::2], edges[1::2]))
             out.append((e - s, e - s - len(rest), len(spans), hashlib.sha256(rest).hexdigest(), rest if with_text else None,
-                        spans if with_text else None))
+                        rest.decode("utf-8", "ignore") if with_text else None, spans if with_text else None))
         others = pa.ipc.open_stream(texts["others"].iloc[0]).read_all().to_pandas(integer_object_nulls=True)
         return pd.concat([others, pd.DataFrame(out, columns=names[kept:])], axis=1)
     return run
@@ -433,7 +446,8 @@ def _frequent_anchors(docs: DataFrame, how: Repeats) -> np.ndarray:
 def remove_repeats(docs: DataFrame, how: Repeats = Repeats(), id_col: str = "doc_id", text_col: str = "text",
                    keep: list[str] | None = None, with_text: bool = True) -> DataFrame:
     """One row per document: the columns named in ``keep`` (default: all but the text), n_bytes, n_removed, n_spans,
-    kept_sha256 and, if asked for, kept (the remaining bytes) and spans (the removed [start, end) ranges).
+    kept_sha256 and, if asked for, kept (the remaining bytes), kept_text (the same without characters that were cut in
+    two) and spans (the removed [start, end) ranges).
 
     ``docs`` is read three times and must give the same rows in the same order each time, as a table scan does.
 
