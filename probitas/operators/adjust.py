@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from probitas.functions.numeric import np_round
 from probitas.rules import AuditRules
-from probitas.session import bounded_broadcast
 
 
 def stance_score(support="support", opposition="opposition") -> Column:
@@ -82,7 +81,7 @@ def adjusted_weighted(df: DataFrame, unit_cols: list[str], score_cols: list[str]
     Returns unit_cols, item_id and ``<score>_w`` per score column.
     """
     gated = prerequisite_gate(df, unit_cols, score_cols, rules)
-    weighted = gated.join(bounded_broadcast(weights.select("criterion_id", "weight")), "criterion_id", "inner")
+    weighted = gated.join(weights.select("criterion_id", "weight"), "criterion_id", "inner")
     collapsed = exclusive_group_collapse(weighted, unit_cols, score_cols, rules)
     return collapsed.select(*unit_cols, "item_id",
                             *[(F.col(sc) * F.col(f"{sc}_weight")).alias(f"{sc}_w") for sc in score_cols])

@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from probitas import rules as R
-from probitas.session import bounded_broadcast
 
 UNIT = ["scenario", "model", "unit_key"]
 
@@ -106,4 +105,4 @@ def scenario_key_join(unit_rows: DataFrame, units: DataFrame) -> DataFrame:
     Equi join on (scenario, model, unit_key); keeps the fan-out: a language file
     meets every country speaking it, a country file every language of the country.
     """
-    return unit_rows.join(bounded_broadcast(units), UNIT, "inner")
+    return unit_rows.join(units, UNIT, "inner")

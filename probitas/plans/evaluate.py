@@ -13,7 +13,6 @@ usage: python -m probitas.plans.evaluate --sf-dir /root/testdata/sf0.01 --out /p
 from __future__ import annotations
 
 import argparse
-import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,7 +23,7 @@ from probitas.operators import rollups as RU
 from probitas.operators.compare import comparison_table, countries_without_truth
 from probitas.operators.units import completeness_gate, enumerate_units
 from probitas.plans.inputs import Inputs
-from probitas.session import get_session, materialize, release_broadcasts
+from probitas.session import get_session, materialize, path_exists
 from probitas.sources import io as IO
 
 
@@ -32,9 +31,9 @@ class MissingInput(RuntimeError):
     pass
 
 
-def require(paths: dict[str, str | None]) -> None:
-    """Fail clearly when an input is absent (instead of skipping its tables)."""
-    missing = [f"{k}: {v}" for k, v in paths.items() if not v or not os.path.exists(v)]
+def require(spark: SparkSession, paths: dict[str, str | None]) -> None:
+    """Fail clearly when an input is absent (instead of skipping its tables), on any file system."""
+    missing = [f"{k}: {v}" for k, v in paths.items() if not v or not path_exists(spark, v)]
     if missing:
         raise MissingInput("missing inputs -> " + "; ".join(missing))
 
@@ -80,7 +79,7 @@ def result_tables(comp: DataFrame, gated_items: DataFrame, units: DataFrame, spa
     countries = sorted(r[0] for r in comp.select("country").distinct().collect())
     sc_mae = RU.scenario_country_mae(comp)
     lc_mae = RU.language_country_mae(comp)
-    means = RU.unit_metric_means(gated_items, units, models)
+    means = materialize(RU.unit_metric_means(gated_items, units, models), "unit-metric-means")  # scans the answers once
     matrices = {}
     for s in R.SCENARIOS:
         # pivot values: the bounded label list of the scenario
@@ -109,26 +108,25 @@ def run(spark: SparkSession, out: str, sf_dir: str | None = None, answers: str |
         truth: str | None = None, weights: str | None = None, countries: str | None = None,
         rules: R.AuditRules | None = None, csv: bool = True) -> dict:
     if sf_dir:
-        require({"sf_dir": sf_dir})
+        require(spark, {"sf_dir": sf_dir})
         inp = Inputs.of(spark, sf_dir)
         items, truth_long, w, ctry, rules = inp.item_scores, inp.truth_long, inp.weights, inp.countries, inp.rules
     else:
-        require({"answers": answers, "truth": truth, "weights": weights, "countries": countries})
+        require(spark, {"answers": answers, "truth": truth, "weights": weights, "countries": countries})
         rules = rules or R.AuditRules()
         items = IO.scan_answer_files(spark, answers)
         truth_long, w = read_truth_wide(spark, truth), read_weights(spark, weights)
         ctry = read_countries(spark, countries)
     units = enumerate_units(ctry, R.MODEL_LIST)
-    lost = [r[0] for r in countries_without_truth(units, truth_long, rules).limit(20).collect()]
+    lost = sorted(r[0] for r in countries_without_truth(units, truth_long, rules).collect())  # as few as there are countries
     if lost:
-        raise MissingInput(f"countries without a complete truth vector: {lost}")
+        raise MissingInput(f"{len(lost)} countries without a complete truth vector: {', '.join(lost)}")
     comp = materialize(comparison_table(items, truth_long, w, units, rules), "comparison")
     tables = {"comparison": comp, **result_tables(comp, completeness_gate(items, rules.n_criteria), units, spark)}
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{out}/{name}")
-        if csv:
-            IO.write_delimited(df, f"{out}/csv/{name}")  # part files, written in parallel
-    release_broadcasts(spark)
+        if csv:  # from the written table, in parallel part files
+            IO.write_delimited(spark.read.parquet(f"{out}/{name}"), f"{out}/csv/{name}")
     return {name: spark.read.parquet(f"{out}/{name}") for name in tables}
 
 

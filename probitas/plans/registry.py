@@ -20,10 +20,5 @@ def register(name: str, oracle: str | None = None):
 
 def load_all() -> None:
     """Import every query module (registration happens at import)."""
-    from probitas.plans import core_queries  # noqa: F401
-    for mod in ("rollup_queries", "sample_queries", "text_queries", "graph_queries", "io_queries"):
-        try:
-            __import__(f"probitas.plans.{mod}")
-        except ModuleNotFoundError as e:
-            if e.name != f"probitas.plans.{mod}":
-                raise
+    from probitas.plans import (core_queries, graph_queries, io_queries, rollup_queries,  # noqa: F401
+                                sample_queries, text_queries)

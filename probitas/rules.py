@@ -89,13 +89,6 @@ class AuditRules:
         """Items after the exclusive groups are collapsed."""
         return self.n_criteria - sum(len(m) - 1 for m in self.exclusive_groups.values())
 
-    def prerequisite_table(self, spark: SparkSession) -> DataFrame:
-        rows = [(int(c), int(r)) for c, r in sorted(self.prerequisites.items())]
-        schema = T.StructType([T.StructField("criterion_id", T.IntegerType(), False),
-                               T.StructField("requires_id", T.IntegerType(), False)])
-        # size fixed by the rule object: safe to broadcast
-        return F.broadcast(spark.createDataFrame(rows, schema))
-
     def group_table(self, spark: SparkSession) -> DataFrame:
         rows = [(int(m), int(g)) for g, members in sorted(self.exclusive_groups.items()) for m in members]
         schema = T.StructType([T.StructField("criterion_id", T.IntegerType(), False),

@@ -1,19 +1,13 @@
-"""Spark session helpers: one place for session defaults, the checkpoint folder and
-size-checked broadcasts."""
+"""Spark session helpers: one place for session defaults, the checkpoint folder and stage writes."""
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-# Dimension tables (countries, rules, weights, truth) are broadcast only when a
-# bounded count proves they are this small; otherwise the join stays a shuffle join.
-DEFAULT_BROADCAST_ROWS = 200_000
 
 
 def get_session(master: str | None = None, app: str = "probitas",
@@ -38,13 +32,15 @@ def get_session(master: str | None = None, app: str = "probitas",
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this setting names shared storage and is only read. Where it is
-    unset (local tests) a private folder is created once and registered.
+    On a cluster this setting names shared storage and is only read; it must be set there. Under a
+    local master, as in tests, a private folder is created once and registered where it is unset.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir is not set: it must name a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="probitas-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", path)
         spark.sparkContext.setCheckpointDir(path)
@@ -69,44 +65,10 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-_BOUNDED: dict = {}
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int | None = None) -> DataFrame:
-    """Broadcast-hint a table only after proving it has at most ``max_rows`` rows.
-
-    The proof is ``limit(max_rows + 1).count()``, so a large input stops early
-    and is returned untouched (no hint: the planner keeps a shuffle join). A
-    proven-small table is persisted, so the proof and the later join read the
-    same rows (a lost executor recomputes them from their short lineage).
-    Memoised per session by the plan's semantic hash.
-    """
-    max_rows = DEFAULT_BROADCAST_ROWS if max_rows is None else max_rows
-    spark = df.sparkSession
-    key = (spark.sparkContext.applicationId, df.semanticHash(), max_rows)
-    hit = _BOUNDED.get(key)
-    if hit is not None:
-        return hit
-    if df.limit(max_rows + 1).count() > max_rows:
-        out = df
-    else:
-        small = df.persist(StorageLevel.MEMORY_AND_DISK)
-        small.count()  # fill the cache once; the join reads it
-        out = F.broadcast(small)
-    _BOUNDED[key] = out
-    return out
-
-
-def release_broadcasts(spark: SparkSession) -> int:
-    """Unpersist the proven-small tables cached by ``bounded_broadcast`` for this
-    application and forget them (end of a run in a long-lived session)."""
-    app = spark.sparkContext.applicationId
-    keys = [k for k in _BOUNDED if k[0] == app]
-    for k in keys:
-        df = _BOUNDED.pop(k)
-        if df.storageLevel.useMemory or df.storageLevel.useDisk:
-            df.unpersist()
-    return len(keys)
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, on whatever file system its URI names."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
 
 
 _SHIPPED: set = set()
@@ -134,4 +96,5 @@ def ship_package(spark: SparkSession) -> None:
                     full = os.path.join(root, f)
                     z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
     sc.addPyFile(path)
+    atexit.register(lambda: os.path.exists(path) and os.remove(path))
     _SHIPPED.add(sc.applicationId)

@@ -1,10 +1,8 @@
-"""Beyond the broadcast bound: with every dimension too 'large' to broadcast
-and no automatic broadcast, the shuffle-join plans give the same results."""
+"""Without any automatic broadcast the shuffle-join plans give the same results."""
 
 import contextlib
 import io
 
-import probitas.session as S
 from conftest import SF_SMALL
 from probitas.operators import samples as SM
 from probitas.plans.inputs import Inputs
@@ -15,11 +13,10 @@ def _rows(df):
     return sorted(map(tuple, df.collect()), key=repr)
 
 
-def test_shuffle_join_fallback_matches(spark, monkeypatch):
+def test_shuffle_join_fallback_matches(spark):
     inp = Inputs.of(spark, SF_SMALL)
     want_cmp = _rows(inp.comparison())
     want_smp = _rows(SM.sample_scores(SM.label_samples(SM.first_n_samples(inp.samples), _prompts(spark, SF_SMALL))))
-    monkeypatch.setattr(S, "DEFAULT_BROADCAST_ROWS", 0)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:

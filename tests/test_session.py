@@ -1,29 +1,13 @@
-"""Session helpers: size-checked broadcast, stage writes."""
+"""Session helpers, and what building a query must not do."""
 
-import contextlib
-import io
+import tempfile
 
-from probitas.session import bounded_broadcast, checkpoint_root, materialize, release_broadcasts
-
-
-def _plan(df):
-    buf = io.StringIO()
-    with contextlib.redirect_stdout(buf):
-        df.explain()
-    return buf.getvalue()
-
-
-def test_bounded_broadcast_only_when_small(spark):
-    big = spark.range(0, 5000).withColumnRenamed("id", "k")
-    small = spark.range(0, 10).withColumnRenamed("id", "k")
-    fact = spark.range(0, 100000).selectExpr("id % 5000 AS k", "id AS v")
-    assert "BroadcastExchange" in _plan(fact.join(bounded_broadcast(small, max_rows=100), "k"))
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        p = _plan(fact.join(bounded_broadcast(big, max_rows=100), "k"))
-        assert "BroadcastExchange" not in p and "SortMergeJoin" in p
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+import pytest
+from conftest import SF_SMALL
+from probitas.operators.compare import weighted_totals
+from probitas.plans import evaluate as EV
+from probitas.plans.inputs import Inputs
+from probitas.session import checkpoint_root, materialize, path_exists
 
 
 def test_materialize_under_checkpoint_root(spark):
@@ -32,8 +16,49 @@ def test_materialize_under_checkpoint_root(spark):
     assert checkpoint_root(spark)
 
 
-def test_release_broadcasts(spark):
-    small = spark.range(0, 3).withColumnRenamed("id", "k")
-    b = bounded_broadcast(small, max_rows=10)
-    assert b.count() == 3
-    assert release_broadcasts(spark) >= 1
+def test_cluster_needs_a_shared_checkpoint_folder():
+    class Context:
+        master = "spark://host:7077"
+
+        @staticmethod
+        def getCheckpointDir():
+            return None
+
+    class Session:
+        sparkContext = Context
+        conf = {}
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        checkpoint_root(Session)
+
+
+def test_paths_are_looked_up_on_their_file_system(spark):
+    here = tempfile.mkdtemp(prefix="probitas-path-", dir="/tmp")
+    assert path_exists(spark, f"file://{here}") and path_exists(spark, here)
+    assert not path_exists(spark, f"file://{here}/none")
+    EV.require(spark, {"a": f"file://{here}"})
+    with pytest.raises(EV.MissingInput, match="none"):
+        EV.require(spark, {"a": f"file://{here}/none"})
+
+
+def test_building_a_query_starts_no_job_and_caches_nothing(spark):
+    inp = Inputs.of(spark, SF_SMALL)
+    for name in ("item_scores", "truth_long", "weights", "units", "samples", "prompts"):
+        getattr(inp, name)  # staged inputs are jobs of their own
+    spark.sparkContext.setJobGroup("build-only", "")
+    try:
+        inp.comparison()
+        inp.comparison()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("build-only")) == 0
+    assert spark.sparkContext._jsc.getPersistentRDDs().isEmpty()
+
+
+def test_rows_added_to_a_dimension_are_seen(spark):
+    inp = Inputs.of(spark, SF_SMALL)
+    path = tempfile.mkdtemp(prefix="probitas-weights-", dir="/tmp") + "/w"
+    inp.weights.where("criterion_id < 10").write.parquet(path)
+    before = weighted_totals(inp.item_scores, spark.read.parquet(path), inp.rules).agg({"n_items": "max"}).first()[0]
+    inp.weights.where("criterion_id >= 10").write.mode("append").parquet(path)
+    after = weighted_totals(inp.item_scores, spark.read.parquet(path), inp.rules).agg({"n_items": "max"}).first()[0]
+    assert before == 7 and after == inp.rules.n_items
