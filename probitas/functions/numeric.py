@@ -32,6 +32,34 @@ def stable_round(c, digits: int = 2) -> Column:
     return np_round(np_round(c, 10), digits)
 
 
+def py_round(c, digits: int = 2) -> Column:
+    """Round as Python's ``round`` does: by the exact binary value, an exact tie to the even digit.
+
+    ``scale * x`` is taken as a sum of products with powers of two, which are exact, and the errors of
+    the additions are carried along, so its distance from the nearest half is known exactly.
+    """
+    x = F.abs(_c(c))
+    scale = 10 ** digits
+    floor = F.floor(x * F.lit(float(scale))).cast("double")
+    half = 2 * floor + 1.0                                   # the tie, doubled
+    total, error = F.lit(0.0), F.lit(0.0)
+    for bit in [b for b in range(scale.bit_length() + 1) if 2 * scale >> b & 1][::-1]:
+        term = x * F.lit(float(1 << bit))
+        new = total + term
+        back = new - total
+        error = error + ((total - (new - back)) + (term - back))
+        total = new
+    over = (total - half) + error
+    up = (over > 0) | ((over == 0) & (floor % 2 == 1))
+    out = F.when(up, floor + 1).otherwise(floor) / F.lit(float(scale))
+    return F.when(_c(c) < 0, -out).otherwise(out)
+
+
+def stable_py_round(c, digits: int = 2) -> Column:
+    """``py_round`` after snapping to 10 decimals, against noise of the order of summation."""
+    return py_round(np_round(c, 10), digits)
+
+
 def to_double(c) -> Column:
     """Numeric coercion: anything that is not a number becomes NULL (never NaN)."""
     v = _c(c).cast("string").try_cast("double")

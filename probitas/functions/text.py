@@ -1,7 +1,7 @@
 """Text column expressions (regex and higher-order functions, all JVM-side).
 
 Patterns are written so that Java regex (Spark) and RE2 (the DuckDB oracle)
-agree on them: ASCII classes only, explicit character ranges, no look-around.
+agree on them: explicit characters and ranges, no look-around.
 """
 
 from __future__ import annotations
@@ -18,14 +18,18 @@ ANSWER_DELETE_CHARS = '.*"'          # removed from a response before tokenising
 ANSWER_STRIP_CHARS = ",;:!?."        # stripped from both ends of the first token (pattern below)
 NOTE_CUT = r"(?i)\bNote:\b"          # text from here on is commentary
 MARKUP = r"[*_`]+"                   # emphasis marks
-LEADING_LABEL = r"^[A-Za-zÀ-ÖØ-öø-ÿ\s]+:\s*"  # "Translation: ", "Në shqip: "
 COMMENTARY_LINE = r"(?i)(translation|explanation|comment)"
 CHATBOT_MARK = "<|CHATBOT_TOKEN|>"
 END_MARKS = ["<|im_end|>\n<|endoftext|>", "<|im_end|><|endoftext|>"]
 SPECIAL_TOKEN = r"<\|.*?\|>"
 # quote styles for yes / no tokens: "x", «x», “x”, ‘x’, 'x'
 QUOTED = "\"[^\"]+\"|«[^»]+»|“[^”]+”|‘[^’]+’|'[^']+'"
-WHITESPACE = " \t\n\r\x0b\x0c"        # the characters of the regex class \s
+# white space as Python's str.split and str.strip know it
+WHITESPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008"
+              "\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+LEADING_LABEL = f"^[A-Za-zÀ-ÖØ-öø-ÿ{WHITESPACE}]+:[{WHITESPACE}]*"  # "Translation: ", "Në shqip: "
+FIRST_TOKEN = f"^[{WHITESPACE}]*([^{WHITESPACE}]+)"
+NOT_BLANK = f"[^{WHITESPACE}]"
 # ---------------------------------------------------------------------------
 
 
@@ -40,7 +44,7 @@ def strip_ws(x) -> Column:
 
 
 def first_token(x) -> Column:
-    return F.regexp_extract(_c(x), r"^\s*(\S+)", 1)
+    return F.regexp_extract(_c(x), FIRST_TOKEN, 1)
 
 
 def let(value, body) -> Column:
@@ -62,12 +66,6 @@ def normalize_answer(response, yes, no) -> Column:
                .otherwise(F.lit(R.UNDEFINED)))
 
 
-def answer_value(answer) -> Column:
-    a = _c(answer)
-    return (F.when(a == R.YES, R.ANSWER_VALUE[R.YES]).when(a == R.NO, R.ANSWER_VALUE[R.NO])
-            .when(a == R.UNDEFINED, R.ANSWER_VALUE[R.UNDEFINED]))
-
-
 def clean_text(text) -> Column:
     """The translation inside a model reply (T2): cut at "Note:", drop emphasis
     marks and a leading label, split lines, drop commentary lines unless none is
@@ -128,7 +126,7 @@ def remap_language_code(code, text) -> Column:
     """Target code of the machine-translation service (T7): pt -> PT-PT,
     en -> EN-GB, others upper-cased; Montenegrin or empty text -> ""."""
     c = _c(code)
-    mapped = F.upper(F.when(c == "pt", F.lit("pt-pt")).when(c == "en", F.lit("EN-GB")).otherwise(c))
+    mapped = F.upper(F.when(c == "pt", F.lit("PT-PT")).when(c == "en", F.lit("EN-GB")).otherwise(c))
     return F.when((_c(text) == "") | (c == "cnr"), F.lit("")).otherwise(mapped)
 
 

@@ -6,11 +6,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from probitas.functions.numeric import np_round, stable_round, two_sided_normal_p
+from probitas.functions.numeric import np_round, stable_py_round, stable_round, two_sided_normal_p
 from probitas.operators.adjust import adjusted_weighted, stance_score
 from probitas.operators.units import UNIT, completeness_gate
 from probitas.rules import AuditRules
-from probitas.session import bounded_broadcast
 
 # |d| is snapped to this many decimals before ranking, so float noise cannot
 # break ties differently in different engines.
@@ -85,8 +84,8 @@ def paired_vectors(item_scores: DataFrame, truth_long: DataFrame, weights: DataF
     meter = meter_vectors(item_scores, weights, rules)
     truth = truth_vectors(truth_long, weights, rules)
     links = units.select("scenario", "model", "unit_key", "country_id").distinct()
-    paired = (meter.join(bounded_broadcast(links), UNIT, "inner")
-              .join(bounded_broadcast(truth), ["country_id", "item_id"], "inner"))
+    paired = (meter.join(links, UNIT, "inner")
+              .join(truth, ["country_id", "item_id"], "inner"))
     return (paired
             .withColumn("fact_d", np_round(F.col("fact_w") - F.col("score_w"), RANK_DECIMALS))
             .withColumn("stance_d", np_round(F.col("stance_w") - F.col("score_w"), RANK_DECIMALS)))
@@ -97,9 +96,9 @@ def unit_country_stats(paired: DataFrame) -> DataFrame:
     keys = UNIT + ["country_id"]
     ranked = with_average_rank(with_average_rank(paired, keys, "fact_d", "fact"), keys, "stance_d", "stance")
     return ranked.groupBy(*keys).agg(
-        stable_round(F.sum("fact_w"), 2).alias("fact"),
-        stable_round(F.sum("stance_w"), 2).alias("stance"),
-        stable_round(F.sum("score_w"), 2).alias("truth"),
+        stable_py_round(F.sum("fact_w"), 2).alias("fact"),
+        stable_py_round(F.sum("stance_w"), 2).alias("stance"),
+        stable_py_round(F.sum("score_w"), 2).alias("truth"),
         *signed_rank_aggs("fact_d", "fact"),
         stable_round(F.avg(F.abs(F.col("score_w") - F.col("fact_w"))), 2).alias("fact_mae"),
         *signed_rank_aggs("stance_d", "stance"),
@@ -128,6 +127,6 @@ def comparison_table(item_scores: DataFrame, truth_long: DataFrame, weights: Dat
 def weighted_totals(item_scores: DataFrame, weights: DataFrame, rules: AuditRules) -> DataFrame:
     """Weighted total (percentage score) of fact and stance per complete unit."""
     meter = meter_vectors(item_scores, weights, rules)
-    return meter.groupBy(*UNIT).agg(stable_round(F.sum("fact_w"), 2).alias("fact_total"),
-                                    stable_round(F.sum("stance_w"), 2).alias("stance_total"),
+    return meter.groupBy(*UNIT).agg(stable_py_round(F.sum("fact_w"), 2).alias("fact_total"),
+                                    stable_py_round(F.sum("stance_w"), 2).alias("stance_total"),
                                     F.count(F.lit(1)).alias("n_items"))

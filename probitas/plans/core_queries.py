@@ -63,8 +63,8 @@ def average_rank(spark, sf_dir):
 
 
 @register("weighted_total", S.with_inputs(
-    f"SELECT scenario, model, unit_key, {S.stable('sum(fact_w)', 2)} AS fact_total, "
-    f"{S.stable('sum(stance_w)', 2)} AS stance_total, count(*) AS n_items FROM meter GROUP BY ALL",
+    f"SELECT scenario, model, unit_key, {S.stable_py('sum(fact_w)', 2)} AS fact_total, "
+    f"{S.stable_py('sum(stance_w)', 2)} AS stance_total, count(*) AS n_items FROM meter GROUP BY ALL",
     *S.comparison_inputs()))
 def weighted_total(spark, sf_dir):
     """Weighted total (percentage score) per complete unit."""
@@ -73,13 +73,13 @@ def weighted_total(spark, sf_dir):
 
 
 @register("truth_total", S.with_inputs(
-    f"SELECT country_id, {S.stable('sum(score_w)', 2)} AS truth_total, count(*) AS n_items FROM truthv GROUP BY ALL",
+    f"SELECT country_id, {S.stable_py('sum(score_w)', 2)} AS truth_total, count(*) AS n_items FROM truthv GROUP BY ALL",
     *S.comparison_inputs()))
 def truth_total(spark, sf_dir):
     """Weighted total of the adjusted truth vector per country."""
     inp = Inputs.of(spark, sf_dir)
     t = C.truth_vectors(inp.truth_long, inp.weights, inp.rules)
-    return t.groupBy("country_id").agg(C.stable_round(F.sum("score_w"), 2).alias("truth_total"),
+    return t.groupBy("country_id").agg(C.stable_py_round(F.sum("score_w"), 2).alias("truth_total"),
                                        F.count(F.lit(1)).alias("n_items"))
 
 
@@ -130,7 +130,7 @@ def enumerate_units(spark, sf_dir):
 
 @register("scenario_key_join", S.with_inputs(
     f"SELECT u.scenario, u.model, u.unit_key, u.country_id, u.language, "
-    f"{S.stable('sum(fact_w)', 2)} AS fact_total FROM meter m JOIN units u USING (scenario, model, unit_key) "
+    f"{S.stable_py('sum(fact_w)', 2)} AS fact_total FROM meter m JOIN units u USING (scenario, model, unit_key) "
     f"GROUP BY ALL", *S.comparison_inputs()))
 def scenario_key_join(spark, sf_dir):
     """Unit totals attached to every (country, language) the scenario key reaches."""

@@ -32,6 +32,16 @@ def stable(expr: str, digits: int) -> str:
     return npr(npr(expr, 10), digits)
 
 
+def stable_py(expr: str, digits: int) -> str:
+    """Python's ``round`` of the snapped value: its exact decimal expansion against the tie between the two candidates."""
+    scale = 10 ** digits
+    k = f"CAST(floor(abs(v) * {scale}) AS BIGINT)"
+    exact = "CAST(printf('%.35f', abs(v)) AS DECIMAL(38, 30))"
+    tie = f"CAST(printf('%d.%0{digits + 1}d', ((2 * {k} + 1) * 5) // {10 * scale}, ((2 * {k} + 1) * 5) % {10 * scale}) AS DECIMAL(38, 30))"
+    return (f"list_transform([{npr(expr, 10)}], lambda v: sign(v) * ({k} + CASE WHEN {exact} > {tie} "
+            f"OR ({exact} = {tie} AND {k} % 2 = 1) THEN 1 ELSE 0 END) / {float(scale)})[1]")
+
+
 def erfc_sql(x: str) -> str:
     t = f"(1.0 / (1.0 + {AS_P} * ({x})))"
     a1, a2, a3, a4, a5 = AS_A
@@ -208,8 +218,8 @@ def cte_comparison(rules: R.AuditRules = R.TEST_RULES) -> str:
   FROM paired)""",
         f"""ustats AS (
   SELECT {keys},
-         {stable('sum(fact_w)', 2)} AS fact, {stable('sum(stance_w)', 2)} AS stance,
-         {stable('sum(score_w)', 2)} AS truth,
+         {stable_py('sum(fact_w)', 2)} AS fact, {stable_py('sum(stance_w)', 2)} AS stance,
+         {stable_py('sum(score_w)', 2)} AS truth,
          {stable('avg(abs(score_w - fact_w))', 2)} AS fact_mae,
          {stable('avg(abs(score_w - stance_w))', 2)} AS stance_mae,
          {signed_rank_aggs('fact', 'fact_d')}, {signed_rank_aggs('stance', 'stance_d')}

@@ -16,7 +16,7 @@ def strip_sql(x: str) -> str:
 
 def normalize_sql(resp: str, yes: str, no: str) -> str:
     cleaned = f"replace(replace(replace(lower({resp}), '.', ''), '*', ''), '\"', '')"
-    tok = f"regexp_replace(regexp_extract({cleaned}, '^\\s*(\\S+)', 1), '^[,;:!?.]+|[,;:!?.]+$', '', 'g')"
+    tok = f"regexp_replace(regexp_extract({cleaned}, {q(TX.FIRST_TOKEN)}, 1), '^[,;:!?.]+|[,;:!?.]+$', '', 'g')"
     return (f"CASE WHEN {tok} <> '' AND {tok} = lower({yes}) THEN 'yes' "
             f"WHEN {tok} <> '' AND {tok} = lower({no}) THEN 'no' ELSE 'undefined' END")
 
@@ -80,9 +80,9 @@ def cte_samples(n: int = R.TEST_RULES.n_criteria) -> str:
     li = f"list_position({lst(langs)}, u.l)"
     yes, no = _tokens(0, li, langs), _tokens(1, li, langs)
     k = "(event_id % 4)"
-    yes_txt = (f"CASE WHEN {k} = 0 THEN '**' || upper({yes}) || '**, of course.' WHEN {k} = 1 THEN '  ' || {yes} || '!' "
+    yes_txt = (f"CASE WHEN {k} = 0 THEN '**' || upper({yes}) || '**, of course.' WHEN {k} = 1 THEN ' \u00a0' || {yes} || '\u202f!' "
                f"WHEN {k} = 2 THEN '\"' || {yes} || '.\"' || chr(10) || {no} ELSE upper({yes}) || '.' END")
-    no_txt = (f"CASE WHEN {k} = 0 THEN upper({no}) || ', it does not.' WHEN {k} = 1 THEN {no} || ';' "
+    no_txt = (f"CASE WHEN {k} = 0 THEN upper({no}) || ', it does not.' WHEN {k} = 1 THEN {no} || '\u3000;' "
               f"ELSE '*' || {no} || '*' END")
     und_txt = (f"CASE WHEN {k} = 0 THEN 'Maybe ' || {yes} WHEN {k} = 1 THEN '**' "
                f"WHEN {k} = 2 THEN 'I cannot answer that.' ELSE '' END")
@@ -132,7 +132,7 @@ prompt_table AS (
 def cte_scored_samples(n: int = R.SAMPLES_PER_QUESTION) -> str:
     """samples -> kept -> first-n -> labelled -> scores."""
     grp = "scenario, model, unit_key, criterion_id, question_type"
-    return f"""kept AS (SELECT * FROM samples WHERE response IS NOT NULL AND regexp_matches(response, '\\S')),
+    return f"""kept AS (SELECT * FROM samples WHERE response IS NOT NULL AND regexp_matches(response, {q(TX.NOT_BLANK)})),
 firstn AS (
   SELECT *, row_number() OVER (PARTITION BY {grp} ORDER BY sample_order) AS sample_no FROM kept
   QUALIFY sample_no <= {n}),
@@ -165,7 +165,7 @@ def cte_reply_texts() -> str:
     nl = "chr(10)"
     return f"""replies AS (
   SELECT doc_id, CASE WHEN {k} = 0 THEN 'Translation: ' || text || {nl} || 'Note: this is a comment'
-    WHEN {k} = 1 THEN '**' || text || '**' WHEN {k} = 2 THEN text
+    WHEN {k} = 1 THEN '**' || text || '**' WHEN {k} = 2 THEN '\u2028\u00a0' || text || '\u3000'
     WHEN {k} = 3 THEN 'Here is the explanation' || {nl} || text WHEN {k} = 4 THEN ''
     WHEN {k} = 5 THEN 'Note: ' || text WHEN {k} = 6 THEN text || ' Note:x tail'
     ELSE '_' || text || '_' || {nl} || 'comment: short' END AS reply
@@ -176,7 +176,7 @@ def cte_model_outputs() -> str:
     k = "((conv_id + turn) % 4)"
     return f"""outputs AS (
   SELECT conv_id, turn, CASE WHEN {k} = 0 THEN 'system<|CHATBOT_TOKEN|>' || text || '<|im_end|><|endoftext|>'
-    WHEN {k} = 1 THEN text || ' <|x|>'
+    WHEN {k} = 1 THEN '\u202f' || text || '\u00a0<|x|>'
     WHEN {k} = 2 THEN 'a<|CHATBOT_TOKEN|>b<|CHATBOT_TOKEN|> ' || text || ' <|im_end|>' || chr(10) || '<|endoftext|>'
     ELSE text END AS output
   FROM conversations)"""
@@ -191,7 +191,7 @@ def cte_quoted_texts() -> str:
     w2 = "coalesce(string_split(text, ' ')[2], 'x')"
     return f"""qtexts AS (
   SELECT doc_id, CASE WHEN {k} = 5 THEN text ELSE
-    'Reply ' || {o} || {w1} || {c} || ' or ' || {o} || ' ' || {w2} || ' ' || {c} || ': ' || text END AS text
+    'Reply ' || {o} || {w1} || {c} || ' or ' || {o} || '\u00a0' || {w2} || '\u2028' || {c} || ': ' || text END AS text
   FROM documents)"""
 
 

@@ -2,7 +2,7 @@
 
 These functions only give rows in the schemas the operators expect; they do none
 of the operators' work. Each mapping is mirrored, clause for clause, by the SQL
-in ``probitas.plans.oracle`` so that the DuckDB oracle sees the same inputs.
+in ``probitas.plans.sql_inputs`` and ``sql_text`` so that the DuckDB oracle sees the same inputs.
 
 Fixture universe (attached by region key / modulo of the driver ids):
 
@@ -152,11 +152,11 @@ def answer_text(event_type, event_id, yes_tok, no_tok):
     et = F.col(event_type)
     k = F.col(event_id) % 4
     yes_txt = (F.when(k == 0, F.concat(F.lit("**"), F.upper(yes_tok), F.lit("**, of course.")))
-               .when(k == 1, F.concat(F.lit("  "), yes_tok, F.lit("!")))
+               .when(k == 1, F.concat(F.lit(" \u00a0"), yes_tok, F.lit("\u202f!")))
                .when(k == 2, F.concat(F.lit('"'), yes_tok, F.lit('."\n'), no_tok))
                .otherwise(F.concat(F.upper(yes_tok), F.lit("."))))
     no_txt = (F.when(k == 0, F.concat(F.upper(no_tok), F.lit(", it does not.")))
-              .when(k == 1, F.concat(no_tok, F.lit(";")))
+              .when(k == 1, F.concat(no_tok, F.lit("\u3000;")))
               .otherwise(F.concat(F.lit("*"), no_tok, F.lit("*"))))
     undef_txt = (F.when(k == 0, F.concat(F.lit("Maybe "), yes_tok))
                  .when(k == 1, F.lit("**"))
@@ -230,7 +230,7 @@ def reply_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("text")
     reply = (F.when(k == 0, F.concat(F.lit("Translation: "), t, F.lit("\nNote: this is a comment")))
              .when(k == 1, F.concat(F.lit("**"), t, F.lit("**")))
-             .when(k == 2, t)
+             .when(k == 2, F.concat(F.lit("\u2028\u00a0"), t, F.lit("\u3000")))
              .when(k == 3, F.concat(F.lit("Here is the explanation\n"), t))
              .when(k == 4, F.lit(""))
              .when(k == 5, F.concat(F.lit("Note: "), t))
@@ -246,7 +246,7 @@ def model_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = (F.col("conv_id") + F.col("turn")) % 4
     t = F.col("text")
     out = (F.when(k == 0, F.concat(F.lit("system<|CHATBOT_TOKEN|>"), t, F.lit("<|im_end|><|endoftext|>")))
-           .when(k == 1, F.concat(t, F.lit(" <|x|>")))
+           .when(k == 1, F.concat(F.lit("\u202f"), t, F.lit("\u00a0<|x|>")))
            .when(k == 2, F.concat(F.lit("a<|CHATBOT_TOKEN|>b<|CHATBOT_TOKEN|> "), t,
                                   F.lit(" <|im_end|>\n<|endoftext|>")))
            .otherwise(t))
@@ -264,7 +264,7 @@ def quoted_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     opens = F.array(*[F.lit(o) for o, _ in styles])
     closes = F.array(*[F.lit(c) for _, c in styles])
     o, c = F.element_at(opens, k + 1), F.element_at(closes, k + 1)
-    quoted = F.concat(F.lit("Reply "), o, w1, c, F.lit(" or "), o, F.lit(" "), w2, F.lit(" "), c, F.lit(": "),
+    quoted = F.concat(F.lit("Reply "), o, w1, c, F.lit(" or "), o, F.lit("\u00a0"), w2, F.lit("\u2028"), c, F.lit(": "),
                       F.col("text"))
     return d.select("doc_id", F.when(k == 5, F.col("text")).otherwise(quoted).alias("text"))
 

@@ -85,3 +85,28 @@ def test_cosine(spark):
     df = spark.createDataFrame([([1.0, 2.0], [2.0, 1.0]), ([0.0, 0.0], [1.0, 1.0])], "a array<float>, b array<float>")
     got = [r[0] for r in df.select(TX.cosine_similarity("a", "b")).collect()]
     assert abs(got[0] - 0.8) < 1e-9 and got[1] is None
+
+
+def test_unicode_white_space_as_python_knows_it(spark):
+    raw = ["Oui\u00a0!", "Oui\u202f!", "\u00a0Oui.", "oui\u3000non", "\u2028 oui", "\x1coui\x85", "non\u2009;", "\u00a0\u3000", "oui,non"]
+
+    def plain(r):  # the rule in plain Python
+        words = r.lower().replace(".", "").replace("*", "").replace('"', "").split()
+        first = words[0].strip(",;:!?.") if words else ""
+        return {"oui": "yes", "non": "no"}.get(first, "undefined")
+    df = spark.createDataFrame([(i, r, "oui", "non") for i, r in enumerate(raw)], "i int, r string, y string, n string")
+    got = {x.i: x for x in df.select("i", TX.normalize_answer("r", "y", "n").alias("a"), TX.strip_ws("r").alias("s"),
+                                     TX.extract_answer_text("r").alias("t")).collect()}
+    for i, r in enumerate(raw):
+        assert (got[i].a, got[i].s, got[i].t) == (plain(r), r.strip(), r.strip())
+
+
+def test_rounding_as_python_does(spark):
+    import random
+    rng = random.Random(1)
+    xs = [48.265, 2.675, 1.115, 0.5, 0.125, 0.375, 2.5, -2.675, -0.125, 0.0, 99.995, 1e-9, 12345.675, 1 / 3]
+    xs += [rng.randint(0, 20_000) / 200 for _ in range(300)] + [rng.uniform(-100, 100) for _ in range(300)]
+    df = spark.createDataFrame([(x,) for x in xs], "x double")
+    for digits in (0, 2, 4):
+        got = [r.y for r in df.select(NU.py_round("x", digits).alias("y")).collect()]
+        assert got == [float(round(x, digits)) for x in xs]
