@@ -23,7 +23,9 @@ def country_bindings(triples: DataFrame, subjects: DataFrame) -> DataFrame:
     * subjects: distinct list, semi-joined (repeats in the list do not multiply rows);
     * OPTIONAL {official language . its code}: the two patterns join first, then left join;
     * OPTIONAL ISO code; OPTIONAL English demonym (filter applied before the left join);
-    * labels with fallback to the id; ordered by country label.
+    * labels with fallback to the id.
+
+    ``triples`` is scanned once per pattern, so it should be a stored table.
     """
     labels = triples.where(F.col("predicate") == "label").select(F.col("subject").alias("_id"),
                                                                 F.col("object").alias("_label"))
@@ -39,7 +41,7 @@ def country_bindings(triples: DataFrame, subjects: DataFrame) -> DataFrame:
     dem = (triples.where((F.col("predicate") == "P1549") & (F.col("lang") == "en"))
            .select(F.col("subject").alias("country"), F.col("object").alias("citizenship")))
     return (base.join(langs, "country", "left").join(iso, "country", "left").join(dem, "country", "left")
-            .select(*BINDING_COLS).orderBy("country_label"))
+            .select(*BINDING_COLS))
 
 
 def normalize_names(bindings: DataFrame) -> DataFrame:

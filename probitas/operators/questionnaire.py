@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from probitas import rules as R
 from probitas.functions.text import build_prompt, build_question, extract_quoted
 from probitas.operators.units import country_language_pairs
-from probitas.session import bounded_broadcast
 
 # Fixed value: the English answer instruction and its tokens.
 ENGLISH_PROMPT = ('Answer to the question with "yes" or "no" only.', R.YES, R.NO)
@@ -30,10 +29,11 @@ def prompt_table(languages: DataFrame, candidates: DataFrame) -> DataFrame:
     takes its first candidate translation by (conv_id, turn) and the first two
     quoted tokens in it as yes / no. ``status`` reports languages without a
     translation or without two tokens."""
-    tok = candidates.withColumn("_t", extract_quoted("prompt"))
-    first = (tok.groupBy("language")
-             .agg(F.min_by(F.struct("prompt", "_t"), F.struct("conv_id", "turn")).alias("c"))
-             .select("language", F.col("c.prompt").alias("prompt"), F.col("c._t").alias("_t")))
+    # pick by ids first: only the chosen texts travel, and only their tokens are extracted
+    ids = candidates.groupBy("language").agg(F.min(F.struct("conv_id", "turn")).alias("first"))
+    chosen = candidates.join(F.broadcast(ids.select("language", "first.conv_id", "first.turn")), ["language", "conv_id", "turn"])
+    first = (chosen.groupBy("language").agg(F.min("prompt").alias("prompt"))
+             .withColumn("_t", extract_quoted("prompt")))
     joined = languages.join(first, "language", "left")
     english = F.col("language") == R.ENGLISH
     n = F.size(F.col("_t"))
@@ -55,18 +55,30 @@ def questionnaire_units(units: DataFrame) -> DataFrame:
                     F.col("f.language").alias("language")))
 
 
+def question_rows(units: DataFrame, base_questions: DataFrame, spread: int | None = None) -> DataFrame:
+    """Every base question for every unit key of every scenario, with its text.
+
+    The product is the result itself. As a scenario is a key of three values, each unit key is dealt to one of ``spread``
+    parts by its hash and the items, which the questionnaire bounds, are repeated for all parts: the rows
+    then come out of 3 x ``spread`` keys (default: the number of shuffle partitions).
+    """
+    parts = spread or int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = questionnaire_units(units).withColumn("_part", F.pmod(F.xxhash64("unit_key"), F.lit(parts)).cast("int"))
+    items = (base_questions.withColumn("scenario", F.explode(F.array(*[F.lit(s) for s in R.SCENARIOS])))
+             .withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))))
+    return (keys.join(items, ["scenario", "_part"])
+            .select("scenario", "unit_key", "country", "language", "criterion_id", "question_type",
+                    build_question("text", "scenario", "country", "language").alias("question")))
+
+
 def build_questionnaire(units: DataFrame, base_questions: DataFrame) -> DataFrame:
     """Questions of every questionnaire (J12): each English item, for each unit key
     of each scenario, built by ``build_question``; one row per (scenario,
     unit_key, criterion_id) with the three question types as columns.
 
-    Items meet unit keys through an equi join on the scenario (every item is
-    fanned out to the 3 scenarios first) -- the output is the questionnaire itself.
+    Question types are columns; see :func:`question_rows`.
     """
-    keys = questionnaire_units(units)
-    items = base_questions.withColumn("scenario", F.explode(F.array(*[F.lit(s) for s in R.SCENARIOS])))
-    q = (items.join(keys, "scenario")
-         .withColumn("question", build_question("text", "scenario", "country", "language")))
+    q = question_rows(units, base_questions)
     return (q.groupBy("scenario", "unit_key", "criterion_id").pivot("question_type", R.QUESTION_TYPES)
             .agg(F.first("question"))
             .select("scenario", "unit_key", "criterion_id", *[F.col(t).alias(t.lower()) for t in R.QUESTION_TYPES]))
@@ -89,6 +101,6 @@ def build_prompts(questionnaire: DataFrame, units: DataFrame, prompts: DataFrame
     with_lang = long.join(keys, ["scenario", "unit_key"]).withColumn(
         "prompt_language", prompt_language("scenario", "language"))
     instr = prompts.where(F.col("status") == "ok").select(F.col("language").alias("prompt_language"), "prompt")
-    return (with_lang.join(bounded_broadcast(instr), "prompt_language", "inner")
+    return (with_lang.join(instr, "prompt_language", "inner")
             .select("scenario", "unit_key", "criterion_id", "question_type", "prompt_language",
                     build_prompt("question", "prompt").alias("full_prompt")))

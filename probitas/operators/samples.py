@@ -11,17 +11,17 @@ from pyspark.sql import types as T
 
 from probitas import rules as R
 from probitas.functions.numeric import np_round
-from probitas.functions.text import normalize_answer
+from probitas.functions.text import NOT_BLANK, normalize_answer
 from probitas.operators.adjust import stance_score_rounded
 from probitas.operators.units import UNIT
-from probitas.session import bounded_broadcast, ship_package
+from probitas.session import materialize, ship_package
 
 GROUP = UNIT + ["criterion_id", "question_type"]
 
 
 def drop_empty_responses(samples: DataFrame, response: str = "response") -> DataFrame:
     """Drop missing or blank responses before samples are counted."""
-    return samples.where(F.col(response).isNotNull() & F.col(response).rlike(r"\S"))
+    return samples.where(F.col(response).isNotNull() & F.col(response).rlike(NOT_BLANK))
 
 
 def top_k_per_group(df: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:
@@ -50,7 +50,7 @@ def label_samples(samples: DataFrame, prompts: DataFrame) -> DataFrame:
     """
     toks = prompts.select(F.col("language").alias("prompt_language"), F.col("yes").alias("_yes"),
                           F.col("no").alias("_no"))
-    return (samples.join(bounded_broadcast(toks), "prompt_language", "left")
+    return (samples.join(toks, "prompt_language", "left")
             .withColumn("answer", normalize_answer(F.col("response"), F.col("_yes"), F.col("_no")))
             .drop("_yes", "_no"))
 
@@ -60,7 +60,7 @@ def sample_scores(labelled: DataFrame, n_expected: int = R.SAMPLES_PER_QUESTION,
     """Per group: counts, mean (yes 1, no 0, undefined 0.5), coherence 1 - 4p(1-p)
     over the valid answers, validity n_valid / n_expected and their product (A1-A4).
 
-    All three scores are functions of the yes / no / undefined counts, so this is
+    Labels other than yes, no and undefined take no part in the scores; ``n_unknown`` reports them. All three scores are functions of the yes / no / undefined counts, so this is
     a plain partial aggregation.
     """
     a = F.col("answer")
@@ -68,7 +68,8 @@ def sample_scores(labelled: DataFrame, n_expected: int = R.SAMPLES_PER_QUESTION,
         F.count(F.lit(1)).alias("n_samples"),
         F.sum(F.when(a == R.YES, 1).otherwise(0)).alias("n_yes"),
         F.sum(F.when(a == R.NO, 1).otherwise(0)).alias("n_no"),
-        F.sum(F.when(a == R.UNDEFINED, 1).otherwise(0)).alias("n_undefined"))
+        F.sum(F.when(a == R.UNDEFINED, 1).otherwise(0)).alias("n_undefined"),
+        F.sum(F.when(F.coalesce(a.isin(R.YES, R.NO, R.UNDEFINED), F.lit(False)), 0).otherwise(1)).alias("n_unknown"))
     return scores_from_counts(counts, n_expected)
 
 
@@ -106,25 +107,56 @@ def answer_rows(scores: DataFrame) -> DataFrame:
         F.col(f"{R.OPPOSITION}_w").alias("stance_weighted"))
 
 
-def incremental_scores(scored: DataFrame, new_samples: DataFrame, prompts: DataFrame,
+def incremental_scores(scored: DataFrame, stored: DataFrame, new_samples: DataFrame, prompts: DataFrame,
                        n: int = R.SAMPLES_PER_QUESTION) -> DataFrame:
-    """Score newly arrived samples of groups not scored yet and append them;
-    already-scored groups are left alone (I1; anti join + union, U2)."""
-    fresh = new_samples.join(scored.select(*GROUP), GROUP, "left_anti")
-    new_scores = sample_scores(label_samples(first_n_samples(fresh, n), prompts))
-    return scored.unionByName(new_scores.select(*scored.columns))
+    """Scores after new samples have arrived, in any order: equal to scoring all samples at once.
+
+    ``stored`` holds the samples that ``scored`` was made from, at most ``n`` per group (``first_n_samples``). The
+    first ``n`` of those and the new ones are the first ``n`` of all, so only groups with new samples are scored again.
+    """
+    arrived = drop_empty_responses(new_samples)
+    touched = arrived.select(*GROUP).distinct()
+    cols = [c for c in new_samples.columns if c in stored.columns]
+    merged = stored.join(touched, GROUP, "left_semi").select(*cols).unionByName(arrived.select(*cols))
+    rescored = sample_scores(label_samples(first_n_samples(merged, n), prompts), n)
+    return scored.join(touched, GROUP, "left_anti").unionByName(rescored.select(*scored.columns))
 
 
 Responder = Callable  # Iterator[pd.DataFrame] -> Iterator[pd.DataFrame]
 
 
 def collect_samples(prompts: DataFrame, responder: Responder, n: int = R.SAMPLES_PER_QUESTION,
-                    max_attempts: int = 2 * R.SAMPLES_PER_QUESTION) -> DataFrame:
-    """Fan every prompt out to ``max_attempts`` attempts, answer them with a
-    user-supplied responder (``mapInPandas`` over Arrow batches; it must add a
-    string column ``response``), and keep the first ``n`` non-empty responses (X1)."""
+                    max_attempts: int = 10 * R.SAMPLES_PER_QUESTION) -> DataFrame:
+    """Ask a user-supplied responder until every question has ``n`` non-empty replies.
+
+    ``prompts`` has one row per question (GROUP). The responder runs in ``mapInPandas`` and adds a string column
+    ``response`` to rows that carry ``sample_order``, the number of the attempt. Each round asks only the
+    questions still short, and only for as many replies as they lack; a round is a written table, so nothing
+    is asked twice. A question that is short after ``max_attempts`` attempts is not lost: all rows carry
+    ``n_samples`` and ``status`` (complete or short), and one without any reply has a row with a null response.
+    """
     ship_package(prompts.sparkSession)
-    attempts = prompts.withColumn("sample_order", F.explode(F.sequence(F.lit(1), F.lit(max_attempts))))
-    schema = T.StructType(attempts.schema.fields + [T.StructField("response", T.StringType())])
-    answered = attempts.mapInPandas(responder, schema)
-    return first_n_samples(answered, n)
+    schema = T.StructType(prompts.schema.fields + [T.StructField("sample_order", T.IntegerType()), T.StructField("response", T.StringType())])
+    short = prompts.withColumn("_have", F.lit(0)).withColumn("_asked", F.lit(0))
+    rounds, finished = [], []
+    while True:
+        upto = F.least(F.col("_asked") + n - F.col("_have"), F.lit(max_attempts))
+        asked = short.withColumn("sample_order", F.explode(F.sequence(F.col("_asked") + 1, upto))).drop("_have", "_asked")
+        answers = materialize(asked.mapInPandas(responder, schema), "answers")
+        rounds.append(drop_empty_responses(answers))
+        got = rounds[-1].groupBy(*GROUP).agg(F.count(F.lit(1)).cast("int").alias("_got"))
+        state = materialize(short.withColumn("_asked", upto).join(got, GROUP, "left")
+                            .withColumn("_have", F.col("_have") + F.coalesce("_got", F.lit(0))).drop("_got"), "asked")
+        over = (F.col("_have") >= n) | (F.col("_asked") >= max_attempts)
+        finished.append(state.where(over).select(*prompts.columns, F.col("_have").alias("n_samples")))
+        short = state.where(~over)
+        if not short.limit(1).count():
+            break
+    replies, questions = rounds[0], finished[0]
+    for more in rounds[1:]:
+        replies = replies.unionByName(more)
+    for more in finished[1:]:
+        questions = questions.unionByName(more)
+    numbered = top_k_per_group(replies, GROUP, [F.col("sample_order")], n).withColumnRenamed("_rank", "sample_no")
+    return (questions.join(numbered.select(*GROUP, "sample_order", "response", "sample_no"), GROUP, "left")
+            .withColumn("status", F.when(F.col("n_samples") >= n, "complete").otherwise("short")))

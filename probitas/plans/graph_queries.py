@@ -5,6 +5,7 @@ from __future__ import annotations
 from probitas import rules as R
 from probitas.operators import graph as G
 from probitas.plans import sql_inputs as S
+from probitas.plans.inputs import Inputs
 from probitas.plans.registry import register
 from probitas.sources import driver_tables as D
 
@@ -63,22 +64,25 @@ gcomplete AS (
     AND language_code IS NOT NULL AND country_code IS NOT NULL)"""
 
 
+def _bindings(spark, sf_dir):
+    return G.country_bindings(Inputs.of(spark, sf_dir).triples, D.graph_subjects(spark, sf_dir))
+
+
 def _rows(spark, sf_dir):
-    return G.complete_bindings(G.normalize_names(G.country_bindings(D.triples(spark, sf_dir),
-                                                                    D.graph_subjects(spark, sf_dir))))
+    return G.complete_bindings(G.normalize_names(_bindings(spark, sf_dir)))
 
 
 @register("triples_to_countries", S.with_inputs("SELECT * FROM bindings", _triples_cte()))
 def triples_to_countries(spark, sf_dir):
     """Country bindings of the graph pattern: subject list, paired optional language
     and code, optional ISO code and English demonym, labels with fallback (G1-G6)."""
-    return G.country_bindings(D.triples(spark, sf_dir), D.graph_subjects(spark, sf_dir))
+    return _bindings(spark, sf_dir)
 
 
 @register("normalize_names", S.with_inputs("SELECT * FROM gnorm", _triples_cte()))
 def normalize_names(spark, sf_dir):
     """Country / language name rules applied to the bindings."""
-    return G.normalize_names(G.country_bindings(D.triples(spark, sf_dir), D.graph_subjects(spark, sf_dir)))
+    return G.normalize_names(_bindings(spark, sf_dir))
 
 
 _COLLECT_SQL = S.with_inputs("""
@@ -106,5 +110,4 @@ def collect_country_languages(spark, sf_dir):
 def language_counts(spark, sf_dir):
     """Language rows, distinct codes and distinct countries of the reference data,
     plus the bindings skipped for a missing field (A22)."""
-    return G.language_counts(G.normalize_names(G.country_bindings(D.triples(spark, sf_dir),
-                                                                  D.graph_subjects(spark, sf_dir))))
+    return G.language_counts(G.normalize_names(_bindings(spark, sf_dir)))

@@ -66,6 +66,10 @@ class Inputs:
     def samples(self) -> DataFrame:
         return self._stage(D.samples(self.spark, self.sf_dir, self.rules.n_criteria), "samples")
 
+    @cached_property
+    def triples(self) -> DataFrame:
+        return self._stage(D.triples(self.spark, self.sf_dir), "triples")
+
     @cached_property
     def prompts(self) -> DataFrame:
         """Instruction and yes / no tokens per language (the prompt table), staged once."""

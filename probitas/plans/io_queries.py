@@ -14,7 +14,7 @@ from probitas.plans import sql_inputs as S
 from probitas.plans import sql_text as ST
 from probitas.plans.inputs import Inputs, staged_comparison
 from probitas.plans.registry import register
-from probitas.session import stage_path
+from probitas.session import materialize, stage_path
 from probitas.sources import driver_tables as D
 from probitas.sources import io as IO
 
@@ -115,10 +115,11 @@ def stratified_sample(spark, sf_dir):
 
 
 def _bt_half(spark, sf_dir, first: bool):
+    """Scores of one half of the questions, as a stored table."""
     pairs = D.translation_pairs(spark, sf_dir)
     mid = D.read(spark, sf_dir, "embeddings").agg(F.floor(F.max("vec_id") / 4)).scalar()
     part = pairs.where(F.col("question_id") < mid) if first else pairs.where(F.col("question_id") >= mid)
-    return TR.backtranslation_score(TR.pair_similarity(part)).select("model", "language", "score")
+    return materialize(TR.backtranslation_score(TR.pair_similarity(part)).select("model", "language", "score"), "bt-half")
 
 
 _MID = "(SELECT floor(max(vec_id) / 4) FROM embeddings)"

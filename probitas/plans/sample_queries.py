@@ -11,6 +11,7 @@ from probitas.plans import sql_inputs as S
 from probitas.plans import sql_text as ST
 from probitas.plans.inputs import Inputs
 from probitas.plans.registry import register
+from probitas.session import materialize
 from probitas.sources import driver_tables as D
 
 GRP = "scenario, model, unit_key, criterion_id, question_type"
@@ -99,31 +100,22 @@ def answer_rows(spark, sf_dir):
     return SM.answer_rows(_scores(spark, sf_dir))
 
 
-_SPLIT = "(SELECT (min(event_id) + max(event_id)) / 2 FROM events)"
-_INCR_SQL = S.with_inputs(
-    f"SELECT {GRP}, n_samples, n_yes, n_no, n_undefined, mean, coherence, validity, weighted FROM scores "
-    f"UNION ALL SELECT {GRP}, n_samples, n_yes, n_no, n_undefined, mean, coherence, validity, weighted FROM scores2",
-    S.cte_countries(), S.cte_pairs(), ST.cte_countries_langs(), ST.cte_prompt_table(),
-    ST.cte_samples().replace("  FROM ev_u)", f"  FROM ev_u WHERE event_id < {_SPLIT})"),
-    ST.cte_scored_samples(),
-    ST.cte_samples().replace("ev_u AS (", "ev_u2 AS (").replace("samples AS (", "samples2 AS (")
-    .replace("FROM ev_u)", f"FROM ev_u2 WHERE event_id >= {_SPLIT})"),
-    ST.cte_scored_samples().replace("FROM samples WHERE", "FROM samples2 s2 ANTI JOIN scores USING "
-                                    f"({GRP}) WHERE").replace("kept AS", "kept2 AS").replace("FROM kept", "FROM kept2")
-    .replace("firstn AS", "firstn2 AS").replace("FROM firstn f", "FROM firstn2 f").replace("labelled AS", "labelled2 AS")
-    .replace("FROM labelled", "FROM labelled2").replace("counts AS", "counts2 AS").replace("scores AS", "scores2 AS")
-    .replace("FROM counts)", "FROM counts2)"))
-
-
-@register("incremental_scores", _INCR_SQL)
+@register("incremental_scores", _sql(
+    f"SELECT {GRP}, n_samples, n_yes, n_no, n_undefined, mean, coherence, validity, weighted FROM scores"))
 def incremental_scores(spark, sf_dir):
-    """Scores of the first arrival batch, plus scores of groups first seen in the
-    second batch; groups already scored are left alone (I1, U2)."""
-    samples = Inputs.of(spark, sf_dir).samples
-    prompts = _prompts(spark, sf_dir)
-    # arrival split point as a scalar subquery (one number, no join)
-    split = D.read(spark, sf_dir, "events").agg(((F.min("event_id") + F.max("event_id")) / 2)).scalar()
-    first = samples.where(F.col("sample_order") < split)
-    second = samples.where(F.col("sample_order") >= split)
-    scored = SM.sample_scores(SM.label_samples(SM.first_n_samples(first), prompts))
-    return SM.incremental_scores(scored, second, prompts)
+    """Scores after three unequal arrivals, the middle part of the samples last: equal to
+    scoring all samples at once (I1, U2)."""
+    samples, prompts = Inputs.of(spark, sf_dir).samples, _prompts(spark, sf_dir)
+    low, high = samples.agg(F.min("sample_order"), F.max("sample_order")).first()
+    a, b = low + (high - low) // 4, low + (high - low) // 2
+    order = F.col("sample_order")
+    arrivals = [samples.where(order < a), samples.where(order >= b), samples.where((order >= a) & (order < b))]
+    stored = scored = None
+    for new in arrivals:
+        if stored is None:
+            stored = materialize(SM.first_n_samples(new), "first-samples")
+            scored = materialize(SM.sample_scores(SM.label_samples(stored, prompts)), "scores")
+        else:
+            scored = materialize(SM.incremental_scores(scored, stored, new, prompts), "scores")
+            stored = materialize(SM.first_n_samples(stored.select(*new.columns).unionByName(new)), "first-samples")
+    return scored.drop("n_unknown")

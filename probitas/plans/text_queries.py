@@ -76,11 +76,8 @@ def _qsql(body: str, *extra: str) -> str:
 def build_question(spark, sf_dir):
     """Question text per item and unit key: article for some countries, scenario rules."""
     inp = Inputs.of(spark, sf_dir)
-    keys = Q.questionnaire_units(inp.units)
-    items = D.base_questions(spark, sf_dir).withColumn("scenario", F.explode(F.array(*[F.lit(s) for s in R.SCENARIOS])))
-    return (items.join(keys, "scenario")
-            .select("scenario", "unit_key", "criterion_id", "question_type",
-                    TX.build_question("text", "scenario", "country", "language").alias("question")))
+    rows = Q.question_rows(inp.units, D.base_questions(spark, sf_dir))
+    return rows.select("scenario", "unit_key", "criterion_id", "question_type", "question")
 
 
 _QWIDE = ("qwide AS (SELECT scenario, unit_key, criterion_id, " + ", ".join(
@@ -116,7 +113,7 @@ def build_prompt(spark, sf_dir):
 # Fixed test-responder rule: reply kind = (prompt length * 31 + attempt) % 5; the
 # instruction's first two quoted tokens stand for yes / no.
 RESPONDER_QUOTES = r'["«“]([^"»”]+)["»”][^"«“]*["«“]([^"»”]+)["»”]'
-MAX_ATTEMPTS = 2 * R.SAMPLES_PER_QUESTION
+ORACLE_ATTEMPTS = 2 * R.SAMPLES_PER_QUESTION  # the rule leaves one reply in five empty, so these hold five others
 
 
 def formula_responder(batches):
@@ -143,7 +140,7 @@ def _collect_sql() -> str:
     yes = f"coalesce(nullif(regexp_extract(full_prompt, {S.q(RESPONDER_QUOTES)}, 1), ''), 'yes')"
     no = f"coalesce(nullif(regexp_extract(full_prompt, {S.q(RESPONDER_QUOTES)}, 2), ''), 'no')"
     attempts = f"""attempts AS (
-  SELECT b.*, {S.q(D.TEST_MODELS[0])} AS model, CAST(unnest(range(1, {MAX_ATTEMPTS + 1})) AS INTEGER) AS sample_order
+  SELECT b.*, {S.q(D.TEST_MODELS[0])} AS model, CAST(unnest(range(1, {ORACLE_ATTEMPTS + 1})) AS INTEGER) AS sample_order
   FROM bprompts b),
 samples AS (
   SELECT *, CASE WHEN {kind} = 0 THEN {yes} || '.' WHEN {kind} = 1 THEN '**' || {no} || '**'
@@ -157,13 +154,13 @@ samples AS (
 
 @register("collect_samples", _collect_sql())
 def collect_samples(spark, sf_dir):
-    """Prompts fanned out to attempts, answered by a pluggable responder through
-    mapInPandas, first 5 non-empty responses per question, then scored (X1, I1)."""
+    """Every question asked through a pluggable responder (mapInPandas) until it has 5
+    non-empty replies, then scored (X1, A1-A4)."""
     inp = Inputs.of(spark, sf_dir)
     prompts = build_prompt(spark, sf_dir).withColumn("model", F.lit(D.TEST_MODELS[0]))
-    got = SM.collect_samples(prompts, formula_responder, max_attempts=MAX_ATTEMPTS)
-    labelled = SM.label_samples(got, _prompts(spark, sf_dir))
-    return SM.sample_scores(labelled)
+    got = SM.collect_samples(prompts, formula_responder)
+    labelled = SM.label_samples(SM.drop_empty_responses(got), _prompts(spark, sf_dir))
+    return SM.sample_scores(labelled).drop("n_unknown")
 
 
 def _bt_cte(name: str, where: str = "") -> str:

@@ -1,15 +1,15 @@
 """Streaming incremental scoring of arriving samples (Structured Streaming).
 
-Samples of a (unit, criterion, question type) group arrive over time; the first
-``n`` non-empty ones are scored. State per group is four integers (samples taken,
-yes, no, undefined), kept by ``applyInPandasWithState``; every micro-batch emits
-the updated groups, which ``foreachBatch`` appends with their batch id, so the
-latest row per group is the current score. Arrival is assumed to follow sample
-order within a group, as in sequential collection.
+Samples of a (unit, criterion, question type) group arrive over time and in any order; the first ``n``
+non-empty ones by sample order are scored. State per group is those at most ``n`` (order, answer) pairs, kept
+by ``applyInPandasWithState`` and merged chunk by chunk, so a group of any size in one micro-batch is never
+held whole. Only groups whose first ``n`` changed are emitted; ``foreachBatch`` appends them with their batch
+id, and the latest row per group is the current score: equal to scoring all samples at once.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import pandas as pd
@@ -23,7 +23,7 @@ from probitas.operators.samples import GROUP, drop_empty_responses, label_sample
 from probitas.session import ship_package
 
 COUNT_FIELDS = ["n_samples", "n_yes", "n_no", "n_undefined"]
-STATE_SCHEMA = T.StructType([T.StructField(c, T.LongType()) for c in COUNT_FIELDS])
+STATE_SCHEMA = T.StructType([T.StructField("orders", T.ArrayType(T.LongType())), T.StructField("answers", T.ArrayType(T.StringType()))])
 
 
 def _out_schema() -> T.StructType:
@@ -33,23 +33,19 @@ def _out_schema() -> T.StructType:
 
 
 def first_n_counter(n: int):
-    """State function: take up to ``n - taken`` samples of the batch in sample order."""
+    """State function: keep the first ``n`` samples of the group by sample order and count their answers."""
 
     def fn(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        taken, yes, no, und = state.get if state.exists else (0, 0, 0, 0)
-        if taken < n:
-            batch = pd.concat(list(pdfs), ignore_index=True).sort_values("sample_order", kind="stable")
-            take = batch.head(n - taken)
-            yes += int((take["answer"] == R.YES).sum())
-            no += int((take["answer"] == R.NO).sum())
-            und += int((take["answer"] == R.UNDEFINED).sum())
-            taken += len(take)
-            state.update((taken, yes, no, und))
-        else:
-            for _ in pdfs:
-                pass
+        before = list(zip(*state.get)) if state.exists else []
+        kept = before
+        for part in pdfs:
+            kept = heapq.nsmallest(n, [*kept, *zip(part["sample_order"].tolist(), part["answer"].tolist())], key=lambda x: x[0])
+        if kept == before:
+            return
+        state.update(([int(o) for o, _ in kept], [a for _, a in kept]))
+        answers = [a for _, a in kept]
         row = dict(zip(GROUP, key))
-        row.update(n_samples=taken, n_yes=yes, n_no=no, n_undefined=und)
+        row.update(n_samples=len(kept), n_yes=answers.count(R.YES), n_no=answers.count(R.NO), n_undefined=answers.count(R.UNDEFINED))
         yield pd.DataFrame([row])
 
     return fn

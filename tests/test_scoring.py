@@ -100,7 +100,7 @@ def test_completeness_gate_idempotent(spark):
 
 
 def test_first_n_samples_hot_group(spark):
-    """One group holding most rows: the salted top-k still returns its first n."""
+    """One group holding most rows: the top-k still returns its first n."""
     rows = [("s", "m", "k", 0, "Fact", i, "yes") for i in range(2000)]
     rows += [("s", "m", "k", 1, "Fact", i, "" if i % 2 else "no") for i in range(10)]
     df = spark.createDataFrame(rows, "scenario string, model string, unit_key string, criterion_id int, "
@@ -137,3 +137,50 @@ def test_gate_drops_hot_incomplete_unit(spark):
     weights = spark.createDataFrame([(c, 25.0) for c in range(4)], "criterion_id int, weight double")
     totals = {r.unit_key: r.fact_total for r in C.weighted_totals(items, weights, rules).collect()}
     assert totals == {"a": 50.0, "b": 50.0}
+
+
+def test_every_question_is_asked_until_it_has_enough_replies(spark):
+    """One question answers at once, one late, one never; nothing is asked more often than needed."""
+    asked = spark.sparkContext.accumulator(0)
+
+    def responder(batches):
+        for pdf in batches:
+            asked.add(len(pdf))
+            late = (pdf["full_prompt"] == "late") & (pdf["sample_order"] < 8)
+            yield pdf.assign(response=["" if l or p == "never" else ("yes" if k % 2 else " \u00a0yes.")
+                                       for l, p, k in zip(late, pdf["full_prompt"], pdf["sample_order"])])
+    rows = [("s", "m", "u", i, "Fact", p) for i, p in enumerate(["now", "late", "never"])]
+    prompts = spark.createDataFrame(rows, "scenario string, model string, unit_key string, criterion_id int, question_type string, full_prompt string")
+    got = SM.collect_samples(prompts, responder, n=5, max_attempts=20).collect()
+    by = {p: sorted((r.sample_order or 0, r.sample_no, r.n_samples, r.status) for r in got if r.full_prompt == p) for p in ("now", "late", "never")}
+    assert [r[0] for r in by["now"]] == [1, 2, 3, 4, 5] and {r[3] for r in by["now"]} == {"complete"}
+    assert [r[0] for r in by["late"]] == [8, 9, 10, 11, 12] and {r[2] for r in by["late"]} == {5}
+    assert by["never"] == [(0, None, 0, "short")]
+    assert asked.value == 5 + 12 + 20
+
+
+def test_unknown_labels_are_reported(spark):
+    rows = [("s", "m", "u", 0, "Fact", a) for a in ("yes", "no", "perhaps", None)]
+    df = spark.createDataFrame(rows, "scenario string, model string, unit_key string, criterion_id int, question_type string, answer string")
+    r = SM.sample_scores(df).first()
+    assert (r.n_samples, r.n_yes, r.n_no, r.n_undefined, r.n_unknown, r["mean"]) == (4, 1, 1, 0, 2, 0.5)
+
+
+def test_question_product_is_spread(spark):
+    """A scenario is a key of three values; the product still comes out of many partitions."""
+    from pyspark.sql import functions as F
+
+    from probitas.operators import questionnaire as Q
+    units = spark.range(400).selectExpr("element_at(array('language_scenario', 'country_scenario'), cast(id % 2 as int) + 1) AS scenario",
+                                        "concat('k', id) AS unit_key", "cast(id as int) AS country_ord", "0 AS lang_pos",
+                                        "concat('C', id) AS country", "'English' AS language")
+    base = spark.range(30).selectExpr("cast(id as int) AS criterion_id", "'Fact' AS question_type", "concat('Text ', id) AS text")
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        q = Q.question_rows(units, base, spread=64).withColumn("p", F.spark_partition_id())
+        assert q.count() == 12_000 and q.select("p").distinct().count() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
