@@ -19,6 +19,7 @@ from probitas.llm.common import materialize, words
 SYMBOLS = "#*$%&|<>"
 ABSTAIN, BAD, GOOD = 0, 1, 2
 MAX_FALSE_ALARM = 0.005  # most of the good documents on which a rule may vote bad
+MIN_HIT = 0.8            # least of a rule's own fault on which it votes bad
 
 
 @dataclass(frozen=True)
@@ -114,9 +115,16 @@ class LabelModel:
         return 1 / (1 + others)
 
 
+def _bounded(rates: list[float], least: float, most: float) -> list[float]:
+    """The rates with that of a bad vote kept between two bounds, the others in proportion."""
+    bad = min(most, max(least, rates[BAD]))
+    rest = (1 - bad) / (1 - rates[BAD])
+    return [bad if v == BAD else x * rest for v, x in enumerate(rates)]
+
+
 def fit(patterns: dict[tuple[int, ...], int], n_rules: int, rounds: int = 200, tolerance: float = 1e-9) -> LabelModel:
     """Expectation-maximisation over the counts of vote patterns, in a fixed order, with one pseudo-count per
-    outcome and at most MAX_FALSE_ALARM bad votes on good documents. It starts from "good unless some rule says
+    outcome and within MAX_FALSE_ALARM and MIN_HIT. It starts from "good unless some rule says
     bad", the blame shared by those rules."""
     rows = sorted(patterns.items())
     beliefs = []
@@ -135,10 +143,9 @@ def fit(patterns: dict[tuple[int, ...], int], n_rules: int, rounds: int = 200, t
                 for j, v in enumerate(votes):
                     counts[c][j][v] += n * q
         rates = [[[x / sum(r) for x in r] for r in k] for k in counts]
-        for r in rates[0]:  # a rule seldom accuses good documents, else it would not be one
-            if r[BAD] > MAX_FALSE_ALARM:
-                rest = (1 - MAX_FALSE_ALARM) / (1 - r[BAD])
-                r[:] = [MAX_FALSE_ALARM if v == BAD else x * rest for v, x in enumerate(r)]
+        for j in range(n_rules):
+            rates[0][j] = _bounded(rates[0][j], 0.0, MAX_FALSE_ALARM)        # a rule seldom accuses good documents
+            rates[j + 1][j] = _bounded(rates[j + 1][j], MIN_HIT, 1.0)        # and mostly sees the fault it is named for
         model = LabelModel(tuple(t / sum(total) for t in total), tuple(tuple(map(tuple, k)) for k in rates))
         new = [model.beliefs(v) for v, _ in rows]
         moved, beliefs = max((abs(a[0] - b[0]) for a, b in zip(new, beliefs)), default=0.0), new

@@ -2,9 +2,9 @@
 
 A fingerprint's 64 bits are cut into a ring of ``2 * max_bits + 1`` segments. If two fingerprints differ in at
 most ``max_bits`` bits, then from some segment on every chain of consecutive segments stays within its
-proportional budget: the first l segments differ in at most ``l * max_bits / segments`` bits. The budgets of the
-first ``max_bits`` segments are below one, so these must be equal: together they are the bucket key. Pairs
-in a bucket must keep the budgets of the whole chain before the full Hamming distance is taken.
+proportional budget: the first l segments differ in at most ``l * max_bits / segments`` bits. The budgets of the first
+segments (two, as a rule) are below one, so these must be equal: together they are the bucket key. Pairs in a
+bucket must keep the budgets of the whole chain before the full Hamming distance is taken.
 
 Equal fingerprints are one node; buckets larger than a block are split into pairs of blocks; a task emits a tree over
 linked fingerprints, never the pairs.
@@ -119,10 +119,13 @@ def fingerprint_links(distinct: DataFrame, max_bits: int) -> DataFrame:
     """src, dst: edges that connect all fingerprints (column fp, distinct) with at most ``max_bits`` differing bits."""
     segs = segments(max_bits)
     m = len(segs)
+    equal = (m - 1) // max_bits if max_bits else m  # segments whose budget is below one
+
+    def bits(first: int, width: int):
+        return F.col("fp") if width == 64 else F.shiftrightunsigned("fp", first).bitwiseAND((1 << width) - 1)
 
     def key(i: int):
-        parts = [F.shiftrightunsigned("fp", segs[(i + k) % m][0]).bitwiseAND((1 << segs[(i + k) % m][1]) - 1)
-                 for k in range(max_bits)]
+        parts = [bits(*segs[(i + k) % m]) for k in range(equal)]
         return F.struct(F.lit(i).alias("start"), F.xxhash64(F.lit(i), *parts).alias("bucket"))
 
     keyed = distinct.select("fp", F.explode(F.array(*[key(i) for i in range(m)])).alias("k")).select("fp", "k.start", "k.bucket")
