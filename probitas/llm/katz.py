@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 from probitas.llm.blocks import SHIPPED, block_texts, blocks, by_key, pack, ship_texts, unpack
 from probitas.llm.common import materialize, ship_package
 
-ROWS, BYTES = 6000, 16_000_000  # a block: more documents share more n-grams
+ROWS, BYTES = 4000, 10_000_000  # a block: more documents share more n-grams
+HASHED = 500_000                # bytes of texts hashed together
 CUT = 5                         # counts above this get the discount of this
 END, START = np.uint64(0xE4D), np.uint64(0x57A27)  # hashes of the end of a text and of what stands before it
 
@@ -45,6 +46,13 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(token hashes of all texts, tokens per text): the words, A-Z lower-cased, and an end after each text."""
+    sizes = np.cumsum([len(t) for t in texts])
+    edges = [0, *(np.flatnonzero(np.diff(sizes // HASHED)) + 1).tolist(), len(texts)]
+    parts = [_tokens(texts[a:z]) for a, z in zip(edges, edges[1:])]
+    return np.concatenate([t for t, _ in parts]), np.concatenate([n for _, n in parts])
+
+
+def _tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     data = _LOWER[np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)]
     inside = ~_SPACE[data]
     edge = np.diff(np.concatenate([[0], inside.view(np.int8), [0]]))
@@ -277,12 +285,12 @@ def _finish(states: pd.DataFrame, weights: pd.DataFrame) -> pd.DataFrame:
                          "base_score": partial["base"], "score": partial["score"] + more})
 
 
-def score_documents(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_documents(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_col: str = "text", scan: bool = False) -> DataFrame:
     """One row per document: ``id_col``, trained (whether it was learnt from), n_tokens, n_known, train_tokens, base_score
     (add-one unigram) and score, both log10 probabilities of the whole text.
 
-    ``docs`` is read twice and must give the same rows in the same order each time, as a table scan does. Ids are longs
-    of less than 63 bits.
+    ``scan`` says that ``docs`` is a table scan, which gives the same rows in the same order whenever it is read; anything else
+    is written first, as the texts are read twice. Ids are longs of less than 63 bits.
 
     Defined cases: null and empty texts are one end token; ``trains`` that is null counts as false; null ids are scored and come
     back null; repeated rows are counted and scored each; with nothing to learn from the base score gives every token
@@ -294,6 +302,8 @@ def score_documents(docs: DataFrame, trains: Column, id_col: str = "doc_id", tex
     flag = F.when(F.coalesce(trains, F.lit(False)), 1).otherwise(0)
     known = F.coalesce(F.col(id_col).cast("long"), F.lit(-(2 ** 62)))
     source = docs.select((known * 2 + flag).alias("id"), F.col(text_col).alias("text"))
+    if not scan:
+        source = materialize(source, "katz-input")
     shards = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     sent = source.mapInArrow(_count_block(shards), "shard int, block long, words binary, grams binary")
     counted = materialize(sent.groupBy("shard").applyInPandas(
