@@ -84,10 +84,10 @@ class Inputs:
 _STAGED: dict = {}
 
 
-def staged_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The comparison table written once per session and data directory, then
-    re-read by every roll-up (the one stage boundary of the evaluation)."""
+def staged_comparison(spark: SparkSession, sf_dir: str, again: bool = False) -> DataFrame:
+    """The comparison table written once per session and data directory, then re-read by every roll-up (the one
+    stage boundary of the evaluation); ``again`` computes and writes it anew."""
     key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _STAGED:
+    if again or key not in _STAGED:
         _STAGED[key] = materialize(Inputs.of(spark, sf_dir).comparison(), "comparison")
     return _STAGED[key]

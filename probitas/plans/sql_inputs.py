@@ -48,17 +48,25 @@ def erfc_sql(x: str) -> str:
     return f"(({t} * ({a1} + {t} * ({a2} + {t} * ({a3} + {t} * ({a4} + {t} * {a5}))))) * exp(-(({x}) * ({x}))))"
 
 
+N_GROUPS = f"(SELECT greatest(1, count(*) // {D.SUPPLIERS_PER_GROUP}) FROM supplier)"
+
+
+def of_group(values: list, idx: str, sep: str = "") -> str:
+    n = len(values)
+    return f"({pick(values, idx)} || CASE WHEN ({idx}) // {n} > 0 THEN {q(sep)} || CAST(({idx}) // {n} AS VARCHAR) ELSE '' END)"
+
+
 def cte_countries() -> str:
-    ids = [c[0] for c in D.COUNTRY_FIXTURE]
     names = [c[1] for c in D.COUNTRY_FIXTURE]
     cits = [c[2] for c in D.COUNTRY_FIXTURE]
     langs = "[" + ", ".join(lst([l for l, _ in c[3]]) for c in D.COUNTRY_FIXTURE) + "]"
     codes = "[" + ", ".join(lst([k for _, k in c[3]]) for c in D.COUNTRY_FIXTURE) + "]"
     i = "CAST(r_regionkey % 5 AS INTEGER) + 1"
+    at = "(CAST(r_regionkey % 5 AS BIGINT) + 5 * g)"
     return f"""countries AS (
-  SELECT {lst(ids)}[{i}] AS country_id, {lst(names)}[{i}] AS country, {lst(cits)}[{i}] AS citizenship,
-         {langs}[{i}] AS languages, {codes}[{i}] AS language_codes, CAST(r_regionkey AS INTEGER) AS ord
-  FROM region)"""
+  SELECT {of_group(D.COUNTRY_IDS, at)} AS country_id, {of_group(names, at, ' ')} AS country, {lst(cits)}[{i}] AS citizenship,
+         {langs}[{i}] AS languages, {codes}[{i}] AS language_codes, CAST(r_regionkey + 5 * g AS INTEGER) AS ord
+  FROM (SELECT *, unnest(range(0, {N_GROUPS})) AS g FROM region))"""
 
 
 def cte_pairs() -> str:
@@ -84,7 +92,9 @@ def cte_units(models=None) -> str:
 
 def cte_item_scores(n: int = R.TEST_RULES.n_criteria) -> str:
     sc = pick(R.SCENARIOS, "l_linenumber")
-    uk = {s: pick(D.UNIT_KEYS[s], "l_orderkey") for s in R.SCENARIOS}
+    uk = {R.SCENARIO_LANGUAGE: pick(D.LANGUAGE_CODES, "l_orderkey"),
+          R.SCENARIO_COUNTRY: of_group(D.COUNTRY_IDS, f"(l_orderkey % ({D.N_COUNTRIES} * {N_GROUPS}))"),
+          R.SCENARIO_LANGUAGE_COUNTRY: of_group(D.PAIR_KEYS, f"(l_orderkey % ({len(D.PAIR_KEYS)} * {N_GROUPS}))")}
     p = "(l_discount * 10)"
     qq = "(l_quantity / 50.0)"
     fval = npr("(l_partkey % 6) / 5.0", 2)
@@ -118,12 +128,12 @@ item_scores AS (
 
 
 def cte_truth_long(n: int = R.TEST_RULES.n_criteria) -> str:
-    ids = [c[0] for c in D.COUNTRY_FIXTURE]
+    at = f"(o_orderkey % ({D.N_COUNTRIES} * {N_GROUPS}))"
     return f"""truth_long AS (
   SELECT country_id, criterion_id,
          CAST(CASE WHEN status = 'F' THEN 1.0 WHEN status = 'P' THEN 0.5 ELSE 0.0 END AS DOUBLE) AS score
   FROM (SELECT country_id, criterion_id, arg_max(o_orderstatus, o_orderkey) AS status
-        FROM (SELECT {pick(ids, 'o_orderkey')} AS country_id, CAST(o_custkey % {n} AS INTEGER) AS criterion_id,
+        FROM (SELECT {of_group(D.COUNTRY_IDS, at)} AS country_id, CAST(o_custkey % {n} AS INTEGER) AS criterion_id,
                      o_orderkey, o_orderstatus FROM orders)
         GROUP BY country_id, criterion_id))"""
 

@@ -6,8 +6,9 @@ in ``probitas.plans.sql_inputs`` and ``sql_text`` so that the DuckDB oracle sees
 
 Fixture universe (attached by region key / modulo of the driver ids):
 
-* 5 countries (one per ``region`` row) with 1-2 languages each; Serbian is shared
-  by two countries, so language files fan out to several countries;
+* five countries with 1-2 languages each per group of 25 rows of ``supplier`` (one group at least), so
+  units, answer rows and truth grow with the tables; a language is spoken in several countries, so
+  language files fan out to all of them;
 * 5 models (``l_suppkey % 5``), the last one not in the model list;
 * 20 criteria with the rules of ``TEST_RULES``.
 """
@@ -54,8 +55,7 @@ def _first_seen(seq):
 
 LANGUAGE_CODES = _first_seen(code for c in COUNTRY_FIXTURE for _, code in c[3])
 PAIR_KEYS = [f"{code}_{c[0]}" for c in COUNTRY_FIXTURE for _, code in c[3]]
-UNIT_KEYS = {R.SCENARIO_LANGUAGE: LANGUAGE_CODES, R.SCENARIO_COUNTRY: COUNTRY_IDS,
-             R.SCENARIO_LANGUAGE_COUNTRY: PAIR_KEYS}
+SUPPLIERS_PER_GROUP = 25
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,17 +67,32 @@ def _pick(values: list, idx) -> "F.Column":
     return F.element_at(F.array(*[F.lit(v) for v in values]), (idx % len(values)).cast("int") + 1)
 
 
+def n_groups(spark: SparkSession, sf_dir: str) -> int:
+    """Groups of the five countries: one per 25 suppliers, one at least."""
+    return max(1, read(spark, sf_dir, "supplier").count() // SUPPLIERS_PER_GROUP)
+
+
+def _of_group(values: list, idx, sep: str = ""):
+    """Element ``idx % n`` of the list, marked with its group ``idx div n`` from the second group on."""
+    group = F.floor(idx / len(values)).cast("int")
+    return F.concat(_pick(values, idx), F.when(group > 0, F.concat(F.lit(sep), group.cast("string"))).otherwise(F.lit("")))
+
+
 def countries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(country_id, country, citizenship, languages, language_codes, ord) from ``region``."""
+    """(country_id, country, citizenship, languages, language_codes, ord) from ``region``, for every group."""
     fixture = F.array(*[
         F.struct(F.lit(cid).alias("country_id"), F.lit(name).alias("country"), F.lit(cit).alias("citizenship"),
                  F.array(*[F.lit(l) for l, _ in langs]).alias("languages"),
                  F.array(*[F.lit(c) for _, c in langs]).alias("language_codes"))
         for cid, name, cit, langs in COUNTRY_FIXTURE])
     reg = read(spark, sf_dir, "region")
-    return (reg.select(F.col("r_regionkey").cast("int").alias("ord"),
-                       F.element_at(fixture, (F.col("r_regionkey") % N_COUNTRIES).cast("int") + 1).alias("c"))
-            .select("c.*", "ord"))
+    idx = (F.col("r_regionkey") % N_COUNTRIES).cast("int")
+    rows = (reg.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(n_groups(spark, sf_dir) - 1))))
+            .select((F.col("r_regionkey") + 5 * F.col("g")).cast("int").alias("ord"), F.element_at(fixture, idx + 1).alias("c"),
+                    (idx + N_COUNTRIES * F.col("g")).alias("i")))
+    return rows.select(_of_group(COUNTRY_IDS, F.col("i")).alias("country_id"),
+                       _of_group([c[1] for c in COUNTRY_FIXTURE], F.col("i"), " ").alias("country"),
+                       "c.citizenship", "c.languages", "c.language_codes", "ord")
 
 
 def item_scores(spark: SparkSession, sf_dir: str, n_criteria: int = R.TEST_RULES.n_criteria) -> DataFrame:
@@ -85,13 +100,14 @@ def item_scores(spark: SparkSession, sf_dir: str, n_criteria: int = R.TEST_RULES
     stance and the six response-quality columns) from ``lineitem``: one row per cell,
     the max of (orderkey, linenumber, partkey, suppkey, discount, tax, quantity)."""
     li = read(spark, sf_dir, "lineitem")
+    groups = n_groups(spark, sf_dir)
     scenario = _pick(R.SCENARIOS, F.col("l_linenumber"))
     keyed = li.select(
         scenario.alias("scenario"),
         _pick(TEST_MODELS, F.col("l_suppkey")).alias("model"),
-        F.when(scenario == R.SCENARIO_LANGUAGE, _pick(UNIT_KEYS[R.SCENARIO_LANGUAGE], F.col("l_orderkey")))
-        .when(scenario == R.SCENARIO_COUNTRY, _pick(UNIT_KEYS[R.SCENARIO_COUNTRY], F.col("l_orderkey")))
-        .otherwise(_pick(UNIT_KEYS[R.SCENARIO_LANGUAGE_COUNTRY], F.col("l_orderkey"))).alias("unit_key"),
+        F.when(scenario == R.SCENARIO_LANGUAGE, _pick(LANGUAGE_CODES, F.col("l_orderkey")))
+        .when(scenario == R.SCENARIO_COUNTRY, _of_group(COUNTRY_IDS, F.col("l_orderkey") % (N_COUNTRIES * groups)))
+        .otherwise(_of_group(PAIR_KEYS, F.col("l_orderkey") % (len(PAIR_KEYS) * groups))).alias("unit_key"),
         (F.col("l_partkey") % n_criteria).cast("int").alias("criterion_id"),
         F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_discount", "l_tax",
                  "l_quantity").alias("r"))
@@ -119,22 +135,21 @@ def item_scores(spark: SparkSession, sf_dir: str, n_criteria: int = R.TEST_RULES
 
 def truth_wide(spark: SparkSession, sf_dir: str, n_criteria: int = R.TEST_RULES.n_criteria) -> DataFrame:
     """Wide truth table (country_id, country, crit_0..crit_{n-1}) from ``orders``:
-    country ``o_orderkey % 5``, criterion ``o_custkey % n``, status of the max orderkey
+    country ``o_orderkey % (5 * groups)``, criterion ``o_custkey % n``, status of the max orderkey
     (F -> 1, P -> 0.5, O -> 0)."""
     o = read(spark, sf_dir, "orders")
-    cells = (o.select(_pick(COUNTRY_IDS, F.col("o_orderkey")).alias("country_id"),
+    cells = (o.select((F.col("o_orderkey") % (N_COUNTRIES * n_groups(spark, sf_dir))).alias("i"),
                       (F.col("o_custkey") % n_criteria).cast("int").alias("criterion_id"),
                       "o_orderkey", "o_orderstatus")
-             .groupBy("country_id", "criterion_id")
+             .groupBy("i", "criterion_id")
              .agg(F.max_by("o_orderstatus", "o_orderkey").alias("status"))
-             .select("country_id", F.concat(F.lit("crit_"), F.col("criterion_id").cast("string")).alias("crit"),
+             .select("i", F.concat(F.lit("crit_"), F.col("criterion_id").cast("string")).alias("crit"),
                      F.when(F.col("status") == "F", 1.0).when(F.col("status") == "P", 0.5)
                      .otherwise(0.0).alias("score")))
-    names = F.array(*[F.lit(c[1]) for c in COUNTRY_FIXTURE])
-    ids = F.array(*[F.lit(c[0]) for c in COUNTRY_FIXTURE])
-    wide = cells.groupBy("country_id").pivot("crit", [f"crit_{i}" for i in range(n_criteria)]).agg(F.first("score"))
-    return wide.select("country_id", F.element_at(names, F.array_position(ids, F.col("country_id")).cast("int"))
-                       .alias("country"), *[f"crit_{i}" for i in range(n_criteria)])
+    wide = cells.groupBy("i").pivot("crit", [f"crit_{i}" for i in range(n_criteria)]).agg(F.first("score"))
+    return wide.select(_of_group(COUNTRY_IDS, F.col("i")).alias("country_id"),
+                       _of_group([c[1] for c in COUNTRY_FIXTURE], F.col("i"), " ").alias("country"),
+                       *[f"crit_{i}" for i in range(n_criteria)])
 
 
 def weights(spark: SparkSession, sf_dir: str, n_criteria: int = R.TEST_RULES.n_criteria) -> DataFrame:
