@@ -95,7 +95,7 @@ def op1_vector_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the 50-byte strings that also start in a document of smaller id."""
     from probitas.llm.suffix_dedup import remove_repeats
-    return remove_repeats(table(spark, sf_dir, "documents"), keep=["doc_id"], with_text=False)
+    return remove_repeats(table(spark, sf_dir, "documents"), keep=["doc_id"], with_text=False, scan=True)
 
 
 @query
@@ -104,5 +104,5 @@ def op2_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     from probitas.llm.katz import score_documents
     docs = table(spark, sf_dir, "documents")
     held_out = F.coalesce(held_out_fold(F.col("doc_id"), 7) == 2, F.lit(False))
-    out = score_documents(docs, ~held_out)
+    out = score_documents(docs, ~held_out, scan=True)
     return out.select("doc_id", (~F.col("trained")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

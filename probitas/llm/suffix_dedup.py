@@ -4,8 +4,8 @@ A byte goes if it is covered by a string of ``length`` bytes that also starts in
 
 1. Anchors. Of the 16-byte grams of every ``length``-byte window the one of smallest hash is an anchor, so equal
    windows share an anchor at the same place. An anchor's context is all that such windows can reach.
-2. Shards. Anchors meet by hash. Equal contexts of larger ids are covered at once; where an anchor has
-   several contexts, one of each is kept for a closer look.
+2. Shards. Anchors meet by hash. Equal contexts of larger ids are covered at once; where several contexts of an
+   anchor agree on the 16 bytes before or behind it (as they must to share a window), one of each is kept.
 3. Suffix arrays. The kept contexts of a shard are sorted as suffixes (Larsson-Sadakane refinement); common prefixes of
    neighbours (Kasai's, one comparison per run) group equal windows; all but the smallest id are covered.
 4. Merging. Anchors that a sample of texts shows to be very frequent are dealt over all shards. Each shard sends
@@ -41,7 +41,7 @@ class Repeats:
     length: int = 50            # bytes
     sample: int = 2000          # documents looked at for very frequent anchors
     frequent: float = 0.01      # share of the sample from which an anchor is dealt over all shards
-    shards_per_partition: int = 2
+    shards_per_partition: int = 5
 
     @property
     def grams(self) -> int:
@@ -79,11 +79,12 @@ def _slide(x: np.ndarray, pick, width: int) -> np.ndarray:  # noqa: ANN001
 
 
 def anchors(data: np.ndarray, doc_ends: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """(positions, gram hashes, context hashes, bytes of context before, and from the anchor on) over texts laid end
-    to end; no window crosses a text's end."""
+    """(positions, gram hashes, context hashes, bytes of context before, and from the anchor on, 16-bit hashes of the 16
+    bytes before and behind the anchor, 0 where there are fewer) over texts laid end to end; no window crosses a
+    text's end."""
     n, w = len(data), length - GRAM + 1
     if n < length:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.uint64, np.uint64, np.int64, np.int64))
+        return tuple(np.zeros(0, t) for t in (np.int64, np.uint64, np.uint64, np.int64, np.int64, np.uint16, np.uint16))
     h = gram_hashes(data)
     least = _slide(h, np.minimum, w)  # one for each window
     crossing = np.zeros(len(least) + 1, np.int64)
@@ -103,23 +104,25 @@ def anchors(data: np.ndarray, doc_ends: np.ndarray, length: int) -> tuple[np.nda
     for at in range(0, 2 * length - GRAM, GRAM):  # grams that cover the context
         context = _mix(context * np.uint64(0xD6E8FEB86659FD93) + h[np.minimum(first + at, last)])
     context = _mix(context * np.uint64(0xD6E8FEB86659FD93) + h[last])
-    return chosen, h[chosen], context, before, after
+    left = np.where(before >= GRAM, h[np.maximum(chosen - GRAM, 0)] | np.uint64(1), np.uint64(0)).astype(np.uint16)
+    right = np.where(after >= 2 * GRAM, h[np.minimum(chosen + GRAM, len(h) - 1)] | np.uint64(1), np.uint64(0)).astype(np.uint16)
+    return chosen, h[chosen], context, before, after, left, right
 
 
 def text_anchors(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
-    """(text number, position in the text, gram hash, context hash, before, after) of all anchors."""
+    """(text number, position in the text, and the rest of :func:`anchors`) of all anchors."""
     out, held, size = [], [], 0
 
     def flush() -> None:
         nonlocal held, size
         data = np.frombuffer(b"".join(t for _, _, t in held), np.uint8)
         ends = np.cumsum([len(t) for _, _, t in held])
-        p, a, c, lo, hi = anchors(data, ends, length)
+        p, *rest = anchors(data, ends, length)
         which = np.searchsorted(ends, p, "right")
         starts = ends - [len(t) for _, _, t in held]
         number = np.array([k for k, _, _ in held], np.int64)
         offset = np.array([o for _, o, _ in held], np.int64)
-        out.append((number[which], p - starts[which] + offset[which], a, c, lo, hi))
+        out.append((number[which], p - starts[which] + offset[which], *rest))
         held, size = [], 0
 
     for k, t in enumerate(texts):
@@ -132,7 +135,7 @@ def text_anchors(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     if held:
         flush()
     if not out:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.uint64, np.uint64, np.int64, np.int64))
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.uint64, np.uint64, np.int64, np.int64, np.uint16, np.uint16))
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
@@ -153,32 +156,48 @@ def _words(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return out
 
 
-def suffix_array(words: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(positions in suffix order, rank of each position) to at least ``depth`` symbols: groups of equal prefix are
-    refined by the rank ``h`` symbols on, and h doubles; only groups still unsorted are touched."""
+_PACKED = 21  # bits: arrays up to this size are sorted as (key, key, place) in one number, which is several times faster
+
+
+def _sorted_places(major: np.ndarray, minor: np.ndarray, places: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places ordered by (major, minor), with whether each starts a new pair; all values are below n."""
+    if n <= 1 << _PACKED:
+        key = np.sort((major << 2 * _PACKED) | (minor << _PACKED) | places)
+        places, pair = key & ((1 << _PACKED) - 1), key >> _PACKED
+    else:
+        pair = major * n + minor
+        order = np.argsort(pair, kind="stable")
+        places, pair = places[order], pair[order]
+    return places, np.concatenate([[True], pair[1:] != pair[:-1]])
+
+
+def suffix_array(words: np.ndarray, depth: int) -> np.ndarray:
+    """Positions in suffix order, sorted to at least ``depth`` symbols: groups of equal prefix are refined by the rank
+    ``h`` symbols on, and h doubles; only groups still unsorted are touched (Larsson-Sadakane)."""
     n = len(words)
-    order = np.argsort(words, kind="stable")
-    sorted_words = words[order]
-    head = np.concatenate([[True], sorted_words[1:] != sorted_words[:-1]])
+    if not n:
+        return np.zeros(0, np.int64)
+    first = words >> 9 * (WORD - 3)  # three symbols: 27 bits, and 36 for the place
+    key = np.sort((first << 36) | np.arange(n))
+    order = key & ((1 << 36) - 1)
+    head = np.concatenate([[True], (key[1:] >> 36) != (key[:-1] >> 36)])
     rank = np.empty(n + 1, np.int64)
-    rank[n] = -1
     rank[order] = np.maximum.accumulate(np.where(head, np.arange(n), 0))
-    h = WORD
+    rank[n] = 0
+    h = 3
     while h < depth:
-        size = np.diff([*np.flatnonzero(head), n])
+        starts = np.flatnonzero(head)
+        size = np.diff(np.append(starts, n))
         open_slots = np.flatnonzero(np.repeat(size > 1, size))
         if not len(open_slots):
             break
         at = order[open_slots]
-        key = rank[at] * (n + 1) + rank[np.minimum(at + h, n)] + 1
-        by = np.argsort(key, kind="stable")
-        at, key = at[by], key[by]
+        at, new = _sorted_places(rank[at], rank[np.minimum(at + h, n)], at, n)
         order[open_slots] = at
-        first = np.concatenate([[True], key[1:] != key[:-1]])
-        head[open_slots] = first
-        rank[at] = np.maximum.accumulate(np.where(first, open_slots, 0))
+        head[open_slots] = new
+        rank[at] = np.maximum.accumulate(np.where(new, open_slots, 0))
         h *= 2
-    return order, rank[:n]
+    return order
 
 
 def common_prefixes(words: np.ndarray, left: np.ndarray, order: np.ndarray) -> np.ndarray:
@@ -219,31 +238,32 @@ def common_prefixes(words: np.ndarray, left: np.ndarray, order: np.ndarray) -> n
     return plcp[order]
 
 
-def equal_windows(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text number, offset, group, word key) of every window of ``length`` bytes, in suffix order; windows are equal
-    if their groups are."""
+def equal_windows(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
+    """(position, group) of every window of ``length`` bytes in suffix order, windows being equal if their groups are;
+    and for every position of the texts laid end to end with gaps its text number, its offset and its word."""
     sizes = np.array([len(t) for t in texts], np.int64)
     ends = np.cumsum(sizes)
-    data = np.frombuffer(b"".join(texts), np.uint8)
-    words = _words(data, ends)
-    n = len(words)
+    words = _words(np.frombuffer(b"".join(texts), np.uint8), ends)
     text = np.repeat(np.arange(len(texts)), sizes + 1)
-    offset = np.arange(n) - np.repeat(ends - sizes + np.arange(len(texts)), sizes + 1)
+    offset = np.arange(len(words)) - np.repeat(ends - sizes + np.arange(len(texts)), sizes + 1)
     left = np.repeat(sizes, sizes + 1) - offset
-    order, _ = suffix_array(words, length)
-    shared = common_prefixes(words, left, order)
-    group = np.cumsum(shared < length)
+    order = suffix_array(words, length)
+    group = np.cumsum(common_prefixes(words, left, order) < length)
     slots = np.flatnonzero(left[order] >= length)
-    at = order[slots]
+    return order[slots], group[slots], text, offset, words
+
+
+def window_keys(words: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """64-bit hashes of the windows that start at the given positions."""
     key = np.zeros(len(at), np.uint64)
     for k in [*range(0, length - WORD, WORD), length - WORD]:
         key = _mix(key * np.uint64(0xD6E8FEB86659FD93) + words[at + k].astype(np.uint64) + np.uint64(1))
-    return text[at], offset[at], group[slots], key
+    return key
 
 
 # ---- what the stages exchange, packed ----------------------------------------------------------
 
-ENTRY = {"a": "<u4", "a2": "u1", "c": "<u4", "c2": "<u2", "row": "<u4", "pos": "<u8", "id": "<i8", "lo": "u1", "hi": "u1", "deal": "u1"}
+ENTRY = {"a": "<u4", "c": "<u4", "c2": "<u2", "left": "<u2", "right": "<u2", "row": "<u2", "pos": "<u8", "id": "<i8", "lo": "u1", "hi": "u1", "deal": "u1"}
 COVER = {"row": "<u4", "start": "<i8", "end": "<i8"}
 REQUEST = {"row": "<u4", "pos": "<i8", "lo": "<i8", "hi": "<i8", "shard": "<i4", "deal": "u1"}
 CONTEXT = {"block": "<i8", "row": "<u4", "id": "<i8", "start": "<i8", "size": "<i8", "deal": "u1"}
@@ -253,11 +273,11 @@ LEADER = {"key": "<u8", "id": "<i8", "block": "<i8", "row": "<u4", "start": "<i8
 # ---- the stages ---------------------------------------------------------------------------------
 
 def strip_repeats(docs: DataFrame, how: Repeats = Repeats(), id_col: str = "doc_id", text_col: str = "text",
-                  size_col: str | None = "n_chars") -> DataFrame:
+                  size_col: str | None = "n_chars", scan: bool = False) -> DataFrame:
     """The documents with what remains of their texts (a null text comes back empty); ``size_col``, if there is such a column,
     is counted anew. All other columns stay. Cases are as in :func:`remove_repeats`."""
     names = {c: f"d{k}" for k, c in enumerate(docs.columns)}  # clash with no result column
-    out = remove_repeats(docs.toDF(*names.values()), how, names[id_col], names[text_col])
+    out = remove_repeats(docs.toDF(*names.values()), how, names[id_col], names[text_col], scan=scan)
     cols = []
     for f in docs.schema.fields:
         col = F.col(names[f.name]) if f.name != text_col else F.col("kept_text")
@@ -268,13 +288,13 @@ def strip_repeats(docs: DataFrame, how: Repeats = Repeats(), id_col: str = "doc_
 def _deal_anchors(how: Repeats, shards: int, frequent: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, ids, texts in blocks(batches):
-            row, pos, a, c, lo, hi = text_anchors(texts, how.length)
+            row, pos, a, c, lo, hi, left, right = text_anchors(texts, how.length)
             deal = np.isin(a, frequent)
             spread = (np.int64(block) * 1_000_003 + row * 7919) % shards
             shard = np.where(deal, spread, ((a >> np.uint64(40)) % np.uint64(shards)).astype(np.int64))
             rows = list(by_key(shard, {
-                "a": (a & np.uint64(0xFFFFFFFF)).astype("<u4"), "a2": (a >> np.uint64(32)).astype("u1"),
-                "c": (c & np.uint64(0xFFFFFFFF)).astype("<u4"), "c2": (c >> np.uint64(32)).astype("<u2"), "row": row.astype("<u4"),
+                "a": (a & np.uint64(0xFFFFFFFF)).astype("<u4"), "c": (c & np.uint64(0xFFFFFFFF)).astype("<u4"),
+                "c2": (c >> np.uint64(32)).astype("<u2"), "left": left, "right": right, "row": row.astype("<u2"),
                 "pos": pos.astype("<u8"), "id": ids[row] - row, "lo": lo.astype("u1"), "hi": hi.astype("u1"), "deal": deal.astype("u1")}))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([k for k, _ in rows], pa.int32()), pa.array([block] * len(rows), pa.int64()),
@@ -282,14 +302,19 @@ def _deal_anchors(how: Repeats, shards: int, frequent: np.ndarray):
     return run
 
 
-def _meet(part: pd.DataFrame) -> pd.DataFrame:
+def _meet(how: Repeats, lots: int):
     """A shard's anchors: what is covered by an equal context, and which contexts need a closer look."""
+    sided = how.length - GRAM >= 2 * GRAM - 1  # a window reaches a whole gram before the anchor or behind it
+    return lambda part: _met(part, sided, lots)
+
+
+def _met(part: pd.DataFrame, sided: bool, lots: int) -> pd.DataFrame:
     shard = int(part["shard"].iloc[0])
     x = gather(part["entries"], ENTRY)
     block = np.repeat(part["block"].to_numpy(), [len(b) // sum(np.dtype(k).itemsize for k in ENTRY.values()) for b in part["entries"]])
     row = x["row"].astype(np.int64)
     ids = x["id"] + row
-    a = x["a"].astype(np.uint64) | (x["a2"].astype(np.uint64) << np.uint64(32))
+    a = x["a"]
     c = x["c"].astype(np.uint64) | (x["c2"].astype(np.uint64) << np.uint64(32))
     order = np.lexsort((ids, c, a))
     a, c, ids = a[order], c[order], ids[order]
@@ -297,20 +322,22 @@ def _meet(part: pd.DataFrame) -> pd.DataFrame:
     new_c = new_a | np.concatenate([[True], c[1:] != c[:-1]])
     first_c = np.maximum.accumulate(np.where(new_c, np.arange(len(a)), 0))
     least = ids[first_c]  # the smallest id of the context
-    contexts = np.add.reduceat(new_c.astype(np.int64), np.flatnonzero(new_a))
-    several = np.repeat(contexts > 1, np.diff([*np.flatnonzero(new_a), len(a)]))
+    several = np.zeros(len(a), bool)
+    heads = np.flatnonzero(new_c)  # one of each context
+    sides = [x[side][order][heads] for side in ("left", "right")] if sided else [np.ones(len(heads), np.uint16)]
+    for side in sides:
+        same = a[heads].astype(np.uint64) << np.uint64(16) | side
+        _, which, times = np.unique(same, return_inverse=True, return_counts=True)
+        several |= ((times[which] > 1) & (side > 0))[np.cumsum(new_c) - 1]
     pos, lo, hi = (x[k][order].astype(np.int64) for k in ("pos", "lo", "hi"))
     block, row, deal = block[order], row[order], x["deal"][order]
     over = ids > least
     look = ~over & (several | (deal > 0))
-    out = []
-    for k, v in by_key(block[over], {"row": row[over].astype("<u4"), "start": (pos - lo)[over], "end": (pos + hi)[over]}):
-        out.append((k, pack(v), None))
+    covers = {"row": row[over].astype("<u4"), "start": (pos - lo)[over], "end": (pos + hi)[over]}
     asked = {"row": row[look].astype("<u4"), "pos": pos[look], "lo": lo[look], "hi": hi[look],
              "shard": np.full(look.sum(), shard, "<i4"), "deal": deal[look]}
-    for k, v in by_key(block[look], asked):
-        out.append((k, None, pack(v)))
-    return pd.DataFrame(out, columns=["block", "covers", "requests"])
+    out = [(k, v, None) for k, v in _by_lot(block[over], covers, lots)] + [(k, None, v) for k, v in _by_lot(block[look], asked, lots)]
+    return pd.DataFrame(out, columns=["lot", "covers", "requests"])
 
 
 def _fetch(texts: pd.DataFrame, requests: pd.DataFrame) -> pd.DataFrame:
@@ -332,7 +359,7 @@ def _fetch(texts: pd.DataFrame, requests: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["shard", "contexts", "data"])
 
 
-def _look(how: Repeats, ranges: int):
+def _look(how: Repeats, ranges: int, lots: int):
     """A shard's contexts in suffix order: equal windows of larger ids are covered; of windows around dealt-out anchors
     the first is sent on to the merge."""
     def run(part: pd.DataFrame) -> pd.DataFrame:
@@ -340,45 +367,57 @@ def _look(how: Repeats, ranges: int):
         x = gather(part["contexts"], CONTEXT)
         data = b"".join(open_.decompress(d) for d in part["data"])
         ends = np.cumsum(x["size"])
-        texts = [data[e - s:e] for s, e in zip(x["size"].tolist(), ends.tolist())]
-        text, offset, group, key = equal_windows(texts, how.length)
-        ids = x["id"][text]
-        order = np.lexsort((ids, group))
-        text, offset, group, key, ids = text[order], offset[order], group[order], key[order], ids[order]
-        new = np.concatenate([[True], group[1:] != group[:-1]]) if len(group) else np.zeros(0, bool)
-        first = np.maximum.accumulate(np.where(new, np.arange(len(group)), 0))
-        over = ids > ids[first]
-        out = _covers(x["block"][text[over]], x["row"][text[over]], x["start"][text[over]] + offset[over], how.length)
-        frequent = np.zeros(len(new), bool)
-        if len(new):  # a window counts as dealt out if any of its contexts is
-            frequent = np.repeat(np.maximum.reduceat(x["deal"][text], np.flatnonzero(new)) > 0, np.diff([*np.flatnonzero(new), len(new)]))
-        # rows of the smallest id of each window, all of them where an id occurs twice
-        lead = frequent & ~over
-        sent = {"key": key[lead], "id": ids[lead], "block": x["block"][text[lead]], "row": x["row"][text[lead]],
-                "start": x["start"][text[lead]] + offset[lead]}
-        run_order = np.argsort(sent["key"], kind="stable")
-        sent = {n: v[run_order] for n, v in sent.items()}
-        place = (sent["key"] >> np.uint64(32)).astype(np.int64) * ranges >> 32
-        rows = [(None, None, k, pack(v)) for k, v in by_key(place, sent)]
-        return pd.DataFrame([(*c, None, None) for c in out] + rows, columns=["block", "covers", "range", "leaders"]).astype(
-            {"block": "Int64", "range": "Int64"})
+        at, group, text, offset, words = equal_windows([data[e - s:e] for s, e in zip(x["size"].tolist(), ends.tolist())], how.length)
+        rows = []
+        if len(at):
+            ids, heads = x["id"][text[at]], np.flatnonzero(np.diff(group, prepend=-1))
+            size = np.diff(np.append(heads, len(group)))
+            over = ids > np.repeat(np.minimum.reduceat(ids, heads), size)
+            covered = np.zeros(len(text), bool)
+            covered[at[over]] = True
+            start = np.flatnonzero(covered)  # in the order of the contexts
+            rows += _by_lot(*_joined(x["block"][text[start]], x["row"][text[start]], x["start"][text[start]] + offset[start], how.length), lots)
+            # a window counts as dealt out if any of its contexts is; all rows of its smallest id go on
+            lead = at[(np.repeat(np.maximum.reduceat(x["deal"][text[at]], heads), size) > 0) & ~over]
+            key = window_keys(words, lead, how.length)
+            order = np.argsort(key, kind="stable")
+            key, lead = key[order], lead[order]
+            sent = {"key": key, "id": x["id"][text[lead]], "block": x["block"][text[lead]], "row": x["row"][text[lead]],
+                    "start": x["start"][text[lead]] + offset[lead]}
+            place = (key >> np.uint64(32)).astype(np.int64) * ranges >> 32
+            rows += [(None, None, k, pack(v)) for k, v in by_key(place, sent)]
+        return pd.DataFrame([r if len(r) == 4 else (*r, None, None) for r in rows], columns=["lot", "covers", "range", "leaders"]).astype(
+            {"lot": "Int64", "range": "Int64"})
     return run
 
 
-def _covers(block: np.ndarray, row: np.ndarray, start: np.ndarray, length: int) -> list[tuple[int, bytes]]:
-    """Windows as covered ranges by block, joined where they overlap."""
-    order = np.lexsort((start, row, block))
-    block, row, start = block[order], row[order].astype(np.int64), start[order]
+def _joined(block: np.ndarray, row: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """Windows, where possible in order, as (blocks, covered ranges): those that overlap the one before are joined to it."""
     if not len(block):
-        return []
-    new = np.concatenate([[True], (block[1:] != block[:-1]) | (row[1:] != row[:-1]) | (start[1:] > start[:-1] + length)])
+        return block, {"row": row.astype("<u4"), "start": start, "end": start}
+    new = np.ones(len(block), bool)
+    new[1:] = (block[1:] != block[:-1]) | (row[1:] != row[:-1]) | (start[1:] < start[:-1]) | (start[1:] > start[:-1] + length)
     first = np.flatnonzero(new)
-    last = np.concatenate([first[1:] - 1, [len(start) - 1]])
-    ranges = {"row": row[first].astype("<u4"), "start": start[first], "end": start[last] + length}
-    return [(k, pack(v)) for k, v in by_key(block[first], ranges)]
+    last = np.append(first[1:], len(start)) - 1
+    return block[first], {"row": row[first].astype("<u4"), "start": start[first], "end": start[last] + length}
+
+
+def _by_lot(block: np.ndarray, arrays: dict[str, np.ndarray], lots: int) -> list[tuple[int, bytes]]:
+    """Rows for several blocks together, so that a shard does not write one cell for every block there is."""
+    lot = ((block >> 24) * 1_000_003 + (block & 0xFFFFFF)) % lots
+    return [(k, pack(v)) for k, v in by_key(lot, {"block": block.astype("<i8"), **arrays})]
+
+
+def _per_block(name: str, kinds: dict[str, str]):
+    """Cells of a lot dealt out to its blocks."""
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        x = gather(part[name], {"block": "<i8", **kinds})
+        block = x.pop("block")
+        return pd.DataFrame([(k, pack(v)) for k, v in by_key(block, x)], columns=["block", name])
+    return run
 
 
-def _merge(how: Repeats):
+def _merge(how: Repeats, lots: int):
     """Sorted runs of window keys from all shards, merged: a window whose key is in another run with a smaller id is covered."""
     def run(part: pd.DataFrame) -> pd.DataFrame:
         runs = [unpack(b, LEADER) for b in part["leaders"]]
@@ -388,8 +427,9 @@ def _merge(how: Repeats):
         for r, at in zip(runs, found):
             np.minimum.at(least, at, r["id"])
         over = [r["id"] > least[at] for r, at in zip(runs, found)]
-        pick = lambda name: np.concatenate([r[name][o] for r, o in zip(runs, over)])
-        return pd.DataFrame(_covers(pick("block"), pick("row"), pick("start"), how.length), columns=["block", "covers"])
+        block, row, start = (np.concatenate([r[name][o] for r, o in zip(runs, over)]) for name in ("block", "row", "start"))
+        order = np.lexsort((start, row, block))
+        return pd.DataFrame(_by_lot(*_joined(block[order], row[order].astype(np.int64), start[order], how.length), lots), columns=["lot", "covers"])
     return run
 
 
@@ -433,7 +473,7 @@ def _frequent_anchors(docs: DataFrame, how: Repeats) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, _, a, _, _, _ = text_anchors([(t or "").encode() for t in batch.column(1).to_pylist()], how.length)
+            row, _, a, *_ = text_anchors([(t or "").encode() for t in batch.column(1).to_pylist()], how.length)
             if len(row):
                 own = np.unique(np.stack([row.astype(np.uint64), a], axis=1), axis=0)[:, 1]
                 yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int64))], names=["a"])
@@ -444,12 +484,13 @@ def _frequent_anchors(docs: DataFrame, how: Repeats) -> np.ndarray:
 
 
 def remove_repeats(docs: DataFrame, how: Repeats = Repeats(), id_col: str = "doc_id", text_col: str = "text",
-                   keep: list[str] | None = None, with_text: bool = True) -> DataFrame:
+                   keep: list[str] | None = None, with_text: bool = True, scan: bool = False) -> DataFrame:
     """One row per document: the columns named in ``keep`` (default: all but the text), n_bytes, n_removed, n_spans,
     kept_sha256 and, if asked for, kept (the remaining bytes), kept_text (the same without characters that were cut in
     two) and spans (the removed [start, end) ranges).
 
-    ``docs`` is read three times and must give the same rows in the same order each time, as a table scan does.
+    ``scan`` says that ``docs`` is a table scan, which gives the same rows in the same order whenever it is read; anything
+    else is written first, as the texts are read three times.
 
     Defined cases: a null text is empty; texts shorter than ``how.length`` lose nothing; a null id counts as larger than
     all others, and equal ids (null ones too) remove nothing from each other; repeated rows are judged alike; an
@@ -461,20 +502,25 @@ def remove_repeats(docs: DataFrame, how: Repeats = Repeats(), id_col: str = "doc
     kept = [c for c in ([c for c in docs.columns if c != text_col] if keep is None else keep) if c not in result]
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"),
                          *[F.col(c).alias(f"c{k}") for k, c in enumerate(kept)])
+    if not scan:
+        source = materialize(source, "repeats-input")
     plain = source.select("id", "text")
     shards = int(spark.conf.get("spark.sql.shuffle.partitions")) * how.shards_per_partition
     frequent = _frequent_anchors(plain, how)
     entries = plain.mapInArrow(_deal_anchors(how, shards, frequent), "shard int, block long, entries binary")
-    met = materialize(entries.groupBy("shard").applyInPandas(_meet, "block long, covers binary, requests binary"), "anchors")
-    requests = met.where(F.col("requests").isNotNull()).select("block", "requests")
+    lots = max(12, shards // (4 * how.shards_per_partition))
+    met = materialize(entries.groupBy("shard").applyInPandas(_meet(how, lots), "lot long, covers binary, requests binary"), "anchors")
+    requests = (met.where(F.col("requests").isNotNull()).select("lot", "requests").groupBy("lot")
+                .applyInPandas(_per_block("requests", REQUEST), "block long, requests binary"))
     contexts = (plain.mapInArrow(ship_texts(0), SHIPPED).groupBy("block").cogroup(requests.groupBy("block"))
                 .applyInPandas(_fetch, "shard int, contexts binary, data binary"))
     looked = materialize(contexts.groupBy("shard").applyInPandas(
-        _look(how, shards), "block long, covers binary, range long, leaders binary"), "suffixes")
+        _look(how, lots, lots), "lot long, covers binary, range long, leaders binary"), "suffixes")
     merged = (looked.where(F.col("range").isNotNull()).select("range", "leaders").groupBy("range")
-              .applyInPandas(_merge(how), "block long, covers binary"))
-    covers = (met.where(F.col("covers").isNotNull()).select("block", "covers")
-              .unionByName(looked.where(F.col("covers").isNotNull()).select("block", "covers")).unionByName(merged))
+              .applyInPandas(_merge(how, lots), "lot long, covers binary"))
+    covers = (met.where(F.col("covers").isNotNull()).select("lot", "covers")
+              .unionByName(looked.where(F.col("covers").isNotNull()).select("lot", "covers")).unionByName(merged)
+              .groupBy("lot").applyInPandas(_per_block("covers", COVER), "block long, covers binary"))
     schema = ", ".join([f"c{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(kept)] + [RESULT])
     out = (source.mapInArrow(ship_texts(len(kept)), SHIPPED).groupBy("block").cogroup(covers.groupBy("block"))
            .applyInPandas(_remove(len(kept), with_text), schema))
