@@ -64,7 +64,7 @@ COUNTRY_RECORD = T.StructType([T.StructField("country_id", T.StringType()),
 def read_countries(spark: SparkSession, path: str) -> DataFrame:
     """Countries document {name: {country_id, citizenships, languages, languages_code}}
     to the countries dimension; document order becomes ``ord``."""
-    doc = spark.read.option("wholetext", True).text(path)
+    doc = spark.read.text(path, wholetext=True)
     m = F.from_json("value", T.MapType(T.StringType(), COUNTRY_RECORD))
     return (doc.select(F.posexplode(m).alias("ord", "country", "v"))
             .select(F.col("v.country_id").alias("country_id"), "country",

@@ -42,6 +42,17 @@ def scan_answer_store(spark, sf_dir):
     return IO.scan_answer_store(spark, root).select(*ITEM_COLS)
 
 
+@register("append_answer_store", ITEMS_SQL)
+def append_answer_store(spark, sf_dir):
+    """The answer store grown by three appends of different units."""
+    root = stage_path(spark, "answer_store")
+    items = Inputs.of(spark, sf_dir).item_scores.select(*ITEM_COLS)
+    part = F.pmod(F.xxhash64("unit_key"), F.lit(3))
+    for k in range(3):
+        IO.append_answer_store(items.where(part == k), root)
+    return IO.scan_answer_store(spark, root).select(*ITEM_COLS)
+
+
 _JSON_SQL = S.with_inputs(
     "SELECT country, country_id, citizenship, array_to_string(languages, '|') AS languages, "
     "array_to_string(language_codes, '|') AS language_codes, ord FROM countries", S.cte_countries())

@@ -16,7 +16,9 @@ from probitas.plans import sql_text as ST
 from probitas.plans.inputs import Inputs
 from probitas.plans.registry import register
 from probitas.plans.sample_queries import _prompts
+from probitas.session import stage_path
 from probitas.sources import driver_tables as D
+from probitas.sources import io as IO
 
 
 @register("clean_text", S.with_inputs(f"SELECT doc_id, {ST.clean_sql('reply')} AS cleaned FROM replies",
@@ -92,6 +94,14 @@ def build_questionnaire(spark, sf_dir):
     return Q.build_questionnaire(inp.units, D.base_questions(spark, sf_dir))
 
 
+@register("scan_questionnaire", _qsql("SELECT * FROM qwide", _QWIDE))
+def scan_questionnaire(spark, sf_dir):
+    """Questionnaires written as question files per scenario and unit key, and read back."""
+    root = stage_path(spark, "questionnaires")
+    IO.write_questionnaires(build_questionnaire(spark, sf_dir), root)
+    return IO.scan_questionnaires(spark, root)
+
+
 _BPROMPT_BODY = f"""
 SELECT l.scenario, l.unit_key, l.criterion_id, l.question_type, l.prompt_language,
        concat_ws(chr(10), l.question, p.prompt) AS full_prompt
@@ -99,6 +109,15 @@ FROM (SELECT x.*, CASE WHEN x.scenario = {S.q(R.SCENARIO_COUNTRY)} THEN 'English
              AS prompt_language
       FROM qlong x JOIN qunits q USING (scenario, unit_key) WHERE x.question IS NOT NULL) l
 JOIN (SELECT language, prompt FROM prompt_table WHERE status = 'ok') p ON p.language = l.prompt_language"""
+@register("scan_prompts", _qsql("SELECT language, prompt, yes, no FROM prompt_table WHERE status = 'ok'",
+                                ST.cte_countries_langs(), ST.cte_prompt_table()))
+def scan_prompts(spark, sf_dir):
+    """The prompt document written as one JSON map and read back as rows."""
+    path = stage_path(spark, "prompts_json")
+    IO.write_prompts(_prompts(spark, sf_dir), path)
+    return IO.scan_prompts(spark, path)
+
+
 _PROMPT_SQL = _qsql(_BPROMPT_BODY, ST.cte_countries_langs(), ST.cte_prompt_table())
 
 

@@ -83,6 +83,16 @@ def write_answer_store(item_scores: DataFrame, root: str) -> None:
     item_scores.write.mode("overwrite").partitionBy("scenario", "model").parquet(root)
 
 
+def append_answer_store(item_scores: DataFrame, root: str) -> None:
+    """Add rows to the answer store; the caller sees to it that their units are new."""
+    item_scores.write.mode("append").partitionBy("scenario", "model").parquet(root)
+
+
+def write_samples(samples: DataFrame, root: str) -> None:
+    """Add raw samples to their store, which keeps every reply that was paid for."""
+    samples.write.mode("append").partitionBy("scenario", "model").parquet(root)
+
+
 def scan_answer_store(spark: SparkSession, root: str, scenario: str | None = None, model: str | None = None,
                       unit_key: str | None = None) -> DataFrame:
     """Answer rows from the store; the optional lookup keys become partition
@@ -94,9 +104,56 @@ def scan_answer_store(spark: SparkSession, root: str, scenario: str | None = Non
     return df
 
 
+QUESTION_COLUMNS = ["criterion_id", *R.QUESTION_TYPES]
+QUESTION_SCHEMA = T.StructType([T.StructField("criterion_id", T.IntegerType())]
+                               + [T.StructField(c, T.StringType()) for c in R.QUESTION_TYPES])
+
+
+def write_questionnaires(questionnaire: DataFrame, root: str) -> None:
+    """Questionnaires as ``;`` files with the columns of a question file, a folder per scenario and unit key."""
+    named = questionnaire.select("scenario", "unit_key", "criterion_id", *[F.col(t.lower()).alias(t) for t in R.QUESTION_TYPES])
+    (named.write.mode("overwrite").option("sep", ";").option("header", True).option("quoteAll", True).option("escape", '"')
+     .partitionBy("scenario", "unit_key").csv(root))
+
+
+def _question_rows(raw: DataFrame) -> DataFrame:
+    return raw.select("scenario", "unit_key", "criterion_id", *[F.col(t).alias(t.lower()) for t in R.QUESTION_TYPES])
+
+
+def scan_questionnaires(spark: SparkSession, root: str) -> DataFrame:
+    """Questionnaires written by :func:`write_questionnaires`; lookups by scenario and unit key prune folders."""
+    schema = T.StructType([*QUESTION_SCHEMA.fields, T.StructField("scenario", T.StringType()), T.StructField("unit_key", T.StringType())])
+    return _question_rows(spark.read.schema(schema).option("sep", ";").option("header", True).option("escape", '"')
+                          .option("multiLine", True).csv(root))
+
+
+def scan_questionnaire_files(spark: SparkSession, root: str, prefix: str) -> DataFrame:
+    """Questionnaires in the layout ``<root>/<scenario>/<prefix><unit key>.csv``."""
+    return _question_rows(scan_keyed_files(spark, root, prefix, QUESTION_SCHEMA))
+
+
+PROMPT_RECORD = T.StructType([T.StructField(c, T.StringType()) for c in ("prompt", R.YES, R.NO)])
+
+
+def write_prompts(prompts: DataFrame, path: str) -> None:
+    """The prompt document: language to instruction and yes / no tokens; languages without them are left out."""
+    write_json_map(prompts.where("status = 'ok'").select("language", "prompt", F.col("yes").alias(R.YES), F.col("no").alias(R.NO)),
+                   "language", path)
+
+
+def scan_prompts(spark: SparkSession, path: str) -> DataFrame:
+    """The prompt document as rows (language, prompt, yes, no)."""
+    return scan_json_map(spark, path, PROMPT_RECORD, key="language").select("language", "prompt", R.YES, R.NO)
+
+
+DOCUMENT_ROWS = 100_000  # most entries of a JSON document, which is one record
+
+
 def write_json_map(df: DataFrame, key: str, path: str) -> None:
-    """One JSON document mapping ``key`` to the other columns of each row.
-    Meant for small dimension tables (the document is one record)."""
+    """One JSON document mapping ``key`` to the other columns of each row (S7). For dimension
+    tables: more than DOCUMENT_ROWS rows are refused, as the document is one record."""
+    if df.limit(DOCUMENT_ROWS + 1).count() > DOCUMENT_ROWS:
+        raise ValueError(f"more than {DOCUMENT_ROWS} rows do not belong in one JSON document")
     value = F.struct(*[c for c in df.columns if c != key])
     doc = df.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(F.col(key), value)))).alias("value"))
     doc.coalesce(1).write.mode("overwrite").text(path)
@@ -105,12 +162,12 @@ def write_json_map(df: DataFrame, key: str, path: str) -> None:
 def scan_json_map(spark: SparkSession, path: str, value_schema: T.StructType, key: str = "key") -> DataFrame:
     """A JSON map-of-records document to one row per entry (S5): whole-file text,
     ``from_json`` with an explicit map schema, then ``explode``."""
-    doc = spark.read.option("wholetext", True).text(path)
+    doc = spark.read.text(path, wholetext=True)
     m = F.from_json("value", T.MapType(T.StringType(), value_schema))
     return doc.select(F.explode(m).alias(key, "v")).select(key, "v.*")
 
 
 def scan_json_array(spark: SparkSession, path: str) -> DataFrame:
     """A JSON array of strings to (pos, value) rows."""
-    doc = spark.read.option("wholetext", True).text(path)
+    doc = spark.read.text(path, wholetext=True)
     return doc.select(F.posexplode(F.from_json("value", T.ArrayType(T.StringType()))).alias("pos", "value"))
