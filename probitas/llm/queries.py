@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from probitas.llm import oracles
 from probitas.llm.common import table
 
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+# The other queries' results (models, fingerprints, checksums, tokenizers) are tested against brute force.
+ORACLE_SQL: dict = {"op1_vector_graph": oracles.VECTOR_GRAPH, "op3_url_reputation": oracles.URL_REPUTATION}
 
 
 def query(fn):
@@ -88,7 +90,7 @@ def op5_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_vector_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All embeddings of equal label linked at a cosine of 0.93 or more."""
     from probitas.llm.vector_graph import near_duplicates
-    return near_duplicates(table(spark, sf_dir, "embeddings"))
+    return near_duplicates(table(spark, sf_dir, "embeddings")).select("vec_id", "n_links", "component_id", "kept")
 
 
 @query
