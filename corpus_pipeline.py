@@ -1,7 +1,8 @@
 """The corpus pipeline: five stages over ``documents``, each written as Parquet and read again.
 
 ``STAGES`` lists (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame. All but the last
-return the columns of documents. :func:`run` applies them in order.
+return the columns of documents. :func:`run` applies them in order. As a stage's input has been written, each stage
+first deletes what operators of earlier stages have staged for themselves.
 """
 
 from __future__ import annotations
@@ -10,33 +11,39 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from probitas.llm import line_crf, packing, quality_rules, simhash, suffix_dedup
-from probitas.llm.common import materialize, table
+from probitas.llm.common import drop_staged, table
 from probitas.llm.queries import held_out_fold
+from probitas.session import materialize
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the line CRF scores 0.3 or more; labels of fold 0 of 5 are left out of its fit."""
+    drop_staged(spark)
     labels = table(spark, sf_dir, "labels").where(held_out_fold(F.col("doc_id"), 5) != 0)
     return line_crf.keep_above(docs, labels, 0.3)
 
 
 def quality_rule_votes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rule and are good by the weighed votes of all rules."""
+    drop_staged(spark)
     return quality_rules.keep_good(docs)
 
 
 def simhash_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked at two or fewer bits of 3-word SimHash."""
+    drop_staged(spark)
     return simhash.keep_one_per_group(docs, shingle=3, max_bits=2)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the 50-byte strings that also start in a document of smaller id."""
-    return suffix_dedup.strip_repeats(docs)
+    drop_staged(spark)
+    return suffix_dedup.strip_repeats(docs, scan=True)
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents with their token ids, packed into windows of 2048 tokens."""
+    drop_staged(spark)
     import public_tokenizers
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 

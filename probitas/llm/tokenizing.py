@@ -8,7 +8,7 @@ import re
 
 import numpy as np
 
-MEMO_WORDS = 1_000_000  # words that a Python worker remembers from task to task; beyond that it starts afresh
+MEMO_WORDS = 500_000  # words that a Python worker remembers from task to task; beyond that it starts afresh
 AT_ONCE = 256         # pieces encoded in one call
 
 # The pieces of a lower-case word of Latin letters, digits and marks without an apostrophe, as the pattern
