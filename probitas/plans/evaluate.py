@@ -72,7 +72,15 @@ def read_countries(spark: SparkSession, path: str) -> DataFrame:
                     F.col("v.languages_code").alias("language_codes"), F.col("ord").cast("int")))
 
 
-def result_tables(comp: DataFrame, gated_items: DataFrame, units: DataFrame, spark: SparkSession) -> dict:
+def published(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    """A result table as it is published: systems, countries and unit labels spelt out in the header, rows in the
+    systems' reporting order where the table has one."""
+    out = df.select(*[F.col(f"`{c}`").alias(names.get(c, c)) for c in df.columns])
+    return out.orderBy("ord") if "ord" in df.columns else out
+
+
+def result_tables(comp: DataFrame, gated_items: DataFrame, units: DataFrame, spark: SparkSession, names: dict[str, str]) -> dict:
+    """All result tables; ``names`` is filled with the label behind every column name that was made from one."""
     models = R.model_dim(spark)
     labels = [R.MODEL_LABEL.get(m, m) for m in R.MODEL_LIST]
     # pivot values: the bounded list of country names
@@ -81,10 +89,12 @@ def result_tables(comp: DataFrame, gated_items: DataFrame, units: DataFrame, spa
     lc_mae = RU.language_country_mae(comp)
     means = materialize(RU.unit_metric_means(gated_items, units, models), "unit-metric-means")  # scans the answers once
     matrices = {}
+    names.update({RU.slug(x): x for x in [*labels, *countries, R.NO_COUNTRY]})
     for s in R.SCENARIOS:
         # pivot values: the bounded label list of the scenario
         unit_labels = sorted(r[0] for r in means.where(F.col("scenario") == s).select("label").distinct().collect())
         matrices[f"metric_matrix_{s}"] = RU.metric_matrix(means, s, unit_labels)
+        names.update({RU.slug(x): x for x in unit_labels})
     return {
         "unit_metric_means": means,
         **matrices,
@@ -122,11 +132,12 @@ def run(spark: SparkSession, out: str, sf_dir: str | None = None, answers: str |
     if lost:
         raise MissingInput(f"{len(lost)} countries without a complete truth vector: {', '.join(lost)}")
     comp = materialize(comparison_table(items, truth_long, w, units, rules), "comparison")
-    tables = {"comparison": comp, **result_tables(comp, completeness_gate(items, rules.n_criteria), units, spark)}
+    names: dict[str, str] = {}
+    tables = {"comparison": comp, **result_tables(comp, completeness_gate(items, rules.n_criteria), units, spark, names)}
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{out}/{name}")
         if csv:  # from the written table, in parallel part files
-            IO.write_delimited(spark.read.parquet(f"{out}/{name}"), f"{out}/csv/{name}")
+            IO.write_delimited(published(spark.read.parquet(f"{out}/{name}"), names), f"{out}/csv/{name}")
     return {name: spark.read.parquet(f"{out}/{name}") for name in tables}
 
 

@@ -45,6 +45,8 @@ def test_file_formats_match_driver_tables(spark):
         rb = sorted(map(tuple, b[name].collect()), key=repr)
         assert ra == rb and len(ra) > 0, name
     assert os.path.isdir(f"{root}/out_b/csv/comparison")
+    printed = spark.read.option("sep", ";").option("header", True).csv(f"{root}/out_b/csv/country_model_percentage").columns
+    assert printed[3:] == [R.MODEL_LABEL[m] for m in R.MODEL_LIST]  # as published, not as column names
     from probitas.operators.rollups import slug
     cols = a["country_model_percentage"].columns
     assert cols[:3] == ["test", "country", "truth"] and cols[3:] == [slug(R.MODEL_LABEL[m]) for m in R.MODEL_LIST]
