@@ -31,7 +31,7 @@ WIDTH = 3 * N  # the line, the one before, the one after
 
 @dataclass(frozen=True)
 class Training:
-    documents: int = 8000   # most labelled documents used, those of the smallest id hashes
+    documents: int = 5000   # most labelled documents used, those of the smallest id hashes
     rounds: int = 300
     rate: float = 0.1
     l2: float = 0.0002
@@ -188,7 +188,7 @@ def train(docs: DataFrame, labels: DataFrame, how: Training = Training(), id_col
 def score_column(model: LineModel, text: Column) -> Column:
     """A document's score between 0 and 1, higher for better."""
     def score(texts: pd.Series) -> pd.Series:
-        out = [scores(texts.iloc[at:at + 512].tolist(), model) for at in range(0, len(texts), 512)]
+        out = [scores(texts.iloc[at:at + 256].tolist(), model) for at in range(0, len(texts), 256)]
         return pd.Series(np.concatenate(out) if out else np.zeros(0))
     return F.pandas_udf(score, "double")(text)
 
