@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from probitas.llm.blocks import SHIPPED, block_texts, blocks, by_key, pack, ship_texts, unpack
 from probitas.llm.common import materialize, ship_package
 
-ROWS, BYTES = 4000, 10_000_000  # a block: more documents share more n-grams
+ROWS, BYTES = 3000, 7_000_000  # a block: more documents share more n-grams
 HASHED = 500_000                # bytes of texts hashed together
 CUT = 5                         # counts above this get the discount of this
 END, START = np.uint64(0xE4D), np.uint64(0x57A27)  # hashes of the end of a text and of what stands before it
