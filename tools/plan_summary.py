@@ -1,4 +1,4 @@
-"""Summarise the physical plan of every registered query (PLANS.md).
+"""Summarise the physical plan of every library query (PLANS.md).
 
 For each query: shuffle exchanges, broadcast exchanges, windows, partial
 window-group limits, sort aggregates and scans with pushed filters, read from
@@ -15,7 +15,7 @@ import re
 import sys
 
 sys.path.insert(0, ".")
-import __spark_entry__ as E  # noqa: E402
+from probitas.plans.registry import QUERIES, load_all  # noqa: E402
 from probitas.session import get_session  # noqa: E402
 
 
@@ -29,13 +29,14 @@ def plan_text(df) -> str:
 def main() -> None:
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     spark = get_session("local[8]", shuffle_partitions=8)
-    qs = E.queries()
+    load_all()
+    qs = QUERIES
     print("# Plan summary\n")
-    print(f"Physical plans (before adaptive re-planning) of every registered query over `{sf}`. "
+    print(f"Physical plans (before adaptive re-planning) of every library query over `{sf}`. "
           "`shuffles` counts hash/range exchanges, `bcast` broadcast exchanges, `win` window operators, "
           "`wgl` partial window-group limits (top-k cut before the shuffle), `sortagg` sort-based aggregates, "
-          "`pushed` scans with pushed-down filters. Counts include the plans of persisted dimension tables "
-          "(computed once per session) and repeated sub-plans that execution reuses (ReusedExchange). "
+          "`pushed` scans with pushed-down filters. Counts include repeated sub-plans that "
+          "execution reuses (ReusedExchange). "
           "Stand-in inputs and the comparison table are staged Parquet, so their plans start at a scan. "
           "Generated by `tools/plan_summary.py`.\n")
     print("| query | shuffles | bcast | win | wgl | sortagg | scans | pushed |")
