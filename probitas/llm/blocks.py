@@ -48,42 +48,46 @@ def by_key(key: np.ndarray, arrays: dict[str, np.ndarray]) -> Iterator[tuple[int
         yield k, {n: a[order[at:to]] for n, a in arrays.items()}
 
 
-def blocks(batches: Iterator[pa.RecordBatch], rows: int = BLOCK_ROWS, most: int = BLOCK_BYTES) -> Iterator[tuple[int, np.ndarray, list[bytes]]]:
-    """(block number, ids, texts) for a task's rows; the same rows form the same blocks in every stage."""
-    block = TaskContext.get().partitionId() << 24
+def _cut(batches: Iterator[pa.RecordBatch], rows: int, most: int) -> Iterator[tuple[int, list[pa.RecordBatch], list[bytes]]]:
+    """(block number, slices of batches, texts) for a task's rows. Blocks are cut by rows and bytes of text alone: batches end
+    earlier the wider the rows are, and a block goes on into the next one."""
+    block, parts, texts, size = TaskContext.get().partitionId() << 24, [], [], 0
     for batch in batches:
         at = 0
-        while at < batch.num_rows:
-            texts, size = [], 0
-            for text in batch.column(1).slice(at, rows):
-                texts.append((text.as_py() or "").encode())
-                size += len(texts[-1])
-                if size >= most:
-                    break
-            ids = batch.column(0).slice(at, len(texts)).fill_null(NULL_ID).to_numpy(zero_copy_only=False).astype(np.int64)
-            yield block, ids, texts
-            block, at = block + 1, at + len(texts)
+        for k, text in enumerate(batch.column(1), 1):
+            texts.append((text.as_py() or "").encode())
+            size += len(texts[-1])
+            if size >= most or len(texts) >= rows:
+                yield block, [*parts, batch.slice(at, k - at)], texts
+                block, at, parts, texts, size = block + 1, k, [], [], 0
+        if at < batch.num_rows:
+            parts.append(batch.slice(at))
+    if texts:
+        yield block, parts, texts
+
+
+def _ids(parts: list[pa.RecordBatch]) -> np.ndarray:
+    return np.concatenate([p.column(0).fill_null(NULL_ID).to_numpy(zero_copy_only=False).astype(np.int64) for p in parts])
+
+
+def blocks(batches: Iterator[pa.RecordBatch], rows: int = BLOCK_ROWS, most: int = BLOCK_BYTES) -> Iterator[tuple[int, np.ndarray, list[bytes]]]:
+    """(block number, ids, texts) for a task's rows; the same rows form the same blocks in every stage, whatever other columns it reads."""
+    for block, parts, texts in _cut(batches, rows, most):
+        yield block, _ids(parts), texts
 
 
 def ship_texts(kept: int, rows: int = BLOCK_ROWS, most: int = BLOCK_BYTES):
     """Blocks as rows of compressed texts, with the first ``kept`` columns after the text as Arrow bytes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press, held = zstandard.ZstdCompressor(level=1), []
-
-        def seen() -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                held[:] = [batch, 0]
-                yield batch
-
-        for block, ids, texts in blocks(seen(), rows, most):
-            part = held[0].slice(held[1], len(texts))
-            held[1] += len(texts)
+        press = zstandard.ZstdCompressor(level=1)
+        for block, parts, texts in _cut(batches, rows, most):
             sink = pa.BufferOutputStream()
-            others = pa.RecordBatch.from_arrays(part.columns[2:2 + kept], names=[f"c{k}" for k in range(kept)])
-            with pa.ipc.new_stream(sink, others.schema) as out:
-                out.write_batch(others)
+            others = [pa.RecordBatch.from_arrays(p.columns[2:2 + kept], names=[f"c{k}" for k in range(kept)]) for p in parts]
+            with pa.ipc.new_stream(sink, others[0].schema) as out:
+                for part in others:
+                    out.write_batch(part)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([block], pa.int64()), pa.array([ids.tobytes()], pa.binary()),
+                [pa.array([block], pa.int64()), pa.array([_ids(parts).tobytes()], pa.binary()),
                  pa.array([np.array([len(t) for t in texts], "<i8").tobytes()], pa.binary()),
                  pa.array([press.compress(b"".join(texts))], pa.binary()), pa.array([sink.getvalue().to_pybytes()], pa.binary())],
                 names=["block", "ids", "sizes", "texts", "others"])

@@ -7,6 +7,7 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from probitas.llm import simhash, suffix_dedup, vector_graph
 from probitas.llm.components import connected_components, join_sets, tree_edges
@@ -190,6 +191,23 @@ def test_removal_against_brute_force(spark, docs, odd_texts, how, monkeypatch):
         assert sum(z - a for a, z in r.spans) == r.n_removed and len(r.spans) == r.n_spans
 
 
+@pytest.mark.parametrize("conf", [("maxBytesPerBatch", "2000"), ("maxRecordsPerBatch", "3")])
+def test_removal_does_not_depend_on_batch_ends(spark, docs, conf):
+    """The last scan reads more columns than the first ones, so that its batches end earlier."""
+    texts = passages(12, 150)
+    wide = docs(texts).withColumn("source", F.repeat(F.lit("s"), 300)).repartition(3)
+    name = f"spark.sql.execution.arrow.{conf[0]}"
+    before = spark.conf.get(name)
+    spark.conf.set(name, conf[1])
+    try:
+        got = {r.doc_id: r for r in suffix_dedup.remove_repeats(wide).collect()}
+    finally:
+        spark.conf.set(name, before)
+    want = plain_removal([t.encode() for t in texts], range(len(texts)), 50)
+    assert [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, bytes(r.kept)) for _, r in sorted(got.items())] == want
+    assert all(r.source == "s" * 300 for r in got.values())
+
+
 def test_stripping_keeps_columns_and_whole_characters(docs):
     passage = "é" * 60
     out = {r.doc_id: r for r in suffix_dedup.strip_repeats(docs([passage, "x" + passage + "é!", None])).collect()}
