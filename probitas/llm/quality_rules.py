@@ -18,8 +18,9 @@ from probitas.llm.common import materialize, words
 
 SYMBOLS = "#*$%&|<>"
 ABSTAIN, BAD, GOOD = 0, 1, 2
-MAX_FALSE_ALARM = 0.005  # most of the good documents on which a rule may vote bad
-MIN_HIT = 0.8            # least of a rule's own fault on which it votes bad
+FAULT_PRIOR = 20         # before any vote, the share of a rule's own fault is Beta(1, 20), its share of false alarms uniform
+MAX_FALSE_ALARM = 0.005  # most of the good documents on which a trusted rule may vote bad
+MIN_HIT = 0.8            # least of a trusted rule's own fault on which it votes bad
 
 
 @dataclass(frozen=True)
@@ -122,14 +123,26 @@ def _bounded(rates: list[float], least: float, most: float) -> list[float]:
     return [bad if v == BAD else x * rest for v, x in enumerate(rates)]
 
 
+def _trusted(rows: list[tuple[tuple[int, ...], int]], n_rules: int) -> list[bool]:
+    """Per rule whether what it alone accuses is rather a fault of its own than a habit of good documents. Votes fit both
+    equally well, so the priors are weighed, at the share of the documents nobody else accuses: trust ends at 15 %."""
+    out = []
+    for j in range(n_rules):
+        others = [(v[j] == BAD, n) for v, n in rows if all(x != BAD for k, x in enumerate(v) if k != j)]
+        share = sum(n for bad, n in others if bad) / max(1, sum(n for _, n in others))
+        out.append(FAULT_PRIOR * (1 - share) ** (FAULT_PRIOR - 1) >= 1)
+    return out
+
+
 def fit(patterns: dict[tuple[int, ...], int], n_rules: int, rounds: int = 200, tolerance: float = 1e-9) -> LabelModel:
     """Expectation-maximisation over the counts of vote patterns, in a fixed order, with one pseudo-count per
-    outcome and within MAX_FALSE_ALARM and MIN_HIT. It starts from "good unless some rule says
-    bad", the blame shared by those rules."""
+    outcome; rates of trusted rules stay within MAX_FALSE_ALARM and MIN_HIT, those of others are free. It starts from
+    "good unless some trusted rule says bad", the blame shared by those rules."""
     rows = sorted(patterns.items())
+    trusted = _trusted(rows, n_rules)
     beliefs = []
     for votes, _ in rows:
-        faults = [float(v == BAD) for v in votes]
+        faults = [float(t and v == BAD) for t, v in zip(trusted, votes)]
         good = 0.05 if any(faults) else 0.95
         blame = sum(faults)
         beliefs.append([good] + [(1 - good) * (x / blame if blame else 1 / n_rules) for x in faults])
@@ -143,8 +156,8 @@ def fit(patterns: dict[tuple[int, ...], int], n_rules: int, rounds: int = 200, t
                 for j, v in enumerate(votes):
                     counts[c][j][v] += n * q
         rates = [[[x / sum(r) for x in r] for r in k] for k in counts]
-        for j in range(n_rules):
-            rates[0][j] = _bounded(rates[0][j], 0.0, MAX_FALSE_ALARM)        # a rule seldom accuses good documents
+        for j in (j for j in range(n_rules) if trusted[j]):
+            rates[0][j] = _bounded(rates[0][j], 0.0, MAX_FALSE_ALARM)        # a trusted rule seldom accuses good documents
             rates[j + 1][j] = _bounded(rates[j + 1][j], MIN_HIT, 1.0)        # and mostly sees the fault it is named for
         model = LabelModel(tuple(t / sum(total) for t in total), tuple(tuple(map(tuple, k)) for k in rates))
         new = [model.beliefs(v) for v, _ in rows]

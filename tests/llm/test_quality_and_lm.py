@@ -107,6 +107,18 @@ def test_expectation_maximisation_tells_faults_from_good_documents():
     assert all(a > 0.8 for a in model.accuracies()) and math.isclose(sum(model.beliefs((0, 0, 0))), 1)
 
 
+def test_a_harmless_rule_that_fires_on_a_third_of_clean_documents_rejects_none():
+    rng = random.Random(6)
+    rows = []
+    for _ in range(6000):
+        bad, fault = rng.random() < 0.15, rng.randrange(1, 4)
+        noisy = rng.random() < 1 / 3  # the first rule, whatever the document
+        rows.append((not bad, tuple(1 if (noisy if j == 0 else bad and j == fault) else 2 for j in range(8))))
+    model = quality_rules.fit(dict(Counter(v for _, v in rows)), 8)
+    assert all((model.beliefs(v)[0] >= 0.5) == good for good, v in rows)
+    assert abs(model.rates[0][0][quality_rules.BAD] - 1 / 3) < 0.05
+
+
 def test_quality_expression_equals_the_model(spark):
     model = quality_rules.fit({(2, 2): 90, (1, 2): 5, (2, 1): 4, (0, 2): 3, (1, 0): 2}, 2)
     rows = list(itertools.product(range(3), repeat=2))
