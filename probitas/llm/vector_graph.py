@@ -37,7 +37,7 @@ class Graph:
     alpha: float = 1.2      # slack of the robust pruning
     batch: int = 512
     audit: int = 48         # vectors of each shard whose links are checked by brute force
-    recall: float = 0.98    # what the audit asks for, else the beam doubles
+    recall: float = 0.98    # what the audit asks for, else the beam doubles and then all pairs are compared
 
 
 # ---- one shard, in numpy -------------------------------------------------------------------
@@ -167,7 +167,8 @@ def _unit(vectors) -> np.ndarray:  # noqa: ANN001
 
 
 def audited_links(x: np.ndarray, adj: np.ndarray, how: Graph) -> tuple[np.ndarray, float]:
-    """Links and their recall on the audit sample; the beam doubles until the recall is good, up to eight times its width."""
+    """Links and their recall on the audit sample; the beam doubles until the recall is good, up to eight times its width,
+    then all pairs are compared."""
     beam = how.beam
     sample = np.random.default_rng(len(x) + 1).permutation(len(x))[:how.audit]
     truth = x[sample] @ x.T >= how.threshold
@@ -175,11 +176,22 @@ def audited_links(x: np.ndarray, adj: np.ndarray, how: Graph) -> tuple[np.ndarra
     while True:
         links = range_search(x, adj, how, min(beam, max(len(x), 1)))
         recall = 1.0 if not truth.any() else float((links[sample] & truth).sum() / truth.sum())
-        if recall >= how.recall or beam >= min(len(x), 8 * how.beam):
+        if recall >= how.recall:
             return links, recall
+        if beam >= min(len(x), 8 * how.beam):
+            return all_links(x, how), 1.0
         beam *= 2
 
 
+def all_links(x: np.ndarray, how: Graph) -> np.ndarray:
+    """The links of all pairs, by blocks of rows."""
+    links = np.zeros((len(x), len(x)), bool)
+    for at in range(0, len(x), how.batch):
+        links[at:at + how.batch] = x[at:at + how.batch] @ x.T >= how.threshold
+    np.fill_diagonal(links, False)
+    return links | links.T
+
+
 # ---- shards ----------------------------------------------------------------------------------
 
 def _centres(how: Graph):

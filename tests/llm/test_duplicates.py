@@ -126,6 +126,14 @@ def test_vector_links_against_brute_force(spark, cell, least):
     assert all(r.kept == (r.vec_id == r.component_id) for r in got.values())
 
 
+def test_a_shard_whose_graph_reaches_too_little_is_compared_whole():
+    x = vector_graph._unit(vectors(6, 150, 200))
+    want = x @ x.T >= 0.93
+    np.fill_diagonal(want, False)
+    links, recall = vector_graph.audited_links(x, np.full((len(x), 1), -1, np.int64), vector_graph.Graph())
+    assert recall == 1.0 and (links == want).all()
+
+
 def test_no_vectors(spark):
     assert vector_graph.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).collect() == []
 
