@@ -1,12 +1,14 @@
 """Embedding near-duplicates by a robust-pruned flat graph.
 
-Vectors of one label and dimension form a cell; a cell above ``Graph.cell`` vectors is split around centres
-fitted to a bounded sample of it, and a vector near a border becomes a member of both sides, so shards overlap. Per shard
-a flat graph is built: nodes are inserted in batches, each searches the graph so far and keeps a robust-pruned
-selection of what it visited. Adjacency lists of a node are united over its shards; in its home shard every vector
-then searches the united graph from the medoid, and expands as long as it finds vectors in range. Links are
-verified by their exact cosine, recall is audited against brute force on a sample of each shard, and the
-search widens if it falls short.
+Vectors of one label and dimension form a cell; a cell above ``Graph.cell`` vectors is split around centres fitted to a
+bounded sample of it. Every vector is at home in one cell and a visitor in all others where it can be in range of one
+at home: if x lies nearer to centre k and y is in range of x, then y is at most the range times the distance of the centres
+nearer to any other centre. So a shard holds all that its vectors link with. Per shard a flat graph is built: nodes are
+inserted in batches, each searches the graph so far and keeps a robust-pruned selection of what it visited. Every vector
+then searches the graph from the medoid, and expands as long as it finds vectors in range. Links are verified by their exact
+cosine, recall is audited against brute force on a sample of each shard, the search widens if it falls short, and if
+that is not enough all pairs of the shard are compared. Shards above ``Graph.cell`` vectors with their visitors (dense
+groups, which no split takes apart) are compared in pairs of blocks, all pairs.
 
 Copies are one node with a multiplicity; a task emits counts and a tree over linked nodes, never the pairs.
 """
@@ -28,10 +30,10 @@ from probitas.llm.components import connected_components, join_sets, tree_edges
 @dataclass(frozen=True)
 class Graph:
     threshold: float = 0.93
-    cell: int = 6000        # most vectors of a shard before it is split
+    cell: int = 6000        # most vectors of a shard at home before it is split, and of a block of a pair
     fit_rows: int = 1024    # sample of a cell that its centres are fitted to
     ways: int = 8           # centres a cell is split around
-    margin: float = 0.15    # cosine by which a second centre may be farther for a vector to join both sides
+    levels: int = 16        # most splits one after another
     degree: int = 24        # most neighbours of a node in a shard
     beam: int = 32          # candidates that a search keeps
     alpha: float = 1.2      # slack of the robust pruning
@@ -208,83 +210,112 @@ def _centres(how: Graph):
 
 
 def _sides(how: Graph):
-    def run(home: pd.Series, emb: pd.Series, centres: pd.Series) -> pd.Series:
+    reach = np.sqrt(max(0.0, 2 - 2 * how.threshold))  # distance of unit vectors in range
+
+    def run(emb: pd.Series, centres: pd.Series) -> pd.Series:
         out = []
-        for at_home, v, c in zip(home, emb, centres):
+        for v, c in zip(emb, centres):
             x = _unit([v])[0]
-            sims = np.asarray(c).reshape(-1, len(x)) @ x
-            order = np.argsort(-sims, kind="stable")[:2]
-            both = at_home and len(order) > 1 and sims[order[1]] >= sims[order[0]] - how.margin
-            out.append([int(k) for k in order[:2 if both else 1]])
+            c = np.asarray(c).reshape(-1, len(x))
+            sims = c @ x
+            apart = np.linalg.norm(c[:, None, :] - c[None, :, :], axis=2)
+            near = (sims[:, None] - sims[None, :] <= reach * apart + 1e-9).all(axis=0)
+            out.append([int(k) for k in np.argsort(-sims, kind="stable") if near[k]])
         return pd.Series(out)
     return run
 
 
 def overlapping_cells(nodes: DataFrame, how: Graph) -> DataFrame:
-    """node, emb, times, cell, home: the shards each node is a member of; ``home`` marks one of them."""
-    members = materialize(nodes.select("node", "emb", "times", F.col("space").alias("cell"), F.lit(True).alias("home")), "cells")
-    while True:
-        sizes = members.groupBy("cell").agg(F.count("*").alias("n"))
-        large = materialize(sizes.where(F.col("n") > how.cell), "large-cells")
+    """node, emb, times, cell, home: the shards each node is a member of; ``home`` marks one of them. A cell that
+    a split would leave in large part on most sides stays whole."""
+    columns = ["node", "emb", "times", "cell", "home", "whole"]
+    members = materialize(nodes.select("node", "emb", "times", F.col("space").alias("cell"), F.lit(True).alias("home"),
+                                       F.lit(False).alias("whole")), "cells")
+    for _ in range(how.levels):
+        sizes = members.where(~F.col("whole")).groupBy("cell").agg(F.count("*").alias("n"), F.count_if("home").alias("homes"))
+        large = materialize(sizes.where(F.col("homes") > how.cell), "large-cells")
         if not large.limit(1).count():
-            return members
-        every = F.greatest(F.lit(1), F.floor(F.col("n") / how.fit_rows))
+            break
+        every = F.greatest(F.lit(1), F.floor(F.col("homes") / how.fit_rows))
         tagged = lookup_join(members, large, "cell", "n")
-        sample = tagged.where(F.col("n").isNotNull() & (F.pmod(F.xxhash64("node", "cell"), every) == 0)).select("cell", "emb")
+        sample = tagged.where(F.col("home") & F.col("n").isNotNull() & (F.pmod(F.xxhash64("node", "cell"), every) == 0)).select("cell", "emb")
         centres = sample.groupBy("cell").applyInPandas(_centres(how), "cell string, centres array<double>")
-        centres = materialize(centres.join(large, "cell"), "centres")
+        centres = materialize(centres.join(large.select("cell", "n"), "cell"), "centres")
+        sides = F.pandas_udf(_sides(how), "array<int>")("emb", "centres")
         split = lookup_join(members, centres, "cell", "n")
-        sides = F.pandas_udf(_sides(how), "array<int>")("home", "emb", "centres")
-        parts = (split.where(F.col("centres").isNotNull())
-                 .select("node", "emb", "times", "cell", "home", F.posexplode(sides).alias("nth", "side"))
+        whole = split.where(F.col("centres").isNull()).select(*columns)
+        listed = materialize(split.where(F.col("centres").isNotNull()).select(*columns, sides.alias("sides")), "sides")
+        held = listed.groupBy("cell").agg(F.avg(F.size("sides")).alias("held"), F.count("*").alias("n"))
+        listed = lookup_join(listed, materialize(held, "held"), "cell", "n")
+        stuck = F.col("held") > how.ways / 2
+        parts = (listed.where(~stuck).select("node", "emb", "times", "cell", "home", F.posexplode("sides").alias("nth", "side"))
                  .select("node", "emb", "times", F.concat_ws("/", "cell", "side").alias("cell"),
-                         (F.col("home") & (F.col("nth") == 0)).alias("home")))
-        whole = split.where(F.col("centres").isNull()).select("node", "emb", "times", "cell", "home")
-        members = materialize(whole.unionByName(parts), "cells")
+                         (F.col("home") & (F.col("nth") == 0)).alias("home"), F.lit(False).alias("whole")))
+        stuck_ones = listed.where(stuck).select("node", "emb", "times", "cell", "home", F.lit(True).alias("whole"))
+        members = materialize(whole.unionByName(parts).unionByName(stuck_ones), "cells")
+    return members.drop("whole")
 
 
-def _build_cell(how: Graph):
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        ids = part["node"].to_numpy()
-        adj = build(_unit(part["emb"]), how)
-        return pd.DataFrame({"node": ids, "near": [ids[a[a >= 0]].tolist() for a in adj]})
-    return run
+FOUND = "node long, other long, links long, recall double"
+
+
+def _found(home: np.ndarray, links: np.ndarray, recall: float, child: np.ndarray, above: np.ndarray) -> pd.DataFrame:
+    return pd.concat([
+        pd.DataFrame({"node": home, "other": None, "links": links.astype(np.int64), "recall": recall}),
+        pd.DataFrame({"node": child, "other": above, "links": None, "recall": None})]).astype(
+            {"other": "Int64", "links": "Int64", "recall": "Float64"})
 
 
 def _search_cell(how: Graph):
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["node"], kind="stable").reset_index(drop=True)
         ids, x = part["node"].to_numpy(), _unit(part["emb"])
-        lists = [np.asarray(v if v is not None else [], np.int64) for v in part["near"]]
-        lists = [v[np.isin(v, ids)] for v in lists]
-        adj = np.full((len(ids), max(1, max(map(len, lists)))), -1, np.int64)
-        for k, v in enumerate(lists):
-            adj[k, :len(v)] = np.searchsorted(ids, v)
-        links, recall = audited_links(x, adj, how)
+        links, recall = audited_links(x, build(x, how), how)
         a, b = np.nonzero(np.triu(links))
         child, above = tree_edges(join_sets(np.arange(len(ids)), a, b))
         counts = links @ part["times"].to_numpy().astype(np.float64)
         home = part["home"].to_numpy()
-        return pd.concat([
-            pd.DataFrame({"node": ids[home], "other": None, "links": counts[home].astype(np.int64), "recall": recall}),
-            pd.DataFrame({"node": ids[child], "other": ids[above], "links": None, "recall": None})]).astype(
-                {"other": "Int64", "links": "Int64", "recall": "Float64"})
+        return _found(ids[home], counts[home], recall, ids[child], ids[above])
+    return run
+
+
+def _compare_blocks(how: Graph):
+    """All pairs of a block of a cell's vectors at home and a block of its members."""
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        asks = part["asks"].to_numpy()
+        ids = np.unique(part["node"].to_numpy())
+        node = part["node"].to_numpy()
+        at, to = np.searchsorted(ids, node[asks]), np.searchsorted(ids, node[~asks])
+        if not len(at) or not len(to):
+            return _found(node[asks], np.zeros(len(at)), 1.0, node[:0], node[:0])
+        x = _unit(part["emb"])
+        q, y, times = x[asks], x[~asks], part["times"].to_numpy()[~asks].astype(np.float64)
+        counts, sets = np.zeros(len(q)), np.arange(len(ids))
+        for lo in range(0, len(q), how.batch):
+            s = slice(lo, lo + how.batch)
+            links = (q[s] @ y.T >= how.threshold) & (at[s][:, None] != to[None, :])
+            counts[s] = links @ times
+            row, col = np.nonzero(links)
+            sets = join_sets(sets, at[s][row], to[col])
+        child, above = tree_edges(sets)
+        return _found(ids[at], counts, 1.0, ids[child], ids[above])
     return run
 
 
 def linked_nodes(nodes: DataFrame, how: Graph) -> DataFrame:
     """Per node its weighted links and the audited recall of its shard (other null); and tree edges (other set)."""
     members = overlapping_cells(nodes, how)
-    lists = members.groupBy("cell").applyInPandas(_build_cell(how), "node long, near array<long>")
-    united = materialize(lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), "graph")
-    joined = members.join(united, "node")
-    # Neighbours outside of a shard come along with their vectors, but are not searched on from there.
-    outside = (joined.select("cell", F.explode("near").alias("node")).distinct()
-               .join(members.select("cell", "node"), ["cell", "node"], "left_anti")
-               .join(nodes.select("node", "emb", "times"), "node")
-               .select("node", "emb", "times", "cell", F.lit(False).alias("home"), F.lit(None).cast("array<long>").alias("near")))
-    shards = joined.select("node", "emb", "times", "cell", "home", "near").unionByName(outside)
-    return shards.groupBy("cell").applyInPandas(_search_cell(how), "node long, other long, links long, recall double")
+    sizes = members.groupBy("cell").agg(F.count("*").alias("n"), F.count_if("home").alias("homes"))
+    members = lookup_join(members, materialize(sizes, "cell-sizes"), "cell", "n").where(F.col("homes") > 0)
+    small = members.where(F.col("n") <= how.cell).groupBy("cell").applyInPandas(_search_cell(how), FOUND)
+    blocks = lambda n: F.ceil(F.col(n) / how.cell).cast("int")
+    block = lambda salt, n: F.pmod(F.xxhash64(F.lit(salt), "node"), blocks(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
+    large = members.where(F.col("n") > how.cell)
+    pairs = (large.where("home").select("node", "emb", "times", "cell", F.lit(True).alias("asks"), block(1, "homes").alias("i"), every("n").alias("j"))
+             .unionByName(large.select("node", "emb", "times", "cell", F.lit(False).alias("asks"), every("homes").alias("i"), block(2, "n").alias("j"))))
+    found = small.unionByName(pairs.groupBy("cell", "i", "j").applyInPandas(_compare_blocks(how), FOUND))
+    return found.groupBy("node", "other").agg(F.sum("links").alias("links"), F.min("recall").alias("recall"))
 
 
 def near_duplicates(vectors: DataFrame, how: Graph = Graph(), id_col: str = "vec_id", vector_col: str = "embedding",

@@ -126,6 +126,19 @@ def test_vector_links_against_brute_force(spark, cell, least):
     assert all(r.kept == (r.vec_id == r.component_id) for r in got.values())
 
 
+def test_links_of_a_group_larger_than_a_shard_are_all_counted(spark):
+    rows = [(k, v, 0) for k, v in enumerate(vectors(5, 700, 300))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = {r.vec_id: r for r in vector_graph.near_duplicates(df, vector_graph.Graph(cell=100)).collect()}
+    x = np.array([r[1] for r in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    linked = x @ x.T >= 0.93
+    np.fill_diagonal(linked, False)
+    comp = plain_components(len(rows), zip(*np.nonzero(linked)))
+    assert [got[k].n_links for k in range(len(rows))] == linked.sum(axis=1).tolist()
+    assert [got[k].component_id for k in range(len(rows))] == list(comp)
+
+
 def test_a_shard_whose_graph_reaches_too_little_is_compared_whole():
     x = vector_graph._unit(vectors(6, 150, 200))
     want = x @ x.T >= 0.93
