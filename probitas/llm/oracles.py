@@ -71,3 +71,80 @@ SELECT page_id, host, path, rule,
        CASE WHEN bad = 1 THEN 'block' WHEN bad = 0 THEN 'allow'
             WHEN a / (a + b) - 1.645 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) > 0.5 THEN 'block' ELSE 'allow' END AS verdict
 FROM labelled JOIN h USING (host)"""
+
+HARD_NEGATIVES = """
+WITH q AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, a.label = r.label AS alike, r.vec_id, CAST(list_inner_product(a.v, r.v) AS BIGINT) AS score
+  FROM q a JOIN q r ON a.vec_id % 50 = 0 AND r.vec_id <> a.vec_id
+), p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE alike
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS "rank",
+       vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id)
+WHERE NOT alike AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) <= 3
+"""
+
+
+def _value(column: str) -> str:
+    return f"CASE WHEN {column} IS NULL THEN '-' ELSE concat(strlen(CAST({column} AS VARCHAR)), ':', {column}) END"
+
+
+def _table_step(depth: int) -> str:
+    """The 256 entries of crc32's table: eight steps of the reversed polynomial on 0 to 255."""
+    inner = "range(256)" if depth == 0 else _table_step(depth - 1)
+    return inner if depth == 0 else f"list_transform({inner}, lambda c: xor(c >> 1, 3988292384 * (c & 1)))"
+
+
+_LEAF = f"sha256(concat({_value('doc_id')}, {_value('source')}, {_value('lang')}, {{n_chars}}, {_value('text')}))"
+
+MERKLE_MANIFEST = f"""
+WITH RECURSIVE crc AS (SELECT {_table_step(8)} AS entries
+), d AS (
+  SELECT doc_id, lang, {_LEAF.format(n_chars=_value('n_chars'))} AS leaf, {_LEAF.format(n_chars=_value('(n_chars + 1)'))} AS raised,
+         xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(1, strlen(CAST(doc_id AS VARCHAR)) + 1),
+             lambda k: CAST(ord(CAST(doc_id AS VARCHAR)[k]) AS BIGINT))),
+             lambda c, b: xor(c >> 8, entries[(xor(c, b) & 255) + 1]))) % 7 = 0 AS tampered
+  FROM documents, crc
+), placed AS (
+  SELECT *, row_number() OVER w - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM d
+  WINDOW w AS (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf)
+), nodes(lang, level, pos, n, digest) AS (
+  SELECT lang, 0, pos, n, leaf FROM placed
+  UNION ALL
+  SELECT lang, level + 1, pos // 2, (n + 1) // 2, sha256(string_agg(digest, '' ORDER BY pos)) FROM nodes WHERE n > 1 GROUP BY lang, level, pos // 2, n
+), subs AS (
+  SELECT lang, digest AS subroot, row_number() OVER (ORDER BY lang IS NOT NULL, encode(lang)) - 1 AS pos, count(*) OVER () AS n FROM nodes WHERE n = 1
+), upper_nodes(level, pos, n, digest) AS (
+  SELECT 0, pos, n, subroot FROM subs
+  UNION ALL
+  SELECT level + 1, pos // 2, (n + 1) // 2, sha256(string_agg(digest, '' ORDER BY pos)) FROM upper_nodes WHERE n > 1 GROUP BY level, pos // 2, n
+), top AS (SELECT digest AS root FROM upper_nodes WHERE n = 1
+), steps AS (
+  SELECT p.lang, p.pos, l.level, coalesce(CASE WHEN (p.pos >> l.level) & 1 = 1 THEN 'l' ELSE 'r' END || s.digest, '-') AS step
+  FROM placed p JOIN (SELECT DISTINCT lang, level FROM nodes WHERE n > 1) l ON l.lang IS NOT DISTINCT FROM p.lang
+  LEFT JOIN nodes s ON s.lang IS NOT DISTINCT FROM p.lang AND s.level = l.level AND s.pos = xor(p.pos >> l.level, 1)
+  UNION ALL
+  SELECT p.lang, p.pos, 1000 + l.level, coalesce(CASE WHEN (u.pos >> l.level) & 1 = 1 THEN 'l' ELSE 'r' END || s.digest, '-')
+  FROM placed p JOIN subs u ON u.lang IS NOT DISTINCT FROM p.lang
+  JOIN (SELECT DISTINCT level FROM upper_nodes WHERE n > 1) l ON true
+  LEFT JOIN upper_nodes s ON s.level = l.level AND s.pos = xor(u.pos >> l.level, 1)
+), paths AS (SELECT lang, pos, list(step ORDER BY level) AS path FROM steps GROUP BY lang, pos
+), folded AS (
+  SELECT p.*, coalesce(path, []) AS path,
+         list_reduce(list_prepend(CASE WHEN tampered AND raised IS NOT NULL THEN raised ELSE leaf END, coalesce(path, [])),
+           lambda a, s: CASE WHEN s[1] = 'l' THEN sha256(s[2:] || a) WHEN s[1] = 'r' THEN sha256(a || s[2:]) ELSE sha256(a) END) AS folded_root
+  FROM placed p LEFT JOIN paths t ON t.lang IS NOT DISTINCT FROM p.lang AND t.pos = p.pos
+)
+SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(list_filter(path, lambda s: s <> '-'), lambda s: s[2:]), '')) AS proof_sha256,
+       folded_root, folded_root = root AS verified
+FROM folded f JOIN subs u ON u.lang IS NOT DISTINCT FROM f.lang, top
+"""

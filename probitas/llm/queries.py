@@ -10,7 +10,8 @@ from probitas.llm.common import table
 
 QUERIES: dict = {}
 # The other queries' results (models, fingerprints, checksums, tokenizers) are tested against brute force.
-ORACLE_SQL: dict = {"op1_vector_graph": oracles.VECTOR_GRAPH, "op3_url_reputation": oracles.URL_REPUTATION}
+ORACLE_SQL: dict = {"op1_vector_graph": oracles.VECTOR_GRAPH, "op3_url_reputation": oracles.URL_REPUTATION,
+                    "op12_hard_negatives": oracles.HARD_NEGATIVES, "op13_merkle_manifest": oracles.MERKLE_MANIFEST}
 
 
 def query(fn):
@@ -108,3 +109,29 @@ def op2_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.coalesce(held_out_fold(F.col("doc_id"), 7) == 2, F.lit(False))
     out = score_documents(docs, ~held_out, scan=True)
     return out.select("doc_id", (~F.col("trained")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents tokenised and packed by best fit into sequences of 2048 tokens; only longer ones are cut."""
+    import public_tokenizers
+    from probitas.llm.best_fit import pack_best_fit
+    return pack_best_fit(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
+
+
+@query
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in hash trees by language, with a proof each; a seventh of them is found with one more in n_chars."""
+    from probitas.llm.merkle import build_manifest
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    found = {"n_chars": F.when(tampered, F.col("n_chars") + 1).otherwise(F.col("n_chars"))}
+    return build_manifest(table(spark, sf_dir, "documents"), ["doc_id", "source", "lang", "n_chars", "text"], "lang", "doc_id", found, with_proof=False)
+
+
+@query
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every fiftieth vector against all; every seventh vector's label is moved on by one first."""
+    from probitas.llm.hard_negatives import mine_hard_negatives
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", moved.alias("label"), "embedding")
+    return mine_hard_negatives(rows, F.col("vec_id") % 50 == 0)

@@ -11,7 +11,7 @@ from probitas.llm import queries
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_query_equals_its_sql(spark, name, sf):
     con = duckdb.connect()
-    for t in ("pages", "embeddings"):
+    for t in ("pages", "embeddings", "documents"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('/root/testdata/{sf}/{t}.parquet')")
     df = queries.QUERIES[name](spark, f"/root/testdata/{sf}")
     cur = con.execute(queries.ORACLE_SQL[name])
@@ -22,5 +22,5 @@ def test_query_equals_its_sql(spark, name, sf):
 
 def test_every_operator_and_the_pipeline_are_registered():
     names = E.queries()
-    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14))
     assert set(queries.ORACLE_SQL) <= set(E.oracle_sql())
