@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from probitas.llm.common import materialize, ship_package
-from probitas.llm.tokenizing import ByteMemo, tokenizer_json
+from probitas.llm.tokenizing import ByteCoder, tokenizer_json
 
 SHARES = (3, 4, 5, 6, 8, 12, 16, 32, 64)  # a round takes the pieces above window / share; the last round takes the rest
 PLACED, LEFT, GAP, SPARE = 0, 1, 2, 3     # what a sweep says of a row; spare gaps came up after the last piece
@@ -44,14 +44,14 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, window: int, end_id: int,
     tail = end_id.to_bytes(4, "little")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, uid = None, TaskContext.get().partitionId() << 40
+        coder, uid = None, TaskContext.get().partitionId() << 40
         for whole in batches:
-            memo = memo or ByteMemo.of(model.value)
+            coder = coder or ByteCoder.of(model.value)
             for at in range(0, whole.num_rows, 256):
                 some = whole.slice(at, 256)
                 rows, numbers, starts, lengths, crcs, ids = [], [], [], [], [], []
                 for k, text in enumerate(some.column(1)):
-                    packed = memo.encode(text.as_py()) + tail
+                    packed = coder.encode(text.as_py()) + tail
                     n = len(packed) // 4
                     start, number, length = 0, 0, n % window or window
                     while start < n:

@@ -121,22 +121,20 @@ class WordMemo:
         return [b"".join(map(get, ws)) for ws in split]
 
 
-class ByteMemo:
-    """Ids of whole texts for a byte-level tokenizer whose pieces never run from a printable character into white space.
+class ByteCoder:
+    """Ids of whole texts for a byte-level tokenizer, by a faster library with the ranks of the same file.
 
-    A text is cut before every space that follows a character other than white space; the tokenizer's pattern looks ahead
-    but never back, so the ids of the parts, one after the other, are those of the text. A worker encodes each part once and
-    remembers its packed ids. Texts beyond Latin letters, where libraries may follow different versions of Unicode, are
-    encoded whole by the full tokenizer. Strings of special tokens are special tokens.
+    Texts beyond Latin letters, where libraries may follow different versions of Unicode, are encoded by the full tokenizer.
+    Strings of special tokens are special tokens.
     """
 
-    _kept: dict[str, ByteMemo] = {}
-    _CUT = re.compile(r"(?<=\S)(?= )")
+    _kept: dict[str, ByteCoder] = {}
     _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"  # fixed by the tokenizer
+    _BEYOND = re.compile("[^\0-\u024f]")
 
     @classmethod
-    def of(cls, json_text: str) -> ByteMemo:
-        """The memo of this Python worker, which outlives a task."""
+    def of(cls, json_text: str) -> ByteCoder:
+        """The coder of this Python worker, which outlives a task."""
         if json_text not in cls._kept:
             cls._kept.clear()
             cls._kept[json_text] = cls(json_text)
@@ -150,21 +148,11 @@ class ByteMemo:
         ranks = {bytes(map(byte_of.__getitem__, t)): i for t, i in spec["model"]["vocab"].items() if t not in special}
         self.fast = tiktoken.Encoding("byte-level", pat_str=self._PATTERN, mergeable_ranks=ranks, special_tokens=special)
         self.full = load_tokenizer(json_text)
-        self.parts: dict[str, bytes] = {}
-
-    def _learn(self, part: str) -> bytes:
-        packed = np.array(self.fast.encode(part, allowed_special="all"), "<u4").tobytes()
-        if len(part) <= 64:  # longer ones are rarely met twice
-            self.parts[part] = packed
-        return packed
 
     def encode(self, text: str | None) -> bytes:
         """The ids as packed little-endian 32-bit numbers (null: empty)."""
         if not text:
             return b""
-        if not text.isascii() and max(text) > "ɏ":
+        if not text.isascii() and self._BEYOND.search(text):
             return np.array(self.full.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(self.parts) > MEMO_WORDS:
-            self.parts = {}
-        get = self.parts.get
-        return b"".join([get(p) or self._learn(p) for p in self._CUT.split(text)])
+        return self.fast.encode_to_numpy(text, allowed_special="all").astype("<u4").tobytes()

@@ -8,10 +8,10 @@ import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
-from llm.test_tokens import BYTES, plain, random_texts
+from llm.test_tokens import BYTES, PIECES, plain, random_texts
 
 from probitas.llm import best_fit
-from probitas.llm.tokenizing import ByteMemo, tokenizer_json
+from probitas.llm.tokenizing import ByteCoder, tokenizer_json
 
 
 def sequential(sizes, window):
@@ -26,11 +26,13 @@ def sequential(sizes, window):
     return n
 
 
-def test_byte_memo_agrees_with_the_library_on_any_text():
-    memo, tok = ByteMemo(tokenizer_json(BYTES)), plain(BYTES)
-    for t in random_texts(11, 500, 150):
-        assert memo.encode(t) == np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), t
-    assert memo.encode(None) == memo.encode("") == b""
+def test_byte_coder_agrees_with_the_library_on_any_text():
+    coder, tok = ByteCoder(tokenizer_json(BYTES)), plain(BYTES)
+    latin = [p for p in PIECES if max(p) <= "ɏ"] + ["\n\n", "x\n"]
+    rng = random.Random(12)
+    for t in random_texts(11, 500, 150) + ["".join(rng.choices(latin, k=rng.randint(0, 60))) for _ in range(1000)]:
+        assert coder.encode(t) == np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), t
+    assert coder.encode(None) == coder.encode("") == b""
 
 
 def test_deal_gives_every_rank_a_place_that_holds_it():
