@@ -12,31 +12,43 @@ from probitas.operators.compare import comparison_table
 from probitas.operators.units import enumerate_units
 from probitas.session import materialize
 from probitas.sources import driver_tables as D
+from probitas.stages import Owner
 
 
 class Inputs:
     """Domain tables over the driver tables in ``sf_dir``.
 
-    Each stand-in table is derived once per session and written to the
+    Each stand-in table is derived once per session and state of the input files and written to the
     checkpoint folder as Parquet, like the stored tables a deployment reads; all
     queries of the session then scan those files (column pruning and filter
     pushdown apply, and a lost executor re-reads files instead of recomputing).
+    The tables belong to this object's owner: :meth:`release` deletes them, no query does.
     """
 
-    _cache: dict = {}
+    _cache: dict[tuple, list["Inputs"]] = {}
 
     def __init__(self, spark: SparkSession, sf_dir: str, rules: R.AuditRules = R.TEST_RULES):
         self.spark, self.sf_dir, self.rules = spark, sf_dir, rules
+        self.owner = Owner(spark, f"inputs of {sf_dir}", [sf_dir])
 
     @classmethod
     def of(cls, spark: SparkSession, sf_dir: str, rules: R.AuditRules = R.TEST_RULES) -> "Inputs":
-        key = (spark.sparkContext.applicationId, sf_dir, repr(rules))
-        if key not in cls._cache:
-            cls._cache[key] = cls(spark, sf_dir, rules)
-        return cls._cache[key]
+        """The tables of ``sf_dir`` as its files are now. Frames made before a change keep their tables until they are released."""
+        states = cls._cache.setdefault((spark.sparkContext.applicationId, sf_dir, repr(rules)), [])
+        if not states or states[-1].owner.changed():
+            states.append(cls(spark, sf_dir, rules))
+        return states[-1]
+
+    @classmethod
+    def release(cls, spark: SparkSession, sf_dir: str) -> None:
+        """Delete what was staged for ``sf_dir`` in this session, in all its states."""
+        for key in [k for k in cls._cache if k[:2] == (spark.sparkContext.applicationId, sf_dir)]:
+            for inputs in cls._cache.pop(key):
+                inputs.owner.release()
 
     def _stage(self, df: DataFrame, name: str) -> DataFrame:
-        return materialize(df, name)
+        with self.owner:
+            return materialize(df, name)
 
     @cached_property
     def countries(self) -> DataFrame:
@@ -80,14 +92,15 @@ class Inputs:
     def comparison(self) -> DataFrame:
         return comparison_table(self.item_scores, self.truth_long, self.weights, self.units, self.rules)
 
-
-_STAGED: dict = {}
+    @cached_property
+    def staged_comparison(self) -> DataFrame:
+        return self._stage(self.comparison(), "comparison")
 
 
 def staged_comparison(spark: SparkSession, sf_dir: str, again: bool = False) -> DataFrame:
-    """The comparison table written once per session and data directory, then re-read by every roll-up (the one
-    stage boundary of the evaluation); ``again`` computes and writes it anew."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if again or key not in _STAGED:
-        _STAGED[key] = materialize(Inputs.of(spark, sf_dir).comparison(), "comparison")
-    return _STAGED[key]
+    """The comparison table written once per session and state of the data directory, then re-read by every roll-up
+    (the one stage boundary of the evaluation); ``again`` computes and writes it anew."""
+    inputs = Inputs.of(spark, sf_dir)
+    if again:
+        inputs.__dict__.pop("staged_comparison", None)
+    return inputs.staged_comparison

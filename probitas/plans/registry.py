@@ -3,6 +3,8 @@ where the query is expressible in SQL, the equivalent DuckDB oracle text."""
 
 from __future__ import annotations
 
+from probitas.stages import owned
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
 
@@ -11,7 +13,7 @@ def register(name: str, oracle: str | None = None):
     def wrap(fn):
         if name in QUERIES:
             raise ValueError(f"duplicate query {name}")
-        QUERIES[name] = fn
+        QUERIES[name] = owned(fn)
         if oracle is not None:
             ORACLE_SQL[name] = oracle
         return fn

@@ -6,10 +6,14 @@ import atexit
 import os
 import tempfile
 import uuid
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+OWNER: ContextVar = ContextVar("owner of staged tables", default=None)  # see probitas.stages
+
+
 def get_session(master: str | None = None, app: str = "probitas",
                 shuffle_partitions: int | None = None) -> SparkSession:
     builder = SparkSession.builder.appName(app)
@@ -48,16 +52,20 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 
 def stage_path(spark: SparkSession, name: str) -> str:
-    """A fresh location under the checkpoint folder for a written stage table."""
+    """A fresh location under the checkpoint folder for a written stage table, which the current owner deletes."""
     root = checkpoint_root(spark).rstrip("/")
-    return f"{root}/stages/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{root}/stages/{name}-{uuid.uuid4().hex[:12]}"
+    if OWNER.get() is not None:
+        OWNER.get().paths.append(path)
+    return path
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet under the checkpoint folder and read it back.
 
     Cuts the lineage at a stage boundary: a lost executor later re-reads the
-    written files instead of recomputing the whole upstream plan.
+    written files instead of recomputing the whole upstream plan. The table belongs to
+    the current owner (:mod:`probitas.stages`), if there is one.
     """
     spark = df.sparkSession
     path = stage_path(spark, name)
