@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from probitas import rules as R
@@ -89,14 +89,18 @@ def prompt_language(scenario, language):
     return F.when(F.col(scenario) == R.SCENARIO_COUNTRY, F.lit(R.ENGLISH)).otherwise(F.col(language))
 
 
-def build_prompts(questionnaire: DataFrame, units: DataFrame, prompts: DataFrame) -> DataFrame:
+def build_prompts(questionnaire: DataFrame, units: DataFrame, prompts: DataFrame, dropped: Observation | None = None) -> DataFrame:
     """Full prompt per (scenario, unit_key, criterion_id, question_type): question and
     the instruction of the unit's prompt language (T5, J11). Missing questions
-    are dropped (never sent as text)."""
+    are dropped (never sent as text) and counted: ``dropped`` observes ``questions`` and ``questions_dropped``
+    in the pass that builds the prompts."""
     keys = questionnaire_units(units)
     long = questionnaire.select("scenario", "unit_key", "criterion_id", F.explode(F.array(*[
         F.struct(F.lit(t).alias("question_type"), F.col(t.lower()).alias("question"))
         for t in R.QUESTION_TYPES])).alias("q")).select("scenario", "unit_key", "criterion_id", "q.*")
+    if dropped is not None:
+        long = long.observe(dropped, F.count(F.lit(1)).alias("questions"),
+                            F.coalesce(F.sum(F.col("question").isNull().cast("long")), F.lit(0)).alias("questions_dropped"))
     long = long.where(F.col("question").isNotNull())
     with_lang = long.join(keys, ["scenario", "unit_key"]).withColumn(
         "prompt_language", prompt_language("scenario", "language"))

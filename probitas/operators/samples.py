@@ -4,6 +4,7 @@ answer rows, incremental scoring and the pluggable responder."""
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from probitas.functions.text import NOT_BLANK, normalize_answer
 from probitas.operators.adjust import stance_score_rounded
 from probitas.operators.units import UNIT
 from probitas.session import materialize, ship_package
+from probitas.sources import store as ST
 
 GROUP = UNIT + ["criterion_id", "question_type"]
 
@@ -125,38 +127,61 @@ def incremental_scores(scored: DataFrame, stored: DataFrame, new_samples: DataFr
 Responder = Callable  # Iterator[pd.DataFrame] -> Iterator[pd.DataFrame]
 
 
+REPLY_KEY = [*GROUP, "sample_order"]
+
+
 def collect_samples(prompts: DataFrame, responder: Responder, n: int = R.SAMPLES_PER_QUESTION,
-                    max_attempts: int = 10 * R.SAMPLES_PER_QUESTION) -> DataFrame:
-    """Ask a user-supplied responder until every question has ``n`` non-empty replies.
+                    max_attempts: int = 10 * R.SAMPLES_PER_QUESTION, ledger: str | None = None) -> DataFrame:
+    """Ask a user-supplied responder until every question has ``n`` non-empty replies.
 
     ``prompts`` has one row per question (GROUP). The responder runs in ``mapInPandas`` and adds a string column
     ``response`` to rows that carry ``sample_order``, the number of the attempt. Each round asks only the
     questions still short, and only for as many replies as they lack; a round is a written table, so nothing
     is asked twice. A question that is short after ``max_attempts`` attempts is not lost: all rows carry
     ``n_samples`` and ``status`` (complete or short), and one without any reply has a row with a null response.
+
+    ``ledger`` names a stored table of all replies, empty ones too, by question and attempt. Every round is added to it
+    in one switch. A run that finds replies there goes on behind the last attempt of each question and asks only
+    for what is lacking, so a run that was stopped and is started again asks and stores nothing of a finished
+    round a second time. ``max_attempts`` then counts from where the run begins.
     """
-    ship_package(prompts.sparkSession)
+    spark = prompts.sparkSession
+    ship_package(spark)
     schema = T.StructType(prompts.schema.fields + [T.StructField("sample_order", T.IntegerType()), T.StructField("response", T.StringType())])
-    short = prompts.withColumn("_have", F.lit(0)).withColumn("_asked", F.lit(0))
+    if ledger and ST.store_exists(spark, ledger):
+        filled = F.col("response").isNotNull() & F.col("response").rlike(NOT_BLANK)
+        known = ST.read_store(spark, ledger).groupBy(*GROUP).agg(F.sum(F.when(filled, 1).otherwise(0)).cast("int").alias("_have"),
+                                                                  F.max("sample_order").alias("_asked"))
+        short = prompts.join(known, GROUP, "left").na.fill(0, ["_have", "_asked"])
+    else:
+        short = prompts.withColumn("_have", F.lit(0)).withColumn("_asked", F.lit(0))
+    short = short.withColumn("_most", F.col("_asked") + max_attempts)
+    counters = ["_have", "_asked", "_most"]
     rounds, finished = [], []
+    if ledger:
+        start = materialize(short, "asked")
+        finished.append(start.where(F.col("_have") >= n).select(*prompts.columns, F.col("_have").alias("n_samples")))
+        short = start.where(F.col("_have") < n)
     while True:
-        upto = F.least(F.col("_asked") + n - F.col("_have"), F.lit(max_attempts))
-        asked = short.withColumn("sample_order", F.explode(F.sequence(F.col("_asked") + 1, upto))).drop("_have", "_asked")
+        upto = F.least(F.col("_asked") + n - F.col("_have"), F.col("_most"))
+        asked = short.withColumn("sample_order", F.explode(F.sequence(F.col("_asked") + 1, upto))).drop(*counters)
         answers = materialize(asked.mapInPandas(responder, schema), "answers")
+        if ledger:
+            ST.append(answers.select(*REPLY_KEY, "response"), ledger, ["scenario", "model"])
         rounds.append(drop_empty_responses(answers))
         got = rounds[-1].groupBy(*GROUP).agg(F.count(F.lit(1)).cast("int").alias("_got"))
         state = materialize(short.withColumn("_asked", upto).join(got, GROUP, "left")
                             .withColumn("_have", F.col("_have") + F.coalesce("_got", F.lit(0))).drop("_got"), "asked")
-        over = (F.col("_have") >= n) | (F.col("_asked") >= max_attempts)
+        over = (F.col("_have") >= n) | (F.col("_asked") >= F.col("_most"))
         finished.append(state.where(over).select(*prompts.columns, F.col("_have").alias("n_samples")))
         short = state.where(~over)
         if not short.limit(1).count():
             break
-    replies, questions = rounds[0], finished[0]
-    for more in rounds[1:]:
-        replies = replies.unionByName(more)
-    for more in finished[1:]:
-        questions = questions.unionByName(more)
+    questions = reduce(DataFrame.unionByName, finished)
+    if ledger and ST.store_exists(spark, ledger):
+        replies = drop_empty_responses(ST.read_store(spark, ledger)).join(questions.select(*GROUP), GROUP, "left_semi")
+    else:
+        replies = reduce(DataFrame.unionByName, rounds)
     numbered = top_k_per_group(replies, GROUP, [F.col("sample_order")], n).withColumnRenamed("_rank", "sample_no")
     return (questions.join(numbered.select(*GROUP, "sample_order", "response", "sample_no"), GROUP, "left")
             .withColumn("status", F.when(F.col("n_samples") >= n, "complete").otherwise("short")))

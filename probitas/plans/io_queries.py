@@ -17,6 +17,7 @@ from probitas.plans.registry import register
 from probitas.session import materialize, stage_path
 from probitas.sources import driver_tables as D
 from probitas.sources import io as IO
+from probitas.sources import store as STORE
 
 ITEM_COLS = ["scenario", "model", "unit_key"] + IO.ANSWER_COLUMNS
 ITEM_SCHEMA = T.StructType(
@@ -158,3 +159,19 @@ def upsert_rows(spark, sf_dir):
     """Scores of the first question half with every (system, language) key that the
     second half scored replaced by its new value (U4)."""
     return TR.upsert(_bt_half(spark, sf_dir, True), _bt_half(spark, sf_dir, False), ["model", "language"])
+
+
+@register("stored_upsert", _halves_sql(
+    "SELECT model, language, score FROM bt1 WHERE model = 'gpt-5.4' UNION ALL "
+    "SELECT model, language, score FROM bt2 ANTI JOIN (SELECT * FROM bt1 WHERE model = 'gpt-5.4') USING (model, language) UNION ALL "
+    "SELECT model, language, score FROM bt1 ANTI JOIN bt2 USING (model, language) WHERE model <> 'gpt-5.4'"))
+def stored_upsert(spark, sf_dir):
+    """A stored score table made of the first question half, upserted with the second and then, for one system, with the
+    first again: touched partitions are written anew, each time by one switch (U2, U4)."""
+    root, keys = stage_path(spark, "scores"), ["model", "language"]
+    first = _bt_half(spark, sf_dir, True)
+    STORE.upsert(first, root, keys, ["model"])
+    STORE.upsert(_bt_half(spark, sf_dir, False), root, keys, ["model"])
+    STORE.upsert(first.where("model = 'gpt-5.4'"), root, keys, ["model"])
+    STORE.upsert(first, root, keys, ["model"], insert_only=True)  # all there already
+    return STORE.read_store(spark, root).select("model", "language", "score")

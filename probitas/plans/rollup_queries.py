@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
 
 from probitas import rules as R
 from probitas.operators import rollups as RU
@@ -9,7 +10,9 @@ from probitas.operators.units import completeness_gate
 from probitas.plans import sql_inputs as S
 from probitas.plans.inputs import Inputs, staged_comparison
 from probitas.plans.registry import register
+from probitas.session import stage_path
 from probitas.sources import driver_tables as D
+from probitas.sources import io as IO
 
 LABELS = [R.MODEL_LABEL[m] for m in R.MODEL_LIST]
 COUNTRIES = sorted(c[1] for c in D.COUNTRY_FIXTURE)
@@ -171,6 +174,16 @@ def distance_matrix(spark, sf_dir):
     return RU.distance_matrix(staged_comparison(spark, sf_dir), R.model_dim(spark), COUNTRIES)
 
 
+@register("read_matrix", f"SELECT * EXCLUDE (test) FROM ({_DIST_MATRIX_SQL}) WHERE test = 'Fact'")
+def read_matrix(spark, sf_dir):
+    """The distance matrix of one test as a comma-delimited matrix file, read back by its row labels."""
+    path = stage_path(spark, "matrix")
+    wide = RU.distance_matrix(staged_comparison(spark, sf_dir), R.model_dim(spark), COUNTRIES).where("test = 'Fact'").drop("test")
+    IO.write_delimited(wide, path, sep=",")
+    back = IO.read_matrix(spark, path)
+    return back.select("model", *[F.col(c).cast(wide.schema[c].dataType).alias(c) for c in wide.columns if c != "model"])
+
+
 def _label_sql():
     return (f"CASE WHEN u.scenario = {S.q(R.SCENARIO_LANGUAGE)} THEN u.language "
             f"WHEN u.scenario = {S.q(R.SCENARIO_COUNTRY)} THEN u.country "
@@ -219,6 +232,15 @@ def metric_matrix(spark, sf_dir):
     return RU.metric_matrix(means, R.SCENARIO_COUNTRY, COUNTRIES)
 
 
+@register("metric_matrix_filled", "SELECT metric, model, average, " + ", ".join(f"coalesce({RU.slug(c)}, 0.0) AS {RU.slug(c)}" for c in COUNTRIES)
+          + f" FROM ({_MATRIX_SQL})")
+def metric_matrix_filled(spark, sf_dir):
+    """The metric matrix as it is drawn: missing cells are 0, the row average is that of the cells that are there."""
+    inp = Inputs.of(spark, sf_dir)
+    means = RU.unit_metric_means(_gated_items(spark, sf_dir), inp.units, R.model_dim(spark))
+    return RU.metric_matrix(means, R.SCENARIO_COUNTRY, COUNTRIES, fill=0.0)
+
+
 @register("truth_vs_mae", comp_sql(
     f"SELECT country, {S.stable('avg(truth)', 4)} AS truth, {S.stable('avg(fact_mae)', 4)} AS fact_mae, "
     f"{S.stable('avg(stance_mae)', 4)} AS stance_mae FROM comparison GROUP BY country"))

@@ -16,9 +16,10 @@ from probitas.plans import sql_text as ST
 from probitas.plans.inputs import Inputs
 from probitas.plans.registry import register
 from probitas.plans.sample_queries import _prompts
-from probitas.session import stage_path
+from probitas.session import materialize, stage_path
 from probitas.sources import driver_tables as D
 from probitas.sources import io as IO
+from probitas.sources import store as STORE
 
 
 @register("clean_text", S.with_inputs(f"SELECT doc_id, {ST.clean_sql('reply')} AS cleaned FROM replies",
@@ -154,7 +155,7 @@ def formula_responder(batches):
         yield pdf.assign(response=resp.astype(str))
 
 
-def _collect_sql() -> str:
+def _collect_sql(resumed: bool = False) -> str:
     kind = "((length(full_prompt) * 31 + sample_order) % 5)"
     yes = f"coalesce(nullif(regexp_extract(full_prompt, {S.q(RESPONDER_QUOTES)}, 1), ''), 'yes')"
     no = f"coalesce(nullif(regexp_extract(full_prompt, {S.q(RESPONDER_QUOTES)}, 2), ''), 'no')"
@@ -165,8 +166,11 @@ samples AS (
   SELECT *, CASE WHEN {kind} = 0 THEN {yes} || '.' WHEN {kind} = 1 THEN '**' || {no} || '**'
                  WHEN {kind} = 2 THEN '' WHEN {kind} = 3 THEN {yes} ELSE 'Maybe.' END AS response
   FROM attempts)"""
+    # a round asks for as many replies as are lacking, so the last attempt is the last reply that counts
+    asked = (", n_asked FROM scores JOIN (SELECT scenario, model, unit_key, criterion_id, question_type, CAST(max(sample_order) AS BIGINT) AS n_asked "
+             "FROM firstn GROUP BY ALL) USING (scenario, model, unit_key, criterion_id, question_type)")
     return _qsql("SELECT scenario, model, unit_key, criterion_id, question_type, n_samples, n_yes, n_no, "
-                 "n_undefined, mean, coherence, validity, weighted FROM scores",
+                 "n_undefined, mean, coherence, validity, weighted" + (asked if resumed else " FROM scores"),
                  ST.cte_countries_langs(), ST.cte_prompt_table(), f"bprompts AS ({_BPROMPT_BODY})", attempts,
                  ST.cte_scored_samples())
 
@@ -182,6 +186,20 @@ def collect_samples(spark, sf_dir):
     return SM.sample_scores(labelled).drop("n_unknown")
 
 
+@register("resume_collection", _collect_sql(resumed=True))
+def resume_collection(spark, sf_dir):
+    """A collection that was stopped (half of the questions, after at most three attempts each) and is started
+    again over the same ledger: the scores, and how many attempts the ledger holds of each question (J3, O5)."""
+    inp = Inputs.of(spark, sf_dir)
+    prompts = materialize(build_prompt(spark, sf_dir).withColumn("model", F.lit(D.TEST_MODELS[0])), "prompts")
+    ledger = stage_path(spark, "ledger")
+    SM.collect_samples(prompts.where("criterion_id % 2 = 0"), formula_responder, max_attempts=3, ledger=ledger)
+    got = SM.collect_samples(prompts, formula_responder, ledger=ledger)
+    asked = STORE.read_store(spark, ledger).groupBy(*SM.GROUP).agg(F.count(F.lit(1)).alias("n_asked"))
+    labelled = SM.label_samples(SM.drop_empty_responses(got), inp.prompts)
+    return SM.sample_scores(labelled).drop("n_unknown").join(asked, SM.GROUP)
+
+
 def _bt_cte(name: str, where: str = "") -> str:
     return f"""{name} AS (SELECT model, language, count(*) AS n_questions,
   CAST(sum(CASE WHEN similarity IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_missing,

@@ -15,8 +15,11 @@ OWNER: ContextVar = ContextVar("owner of staged tables", default=None)  # see pr
 
 
 def get_session(master: str | None = None, app: str = "probitas",
-                shuffle_partitions: int | None = None) -> SparkSession:
+                shuffle_partitions: int | None = None, driver_memory: str | None = None) -> SparkSession:
+    """A session with the library's defaults. ``driver_memory`` is the heap of a JVM that is not running yet."""
     builder = SparkSession.builder.appName(app)
+    if driver_memory:
+        builder = builder.config("spark.driver.memory", driver_memory)
     if master:
         builder = builder.master(master)
     builder = (builder

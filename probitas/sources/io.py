@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from probitas import rules as R
+from probitas.sources.store import read_store, store_exists
 
 # Fixed value: the column header of an answer file, in file order.
 ANSWER_FILE_COLUMNS = [
@@ -88,16 +89,12 @@ def append_answer_store(item_scores: DataFrame, root: str) -> None:
     item_scores.write.mode("append").partitionBy("scenario", "model").parquet(root)
 
 
-def write_samples(samples: DataFrame, root: str) -> None:
-    """Add raw samples to their store, which keeps every reply that was paid for."""
-    samples.write.mode("append").partitionBy("scenario", "model").parquet(root)
-
-
 def scan_answer_store(spark: SparkSession, root: str, scenario: str | None = None, model: str | None = None,
                       unit_key: str | None = None) -> DataFrame:
     """Answer rows from the store; the optional lookup keys become partition
-    pruning (scenario, model) and a pushed-down filter (unit_key) (S3, S4)."""
-    df = spark.read.parquet(root)
+    pruning (scenario, model) and a pushed-down filter (unit_key) (S3, S4). A store that is upserted
+    (:mod:`probitas.sources.store`) is read as of its latest version."""
+    df = read_store(spark, root) if store_exists(spark, root) else spark.read.parquet(root)
     for c, v in (("scenario", scenario), ("model", model), ("unit_key", unit_key)):
         if v is not None:
             df = df.where(F.col(c) == v)

@@ -4,11 +4,14 @@ import json
 import os
 import tempfile
 
+import pytest
 from conftest import SF_SMALL
+from probitas.operators.samples import REPLY_KEY, drop_empty_responses
 from probitas.operators.units import UNIT
 from probitas.plans.collect import collect
 from probitas.plans.inputs import Inputs
 from probitas.sources import io as IO
+from probitas.sources import store as ST
 
 
 def _base(spark):
@@ -43,8 +46,63 @@ def test_second_run_asks_only_for_what_is_left(spark):
     assert collect(spark, units, _base(spark), prompts, open_minded, out, 3).count() == 0
     store = IO.scan_answer_store(spark, f"{out}/answers")
     assert store.count() == 3 * len(expected) == store.select(*UNIT, "criterion_id").distinct().count()
-    samples = spark.read.parquet(f"{out}/samples")
-    assert samples.count() == len(expected) * 3 * 3 * 5
+    replies = ST.read_store(spark, f"{out}/replies")
+    assert drop_empty_responses(replies).count() == len(expected) * 3 * 3 * 5
+    assert replies.select(*REPLY_KEY).distinct().count() == replies.count()
+
+
+def _noting(path, reply, lost=None):
+    """A responder that notes what it is asked, and fails when it is asked for the attempt ``lost``."""
+    def respond(batches):
+        import os
+        for pdf in batches:
+            if lost is not None and (pdf["sample_order"] >= lost).any():
+                raise RuntimeError("connection lost")
+            keys = ["\t".join(map(str, k)) for k in pdf[["model", "unit_key", "criterion_id", "question_type", "sample_order"]].itertuples(index=False)]
+            with open(f"{path}/{os.getpid()}", "a", encoding="utf-8") as f:
+                f.writelines(k + "\n" for k in keys)
+            yield pdf.assign(response=[reply(k) for k in pdf["sample_order"]])
+    return respond
+
+
+def _asked(path):
+    return [line for name in os.listdir(path) for line in open(f"{path}/{name}", encoding="utf-8")]
+
+
+def test_a_stopped_run_goes_on_where_it_was(spark, monkeypatch):
+    inp = Inputs.of(spark, SF_SMALL)
+    units = inp.units.where("model = 'gpt-5.4' and scenario = 'country_scenario'")
+    out, calls = (tempfile.mkdtemp(prefix="probitas-resume-", dir="/tmp") for _ in range(2))
+    every_third = lambda k: "" if k % 3 == 0 else "yes"
+    base = _base(spark)
+    with pytest.raises(Exception, match="connection lost"):  # the second round asks for attempts from 6 on
+        collect(spark, units, base, inp.prompts, _noting(calls, every_third, lost=6), out, 3)
+    first = _asked(calls)
+    assert len(first) == len(set(first)) > 0 and not ST.store_exists(spark, f"{out}/answers")
+    with monkeypatch.context() as m:  # all is asked, then the run stops before the answers are stored
+        m.setattr(ST, "upsert", lambda *a: (_ for _ in ()).throw(KeyboardInterrupt()))
+        with pytest.raises(KeyboardInterrupt):
+            collect(spark, units, base, inp.prompts, _noting(calls, every_third), out, 3)
+    second = _asked(calls)
+    assert len(second) == len(set(second)) > len(first)
+    report = {}
+    done = collect(spark, units, base, inp.prompts, _noting(calls, every_third), out, 3, report=report).collect()
+    assert {r.status for r in done} == {"complete"} and sorted(_asked(calls)) == sorted(second)  # nothing left to ask
+    replies = ST.read_store(spark, f"{out}/replies")
+    assert replies.count() == replies.select(*REPLY_KEY).distinct().count() == len(second)
+    n = units.select("unit_key").distinct().count()
+    assert ST.read_store(spark, f"{out}/answers").count() == 3 * n
+    assert report == {"questions": 9 * n, "questions_dropped": 0}
+
+
+def test_missing_questions_are_reported(spark):
+    inp = Inputs.of(spark, SF_SMALL)
+    units = inp.units.where("model = 'gpt-5.4' and unit_key = 'IT'")
+    out = tempfile.mkdtemp(prefix="probitas-missing-", dir="/tmp")
+    base = _base(spark).where("not (criterion_id = 1 and question_type = 'Support')")
+    report = {}
+    done = collect(spark, units, base, inp.prompts, _noting(tempfile.mkdtemp(dir="/tmp"), lambda k: "yes"), out, 3, report=report).collect()
+    assert report == {"questions": 9, "questions_dropped": 1} and [r.status for r in done] == ["short"]
 
 
 def test_question_files_in_their_nested_layout(spark):
