@@ -4,10 +4,11 @@ per-country language lists built from the bindings."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from probitas import rules as R
+from probitas.session import materialize
 
 BINDING_COLS = ["country", "country_label", "language", "language_label", "language_code", "citizenship",
                 "country_code"]
@@ -17,6 +18,23 @@ def _pred(triples: DataFrame, p: str, s: str, o: str) -> DataFrame:
     return triples.where(F.col("predicate") == p).select(F.col("subject").alias(s), F.col("object").alias(o))
 
 
+def with_ordinal(df: DataFrame, order: list[Column | str], name: str = "ordinal") -> DataFrame:
+    """``df`` with the place (from 0, without gaps) of every row in ``order``.
+
+    A range sort deals the rows out in order; a row's place is its place in its partition plus the rows of the partitions
+    before, which are counts of one row per partition. The sorted rows are a written table, so that places stay what they are.
+    """
+    order = [F.col(c) if isinstance(c, str) else c for c in order]
+    rows = materialize(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()), name)
+    part = F.shiftright("_id", 33)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # over a row per partition
+    firsts = (rows.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+              .select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first")))
+    place = F.col("_first") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    return (rows.withColumn("_part", part).join(F.broadcast(firsts), "_part")
+            .select(*[F.col(f"`{c}`") for c in df.columns if c != name], place.alias(name)))
+
+
 def country_bindings(triples: DataFrame, subjects: DataFrame) -> DataFrame:
     """Bindings of the country query (G1-G6):
 
@@ -25,23 +43,25 @@ def country_bindings(triples: DataFrame, subjects: DataFrame) -> DataFrame:
     * OPTIONAL ISO code; OPTIONAL English demonym (filter applied before the left join);
     * labels with fallback to the id.
 
-    ``triples`` is scanned once per pattern, so it should be a stored table.
+    ``triples`` is scanned once per pattern, so it should be a stored table. If it numbers its statements
+    (``ordinal``), a binding carries the number of its official-language statement.
     """
+    number = ["ordinal"] if "ordinal" in triples.columns else []
     labels = triples.where(F.col("predicate") == "label").select(F.col("subject").alias("_id"),
                                                                 F.col("object").alias("_label"))
     base = (subjects.select(F.col("subject").alias("country")).distinct()
             .join(labels.withColumnRenamed("_id", "country"), "country", "left")
             .select("country", F.coalesce("_label", "country").alias("country_label")))
-    langs = (_pred(triples, "P37", "country", "language")
+    langs = (triples.where(F.col("predicate") == "P37").select(F.col("subject").alias("country"), F.col("object").alias("language"), *number)
              .join(_pred(triples, "P424", "language", "language_code"), "language", "inner")
              .join(labels.withColumnRenamed("_id", "language"), "language", "left")
              .select("country", "language", F.coalesce("_label", "language").alias("language_label"),
-                     "language_code"))
+                     "language_code", *number))
     iso = _pred(triples, "P297", "country", "country_code")
     dem = (triples.where((F.col("predicate") == "P1549") & (F.col("lang") == "en"))
            .select(F.col("subject").alias("country"), F.col("object").alias("citizenship")))
     return (base.join(langs, "country", "left").join(iso, "country", "left").join(dem, "country", "left")
-            .select(*BINDING_COLS))
+            .select(*BINDING_COLS, *number))
 
 
 def normalize_names(bindings: DataFrame) -> DataFrame:
@@ -57,28 +77,44 @@ def normalize_names(bindings: DataFrame) -> DataFrame:
            .where(~F.coalesce(F.col("language_label"), F.lit("")).isin(*R.DROPPED_LANGUAGES))
            .withColumn("language_name", F.coalesce(F.element_at(lrename, F.col("language_label")),
                                                    F.col("language_label"))))
-    return out.select("country", "country_name", "citizenship", "language_name", "language_code", "country_code")
+    number = ["ordinal"] if "ordinal" in bindings.columns else []
+    return out.select("country", "country_name", "citizenship", "language_name", "language_code", "country_code", *number)
 
 
-def complete_bindings(normalized: DataFrame) -> DataFrame:
-    """Rows with every field present; the others are skipped (``language_counts`` counts them)."""
+def complete_bindings(normalized: DataFrame, skipped: Observation | None = None) -> DataFrame:
+    """Rows with every field present; the others are skipped. ``skipped`` observes ``bindings`` and
+    ``bindings_skipped`` in the pass that reads the result."""
     need = ["country_name", "citizenship", "language_name", "language_code", "country_code"]
     cond = F.lit(True)
     for c in need:
         cond = cond & F.col(c).isNotNull()
+    if skipped is not None:
+        normalized = normalized.observe(skipped, F.count(F.lit(1)).alias("bindings"),
+                                        F.coalesce(F.sum((~cond).cast("long")), F.lit(0)).alias("bindings_skipped"))
     return normalized.where(cond)
 
 
 def collect_country_languages(rows: DataFrame) -> DataFrame:
-    """Per country: first country code and citizenship, and the ordered list of
-    distinct (language, code) pairs (A21). Lists are bounded by the language
-    vocabulary of one country; rows are ordered by (language, code, citizenship, code)."""
-    order = F.struct("language_name", "language_code", "citizenship", "country_code")
+    """Per country: the country code and citizenship seen first, and the languages and codes in first-seen order.
+
+    Rows are seen in the order of their ``ordinal`` (:func:`with_ordinal`), without one by (language, code, citizenship,
+    country code). A pair is left out where its name and its code are both there already, be it in different pairs. Repeats are
+    combined first, so a country's list is bounded by its language vocabulary.
+    """
+    keys = ["ordinal"] if "ordinal" in rows.columns else []
+    order = F.struct(*keys, "language_name", "language_code", "citizenship", "country_code")
     pairs = (rows.groupBy("country_name", "language_name", "language_code")
              .agg(F.min(order).alias("o")))
     per = pairs.groupBy("country_name").agg(
-        F.array_sort(F.collect_list(F.struct("o", "language_name", "language_code"))).alias("l"),
+        F.array_sort(F.collect_list(F.struct("o", "language_name", "language_code"))).alias("seen"),
         F.min("o").alias("first"))
+
+    def add(kept: Column, new: Column) -> Column:
+        known = (F.exists(kept, lambda x: x["language_name"] == new["language_name"])
+                 & F.exists(kept, lambda x: x["language_code"] == new["language_code"]))
+        return F.when(known, kept).otherwise(F.concat(kept, F.array(new)))
+
+    per = per.withColumn("l", F.aggregate("seen", F.slice("seen", 1, 0), add))
     return per.select(
         F.col("country_name").alias("country"),
         F.col("first.country_code").alias("country_id"),

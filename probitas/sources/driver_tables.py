@@ -334,8 +334,8 @@ GRAPH_LANGUAGES = [
 
 
 def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(subject, predicate, object, lang) facts about countries and languages from
-    ``nation``: labels, official languages (P37), language codes (P424), ISO codes
+    """(subject, predicate, object, lang, ordinal) facts about countries and languages from
+    ``nation``, numbered as they are first stated: labels, official languages (P37), language codes (P424), ISO codes
     (P297, missing for key % 7 = 6), demonyms (P1549; English one missing for key % 5 = 4)."""
     n = read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("k"))
     subj = F.concat(F.lit("Q"), F.col("k").cast("string"))
@@ -364,8 +364,8 @@ def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
         t(lent(lang2), "label", F.element_at(lname, lang2.cast("int") + 1), "en"),
         t(lent(lang2), "P424", F.element_at(lcode, lang2.cast("int") + 1)),
     )
-    return (n.select(F.explode(facts).alias("f")).select("f.*")
-            .where(F.col("object").isNotNull()).distinct())
+    return (n.select("k", F.posexplode(facts).alias("place", "f")).select("f.*", (F.col("k") * 10 + F.col("place")).alias("ordinal"))
+            .where(F.col("object").isNotNull()).groupBy("subject", "predicate", "object", "lang").agg(F.min("ordinal").alias("ordinal")))
 
 
 def graph_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Graph-pattern semantics on hand-made triples (independent of the oracle)."""
 
 from probitas.operators import graph as G
+from pyspark.sql import Observation
 
 TRIPLES = [
     # country Q1: two official languages, one without a code; English + French demonyms
@@ -48,3 +49,28 @@ def test_language_lists_first_wins(spark):
         "country_name string, citizenship string, language_name string, language_code string, country_code string")
     r = G.collect_country_languages(rows).first()
     assert r.languages == "A-lang|A-lang|B-lang" and r.language_codes == "a|a2|b" and r.n_languages == 3
+
+
+def test_first_seen_order_and_crosswise_repeats(spark):
+    seen = [("X", "Xish", "B", "b", "XX"), ("Y", "Yish", "B", "b", "YY"), ("X", "Xer", "A", "a", "X2"), ("X", "Xish", "B", "a", "XX"),
+            ("X", "Xish", "B", "b2", "XX"), ("X", "Xish", "A", "b2", "XX"), ("X", "Xish", "B", "b", "XX"), ("Y", "Yer", "A", "a", "Y2")]
+    schema = "country_name string, citizenship string, language_name string, language_code string, country_code string, place int"
+    rows = spark.createDataFrame([(*r, k) for k, r in enumerate(seen)], schema).repartition(3)
+    numbered = G.with_ordinal(rows, ["place"])
+    assert sorted((r.ordinal, r.place) for r in numbered.collect()) == [(k, k) for k in range(len(seen))]
+    want = {}
+    for name, citizenship, language, code, key in seen:  # one binding after the other
+        c = want.setdefault(name, (citizenship, key, [], []))
+        if not (language in c[2] and code in c[3]):
+            c[2].append(language)
+            c[3].append(code)
+    got = {r.country: (r.citizenship, r.country_id, r.languages.split("|"), r.language_codes.split("|")) for r in G.collect_country_languages(numbered).collect()}
+    assert got == want and got["X"][2] == ["B", "A", "B"]
+
+
+def test_skipped_bindings_are_reported(spark):
+    rows = spark.createDataFrame([("X", "Xish", "A", "a", "XX"), ("X", "Xish", None, "a", "XX"), (None, "Xish", "A", "a", "XX")],
+                                 "country_name string, citizenship string, language_name string, language_code string, country_code string")
+    skipped = Observation("skipped")
+    assert G.complete_bindings(rows, skipped).count() == 1 and skipped.get == {"bindings": 3, "bindings_skipped": 2}
+    assert G.with_ordinal(rows.limit(0), ["country_name"]).count() == 0
