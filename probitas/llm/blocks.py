@@ -1,7 +1,8 @@
 """Blocks of rows: how numpy stages exchange arrays and compressed texts through tables.
 
-A task cuts its rows into blocks that carry the task's number; a table scan gives the same blocks every time it is
-read, so a stage can send a block what it needs by its number instead of moving texts about.
+A task cuts its rows into blocks that carry the task's number. The blocks are written once, with their number, ids and
+compressed texts, and every stage reads that table: what belongs to a block does not depend on how files are split when they
+are read again, so a stage can send a block what it needs by its number instead of moving texts about.
 """
 
 from __future__ import annotations
@@ -70,12 +71,6 @@ def _ids(parts: list[pa.RecordBatch]) -> np.ndarray:
     return np.concatenate([p.column(0).fill_null(NULL_ID).to_numpy(zero_copy_only=False).astype(np.int64) for p in parts])
 
 
-def blocks(batches: Iterator[pa.RecordBatch], rows: int = BLOCK_ROWS, most: int = BLOCK_BYTES) -> Iterator[tuple[int, np.ndarray, list[bytes]]]:
-    """(block number, ids, texts) for a task's rows; the same rows form the same blocks in every stage, whatever other columns it reads."""
-    for block, parts, texts in _cut(batches, rows, most):
-        yield block, _ids(parts), texts
-
-
 def ship_texts(kept: int, rows: int = BLOCK_ROWS, most: int = BLOCK_BYTES):
     """Blocks as rows of compressed texts, with the first ``kept`` columns after the text as Arrow bytes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,6 +89,15 @@ def ship_texts(kept: int, rows: int = BLOCK_ROWS, most: int = BLOCK_BYTES):
     return run
 
 
+def shipped_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, list[bytes]]]:
+    """(block number, ids, texts) of written blocks; one block's texts at a time are in memory."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            row = {name: batch.column(name)[k].as_py() for name in ("block", "ids", "sizes", "texts")}
+            ids, starts, data = block_texts(row)
+            yield row["block"], ids, [data[a:z] for a, z in zip(starts.tolist(), [*starts[1:].tolist(), len(data)])]
+
+
 def block_texts(row) -> tuple[np.ndarray, np.ndarray, bytes]:  # noqa: ANN001
     sizes = np.frombuffer(row["sizes"], "<i8")
     return np.frombuffer(row["ids"], "<i8"), np.cumsum(sizes) - sizes, zstandard.ZstdDecompressor().decompress(row["texts"])

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from probitas import session
-from probitas.session import ship_package  # noqa: F401  (re-exported)
+from probitas.session import materialize, ship_package  # noqa: F401  (re-exported)
 
 # A key value with more than 1 / HEAVY_SHARE of all rows counts as heavy; by counting, at
 # most HEAVY_SHARE such values exist, whatever the size of the input.
@@ -17,25 +16,6 @@ SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
 
 
-_STAGED: list[str] = []  # tables written by operators of this subpackage since the last drop_staged
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written under the shared checkpoint folder and read back, as :func:`probitas.session.materialize` does."""
-    path = session.stage_path(df.sparkSession, name)
-    df.write.mode("overwrite").parquet(path)
-    _STAGED.append(path)
-    return df.sparkSession.read.parquet(path)
-
-
-def drop_staged(spark: SparkSession) -> None:
-    """Delete the tables that operators have staged so far. Only for a caller that has written their results."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    while _STAGED:
-        path = jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
-        path.getFileSystem(conf).delete(path, True)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

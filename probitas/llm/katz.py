@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from probitas.llm.blocks import SHIPPED, block_texts, blocks, by_key, pack, ship_texts, unpack
+from probitas.llm.blocks import SHIPPED, block_texts, by_key, pack, ship_texts, shipped_blocks, unpack
 from probitas.llm.common import materialize, ship_package
 
 ROWS, BYTES = 3000, 7_000_000  # a block: more documents share more n-grams
@@ -120,7 +120,7 @@ def _flagged(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _count_block(shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, ids, texts in blocks(batches, ROWS, BYTES):
+        for number, ids, texts in shipped_blocks(batches):
             b, (_, train) = Block.of(texts), _flagged(ids)
             used = np.repeat(train, b.counts)
             parts = {}
@@ -277,6 +277,13 @@ def _weigh(model: Totals):
     return run
 
 
+def _training(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Number of training texts in each block."""
+    for batch in batches:
+        n = [int((np.frombuffer(ids.as_py(), "<i8") & 1).sum()) for ids in batch.column(0)]
+        yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64())], names=["n"])
+
+
 def _finish(states: pd.DataFrame, weights: pd.DataFrame) -> pd.DataFrame:
     partial, state = unpack(states["partial"].iloc[0], PARTIAL), unpack(states["state"].iloc[0], STATE)
     log = np.frombuffer(b"".join(weights.sort_values("shard")["weights"]), "<f8") if len(weights) else np.zeros(0)
@@ -285,12 +292,12 @@ def _finish(states: pd.DataFrame, weights: pd.DataFrame) -> pd.DataFrame:
                          "base_score": partial["base"], "score": partial["score"] + more})
 
 
-def score_documents(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_col: str = "text", scan: bool = False) -> DataFrame:
+def score_documents(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``id_col``, trained (whether it was learnt from), n_tokens, n_known, train_tokens, base_score
     (add-one unigram) and score, both log10 probabilities of the whole text.
 
-    ``scan`` says that ``docs`` is a table scan, which gives the same rows in the same order whenever it is read; anything else
-    is written first, as the texts are read twice. Ids are longs of less than 63 bits.
+    The texts are written once as numbered blocks, which all steps read, so the result does not depend on how the input is
+    split when it is read. Ids are longs of less than 63 bits.
 
     Defined cases: null and empty texts are one end token; ``trains`` that is null counts as false; null ids are scored and come
     back null; repeated rows are counted and scored each; with nothing to learn from the base score gives every token
@@ -302,10 +309,9 @@ def score_documents(docs: DataFrame, trains: Column, id_col: str = "doc_id", tex
     flag = F.when(F.coalesce(trains, F.lit(False)), 1).otherwise(0)
     known = F.coalesce(F.col(id_col).cast("long"), F.lit(-(2 ** 62)))
     source = docs.select((known * 2 + flag).alias("id"), F.col(text_col).alias("text"))
-    if not scan:
-        source = materialize(source, "katz-input")
+    shipped = materialize(source.mapInArrow(ship_texts(0, ROWS, BYTES), SHIPPED), "katz-blocks").drop("others")
     shards = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sent = source.mapInArrow(_count_block(shards), "shard int, block long, words binary, grams binary")
+    sent = shipped.mapInArrow(_count_block(shards), "shard int, block long, words binary, grams binary")
     counted = materialize(sent.groupBy("shard").applyInPandas(
         _count_shard, "block long, shard int, words binary, grams binary, tokens long, types long, word_counts array<long>, gram_counts array<long>"),
         "ngram-counts")
@@ -316,11 +322,10 @@ def score_documents(docs: DataFrame, trains: Column, id_col: str = "doc_id", tex
     more = (row["types"] or 0) - sum(of[1:CUT + 1])
     left = sum(of[r] * words.taken[r] for r in range(1, CUT + 1)) + more * words.taken[CUT]
     model = Totals(n, row["types"] or 0, words, grams, left / n if n else 1.0)
-    starts = source.agg(F.coalesce(F.sum(F.col("id").bitwiseAND(1)), F.lit(0))).first()[0]
+    starts = shipped.select("ids").mapInArrow(_training, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
-    texts = source.mapInArrow(ship_texts(0, ROWS, BYTES), SHIPPED)
     back = counted.select("block", "shard", "words", "grams", F.lit(starts).alias("starts"))
-    scored = materialize(texts.groupBy("block").cogroup(back.groupBy("block")).applyInPandas(
+    scored = materialize(shipped.groupBy("block").cogroup(back.groupBy("block")).applyInPandas(
         _score_block(shards, model), "block long, shard int, sums binary, partial binary, state binary, rows long"), "ngram-sums")
     weights = (scored.where(F.col("shard").isNotNull()).select("block", "shard", "sums").groupBy("shard")
                .applyInPandas(_weigh(model), "block long, shard int, weights binary"))

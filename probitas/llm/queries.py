@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from probitas.llm import oracles
 from probitas.llm.common import table
+from probitas.stages import owned
 
 QUERIES: dict = {}
 # The other queries' results (models, fingerprints, checksums, tokenizers) are tested against brute force.
@@ -15,7 +16,7 @@ ORACLE_SQL: dict = {"op1_vector_graph": oracles.VECTOR_GRAPH, "op3_url_reputatio
 
 
 def query(fn):
-    QUERIES[fn.__name__] = fn
+    QUERIES[fn.__name__] = owned(fn)
     return fn
 
 
@@ -98,7 +99,7 @@ def op1_vector_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the 50-byte strings that also start in a document of smaller id."""
     from probitas.llm.suffix_dedup import remove_repeats
-    return remove_repeats(table(spark, sf_dir, "documents"), keep=["doc_id"], with_text=False, scan=True)
+    return remove_repeats(table(spark, sf_dir, "documents"), keep=["doc_id"], with_text=False)
 
 
 @query
@@ -107,7 +108,7 @@ def op2_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     from probitas.llm.katz import score_documents
     docs = table(spark, sf_dir, "documents")
     held_out = F.coalesce(held_out_fold(F.col("doc_id"), 7) == 2, F.lit(False))
-    out = score_documents(docs, ~held_out, scan=True)
+    out = score_documents(docs, ~held_out)
     return out.select("doc_id", (~F.col("trained")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 

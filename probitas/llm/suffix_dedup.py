@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from probitas.llm.blocks import NULL_ID, SHIPPED, block_texts, blocks, by_key, gather, pack, ship_texts, unpack
+from probitas.llm.blocks import NULL_ID, SHIPPED, block_texts, by_key, gather, pack, ship_texts, shipped_blocks, unpack
 from probitas.llm.common import materialize, ship_package
 
 GRAM = 16
@@ -273,11 +273,11 @@ LEADER = {"key": "<u8", "id": "<i8", "block": "<i8", "row": "<u4", "start": "<i8
 # ---- the stages ---------------------------------------------------------------------------------
 
 def strip_repeats(docs: DataFrame, how: Repeats = Repeats(), id_col: str = "doc_id", text_col: str = "text",
-                  size_col: str | None = "n_chars", scan: bool = False) -> DataFrame:
+                  size_col: str | None = "n_chars") -> DataFrame:
     """The documents with what remains of their texts (a null text comes back empty); ``size_col``, if there is such a column,
     is counted anew. All other columns stay. Cases are as in :func:`remove_repeats`."""
     names = {c: f"d{k}" for k, c in enumerate(docs.columns)}  # clash with no result column
-    out = remove_repeats(docs.toDF(*names.values()), how, names[id_col], names[text_col], scan=scan)
+    out = remove_repeats(docs.toDF(*names.values()), how, names[id_col], names[text_col])
     cols = []
     for f in docs.schema.fields:
         col = F.col(names[f.name]) if f.name != text_col else F.col("kept_text")
@@ -287,7 +287,7 @@ def strip_repeats(docs: DataFrame, how: Repeats = Repeats(), id_col: str = "doc_
 
 def _deal_anchors(how: Repeats, shards: int, frequent: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, ids, texts in blocks(batches):
+        for block, ids, texts in shipped_blocks(batches):
             row, pos, a, c, lo, hi, left, right = text_anchors(texts, how.length)
             deal = np.isin(a, frequent)
             spread = (np.int64(block) * 1_000_003 + row * 7919) % shards
@@ -484,13 +484,13 @@ def _frequent_anchors(docs: DataFrame, how: Repeats) -> np.ndarray:
 
 
 def remove_repeats(docs: DataFrame, how: Repeats = Repeats(), id_col: str = "doc_id", text_col: str = "text",
-                   keep: list[str] | None = None, with_text: bool = True, scan: bool = False) -> DataFrame:
+                   keep: list[str] | None = None, with_text: bool = True) -> DataFrame:
     """One row per document: the columns named in ``keep`` (default: all but the text), n_bytes, n_removed, n_spans,
     kept_sha256 and, if asked for, kept (the remaining bytes), kept_text (the same without characters that were cut in
     two) and spans (the removed [start, end) ranges).
 
-    ``scan`` says that ``docs`` is a table scan, which gives the same rows in the same order whenever it is read; anything
-    else is written first, as the texts are read three times.
+    The texts are written once as numbered blocks, which all steps read, so the result does not depend on how the input is
+    split when it is read.
 
     Defined cases: a null text is empty; texts shorter than ``how.length`` lose nothing; a null id counts as larger than
     all others, and equal ids (null ones too) remove nothing from each other; repeated rows are judged alike; an
@@ -502,17 +502,16 @@ def remove_repeats(docs: DataFrame, how: Repeats = Repeats(), id_col: str = "doc
     kept = [c for c in ([c for c in docs.columns if c != text_col] if keep is None else keep) if c not in result]
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"),
                          *[F.col(c).alias(f"c{k}") for k, c in enumerate(kept)])
-    if not scan:
-        source = materialize(source, "repeats-input")
-    plain = source.select("id", "text")
+    shipped = materialize(source.mapInArrow(ship_texts(len(kept)), SHIPPED), "repeats-blocks")
+    blocks = shipped.drop("others")
     shards = int(spark.conf.get("spark.sql.shuffle.partitions")) * how.shards_per_partition
-    frequent = _frequent_anchors(plain, how)
-    entries = plain.mapInArrow(_deal_anchors(how, shards, frequent), "shard int, block long, entries binary")
+    frequent = _frequent_anchors(source.select("id", "text"), how)
+    entries = blocks.mapInArrow(_deal_anchors(how, shards, frequent), "shard int, block long, entries binary")
     lots = max(12, shards // (4 * how.shards_per_partition))
     met = materialize(entries.groupBy("shard").applyInPandas(_meet(how, lots), "lot long, covers binary, requests binary"), "anchors")
     requests = (met.where(F.col("requests").isNotNull()).select("lot", "requests").groupBy("lot")
                 .applyInPandas(_per_block("requests", REQUEST), "block long, requests binary"))
-    contexts = (plain.mapInArrow(ship_texts(0), SHIPPED).groupBy("block").cogroup(requests.groupBy("block"))
+    contexts = (blocks.groupBy("block").cogroup(requests.groupBy("block"))
                 .applyInPandas(_fetch, "shard int, contexts binary, data binary"))
     looked = materialize(contexts.groupBy("shard").applyInPandas(
         _look(how, lots, lots), "lot long, covers binary, range long, leaders binary"), "suffixes")
@@ -522,6 +521,6 @@ def remove_repeats(docs: DataFrame, how: Repeats = Repeats(), id_col: str = "doc
               .unionByName(looked.where(F.col("covers").isNotNull()).select("lot", "covers")).unionByName(merged)
               .groupBy("lot").applyInPandas(_per_block("covers", COVER), "block long, covers binary"))
     schema = ", ".join([f"c{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(kept)] + [RESULT])
-    out = (source.mapInArrow(ship_texts(len(kept)), SHIPPED).groupBy("block").cogroup(covers.groupBy("block"))
+    out = (shipped.groupBy("block").cogroup(covers.groupBy("block"))
            .applyInPandas(_remove(len(kept), with_text), schema))
     return out.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(kept)], *(result if with_text else result[:4]))
