@@ -44,6 +44,29 @@ def read_delimited(spark: SparkSession, path: str, schema: T.StructType, sep: st
             .option("mode", "PERMISSIVE").csv(path))
 
 
+def read_checked(spark: SparkSession, path: str, schema: T.StructType, sep: str = ";",
+                 header: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Delimited scan that tells broken records apart: (rows, broken).
+
+    A record with a cell that is not of its column's type, or with too few or too many cells, is in ``broken``: its file, its
+    text (``record``) and what could be read of it as JSON (``cells``). All columns are parsed whichever are asked for, so that
+    a record is broken or not whatever the query reads.
+    """
+    raw = (spark.read.schema(T.StructType([*schema.fields, T.StructField("_broken", T.StringType())]))
+           .option("sep", sep).option("header", header).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_broken")
+           .csv(path))
+    columns = [F.col(f"`{f.name}`") for f in schema.fields]
+    whole = F.pmod(F.xxhash64(*columns), F.lit(2)) >= 0  # always true; it needs every column, so none is left unparsed
+    broken = raw.where(F.col("_broken").isNotNull() & whole).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_broken").alias("record"), F.to_json(F.struct(*columns)).alias("cells"))
+    return raw.where(F.col("_broken").isNull() & whole).select(*columns), broken
+
+
+def quarantine(broken: DataFrame, root: str) -> None:
+    """Keep broken records for a look at them: JSON lines, added to what is there already."""
+    broken.write.mode("append").json(root)
+
+
 def write_delimited(df: DataFrame, path: str, sep: str = ";", partition_by: list[str] | None = None) -> None:
     """Delimited sink with header."""
     w = df.write.mode("overwrite").option("sep", sep).option("header", True)

@@ -1,6 +1,8 @@
 """Sources and sinks: the original answer-file layout (published snapshot), JSON map documents."""
 
 import json
+import tempfile
+
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -86,3 +88,17 @@ def test_read_matrix_names_row_labels(spark, tmp_path):
     p.write_text(",Italy,Malta,Fact Average\nQwen 2B,1.0,0.5,0.75\nGemini,,1.0,1.0\n")
     df = IO.read_matrix(spark, str(p))
     assert df.columns[0] == "model" and {r.model for r in df.collect()} == {"Qwen 2B", "Gemini"}
+
+
+def test_broken_records_are_told_apart(spark):
+    root = tempfile.mkdtemp(prefix="probitas-broken-", dir="/tmp")
+    with open(f"{root}/a.csv", "w", encoding="utf-8") as f:
+        f.write("id;score;note\n1;0.5;fine\n2;half;bad cell\n3;0.25\n4;1;x;too many\n5;;empty score\n")
+    schema = T.StructType([T.StructField("id", T.IntegerType()), T.StructField("score", T.DoubleType()), T.StructField("note", T.StringType())])
+    rows, broken = IO.read_checked(spark, root, schema)
+    assert sorted(map(tuple, rows.collect())) == [(1, 0.5, "fine"), (5, None, "empty score")]
+    assert sorted(r.id for r in rows.select("id").collect()) == [1, 5] and rows.count() == 2  # whichever columns are read
+    assert sorted(r.record for r in broken.collect()) == ["2;half;bad cell", "3;0.25", "4;1;x;too many"]
+    IO.quarantine(broken, f"{root}/quarantine")
+    kept = {r.record: json.loads(r.cells) for r in spark.read.json(f"{root}/quarantine").collect()}
+    assert kept["2;half;bad cell"] == {"id": 2, "note": "bad cell"} and len(kept) == 3
