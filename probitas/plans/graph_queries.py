@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from probitas import rules as R
 from probitas.operators import graph as G
 from probitas.plans import sql_inputs as S
 from probitas.plans.inputs import Inputs
 from probitas.plans.registry import register
+from probitas.session import stage_path
 from probitas.sources import driver_tables as D
+from probitas.sources.ntriples import scan_ntriples, write_ntriples
 
 
 def _case_map(col: str, mapping: dict) -> str:
@@ -77,6 +81,15 @@ def triples_to_countries(spark, sf_dir):
     return _bindings(spark, sf_dir).drop("ordinal")
 
 
+@register("triples_from_file", S.with_inputs(f"SELECT {', '.join(G.BINDING_COLS)} FROM bindings", _triples_cte()))
+def triples_from_file(spark, sf_dir):
+    """The country bindings (G1-G6) from a triples table that is written as N-Triples files and read back."""
+    path, base = stage_path(spark, "ntriples"), "http://example.org/"
+    write_ntriples(Inputs.of(spark, sf_dir).triples, F.col("predicate") == "P37", path, base)
+    triples, _ = scan_ntriples(spark, path, base)
+    return G.country_bindings(triples, D.graph_subjects(spark, sf_dir))
+
+
 @register("normalize_names", S.with_inputs("SELECT country, country_name, citizenship, language_name, language_code, country_code FROM gnorm", _triples_cte()))
 def normalize_names(spark, sf_dir):
     """Country / language name rules applied to the bindings."""
