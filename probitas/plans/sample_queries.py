@@ -11,8 +11,9 @@ from probitas.plans import sql_inputs as S
 from probitas.plans import sql_text as ST
 from probitas.plans.inputs import Inputs
 from probitas.plans.registry import register
-from probitas.session import materialize
+from probitas.session import materialize, stage_path
 from probitas.sources import driver_tables as D
+from probitas.streaming import expiring as X
 
 GRP = "scenario, model, unit_key, criterion_id, question_type"
 
@@ -119,3 +120,19 @@ def incremental_scores(spark, sf_dir):
             scored = materialize(SM.incremental_scores(scored, stored, new, prompts), "scores")
             stored = materialize(SM.first_n_samples(stored.select(*new.columns).unionByName(new)), "first-samples")
     return scored.drop("n_unknown")
+
+
+@register("streaming_scores", _sql(
+    f"SELECT {GRP}, n_samples, n_yes, n_no, n_undefined, mean, coherence, validity, weighted FROM scores"))
+def streaming_scores(spark, sf_dir):
+    """Scores by a stream over two arrivals, the later samples first; the second query has a new checkpoint, starts from the open groups
+    of the first one's table, and forgets groups that are quiet: equal to scoring all samples at once (I1)."""
+    samples, prompts = Inputs.of(spark, sf_dir).samples, _prompts(spark, sf_dir)
+    low, high = samples.agg(F.min("sample_order"), F.max("sample_order")).first()
+    early = F.col("sample_order") < low + (high - low) // 3
+    out = stage_path(spark, "changed-groups")
+    for k, new in enumerate([samples.where(~early), samples.where(early)]):
+        source, checkpoint = stage_path(spark, "arrivals"), stage_path(spark, "stream-checkpoint")
+        new.write.parquet(f"{source}/{k}")
+        X.run_expiring(spark, f"{source}/*", samples.schema, prompts, out, checkpoint, idle_seconds=3600.0 * k or None)
+    return X.current_scores(X.read_changes(spark, out)).drop("n_unknown")
