@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from probitas import rules as R
+from probitas.operators import matrix as M
 from probitas.operators import rollups as RU
 from probitas.operators.units import completeness_gate
 from probitas.plans import sql_inputs as S
 from probitas.plans.inputs import Inputs, staged_comparison
 from probitas.plans.registry import register
 from probitas.session import stage_path
+from probitas.session import materialize
 from probitas.sources import driver_tables as D
 from probitas.sources import io as IO
 
@@ -241,6 +243,22 @@ def metric_matrix_filled(spark, sf_dir):
     return RU.metric_matrix(means, R.SCENARIO_COUNTRY, COUNTRIES, fill=0.0)
 
 
+_BLOCK_WIDTH = 4
+
+
+@register("metric_matrix_blocks", comp_sql(f"""
+SELECT scenario, metric, model, CAST(n // {_BLOCK_WIDTH} AS INTEGER) AS block, CAST(n % {_BLOCK_WIDTH} AS INTEGER) AS place, name, value
+FROM (SELECT DISTINCT scenario, metric, model FROM metric_means) r
+CROSS JOIN (SELECT label AS name, row_number() OVER (ORDER BY encode(label)) - 1 AS n FROM (SELECT DISTINCT label FROM metric_means))
+LEFT JOIN (SELECT scenario, metric, model, label AS name, value FROM metric_means) USING (scenario, metric, model, name)""", _METRIC_CTE))
+def metric_matrix_blocks(spark, sf_dir):
+    """The metric matrices of all scenarios over all labels, in blocks of columns; no list of labels on the driver (R2)."""
+    inp = Inputs.of(spark, sf_dir)
+    means = materialize(RU.unit_metric_means(_gated_items(spark, sf_dir), inp.units, R.model_dim(spark)), "unit-metric-means")
+    rows, columns = ["scenario", "metric", "model"], M.block_columns(means, "label", _BLOCK_WIDTH)
+    return M.block_cells(M.column_blocks(means, columns, rows, "label", "value", _BLOCK_WIDTH), columns, rows)
+
+
 @register("truth_vs_mae", comp_sql(
     f"SELECT country, {S.stable('avg(truth)', 4)} AS truth, {S.stable('avg(fact_mae)', 4)} AS fact_mae, "
     f"{S.stable('avg(stance_mae)', 4)} AS stance_mae FROM comparison GROUP BY country"))
