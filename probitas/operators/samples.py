@@ -130,6 +130,35 @@ Responder = Callable  # Iterator[pd.DataFrame] -> Iterator[pd.DataFrame]
 REPLY_KEY = [*GROUP, "sample_order"]
 
 
+def union(frames: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, frames)
+
+
+def open_questions(prompts: DataFrame, max_attempts: int, ledger: str | None) -> DataFrame:
+    """The questions with the replies they have (``_have``), the last attempt made (``_asked``) and the last allowed (``_most``).
+
+    Of the ledger only partitions of models and scenarios that are asked are read.
+    """
+    if ledger and ST.store_exists(prompts.sparkSession, ledger):
+        filled = F.col("response").isNotNull() & F.col("response").rlike(NOT_BLANK)
+        known = ST.lookup(prompts.sparkSession, ledger, prompts, GROUP).groupBy(*GROUP).agg(
+            F.sum(F.when(filled, 1).otherwise(0)).cast("int").alias("_have"), F.max("sample_order").alias("_asked"))
+        state = prompts.join(known, GROUP, "left").na.fill(0, ["_have", "_asked"])
+    else:
+        state = prompts.withColumn("_have", F.lit(0)).withColumn("_asked", F.lit(0))
+    return state.withColumn("_most", F.col("_asked") + max_attempts)
+
+
+def first_replies(questions: DataFrame, replies: DataFrame, n: int, ledger: str | None) -> DataFrame:
+    """The questions, which have ``n_samples``, with their first ``n`` non-empty replies, of the ledger if there is one."""
+    spark = questions.sparkSession
+    if ledger and ST.store_exists(spark, ledger):
+        replies = ST.lookup(spark, ledger, questions, GROUP)
+    numbered = top_k_per_group(drop_empty_responses(replies), GROUP, [F.col("sample_order")], n).withColumnRenamed("_rank", "sample_no")
+    return (questions.join(numbered.select(*GROUP, "sample_order", "response", "sample_no"), GROUP, "left")
+            .withColumn("status", F.when(F.col("n_samples") >= n, "complete").otherwise("short")))
+
+
 def collect_samples(prompts: DataFrame, responder: Responder, n: int = R.SAMPLES_PER_QUESTION,
                     max_attempts: int = 10 * R.SAMPLES_PER_QUESTION, ledger: str | None = None) -> DataFrame:
     """Ask a user-supplied responder until every question has ``n`` non-empty replies.
@@ -148,14 +177,7 @@ def collect_samples(prompts: DataFrame, responder: Responder, n: int = R.SAMPLES
     spark = prompts.sparkSession
     ship_package(spark)
     schema = T.StructType(prompts.schema.fields + [T.StructField("sample_order", T.IntegerType()), T.StructField("response", T.StringType())])
-    if ledger and ST.store_exists(spark, ledger):
-        filled = F.col("response").isNotNull() & F.col("response").rlike(NOT_BLANK)
-        known = ST.read_store(spark, ledger).groupBy(*GROUP).agg(F.sum(F.when(filled, 1).otherwise(0)).cast("int").alias("_have"),
-                                                                  F.max("sample_order").alias("_asked"))
-        short = prompts.join(known, GROUP, "left").na.fill(0, ["_have", "_asked"])
-    else:
-        short = prompts.withColumn("_have", F.lit(0)).withColumn("_asked", F.lit(0))
-    short = short.withColumn("_most", F.col("_asked") + max_attempts)
+    short = open_questions(prompts, max_attempts, ledger)
     counters = ["_have", "_asked", "_most"]
     rounds, finished = [], []
     if ledger:
@@ -177,11 +199,4 @@ def collect_samples(prompts: DataFrame, responder: Responder, n: int = R.SAMPLES
         short = state.where(~over)
         if not short.limit(1).count():
             break
-    questions = reduce(DataFrame.unionByName, finished)
-    if ledger and ST.store_exists(spark, ledger):
-        replies = drop_empty_responses(ST.read_store(spark, ledger)).join(questions.select(*GROUP), GROUP, "left_semi")
-    else:
-        replies = reduce(DataFrame.unionByName, rounds)
-    numbered = top_k_per_group(replies, GROUP, [F.col("sample_order")], n).withColumnRenamed("_rank", "sample_no")
-    return (questions.join(numbered.select(*GROUP, "sample_order", "response", "sample_no"), GROUP, "left")
-            .withColumn("status", F.when(F.col("n_samples") >= n, "complete").otherwise("short")))
+    return first_replies(union(finished), union(rounds), n, ledger)

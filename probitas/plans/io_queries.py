@@ -10,6 +10,7 @@ from probitas.functions.numeric import np_round, to_double
 from probitas.operators import samples as SM
 from probitas.operators import translation as TR
 from probitas.operators.compare import COMPARISON_COLUMNS
+from probitas.operators.units import UNIT
 from probitas.plans import sql_inputs as S
 from probitas.plans import sql_text as ST
 from probitas.plans.inputs import Inputs, staged_comparison
@@ -54,6 +55,36 @@ def append_answer_store(spark, sf_dir):
     return IO.scan_answer_store(spark, root).select(*ITEM_COLS)
 
 
+_OPEN_SQL = S.with_inputs(
+    f"SELECT {', '.join(ITEM_COLS)} FROM item_scores JOIN (SELECT scenario, model, unit_key FROM item_scores "
+    f"WHERE scenario <> {S.q(R.SCENARIO_LANGUAGE)} GROUP BY ALL HAVING count(*) <> {R.TEST_RULES.n_criteria}) USING (scenario, model, unit_key)",
+    S.cte_item_scores())
+
+
+def _open_units(items):
+    """Units of two scenarios whose rows are not complete, a set known only when the query runs."""
+    counts = items.where(F.col("scenario") != R.SCENARIO_LANGUAGE).groupBy(*UNIT).agg(F.count(F.lit(1)).alias("n"))
+    return counts.where(F.col("n") != R.TEST_RULES.n_criteria)
+
+
+@register("lookup_answer_store", _OPEN_SQL)
+def lookup_answer_store(spark, sf_dir):
+    """Rows of the open units from the partitioned answer store; partitions are pruned when the scan runs (S3)."""
+    root = stage_path(spark, "answer_store")
+    items = Inputs.of(spark, sf_dir).item_scores.select(*ITEM_COLS)
+    IO.write_answer_store(items, root)
+    return IO.scan_answer_store(spark, root, units=_open_units(items)).select(*ITEM_COLS)
+
+
+@register("lookup_versioned_store", _OPEN_SQL)
+def lookup_versioned_store(spark, sf_dir):
+    """The same from a store that is upserted, whose version lists its partitions (S3, U4)."""
+    root = stage_path(spark, "answers")
+    items = Inputs.of(spark, sf_dir).item_scores.select(*ITEM_COLS)
+    STORE.append(items, root, ["scenario", "model"])
+    return IO.scan_answer_store(spark, root, units=_open_units(items)).select(*ITEM_COLS)
+
+
 _JSON_SQL = S.with_inputs(
     "SELECT country, country_id, citizenship, array_to_string(languages, '|') AS languages, "
     "array_to_string(language_codes, '|') AS language_codes, ord FROM countries", S.cte_countries())

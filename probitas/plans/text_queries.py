@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from probitas import rules as R
 from probitas.functions import numeric as NU
 from probitas.functions import text as TX
+from probitas.operators import asking
 from probitas.operators import questionnaire as Q
 from probitas.operators import samples as SM
 from probitas.operators import rollups as RU
@@ -155,6 +158,14 @@ def formula_responder(batches):
         yield pdf.assign(response=resp.astype(str))
 
 
+def formula_reply(question: dict) -> str:
+    """The same rule for one question at a time."""
+    prompt = question["full_prompt"]
+    quoted = re.search(RESPONDER_QUOTES, prompt)
+    yes, no = quoted.groups() if quoted else ("yes", "no")
+    return (yes + ".", f"**{no}**", "", yes, "Maybe.")[(len(prompt) * 31 + question["sample_order"]) % 5]
+
+
 def _collect_sql(resumed: bool = False) -> str:
     kind = "((length(full_prompt) * 31 + sample_order) % 5)"
     yes = f"coalesce(nullif(regexp_extract(full_prompt, {S.q(RESPONDER_QUOTES)}, 1), ''), 'yes')"
@@ -200,6 +211,17 @@ def resume_collection(spark, sf_dir):
     return SM.sample_scores(labelled).drop("n_unknown").join(asked, SM.GROUP)
 
 
+@register("collect_by_calls", _collect_sql(resumed=True))
+def collect_by_calls(spark, sf_dir):
+    """The same questions asked one by one by concurrent calls in one job, and how many attempts each took."""
+    prompts = build_prompt(spark, sf_dir).withColumn("model", F.lit(D.TEST_MODELS[0]))
+    ledger = stage_path(spark, "ledger")
+    got = asking.collect_by_calls(prompts, formula_reply, ledger=ledger)
+    asked = STORE.read_store(spark, ledger).groupBy(*SM.GROUP).agg(F.count(F.lit(1)).alias("n_asked"))
+    labelled = SM.label_samples(SM.drop_empty_responses(got), _prompts(spark, sf_dir))
+    return SM.sample_scores(labelled).drop("n_unknown").join(asked, SM.GROUP)
+
+
 def _bt_cte(name: str, where: str = "") -> str:
     return f"""{name} AS (SELECT model, language, count(*) AS n_questions,
   CAST(sum(CASE WHEN similarity IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_missing,

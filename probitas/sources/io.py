@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from probitas import rules as R
-from probitas.sources.store import read_store, store_exists
+from probitas.operators.units import UNIT
+from probitas.sources.store import lookup, read_store, store_exists
 
 # Fixed value: the column header of an answer file, in file order.
 ANSWER_FILE_COLUMNS = [
@@ -113,11 +114,25 @@ def append_answer_store(item_scores: DataFrame, root: str) -> None:
 
 
 def scan_answer_store(spark: SparkSession, root: str, scenario: str | None = None, model: str | None = None,
-                      unit_key: str | None = None) -> DataFrame:
+                      unit_key: str | None = None, units: DataFrame | None = None) -> DataFrame:
     """Answer rows from the store; the optional lookup keys become partition
     pruning (scenario, model) and a pushed-down filter (unit_key) (S3, S4). A store that is upserted
-    (:mod:`probitas.sources.store`) is read as of its latest version."""
-    df = read_store(spark, root) if store_exists(spark, root) else spark.read.parquet(root)
+    (:mod:`probitas.sources.store`) is read as of its latest version.
+
+    ``units`` (scenario, model, unit_key) asks for the rows of those units only; files of other (scenario, model)
+    partitions are not opened, by the list of a versioned store or by dynamic pruning when the scan of a plain one runs.
+    """
+    if units is not None and store_exists(spark, root):
+        df = lookup(spark, root, units, UNIT)
+    elif units is not None:
+        plain = spark.read.parquet(root)
+        # a row per scenario and model, as many as the store can have folders; the comparisons are never false for such a
+        # folder, and a set that is filtered is one that Spark prunes by
+        parts = units.where((F.col("scenario") > "") & (F.col("model") > "")).select("scenario", "model").distinct()
+        df = (plain.join(F.broadcast(parts), ["scenario", "model"], "left_semi")
+              .join(units.select(*UNIT).distinct(), UNIT, "left_semi").select(*plain.columns))
+    else:
+        df = read_store(spark, root) if store_exists(spark, root) else spark.read.parquet(root)
     for c, v in (("scenario", scenario), ("model", model), ("unit_key", unit_key)):
         if v is not None:
             df = df.where(F.col(c) == v)

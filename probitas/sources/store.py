@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +21,7 @@ from probitas.session import path_exists
 
 RUN = "run"                # folder column of a change; not part of the table
 VERSIONS = "_versions"
+NULL = "__HIVE_DEFAULT_PARTITION__"  # folder name of a null partition value
 
 
 class ConcurrentChange(RuntimeError):
@@ -63,15 +65,51 @@ def _publish(spark: SparkSession, root: str, version: int, schema: T.StructType,
         raise ConcurrentChange(f"version {version} of {root} exists already")
 
 
-def read_store(spark: SparkSession, root: str, version: int | None = None) -> DataFrame:
-    """The table as of its latest version, or of an older one that has not been vacuumed."""
+def _partition(folder: str) -> list[tuple[str, str | None]]:
+    """Column and value of each level of a partition folder, unescaped."""
+    levels = [part.split("=", 1) for part in folder.split("/")[1:]]
+    return [(unquote(name), None if value == NULL else unquote(value)) for name, value in levels]
+
+
+def _holding(folders: list[str], schema: T.StructType, only: DataFrame) -> list[str]:
+    """The folders of partitions that ``only`` has rows of, found by one job that returns a row per folder at most."""
+    names = [name for name, _ in _partition(folders[0])]
+    by_values: dict = {}
+    for folder in folders:
+        by_values.setdefault(tuple(value for _, value in _partition(folder)), []).append(folder)
+    held = only.sparkSession.createDataFrame(list(by_values), T.StructType([T.StructField(c, T.StringType()) for c in names]))
+    text = lambda c: F.col(f"`{c}`").cast(schema[c].dataType).cast("string")
+    asked = only.select([F.when(text(c) != "", text(c)).alias(c) for c in names]).distinct()
+    hit = held.join(asked, [held[c].eqNullSafe(asked[c]) for c in names], "left_semi").collect()
+    return sorted(f for r in hit for f in by_values[tuple(r)])
+
+
+def read_store(spark: SparkSession, root: str, version: int | None = None, only: DataFrame | None = None) -> DataFrame:
+    """The table as of its latest version, or of an older one that has not been vacuumed.
+
+    With ``only``, rows that have the partition columns, the partitions without any of its rows are left out: their
+    files are neither listed nor opened. Which ones stay is found by a job when this is called.
+    """
     schema, folders = _version(spark, root, version or latest_version(spark, root))
     if schema is None:
         raise FileNotFoundError(f"no stored table at {root}")
+    if only is not None:
+        folders = _holding(folders, schema, only)
+        if not folders:
+            return spark.createDataFrame([], schema)
     table = spark.read.schema(schema).option("basePath", root).parquet(*[f"{root}/{f}" for f in folders])
     return table.select(*[f"`{c}`" for c in schema.names])
 
 
+def lookup(spark: SparkSession, root: str, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """Stored rows whose ``keys`` are among those of ``wanted``, read from the partitions that ``wanted`` has rows of.
+
+    ``keys`` hold the partition columns. Null keys equal each other; repeated rows of ``wanted`` do not repeat the result.
+    """
+    stored, asked = read_store(spark, root, only=wanted), wanted.select(*keys).distinct()
+    return stored.join(asked, [stored[c].eqNullSafe(asked[c]) for c in keys], "left_semi")
+
+
 def store_exists(spark: SparkSession, root: str) -> bool:
     return latest_version(spark, root) > 0
 
@@ -95,9 +133,7 @@ def upsert(updates: DataFrame, root: str, keys: list[str], partition_by: list[st
     merged = updates
     if schema is not None:
         new = updates.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
-        touched = new.select(*partition_by).distinct()
-        stored = read_store(spark, root, version)
-        old = stored.join(touched, same(stored, touched, partition_by), "left_semi")  # other partitions are pruned when it runs
+        old = read_store(spark, root, version, only=new)
         if insert_only:
             merged = old.unionByName(new.join(old, same(new, old, keys), "left_anti"))
         else:
