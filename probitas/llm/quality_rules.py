@@ -2,8 +2,11 @@
 
 No label is used. Expectation-maximisation fits how often each rule votes which way on good documents and on
 each kind of fault (Dawid-Skene with independent rules; faults are kinds of their own, as spam and loops
-trip different rules), from the counts of vote patterns. There are at most 3 ** rules patterns, so what the
-driver holds is bounded whatever the input. The posterior is then an expression over the votes. Everything on the data is DataFrame operations.
+trip different rules), from the counts of vote patterns. All rates are free. Faults are anchored on agreement: documents that two
+rules or more accuse are where the fit starts to look for them, while one rule alone cannot tell a fault from a habit of good
+documents. So every fault that is looked for has two rules that measure it in different ways. There are at most 3 ** rules
+patterns, so what the driver holds is bounded whatever the input. The posterior is then an expression over the
+votes. Everything on the data is DataFrame operations.
 """
 
 from __future__ import annotations
@@ -18,9 +21,6 @@ from probitas.llm.common import materialize, words
 
 SYMBOLS = "#*$%&|<>"
 ABSTAIN, BAD, GOOD = 0, 1, 2
-FAULT_PRIOR = 20         # before any vote, the share of a rule's own fault is Beta(1, 20), its share of false alarms uniform
-MAX_FALSE_ALARM = 0.005  # most of the good documents on which a trusted rule may vote bad
-MIN_HIT = 0.8            # least of a trusted rule's own fault on which it votes bad
 
 
 @dataclass(frozen=True)
@@ -39,12 +39,13 @@ class VotingRule:
 INF = float("inf")
 RULES = (
     VotingRule("symbols", "n_symbols / word_chars", (0, 0.01), (0, 0.05)),
+    VotingRule("marked words", "n_marked_words / n_words", (0, 0.02), (0, 0.1)),
     VotingRule("exclamations", "n_exclamations / n_words", (0, 0.05), (0, 0.2)),
     VotingRule("repeated words", "n_repeat_words / n_words", (0, 0.3), (0, 0.5)),
     VotingRule("repeated lines", "n_dup_lines / n_lines", (0, 0.2), (0, 0.5)),
     VotingRule("capitals", "n_capitals / word_chars", (0, 0.15), (0, 0.4)),
     VotingRule("word length", "word_chars / n_words", (3, 10), (2.5, 13)),
-    VotingRule("variety", "n_distinct / least(n_words, 400)", (0.4, INF), (0.2, INF)),
+    VotingRule("variety", "ln(n_distinct + 1) / ln(n_words + 1)", (0.7, INF), (0.5, INF)),
     VotingRule("sentence ends", "n_ended_lines / n_lines", (0.5, 1), (0.1, 1)),
 )
 
@@ -72,6 +73,8 @@ def measured(docs: DataFrame, text_col: str) -> DataFrame:
     capitals = F.length("__t") - F.length(F.regexp_replace("__t", r"\p{Lu}", ""))
     return (out.withColumn("word_chars", F.length(F.translate("__t", " \t\n\x0b\x0c\r", "")).cast("long"))
             .withColumn("n_symbols", without(SYMBOLS).cast("long"))
+            .withColumn("n_marked_words", F.when(F.col("n_symbols") > 0, F.size(F.filter("__w", lambda x: x.rlike(f"[{SYMBOLS}]"))))
+                        .otherwise(0).cast("long"))
             .withColumn("n_lines", F.size("__lines").cast("long"))
             .withColumn("n_dup_lines", (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"))
             .withColumn("n_repeat_words", covered.cast("long"))
@@ -116,36 +119,15 @@ class LabelModel:
         return 1 / (1 + others)
 
 
-def _bounded(rates: list[float], least: float, most: float) -> list[float]:
-    """The rates with that of a bad vote kept between two bounds, the others in proportion."""
-    bad = min(most, max(least, rates[BAD]))
-    rest = (1 - bad) / (1 - rates[BAD])
-    return [bad if v == BAD else x * rest for v, x in enumerate(rates)]
-
-
-def _trusted(rows: list[tuple[tuple[int, ...], int]], n_rules: int) -> list[bool]:
-    """Per rule whether what it alone accuses is rather a fault of its own than a habit of good documents. Votes fit both
-    equally well, so the priors are weighed, at the share of the documents nobody else accuses: trust ends at 15 %."""
-    out = []
-    for j in range(n_rules):
-        others = [(v[j] == BAD, n) for v, n in rows if all(x != BAD for k, x in enumerate(v) if k != j)]
-        share = sum(n for bad, n in others if bad) / max(1, sum(n for _, n in others))
-        out.append(FAULT_PRIOR * (1 - share) ** (FAULT_PRIOR - 1) >= 1)
-    return out
-
-
 def fit(patterns: dict[tuple[int, ...], int], n_rules: int, rounds: int = 200, tolerance: float = 1e-9) -> LabelModel:
-    """Expectation-maximisation over the counts of vote patterns, in a fixed order, with one pseudo-count per
-    outcome; rates of trusted rules stay within MAX_FALSE_ALARM and MIN_HIT, those of others are free. It starts from
-    "good unless some trusted rule says bad", the blame shared by those rules."""
+    """Expectation-maximisation over the counts of vote patterns, in a fixed order, with one pseudo-count per outcome. It starts
+    from "faulty where two rules or more vote bad", the blame shared by those rules, and everything else good."""
     rows = sorted(patterns.items())
-    trusted = _trusted(rows, n_rules)
     beliefs = []
     for votes, _ in rows:
-        faults = [float(t and v == BAD) for t, v in zip(trusted, votes)]
-        good = 0.05 if any(faults) else 0.95
-        blame = sum(faults)
-        beliefs.append([good] + [(1 - good) * (x / blame if blame else 1 / n_rules) for x in faults])
+        blame = votes.count(BAD)
+        good = 0.05 if blame > 1 else 1.0
+        beliefs.append([good] + [(1 - good) / blame if blame > 1 and v == BAD else 0.0 for v in votes])
     model = None
     for _ in range(rounds):
         total = [1.0] * (n_rules + 1)
@@ -156,9 +138,6 @@ def fit(patterns: dict[tuple[int, ...], int], n_rules: int, rounds: int = 200, t
                 for j, v in enumerate(votes):
                     counts[c][j][v] += n * q
         rates = [[[x / sum(r) for x in r] for r in k] for k in counts]
-        for j in (j for j in range(n_rules) if trusted[j]):
-            rates[0][j] = _bounded(rates[0][j], 0.0, MAX_FALSE_ALARM)        # a trusted rule seldom accuses good documents
-            rates[j + 1][j] = _bounded(rates[j + 1][j], MIN_HIT, 1.0)        # and mostly sees the fault it is named for
         model = LabelModel(tuple(t / sum(total) for t in total), tuple(tuple(map(tuple, k)) for k in rates))
         new = [model.beliefs(v) for v, _ in rows]
         moved, beliefs = max((abs(a[0] - b[0]) for a, b in zip(new, beliefs)), default=0.0), new
