@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from probitas.llm.common import lookup_join, lower_ascii, materialize
@@ -37,10 +37,26 @@ class Reputation:
     root_strength: float = 2.0     # pseudo-pages of the uniform prior over the whole table
     min_strength: float = 1.0      # limits of the fitted prior strengths, in pseudo-pages
     max_strength: float = 10_000.0
-    # Suffixes of two labels; any other suffix is the last label.
+    # Suffix rules: a suffix, ``*.`` and one (any label before it belongs to the suffix), or ``!`` and an exception from
+    # such a rule, whose first label does not. Without a rule the last label is the suffix. See read_suffix_rules.
     long_suffixes: tuple[str, ...] = ("co.uk", "org.uk", "ac.uk", "com.au", "com.br", "co.jp")
 
 
+ADDRESS = "[address]"  # stands for the suffix of hosts that are addresses; no name has brackets
+
+
+def read_suffix_rules(spark: SparkSession, path: str, most: int = 100_000) -> tuple[str, ...]:
+    """The rules of a list of public suffixes: one per line, up to the first blank; comment lines begin with ``//``.
+
+    The list is a parameter, so it does not grow with the data; one of over ``most`` rules is refused.
+    """
+    line = F.regexp_extract("value", r"^\s*(\S+)", 1)
+    rules = [r[0] for r in spark.read.text(path).select(lower_ascii(line)).where((line != "") & ~line.startswith("//")).limit(most + 1).collect()]
+    if len(rules) > most:
+        raise ValueError(f"more than {most} suffix rules in {path}")
+    return tuple(rules)
+
+
 def url_host(url: Column) -> Column:
     """After the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased; else empty."""
     return lower_ascii(F.coalesce(F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1), F.lit("")))
@@ -62,14 +78,26 @@ def matching_rule(host: Column, path: Column, rules: list[Rule]) -> Column:
     return found
 
 
-def _suffix(host: Column, cfg: Reputation) -> Column:
-    two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*cfg.long_suffixes), two).otherwise(F.substring_index(host, ".", -1))
+def host_group(host: Column) -> Column:
+    """The host whose reputation a page shares: without user part, port and a last dot."""
+    bare = F.regexp_replace(F.regexp_replace(host, r"(?s)^.*@", ""), r":[0-9]*$", "")
+    return F.regexp_replace(bare, r"\.$", "")
 
 
-def _domain(host: Column, cfg: Reputation) -> Column:
-    two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*cfg.long_suffixes), F.substring_index(host, ".", -3)).otherwise(two)
+def domain_and_suffix(host: Column, cfg: Reputation) -> Column:
+    """struct(domain, suffix): the suffix by the longest rule, the domain one label longer (a bare suffix is its own).
+    An address is its own domain, and all addresses share a suffix."""
+    labels = F.split(host, r"\.", -1)
+    n = F.size(labels)
+    tails = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.array_join(F.slice(labels, i + 1, n - i), "."))  # longest first
+    plain = [r for r in cfg.long_suffixes if r[:1] not in "*!"]
+    wild, saved = ([r[k:] for r in cfg.long_suffixes if r.startswith(mark)] for k, mark in ((2, "*."), (1, "!")))
+    first = F.array_min(F.transform(tails, lambda t, i: F.when(t.isin(saved), i + 1).when(
+        t.isin(plain) | F.coalesce(F.get(tails, i + 1).isin(wild), F.lit(False)), i)))
+    at = F.coalesce(first, n - 1)
+    address = host.rlike(r"^(\d{1,3}(\.\d{1,3}){3}|\[.*\])$")
+    return F.struct(F.when(address, host).otherwise(F.coalesce(F.get(tails, at - 1), host)).alias("domain"),
+                    F.when(address, F.lit(ADDRESS)).otherwise(F.get(tails, at)).alias("suffix"))
 
 
 def _spread(counts: DataFrame) -> DataFrame:
@@ -99,7 +127,7 @@ def host_reputation(pages: DataFrame, host_col: str, outcome_col: str, cfg: Repu
         pages.groupBy(F.col(host_col).alias("host"))
         .agg(F.count("*").alias("pages"), F.count(outcome_col).alias("n"),
              F.coalesce(F.sum(F.col(outcome_col).cast("long")), F.lit(0)).alias("x"))
-        .withColumn("domain", _domain(F.col("host"), cfg)).withColumn("suffix", _suffix(F.col("host"), cfg)), "hosts")
+        .withColumn("__names", domain_and_suffix(F.col("host"), cfg)).select("host", "pages", "n", "x", "__names.*"), "hosts")
     total = lambda df, key: df.groupBy(*key).agg(*[F.sum(c).alias(c) for c in ("n", "x", "pages")])
     domains = total(hosts, ["domain", "suffix"])
     suffixes = total(hosts, ["suffix"])
@@ -134,6 +162,8 @@ def judge_urls(pages: DataFrame, rules: list[Rule], cfg: Reputation = Reputation
     ``outcome`` labels pages (1 bad, 0 good, null unlabelled). By default the rules are the labels: a page that
     a rule blocks is bad, one that a rule allows is good, and the rest is judged by its host's reputation.
 
+    Pages of a host share its reputation whatever their port or user part; addresses are their own domains.
+
     Defined cases: a null url, or one without ``://``, has an empty host and path and the reputation of the
     empty host; without any label nothing is blocked but by rules; repeated rows are judged alike; an
     empty table gives an empty result; input columns named like an added one are replaced by it.
@@ -145,9 +175,10 @@ def judge_urls(pages: DataFrame, rules: list[Rule], cfg: Reputation = Reputation
             .withColumn("__rule", matching_rule(F.col("__host"), F.col("__path"), rules)))
     by_rule = F.when(F.col("__rule.verdict") == "block", 1).when(F.col("__rule.verdict") == "allow", 0)
     base = base.withColumn("__bad", (outcome if outcome is not None else by_rule).cast("int"))
-    hosts = host_reputation(base, "__host", "__bad", cfg).select(
-        F.col("host").alias("__host"), "pages", "mean", "bound", "blocked")
-    out = lookup_join(base, hosts, "__host", "pages")
+    base = base.withColumn("__group", host_group(F.col("__host")))
+    hosts = host_reputation(base, "__group", "__bad", cfg).select(
+        F.col("host").alias("__group"), "pages", "mean", "bound", "blocked")
+    out = lookup_join(base, hosts, "__group", "pages")
     verdict = F.coalesce(F.col("__rule.verdict"), F.when(F.col("blocked"), "block").otherwise("allow"))
     return out.select(*[F.col(c) for c in base.columns if not c.startswith("__")], F.col("__host").alias("host"),
                       F.col("__path").alias("path"), F.col("__rule.rule").alias("rule"), verdict.alias("verdict"), "mean", "bound")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from probitas.llm.common import lookup_join
 from probitas.llm.sharding import shard_by_bytes, write_shards
-from probitas.llm.url_reputation import Reputation, Rule, judge_urls, prior_strength
+from probitas.llm.url_reputation import ADDRESS, Reputation, Rule, domain_and_suffix, host_group, judge_urls, prior_strength, read_suffix_rules
 
 RULES = [Rule("allow", "com", "/"), Rule("block", "example.com", "/en/"), Rule("allow", "www.example.com", "/en/"),
          Rule("block", "net", "/es/")]
@@ -55,6 +55,34 @@ def test_reputation_shrinks_and_blocks_only_where_it_is_sure(spark):
     assert out["http://new.fine.org/"].mean < out["http://new.other.info/"].mean < out["http://new.spam.org/"].mean
 
 
+HOSTS = {  # host: the host of its reputation, domain, suffix
+    "": ("", "", ""), "com": ("com", "com", "com"), "a.com:8080": ("a.com", "a.com", "com"), "me:pw@b.a.com:": ("b.a.com", "a.com", "com"),
+    "a.com.": ("a.com", "a.com", "com"), "co.uk": ("co.uk", "co.uk", "co.uk"), "x.y.co.uk": ("x.y.co.uk", "y.co.uk", "co.uk"),
+    "10.0.0.1": ("10.0.0.1", "10.0.0.1", ADDRESS), "10.0.0.1:80": ("10.0.0.1", "10.0.0.1", ADDRESS), "1.2.3": ("1.2.3", "2.3", "3"),
+    "[::1]:8080": ("[::1]", "[::1]", ADDRESS), "a.b.c.ck": ("a.b.c.ck", "b.c.ck", "c.ck"), "c.ck": ("c.ck", "c.ck", "c.ck"),
+    "a.www.ck": ("a.www.ck", "www.ck", "ck"), "ck": ("ck", "ck", "ck"), "localhost": ("localhost", "localhost", "localhost"),
+    "x.city.kobe.jp": ("x.city.kobe.jp", "city.kobe.jp", "kobe.jp"), "p.q.kobe.jp": ("p.q.kobe.jp", "p.q.kobe.jp", "q.kobe.jp")}
+
+
+def test_domains_and_suffixes(spark, tmp_path):
+    (tmp_path / "suffixes").write_text("// a comment\n\nCO.UK  rest\nuk\n*.ck\n!www.ck\njp\n*.kobe.jp\n!city.kobe.jp\n")
+    rules = read_suffix_rules(spark, str(tmp_path / "suffixes"))
+    assert rules == ("co.uk", "uk", "*.ck", "!www.ck", "jp", "*.kobe.jp", "!city.kobe.jp")
+    with pytest.raises(ValueError, match="suffix rules"):
+        read_suffix_rules(spark, str(tmp_path / "suffixes"), 3)
+    df = spark.createDataFrame([(h,) for h in HOSTS], "h string").withColumn("g", host_group(F.col("h")))
+    out = df.select("h", "g", domain_and_suffix(F.col("g"), Reputation(long_suffixes=rules)).alias("n")).select("h", "g", "n.*").collect()
+    assert {r.h: (r.g, r.domain, r.suffix) for r in out} == HOSTS
+
+
+def test_ports_and_users_share_the_reputation_of_their_host(spark):
+    rows = [(f"http://bad.org:{i}/x", 1) for i in range(60)] + [(f"http://10.0.0.{i}/x", 0) for i in range(60)] + [("http://u:p@bad.org./new", None)]
+    out = {r.url: r for r in judge_urls(spark.createDataFrame(rows, "url string, bad int"), [], outcome=F.col("bad")).collect()}
+    new = out["http://u:p@bad.org./new"]
+    assert (new.host, new.verdict) == ("u:p@bad.org.", "block") and new.mean == out["http://bad.org:3/x"].mean
+    assert out["http://10.0.0.7/x"].verdict == "allow"
+
+
 def test_prior_strength_follows_the_spread():
     from pyspark.sql import Row
     groups = lambda xs, n: Row(k=len(xs), s0=n * len(xs), s1=sum(xs), s2=sum(x * x / n for x in xs), nn=n * n * len(xs))
