@@ -4,9 +4,10 @@ Vectors of one label and dimension form a cell; a cell above ``Graph.cell`` vect
 bounded sample of it. Every vector is at home in one cell and a visitor in all others where it can be in range of one
 at home: if x lies nearer to centre k and y is in range of x, then y is at most the range times the distance of the centres
 nearer to any other centre. So a shard holds all that its vectors link with. Per shard a flat graph is built: nodes are
-inserted in batches, each searches the graph so far and keeps a robust-pruned selection of what it visited. Every vector
-then searches the graph from the medoid, and expands as long as it finds vectors in range. Links are verified by their exact
-cosine, recall is audited against brute force on a sample of each shard, the search widens if it falls short, and if
+inserted in batches, each searches the graph so far and keeps a robust-pruned selection of what it visited. The adjacency lists
+of a node from all shards that it is a member of are united. Every vector then searches the united graph from the medoids
+among the members of its home shard, and expands as long as it finds vectors in range. Links are verified by their exact
+cosine, recall is audited against brute force on vectors that have links, the search widens if it falls short, and if
 that is not enough all pairs of the shard are compared. Shards above ``Graph.cell`` vectors with their visitors (dense
 groups, which no split takes apart) are compared in pairs of blocks, all pairs.
 
@@ -38,19 +39,24 @@ class Graph:
     beam: int = 32          # candidates that a search keeps
     alpha: float = 1.2      # slack of the robust pruning
     batch: int = 512
-    audit: int = 48         # vectors of each shard whose links are checked by brute force
+    audit: int = 48         # linked vectors of each shard whose links are checked by brute force
+    audit_rows: int = 1024  # most vectors of a shard that are compared with all others to find those
     recall: float = 0.98    # what the audit asks for, else the beam doubles and then all pairs are compared
 
 
 # ---- one shard, in numpy -------------------------------------------------------------------
 
-def beam_search(x: np.ndarray, adj: np.ndarray, start: int, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
-    """Best nodes and cosines found for each query, best first (-1 pads); all queries walk the graph together."""
+def beam_search(x: np.ndarray, adj: np.ndarray, starts: np.ndarray, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+    """Best nodes and cosines found for each query, best first (-1 pads); all queries walk the graph together, from the
+    starts nearest to them."""
     q = x[queries]
     nodes = np.full((len(q), beam), -1, np.int64)
     sims = np.full((len(q), beam), -np.inf)
     done = np.ones((len(q), beam), bool)
-    nodes[:, 0], sims[:, 0], done[:, 0] = start, q @ x[start], False
+    from_starts = q @ x[starts].T
+    first = np.argsort(-from_starts, axis=1, kind="stable")[:, :beam]
+    k = first.shape[1]
+    nodes[:, :k], sims[:, :k], done[:, :k] = starts[first], np.take_along_axis(from_starts, first, 1), False
     rows = np.arange(len(q))
     while len(rows):
         best = np.argmax(np.where(done[rows], -np.inf, sims[rows]), axis=1)
@@ -101,10 +107,10 @@ def build(x: np.ndarray, how: Graph) -> np.ndarray:
     rng = np.random.default_rng(n)
     adj = rng.integers(0, n, (n, how.degree))
     adj[:, how.degree // 2:] = -1
-    start, order = medoid(x), rng.permutation(n)
+    starts, order = np.array([medoid(x)]), rng.permutation(n)
     for at in range(0, n, how.batch):
         points = order[at:at + how.batch]
-        found, _ = beam_search(x, adj, start, points, how.beam)
+        found, _ = beam_search(x, adj, starts, points, how.beam)
         adj[points] = robust_prune(x, points, np.concatenate([found, adj[points]], axis=1), how.degree, how.alpha)
         src = np.repeat(points, how.degree)
         dst = adj[points].ravel()
@@ -122,18 +128,17 @@ def build(x: np.ndarray, how: Graph) -> np.ndarray:
     return adj
 
 
-def range_search(x: np.ndarray, adj: np.ndarray, how: Graph, beam: int) -> np.ndarray:
-    """Boolean matrix of the links found, in both directions: a beam search from the medoid, then neighbours of
+def range_search(x: np.ndarray, adj: np.ndarray, how: Graph, beam: int, starts: np.ndarray) -> np.ndarray:
+    """Boolean matrix of the links found, in both directions: a beam search from the starts, then neighbours of
     everything in range, along edges of either direction, are looked at until nothing new is in range."""
     n = len(x)
     src, dst = np.nonzero(adj >= 0)[0], adj[adj >= 0]
     key = np.unique(np.concatenate([src * n + dst, dst * n + src]))
     edges, first = key % n, np.searchsorted(key, np.arange(n + 1) * n)
     linked, looked = np.zeros((n, n), bool), np.zeros((n, n), bool)
-    start = medoid(x)
     for at in range(0, n, how.batch):
         queries = np.arange(at, min(at + how.batch, n))
-        nodes, sims = beam_search(x, adj, start, queries, beam)
+        nodes, sims = beam_search(x, adj, starts, queries, beam)
         row, col = np.nonzero((nodes >= 0) & (sims >= how.threshold))
         a, b = queries[row], nodes[row, col]
         a, b = np.concatenate([a, queries]), np.concatenate([b, queries])  # a query's own neighbours are looked at too
@@ -168,17 +173,31 @@ def _unit(vectors) -> np.ndarray:  # noqa: ANN001
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def audited_links(x: np.ndarray, adj: np.ndarray, how: Graph) -> tuple[np.ndarray, float]:
-    """Links and their recall on the audit sample; the beam doubles until the recall is good, up to eight times its width,
-    then all pairs are compared."""
+def audit_sample(x: np.ndarray, how: Graph) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors that have links, found by brute force among a random ``audit_rows`` of the shard, and these links."""
+    order = np.random.default_rng(len(x) + 1).permutation(len(x))[:how.audit_rows]
+    rows, truth, size = [order[:0]], [np.zeros((0, len(x)), bool)], 4 * how.audit
+    for at in range(0, len(order), size):
+        some = order[at:at + size]
+        links = x[some] @ x.T >= how.threshold
+        links[np.arange(len(some)), some] = False
+        rows.append(some[links.any(axis=1)])
+        truth.append(links[links.any(axis=1)])
+        if sum(map(len, rows)) >= how.audit:
+            break
+    return np.concatenate(rows), np.concatenate(truth)
+
+
+def audited_links(x: np.ndarray, adj: np.ndarray, how: Graph, starts: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+    """Links and their recall on the audit sample (nan: no vector looked at has a link); the beam doubles until the recall is
+    good, up to eight times its width, then all pairs are compared."""
     beam = how.beam
-    sample = np.random.default_rng(len(x) + 1).permutation(len(x))[:how.audit]
-    truth = x[sample] @ x.T >= how.threshold
-    truth[np.arange(len(sample)), sample] = False
+    starts = np.array([medoid(x)]) if starts is None else starts
+    sample, truth = audit_sample(x, how)
     while True:
-        links = range_search(x, adj, how, min(beam, max(len(x), 1)))
-        recall = 1.0 if not truth.any() else float((links[sample] & truth).sum() / truth.sum())
-        if recall >= how.recall:
+        links = range_search(x, adj, how, min(beam, max(len(x), 1)), starts)
+        recall = float((links[sample] & truth).sum() / truth.sum()) if len(sample) else np.nan
+        if not recall < how.recall:
             return links, recall
         if beam >= min(len(x), 8 * how.beam):
             return all_links(x, how), 1.0
@@ -266,11 +285,38 @@ def _found(home: np.ndarray, links: np.ndarray, recall: float, child: np.ndarray
             {"other": "Int64", "links": "Int64", "recall": "Float64"})
 
 
+BUILT = "cell string, node long, near array<long>, medoid boolean"
+
+
+def _build_cell(how: Graph):
+    """The adjacency lists of a shard's graph, and its medoid."""
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["node"], kind="stable").reset_index(drop=True)
+        ids, x = part["node"].to_numpy(), _unit(part["emb"])
+        adj = build(x, how)
+        return pd.DataFrame({"cell": part["cell"], "node": ids, "near": [ids[a[a >= 0]] for a in adj], "medoid": np.arange(len(ids)) == medoid(x)})
+    return run
+
+
+def _adjacency(ids: np.ndarray, near) -> np.ndarray:  # noqa: ANN001
+    """Rows of members' positions (-1 pads) from lists of nodes; those that are no members are left out."""
+    src = np.repeat(np.arange(len(ids)), [len(v) for v in near])
+    dst = np.concatenate([np.asarray(v, np.int64) for v in near])
+    at = np.minimum(np.searchsorted(ids, dst), len(ids) - 1)
+    here = ids[at] == dst
+    src, at = src[here], at[here]
+    count = np.bincount(src, minlength=len(ids))
+    adj = np.full((len(ids), max(1, count.max(initial=0))), -1, np.int64)
+    adj[src, np.arange(len(src)) - np.repeat(np.cumsum(count) - count, count)] = at
+    return adj
+
+
 def _search_cell(how: Graph):
+    """The links that the members of a shard have in the united graph."""
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["node"], kind="stable").reset_index(drop=True)
         ids, x = part["node"].to_numpy(), _unit(part["emb"])
-        links, recall = audited_links(x, build(x, how), how)
+        links, recall = audited_links(x, _adjacency(ids, part["near"]), how, np.union1d(medoid(x), np.nonzero(part["medoid"].to_numpy())[0]))
         a, b = np.nonzero(np.triu(links))
         child, above = tree_edges(join_sets(np.arange(len(ids)), a, b))
         counts = links @ part["times"].to_numpy().astype(np.float64)
@@ -307,21 +353,25 @@ def linked_nodes(nodes: DataFrame, how: Graph) -> DataFrame:
     members = overlapping_cells(nodes, how)
     sizes = members.groupBy("cell").agg(F.count("*").alias("n"), F.count_if("home").alias("homes"))
     members = lookup_join(members, materialize(sizes, "cell-sizes"), "cell", "n").where(F.col("homes") > 0)
-    small = members.where(F.col("n") <= how.cell).groupBy("cell").applyInPandas(_search_cell(how), FOUND)
+    small = members.where(F.col("n") <= how.cell)
+    built = materialize(small.groupBy("cell").applyInPandas(_build_cell(how), BUILT), "shard-graphs")
+    # a node has a list in each shard that it is a member of, so it has few
+    united = built.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"), F.max("medoid").alias("medoid"))
+    searched = small.join(united, "node").groupBy("cell").applyInPandas(_search_cell(how), FOUND)
     blocks = lambda n: F.ceil(F.col(n) / how.cell).cast("int")
     block = lambda salt, n: F.pmod(F.xxhash64(F.lit(salt), "node"), blocks(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
     large = members.where(F.col("n") > how.cell)
     pairs = (large.where("home").select("node", "emb", "times", "cell", F.lit(True).alias("asks"), block(1, "homes").alias("i"), every("n").alias("j"))
              .unionByName(large.select("node", "emb", "times", "cell", F.lit(False).alias("asks"), every("homes").alias("i"), block(2, "n").alias("j"))))
-    found = small.unionByName(pairs.groupBy("cell", "i", "j").applyInPandas(_compare_blocks(how), FOUND))
+    found = searched.unionByName(pairs.groupBy("cell", "i", "j").applyInPandas(_compare_blocks(how), FOUND))
     return found.groupBy("node", "other").agg(F.sum("links").alias("links"), F.min("recall").alias("recall"))
 
 
 def near_duplicates(vectors: DataFrame, how: Graph = Graph(), id_col: str = "vec_id", vector_col: str = "embedding",
                     label_col: str = "label") -> DataFrame:
     """One row per vector: ``id_col``, n_links (other vectors linked directly), component_id (the smallest id reachable),
-    kept (the id is component_id), recall (audited, of its shard).
+    kept (the id is component_id), recall (audited, of its shard; null where no vector that was looked at has a link).
 
     Linked are vectors of one label and dimension with a cosine of at least ``how.threshold``.
 

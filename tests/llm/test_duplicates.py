@@ -147,6 +147,37 @@ def test_a_shard_whose_graph_reaches_too_little_is_compared_whole():
     assert recall == 1.0 and (links == want).all()
 
 
+def test_adjacency_lists_of_shards_are_united():
+    ids = np.array([2, 5, 7, 9])
+    adj = vector_graph._adjacency(ids, [[5, 11, 9], [], [2], [1, 7, 2]])
+    assert [sorted(a[a >= 0].tolist()) for a in adj] == [[1, 3], [], [0], [0, 2]]
+    assert (vector_graph._adjacency(ids, [[1]] * 4) == -1).all()
+
+
+def test_recall_is_unmeasured_without_links_and_found_where_links_are_rare():
+    x = vector_graph._unit(np.random.default_rng(3).normal(size=(600, 24)))
+    links, recall = vector_graph.audited_links(x, vector_graph.build(x, vector_graph.Graph()), vector_graph.Graph())
+    assert not links.any() and np.isnan(recall)
+    x[17] = x[400]  # one pair among 600 vectors
+    sample, truth = vector_graph.audit_sample(x, vector_graph.Graph())
+    assert sorted(sample.tolist()) == [17, 400] and truth.sum() == 2
+
+
+def test_rare_links_among_many_vectors_at_production_settings(spark):
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(40, 16)) * 1.5
+    x = centres[rng.integers(0, 40, 20_000)] + rng.normal(size=(20_000, 16))
+    x[:100] = x[100:200] + 0.03 * rng.normal(size=(100, 16))
+    x = x.astype(np.float32)
+    df = spark.createDataFrame([(k, v.tolist(), 1) for k, v in enumerate(x)], "vec_id long, embedding array<float>, label int").repartition(8)
+    got = {r.vec_id: r for r in vector_graph.near_duplicates(df).collect()}
+    u = vector_graph._unit(x)
+    n_links = np.concatenate([(u[at:at + 1000] @ u.T >= 0.93).sum(axis=1) - 1 for at in range(0, len(u), 1000)])
+    found = np.array([got[k].n_links for k in range(len(x))])
+    print("links", n_links.sum(), "found", found.sum(), "recall", sorted({str(r.recall) for r in got.values()}))
+    assert (found <= n_links).all() and n_links.sum() >= 200 and found.sum() >= 0.9 * n_links.sum()
+
+
 def test_no_vectors(spark):
     assert vector_graph.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).collect() == []
 
