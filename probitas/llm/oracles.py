@@ -148,3 +148,22 @@ SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(list_f
        folded_root, folded_root = root AS verified
 FROM folded f JOIN subs u ON u.lang IS NOT DISTINCT FROM f.lang, top
 """
+
+# crc32 of the whole text over its bytes; rows in order of id, checksum and size, cut where the middle of a row's bytes falls.
+BYTE_SHARDS = f"""
+WITH crc AS (SELECT {_table_step(8)} AS entries
+), d AS (
+  SELECT doc_id, CAST(strlen(coalesce(text, '')) + 8 AS BIGINT) AS size,
+         xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'),
+             lambda h: CAST('0x' || h AS BIGINT))), lambda c, b: xor(c >> 8, entries[(xor(c, b) & 255) + 1]))) AS text_crc32
+  FROM documents, crc
+), placed AS (
+  SELECT *, sum(size) OVER w AS upto, sum(size) OVER () AS total FROM d
+  WINDOW w AS (ORDER BY doc_id NULLS FIRST, text_crc32, size ROWS UNBOUNDED PRECEDING)
+), cut AS (
+  SELECT *, CAST(least(23, (2 * upto - size) * 24 // (2 * total)) AS INTEGER) AS shard FROM placed
+)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard,
+       row_number() OVER (PARTITION BY shard ORDER BY upto) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM cut
+"""

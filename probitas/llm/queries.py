@@ -12,7 +12,7 @@ from probitas.stages import owned
 QUERIES: dict = {}
 # The other queries' results (models, fingerprints, checksums, tokenizers) are tested against brute force.
 ORACLE_SQL: dict = {"op1_vector_graph": oracles.VECTOR_GRAPH, "op3_url_reputation": oracles.URL_REPUTATION,
-                    "op12_hard_negatives": oracles.HARD_NEGATIVES, "op13_merkle_manifest": oracles.MERKLE_MANIFEST}
+                    "op8_byte_shards": oracles.BYTE_SHARDS, "op12_hard_negatives": oracles.HARD_NEGATIVES, "op13_merkle_manifest": oracles.MERKLE_MANIFEST}
 
 
 def query(fn):
