@@ -55,18 +55,25 @@ def questionnaire_units(units: DataFrame) -> DataFrame:
                     F.col("f.language").alias("language")))
 
 
+def dealt_units(units: DataFrame, spread: int | None = None) -> DataFrame:
+    """``questionnaire_units`` dealt by their keys to ``spread`` parts, at most the number of shuffle partitions (the default).
+
+    The units are few and small next to the questions made of them, so parts that are merged by their size would put
+    them, and then all questions, into a task or two. These stay as they are dealt (hence before the grouping, which needs no
+    other exchange), and so do the questions of a unit.
+    """
+    most = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = min(spread or most, most)
+    return questionnaire_units(units.repartition(parts, "scenario", "unit_key"))
+
+
 def question_rows(units: DataFrame, base_questions: DataFrame, spread: int | None = None) -> DataFrame:
     """Every base question for every unit key of every scenario, with its text.
 
-    The product is the result itself. As a scenario is a key of three values, each unit key is dealt to one of ``spread``
-    parts by its hash and the items, which the questionnaire bounds, are repeated for all parts: the rows
-    then come out of 3 x ``spread`` keys (default: the number of shuffle partitions).
+    The product is the result itself. The items, which the questionnaire bounds, go to all parts of :func:`dealt_units`,
+    so nothing of the product is moved, sorted or held.
     """
-    parts = spread or int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = questionnaire_units(units).withColumn("_part", F.pmod(F.xxhash64("unit_key"), F.lit(parts)).cast("int"))
-    items = (base_questions.withColumn("scenario", F.explode(F.array(*[F.lit(s) for s in R.SCENARIOS])))
-             .withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))))
-    return (keys.join(items, ["scenario", "_part"])
+    return (dealt_units(units, spread).crossJoin(F.broadcast(base_questions))
             .select("scenario", "unit_key", "country", "language", "criterion_id", "question_type",
                     build_question("text", "scenario", "country", "language").alias("question")))
 
@@ -76,12 +83,13 @@ def build_questionnaire(units: DataFrame, base_questions: DataFrame) -> DataFram
     of each scenario, built by ``build_question``; one row per (scenario,
     unit_key, criterion_id) with the three question types as columns.
 
-    Question types are columns; see :func:`question_rows`.
+    The items get their types as columns before they meet the units: a question is its lower-cased text behind words of
+    the unit, so the greatest text of a type is the greatest question in every unit.
     """
-    q = question_rows(units, base_questions)
-    return (q.groupBy("scenario", "unit_key", "criterion_id").pivot("question_type", R.QUESTION_TYPES)
-            .agg(F.first("question"))
-            .select("scenario", "unit_key", "criterion_id", *[F.col(t).alias(t.lower()) for t in R.QUESTION_TYPES]))
+    items = base_questions.groupBy("criterion_id").pivot("question_type", R.QUESTION_TYPES).agg(F.max(F.lower("text")))
+    return (dealt_units(units).crossJoin(F.broadcast(items))
+            .select("scenario", "unit_key", "criterion_id",
+                    *[build_question(t, "scenario", "country", "language").alias(t.lower()) for t in R.QUESTION_TYPES]))
 
 
 def prompt_language(scenario, language):
