@@ -101,8 +101,13 @@ def build_prompts(questionnaire: DataFrame, units: DataFrame, prompts: DataFrame
     """Full prompt per (scenario, unit_key, criterion_id, question_type): question and
     the instruction of the unit's prompt language (T5, J11). Missing questions
     are dropped (never sent as text) and counted: ``dropped`` observes ``questions`` and ``questions_dropped``
-    in the pass that builds the prompts."""
-    keys = questionnaire_units(units)
+    in the pass that builds the prompts.
+
+    Units meet their instruction first. Of the join with the questions, which are many times as many, only the units are
+    held by hash; questions still dealt as :func:`dealt_units` has dealt their units are not moved again."""
+    instr = prompts.where(F.col("status") == "ok").select(F.col("language").alias("prompt_language"), "prompt")
+    keys = (dealt_units(units).withColumn("prompt_language", prompt_language("scenario", "language"))
+            .join(instr, "prompt_language").select("scenario", "unit_key", "prompt_language", "prompt"))
     long = questionnaire.select("scenario", "unit_key", "criterion_id", F.explode(F.array(*[
         F.struct(F.lit(t).alias("question_type"), F.col(t.lower()).alias("question"))
         for t in R.QUESTION_TYPES])).alias("q")).select("scenario", "unit_key", "criterion_id", "q.*")
@@ -110,9 +115,6 @@ def build_prompts(questionnaire: DataFrame, units: DataFrame, prompts: DataFrame
         long = long.observe(dropped, F.count(F.lit(1)).alias("questions"),
                             F.coalesce(F.sum(F.col("question").isNull().cast("long")), F.lit(0)).alias("questions_dropped"))
     long = long.where(F.col("question").isNotNull())
-    with_lang = long.join(keys, ["scenario", "unit_key"]).withColumn(
-        "prompt_language", prompt_language("scenario", "language"))
-    instr = prompts.where(F.col("status") == "ok").select(F.col("language").alias("prompt_language"), "prompt")
-    return (with_lang.join(instr, "prompt_language", "inner")
+    return (long.join(keys.hint("shuffle_hash"), ["scenario", "unit_key"])
             .select("scenario", "unit_key", "criterion_id", "question_type", "prompt_language",
                     build_prompt("question", "prompt").alias("full_prompt")))

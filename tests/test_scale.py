@@ -37,3 +37,12 @@ def test_questionnaire_comes_out_of_all_parts(spark):
     rows = {(r.unit_key, r.criterion_id): (r.fact, r.support, r.opposition) for r in q.where("unit_key in ('k4', 'k5')").collect()}
     assert rows == {("k4", 1): ("is it?", "good?", None), ("k4", None): ("whose?", None, None), ("k4", 2): (None, None, None),
                     ("k5", 1): ("In C5, is it?", "In C5, good?", None), ("k5", None): ("In C5, whose?", None, None), ("k5", 2): (None, None, None)}
+
+
+def test_prompts_stay_where_their_units_are(spark):
+    prompts = Q.build_prompts(Q.build_questionnaire(_units(spark), _base(spark)), _units(spark), _prompts(spark))
+    assert _parts(prompts) == _most(spark) and prompts.count() == 200 * 3
+    plan = prompts._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+    product = plan.split("ShuffledHashJoin")[1].split("BroadcastNestedLoopJoin")[0]
+    assert "Exchange" not in product  # the questions are not moved to meet their units
