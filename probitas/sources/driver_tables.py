@@ -95,22 +95,37 @@ def countries(spark: SparkSession, sf_dir: str) -> DataFrame:
                        "c.citizenship", "c.languages", "c.language_codes", "ord")
 
 
+def _of_scenario(line: str, language, country, pair):
+    """One of three values by the scenario of a row's line number."""
+    scenario = _pick(R.SCENARIOS, F.col(line))
+    return F.when(scenario == R.SCENARIO_LANGUAGE, language).when(scenario == R.SCENARIO_COUNTRY, country).otherwise(pair)
+
+
 def item_scores(spark: SparkSession, sf_dir: str, n_criteria: int = R.TEST_RULES.n_criteria) -> DataFrame:
     """Answer-file rows (scenario, model, unit_key, criterion_id, fact, support, opposition,
     stance and the six response-quality columns) from ``lineitem``: one row per cell,
     the max of (orderkey, linenumber, partkey, suppkey, discount, tax, quantity)."""
     li = read(spark, sf_dir, "lineitem")
     groups = n_groups(spark, sf_dir)
-    scenario = _pick(R.SCENARIOS, F.col("l_linenumber"))
-    keyed = li.select(
-        scenario.alias("scenario"),
-        _pick(TEST_MODELS, F.col("l_suppkey")).alias("model"),
-        F.when(scenario == R.SCENARIO_LANGUAGE, _pick(LANGUAGE_CODES, F.col("l_orderkey")))
-        .when(scenario == R.SCENARIO_COUNTRY, _of_group(COUNTRY_IDS, F.col("l_orderkey") % (N_COUNTRIES * groups)))
-        .otherwise(_of_group(PAIR_KEYS, F.col("l_orderkey") % (len(PAIR_KEYS) * groups))).alias("unit_key"),
-        (F.col("l_partkey") % n_criteria).cast("int").alias("criterion_id"),
-        F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_discount", "l_tax",
-                 "l_quantity").alias("r"))
+    # Rows are many and sort fast by one number, so the greatest row of each number comes first: all rows of a number are
+    # of one cell. Its names are read off that row, and the cells, which are few, are grouped by them.
+    parts = [(F.col("l_linenumber") % len(R.SCENARIOS), len(R.SCENARIOS)), (F.col("l_suppkey") % len(TEST_MODELS), len(TEST_MODELS)),
+             (_of_scenario("l_linenumber", F.col("l_orderkey") % len(LANGUAGE_CODES), F.col("l_orderkey") % (N_COUNTRIES * groups),
+                           F.col("l_orderkey") % (len(PAIR_KEYS) * groups)), max(len(LANGUAGE_CODES), len(PAIR_KEYS) * groups)),
+             (F.col("l_partkey") % n_criteria, n_criteria)]
+    number = F.lit(0).cast("long")
+    for part, n in parts:
+        number = number * (2 * n) + F.coalesce(part + n, F.lit(0))  # 0: null
+    rows = li.groupBy(number.alias("_number")).agg(
+        F.max(F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_discount", "l_tax", "l_quantity")).alias("r"))
+    keyed = rows.select(
+        _pick(R.SCENARIOS, F.col("r.l_linenumber")).alias("scenario"),
+        _pick(TEST_MODELS, F.col("r.l_suppkey")).alias("model"),
+        _of_scenario("r.l_linenumber", _pick(LANGUAGE_CODES, F.col("r.l_orderkey")),
+                     _of_group(COUNTRY_IDS, F.col("r.l_orderkey") % (N_COUNTRIES * groups)),
+                     _of_group(PAIR_KEYS, F.col("r.l_orderkey") % (len(PAIR_KEYS) * groups))).alias("unit_key"),
+        (F.col("r.l_partkey") % n_criteria).cast("int").alias("criterion_id"),
+        "r")
     cell = keyed.groupBy("scenario", "model", "unit_key", "criterion_id").agg(F.max("r").alias("r"))
     fact_raw = np_round(F.col("r.l_discount") * 10, 1)
     fact = F.when(fact_raw < 0.3, F.lit(0.0)).otherwise(fact_raw)

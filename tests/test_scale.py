@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from conftest import SF_SMALL
 from probitas.operators import questionnaire as Q
 
 
@@ -46,3 +47,25 @@ def test_prompts_stay_where_their_units_are(spark):
     assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
     product = plan.split("ShuffledHashJoin")[1].split("BroadcastNestedLoopJoin")[0]
     assert "Exchange" not in product  # the questions are not moved to meet their units
+
+
+def test_answer_cells_are_sorted_by_one_number(spark):
+    from probitas.sources import driver_tables as D
+    plan = D.item_scores(spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    lowest = [line for line in plan.splitlines() if "Aggregate(key=[" in line and "l_orderkey" in line][-1]
+    assert "," not in lowest.split("key=[")[1].split("]")[0]
+
+
+def test_answer_cells_with_repeated_rows_and_nulls(spark, tmp_path):
+    from probitas.sources import driver_tables as D
+    schema = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_discount double, l_tax double, l_quantity double"
+    rows = [(7 * k, line, part, 5, 0.05, tax, 10.0) for k in (1, 8) for line in (1, 2, 3) for part in (3, 23) for tax in (0.0, 0.04, None)]
+    rows += [rows[0], rows[-1], (7, None, 3, 5, 0.01, 0.02, 5.0), (7, 1, None, 5, 0.01, 0.02, 5.0), (7, 1, 3, None, 0.01, 0.02, 5.0)]
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(60).write.parquet(f"{tmp_path}/supplier.parquet")
+    got = D.item_scores(spark, str(tmp_path)).collect()
+    keys = [(r.scenario, r.model, r.unit_key, r.criterion_id) for r in got]
+    assert len(set(keys)) == len(keys) and len({k[0] for k in keys}) >= 3
+    code = D.LANGUAGE_CODES[56 % len(D.LANGUAGE_CODES)]
+    assert [r.support for r in got if (r.scenario, r.model, r.unit_key, r.criterion_id) ==
+            (D.R.SCENARIO_LANGUAGE, D.TEST_MODELS[0], code, 3)] == [0.04 / 0.08]  # of order 56 the greatest row: part 23, tax 0.04
