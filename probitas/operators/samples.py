@@ -134,6 +134,8 @@ def union(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
+# Replies are many but narrow, and their files small beside the rows they hold: joins with them say how they are made, so that
+# no plan takes them for a table to be sent to every task.
 def open_questions(prompts: DataFrame, max_attempts: int, ledger: str | None) -> DataFrame:
     """The questions with the replies they have (``_have``), the last attempt made (``_asked``) and the last allowed (``_most``).
 
@@ -143,7 +145,7 @@ def open_questions(prompts: DataFrame, max_attempts: int, ledger: str | None) ->
         filled = F.col("response").isNotNull() & F.col("response").rlike(NOT_BLANK)
         known = ST.lookup(prompts.sparkSession, ledger, prompts, GROUP).groupBy(*GROUP).agg(
             F.sum(F.when(filled, 1).otherwise(0)).cast("int").alias("_have"), F.max("sample_order").alias("_asked"))
-        state = prompts.join(known, GROUP, "left").na.fill(0, ["_have", "_asked"])
+        state = prompts.join(known.hint("shuffle_hash"), GROUP, "left").na.fill(0, ["_have", "_asked"])
     else:
         state = prompts.withColumn("_have", F.lit(0)).withColumn("_asked", F.lit(0))
     return state.withColumn("_most", F.col("_asked") + max_attempts)
@@ -155,7 +157,7 @@ def first_replies(questions: DataFrame, replies: DataFrame, n: int, ledger: str
     if ledger and ST.store_exists(spark, ledger):
         replies = ST.lookup(spark, ledger, questions, GROUP)
     numbered = top_k_per_group(drop_empty_responses(replies), GROUP, [F.col("sample_order")], n).withColumnRenamed("_rank", "sample_no")
-    return (questions.join(numbered.select(*GROUP, "sample_order", "response", "sample_no"), GROUP, "left")
+    return (questions.join(numbered.select(*GROUP, "sample_order", "response", "sample_no").hint("merge"), GROUP, "left")
             .withColumn("status", F.when(F.col("n_samples") >= n, "complete").otherwise("short")))
 
 
@@ -165,8 +167,8 @@ def collect_samples(prompts: DataFrame, responder: Responder, n: int = R.SAMPLES
 
     ``prompts`` has one row per question (GROUP). The responder runs in ``mapInPandas`` and adds a string column
     ``response`` to rows that carry ``sample_order``, the number of the attempt. Each round asks only the
-    questions still short, and only for as many replies as they lack; a round is a written table, so nothing
-    is asked twice. A question that is short after ``max_attempts`` attempts is not lost: all rows carry
+    questions still short, and only for as many replies as they lack; a round is a written table of attempts and
+    replies, so nothing is asked twice, and the questions are written before the first one. A question that is short after ``max_attempts`` attempts is not lost: all rows carry
     ``n_samples`` and ``status`` (complete or short), and one without any reply has a row with a null response.
 
     ``ledger`` names a stored table of all replies, empty ones too, by question and attempt. Every round is added to it
@@ -177,22 +179,22 @@ def collect_samples(prompts: DataFrame, responder: Responder, n: int = R.SAMPLES
     spark = prompts.sparkSession
     ship_package(spark)
     schema = T.StructType(prompts.schema.fields + [T.StructField("sample_order", T.IntegerType()), T.StructField("response", T.StringType())])
-    short = open_questions(prompts, max_attempts, ledger)
+    short = materialize(open_questions(prompts, max_attempts, ledger), "asked")
     counters = ["_have", "_asked", "_most"]
     rounds, finished = [], []
     if ledger:
-        start = materialize(short, "asked")
+        start = short
         finished.append(start.where(F.col("_have") >= n).select(*prompts.columns, F.col("_have").alias("n_samples")))
         short = start.where(F.col("_have") < n)
     while True:
         upto = F.least(F.col("_asked") + n - F.col("_have"), F.col("_most"))
         asked = short.withColumn("sample_order", F.explode(F.sequence(F.col("_asked") + 1, upto))).drop(*counters)
-        answers = materialize(asked.mapInPandas(responder, schema), "answers")
+        answers = materialize(asked.mapInPandas(responder, schema).select(*REPLY_KEY, "response"), "answers")
         if ledger:
-            ST.append(answers.select(*REPLY_KEY, "response"), ledger, ["scenario", "model"])
+            ST.append(answers, ledger, ["scenario", "model"])
         rounds.append(drop_empty_responses(answers))
         got = rounds[-1].groupBy(*GROUP).agg(F.count(F.lit(1)).cast("int").alias("_got"))
-        state = materialize(short.withColumn("_asked", upto).join(got, GROUP, "left")
+        state = materialize(short.withColumn("_asked", upto).join(got.hint("shuffle_hash"), GROUP, "left")
                             .withColumn("_have", F.col("_have") + F.coalesce("_got", F.lit(0))).drop("_got"), "asked")
         over = (F.col("_have") >= n) | (F.col("_asked") >= F.col("_most"))
         finished.append(state.where(over).select(*prompts.columns, F.col("_have").alias("n_samples")))

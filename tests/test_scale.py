@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
 from probitas.operators import questionnaire as Q
+from probitas.operators import samples as SM
 
 
 def _units(spark, n=200):
@@ -49,6 +50,18 @@ def test_prompts_stay_where_their_units_are(spark):
     assert "Exchange" not in product  # the questions are not moved to meet their units
 
 
+def test_first_round_is_asked_in_several_tasks(spark):
+    def where(batches):
+        from pyspark import TaskContext
+        for pdf in batches:
+            yield pdf.assign(response=f"yes {TaskContext.get().partitionId()}")
+
+    questions = Q.build_prompts(Q.build_questionnaire(_units(spark), _base(spark)), _units(spark), _prompts(spark)).withColumn("model", F.lit("m")).where("criterion_id = 1")
+    got = SM.collect_samples(questions, where, n=2, max_attempts=4).collect()
+    assert len(got) == 200 * 2 * 2 and {r.status for r in got} == {"complete"} and all(r.full_prompt for r in got)
+    assert len({r.response for r in got}) > 1
+
+
 def test_answer_cells_are_sorted_by_one_number(spark):
     from probitas.sources import driver_tables as D
     plan = D.item_scores(spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
