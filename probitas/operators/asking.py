@@ -121,7 +121,8 @@ def collect_by_calls(prompts: DataFrame, call: Call, n: int = R.SAMPLES_PER_QUES
         if jobs > 1:
             part = part.where(F.pmod(F.xxhash64(*SM.GROUP), F.lit(jobs)) == k)
         # a few parts for each core, as some questions take longer than others
-        made.append(materialize(part.repartition(4 * tasks, *SM.GROUP).mapInPandas(ask, schema), "answers"))
+        made.append(materialize(part.repartition(4 * tasks, *SM.GROUP).mapInPandas(ask, schema)
+                                .select(*SM.REPLY_KEY, "response", "n_tries", "error"), "answers"))
         if ledger:
             ST.append(made[-1].select(*SM.REPLY_KEY, "response"), ledger, ["scenario", "model"])
     attempts = SM.union(made)
@@ -130,5 +131,5 @@ def collect_by_calls(prompts: DataFrame, call: Call, n: int = R.SAMPLES_PER_QUES
                            F.count("error").alias("failed")).first()
         report.update(row.asDict())
     got = SM.drop_empty_responses(attempts).groupBy(*SM.GROUP).agg(F.count(F.lit(1)).cast("int").alias("_got"))
-    questions = start.join(got, SM.GROUP, "left").select(*prompts.columns, (F.col("_have") + F.coalesce("_got", F.lit(0))).alias("n_samples"))
+    questions = start.join(got.hint("shuffle_hash"), SM.GROUP, "left").select(*prompts.columns, (F.col("_have") + F.coalesce("_got", F.lit(0))).alias("n_samples"))
     return SM.first_replies(questions, attempts, n, ledger)

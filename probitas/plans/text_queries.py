@@ -208,7 +208,7 @@ def resume_collection(spark, sf_dir):
     got = SM.collect_samples(prompts, formula_responder, ledger=ledger)
     asked = STORE.read_store(spark, ledger).groupBy(*SM.GROUP).agg(F.count(F.lit(1)).alias("n_asked"))
     labelled = SM.label_samples(SM.drop_empty_responses(got), inp.prompts)
-    return SM.sample_scores(labelled).drop("n_unknown").join(asked, SM.GROUP)
+    return SM.sample_scores(labelled).drop("n_unknown").join(asked.hint("merge"), SM.GROUP)
 
 
 @register("collect_by_calls", _collect_sql(resumed=True))
@@ -219,7 +219,7 @@ def collect_by_calls(spark, sf_dir):
     got = asking.collect_by_calls(prompts, formula_reply, ledger=ledger)
     asked = STORE.read_store(spark, ledger).groupBy(*SM.GROUP).agg(F.count(F.lit(1)).alias("n_asked"))
     labelled = SM.label_samples(SM.drop_empty_responses(got), _prompts(spark, sf_dir))
-    return SM.sample_scores(labelled).drop("n_unknown").join(asked, SM.GROUP)
+    return SM.sample_scores(labelled).drop("n_unknown").join(asked.hint("merge"), SM.GROUP)
 
 
 def _bt_cte(name: str, where: str = "") -> str:
