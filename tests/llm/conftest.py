@@ -5,6 +5,16 @@ import pytest
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, ids string, score string, kept string, shard string"
 
 
+@pytest.fixture(autouse=True)
+def tables_of_stages():
+    """The last stage that a test calls by itself keeps its tables for the next one; they go with the test."""
+    yield
+    import corpus_pipeline as P
+    from probitas import stages
+    while P._BEFORE:
+        stages.release(P._BEFORE.pop())
+
+
 @pytest.fixture(scope="session")
 def docs(spark):
     """Makes a documents table with extra columns whose names clash with those of results."""
