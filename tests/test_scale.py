@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from conftest import SF_SMALL
 from probitas.operators import questionnaire as Q
 from probitas.operators import samples as SM
+from probitas.sources import io as IO
 
 
 def _units(spark, n=200):
@@ -41,6 +42,16 @@ def test_questionnaire_comes_out_of_all_parts(spark):
                     ("k5", 1): ("In C5, is it?", "In C5, good?", None), ("k5", None): ("In C5, whose?", None, None), ("k5", 2): (None, None, None)}
 
 
+def test_question_files_come_out_of_all_parts_unsorted(spark, tmp_path):
+    q = Q.build_questionnaire(_units(spark, 40), _base(spark))
+    IO.write_questionnaires(q, str(tmp_path))
+    files = list(tmp_path.glob("*/*/*.csv"))
+    assert len({f.parent for f in files}) == len(files) == 40 and len({f.name.split("-")[1] for f in files}) == _most(spark)
+    assert sorted(map(repr, IO.scan_questionnaires(spark, str(tmp_path)).collect())) == sorted(map(repr, q.collect()))
+    ordered = q.sortWithinPartitions("scenario", "unit_key")  # as a sink with a folder for each wants it: so they come already
+    assert "Sort" not in ordered._jdf.queryExecution().executedPlan().toString().split("BroadcastNestedLoopJoin")[0]
+
+
 def test_prompts_stay_where_their_units_are(spark):
     prompts = Q.build_prompts(Q.build_questionnaire(_units(spark), _base(spark)), _units(spark), _prompts(spark))
     assert _parts(prompts) == _most(spark) and prompts.count() == 200 * 3
