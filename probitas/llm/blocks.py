@@ -7,6 +7,7 @@ are read again, so a stage can send a block what it needs by its number instead
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,8 +38,22 @@ def unpack(blob: bytes, kinds: dict[str, str]) -> dict[str, np.ndarray]:
 
 
 def gather(blobs, kinds: dict[str, str]) -> dict[str, np.ndarray]:  # noqa: ANN001
-    parts = [unpack(b, kinds) for b in blobs]
-    return {name: np.concatenate([p[name] for p in parts]) for name in kinds}
+    width = sum(np.dtype(k).itemsize for k in kinds.values())
+    out, at = {name: np.empty(sum(map(len, blobs)) // width, kind) for name, kind in kinds.items()}, 0
+    for b in blobs:  # one after the other: all of them unpacked beside the whole would take twice the memory
+        for name, values in unpack(b, kinds).items():
+            out[name][at:at + len(values)] = values
+        at += len(b) // width
+    return out
+
+
+def give_back() -> None:
+    """What freed arrays have left with the allocators goes back to the system: a worker lives on through later stages, and
+    counts with its executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
 
 
 def by_key(key: np.ndarray, arrays: dict[str, np.ndarray]) -> Iterator[tuple[int, dict[str, np.ndarray]]]:

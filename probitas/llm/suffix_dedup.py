@@ -4,16 +4,18 @@ A byte goes if it is covered by a string of ``length`` bytes that also starts in
 
 1. Anchors. Of the 16-byte grams of every ``length``-byte window the one of smallest hash is an anchor, so equal
    windows share an anchor at the same place. An anchor's context is all that such windows can reach.
-2. Shards. Anchors meet by hash. Equal contexts of larger ids are covered at once; where several contexts of an
-   anchor agree on the 16 bytes before or behind it (as they must to share a window), one of each is kept.
-3. Suffix arrays. The kept contexts of a shard are sorted as suffixes (Larsson-Sadakane refinement); common prefixes of
-   neighbours (Kasai's, one comparison per run) group equal windows; all but the smallest id are covered.
-4. Merging. Anchors that a sample of texts shows to be very frequent are dealt over all shards. Each shard sends
-   the first of each of their windows as a sorted run to a range of window keys, where runs are merged by binary search.
+2. Shards. Anchors meet by hash; those that a count over all texts shows to fill much of a shard are dealt over as many
+   shards as they need. Equal contexts of larger ids are covered at once; where several contexts of an anchor agree on the
+   16 bytes before or behind it (as they must to share a window), one of each is kept.
+3. Suffix arrays. The kept contexts of a shard are sorted as suffixes (Larsson-Sadakane refinement), in parts of bounded
+   size that keep an anchor's contexts together; common prefixes of neighbours (Kasai's, one comparison per run) group
+   equal windows; all but the smallest id are covered.
+4. Merging. Of anchors that were dealt over shards, or have more contexts than a part holds, each part sends the first of
+   each of their windows as a sorted run to a range of window keys, where runs are merged by binary search.
 5. Removal. Covered ranges meet their texts; texts themselves are only moved compressed, by blocks of rows.
 
-The sample decides on the dealing alone, never on the result. Numpy does the work inside tasks, on blocks, shards and
-ranges whose sizes follow the number of partitions.
+The count decides on the dealing alone, never on the result. Numpy does the work inside tasks, on blocks, shards, parts and
+ranges; the number of shards follows the partitions, or the bytes of text where there are few partitions.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from probitas.llm.blocks import NULL_ID, SHIPPED, block_texts, by_key, gather, pack, ship_texts, shipped_blocks, unpack
+from probitas.llm.blocks import NULL_ID, SHIPPED, block_texts, by_key, gather, give_back, pack, ship_texts, shipped_blocks, unpack
 from probitas.llm.common import materialize, ship_package
 
 GRAM = 16
@@ -39,9 +41,10 @@ SEGMENT = 200_000                          # bytes hashed together; longer texts
 @dataclass(frozen=True)
 class Repeats:
     length: int = 50            # bytes
-    sample: int = 2000          # documents looked at for very frequent anchors
-    frequent: float = 0.01      # share of the sample from which an anchor is dealt over all shards
+    frequent: float = 0.25      # share of a mean shard's anchors from which an anchor is dealt over several shards
     shards_per_partition: int = 5
+    shard: int = 250_000        # anchors of a mean shard at most, whatever the number of partitions
+    part: int = 250_000         # bytes of contexts in one suffix array, up to twice as many to keep an anchor's together
 
     @property
     def grams(self) -> int:
@@ -78,13 +81,11 @@ def _slide(x: np.ndarray, pick, width: int) -> np.ndarray:  # noqa: ANN001
     return pick(x[:-rest], x[rest:]) if rest else x
 
 
-def anchors(data: np.ndarray, doc_ends: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """(positions, gram hashes, context hashes, bytes of context before, and from the anchor on, 16-bit hashes of the 16
-    bytes before and behind the anchor, 0 where there are fewer) over texts laid end to end; no window crosses a
-    text's end."""
-    n, w = len(data), length - GRAM + 1
-    if n < length:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.uint64, np.uint64, np.int64, np.int64, np.uint16, np.uint16))
+def _chosen(data: np.ndarray, doc_ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(positions of the anchors, hashes of all grams) over texts laid end to end; no window crosses a text's end."""
+    w = length - GRAM + 1
+    if len(data) < length:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     h = gram_hashes(data)
     least = _slide(h, np.minimum, w)  # one for each window
     crossing = np.zeros(len(least) + 1, np.int64)
@@ -94,7 +95,21 @@ def anchors(data: np.ndarray, doc_ends: np.ndarray, length: int) -> tuple[np.nda
     np.add.at(crossing, hi, -1)
     least[np.cumsum(crossing)[:-1] > 0] = 0
     pad = np.zeros(w - 1, np.uint64)
-    chosen = np.flatnonzero(_slide(np.concatenate([pad, least, pad]), np.maximum, w) == h)
+    return np.flatnonzero(_slide(np.concatenate([pad, least, pad]), np.maximum, w) == h), h
+
+
+def anchor_grams(data: np.ndarray, doc_ends: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """(positions, gram hashes) of the anchors alone."""
+    chosen, h = _chosen(data, doc_ends, length)
+    return chosen, h[chosen]
+
+
+def anchors(data: np.ndarray, doc_ends: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """(positions, gram hashes, context hashes, bytes of context before, and from the anchor on, 16-bit hashes of the 16
+    bytes before and behind the anchor, 0 where there are fewer) over texts laid end to end."""
+    chosen, h = _chosen(data, doc_ends, length)
+    if not len(h):
+        return tuple(np.zeros(0, t) for t in (np.int64, np.uint64, np.uint64, np.int64, np.int64, np.uint16, np.uint16))
     which = np.searchsorted(doc_ends, chosen, "right")
     start = np.concatenate([[0], doc_ends[:-1]])[which]
     before = np.minimum(chosen - start, length - GRAM)
@@ -109,15 +124,15 @@ def anchors(data: np.ndarray, doc_ends: np.ndarray, length: int) -> tuple[np.nda
     return chosen, h[chosen], context, before, after, left, right
 
 
-def text_anchors(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
-    """(text number, position in the text, and the rest of :func:`anchors`) of all anchors."""
+def text_anchors(texts: list[bytes], length: int, found=anchors) -> tuple[np.ndarray, ...]:  # noqa: ANN001
+    """(text number, position in the text, and the rest of ``found``) of all anchors."""
     out, held, size = [], [], 0
 
     def flush() -> None:
         nonlocal held, size
         data = np.frombuffer(b"".join(t for _, _, t in held), np.uint8)
         ends = np.cumsum([len(t) for _, _, t in held])
-        p, *rest = anchors(data, ends, length)
+        p, *rest = found(data, ends, length)
         which = np.searchsorted(ends, p, "right")
         starts = ends - [len(t) for _, _, t in held]
         number = np.array([k for k, _, _ in held], np.int64)
@@ -181,6 +196,7 @@ def suffix_array(words: np.ndarray, depth: int) -> np.ndarray:
     key = np.sort((first << 36) | np.arange(n))
     order = key & ((1 << 36) - 1)
     head = np.concatenate([[True], (key[1:] >> 36) != (key[:-1] >> 36)])
+    del first, key
     rank = np.empty(n + 1, np.int64)
     rank[order] = np.maximum.accumulate(np.where(head, np.arange(n), 0))
     rank[n] = 0
@@ -244,10 +260,10 @@ def equal_windows(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     sizes = np.array([len(t) for t in texts], np.int64)
     ends = np.cumsum(sizes)
     words = _words(np.frombuffer(b"".join(texts), np.uint8), ends)
+    order = suffix_array(words, length)  # before the others, whose memory it need not share
     text = np.repeat(np.arange(len(texts)), sizes + 1)
     offset = np.arange(len(words)) - np.repeat(ends - sizes + np.arange(len(texts)), sizes + 1)
     left = np.repeat(sizes, sizes + 1) - offset
-    order = suffix_array(words, length)
     group = np.cumsum(common_prefixes(words, left, order) < length)
     slots = np.flatnonzero(left[order] >= length)
     return order[slots], group[slots], text, offset, words
@@ -265,8 +281,8 @@ def window_keys(words: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
 
 ENTRY = {"a": "<u4", "c": "<u4", "c2": "<u2", "left": "<u2", "right": "<u2", "row": "<u2", "pos": "<u8", "id": "<i8", "lo": "u1", "hi": "u1", "deal": "u1"}
 COVER = {"row": "<u4", "start": "<i8", "end": "<i8"}
-REQUEST = {"row": "<u4", "pos": "<i8", "lo": "<i8", "hi": "<i8", "shard": "<i4", "deal": "u1"}
-CONTEXT = {"block": "<i8", "row": "<u4", "id": "<i8", "start": "<i8", "size": "<i8", "deal": "u1"}
+REQUEST = {"row": "<u4", "pos": "<i8", "lo": "u1", "hi": "u1", "shard": "<i4", "part": "<u2", "deal": "u1"}
+CONTEXT = {"block": "<i8", "row": "<u4", "id": "<i8", "start": "<i8", "size": "<u2", "part": "<u2", "deal": "u1"}
 LEADER = {"key": "<u8", "id": "<i8", "block": "<i8", "row": "<u4", "start": "<i8"}
 
 
@@ -285,13 +301,14 @@ def strip_repeats(docs: DataFrame, how: Repeats = Repeats(), id_col: str = "doc_
     return out.select(*cols)
 
 
-def _deal_anchors(how: Repeats, shards: int, frequent: np.ndarray):
+def _deal_anchors(how: Repeats, shards: int, frequent: np.ndarray, over: np.ndarray):
+    """``frequent``: anchors in order, ``over``: the number of shards that each is dealt over."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, ids, texts in shipped_blocks(batches):
             row, pos, a, c, lo, hi, left, right = text_anchors(texts, how.length)
-            deal = np.isin(a, frequent)
-            spread = (np.int64(block) * 1_000_003 + row * 7919) % shards
-            shard = np.where(deal, spread, ((a >> np.uint64(40)) % np.uint64(shards)).astype(np.int64))
+            shard, deal = (a >> np.uint64(40)).astype(np.int64) % shards, np.isin(a, frequent)
+            spread = _mix((np.int64(block) * 1_000_003 + row[deal] * 7919 + (pos[deal] >> 16) * 104_729).astype(np.uint64))
+            shard[deal] = (shard[deal] + (spread >> np.uint64(20)).astype(np.int64) % over[np.searchsorted(frequent, a[deal])]) % shards
             rows = list(by_key(shard, {
                 "a": (a & np.uint64(0xFFFFFFFF)).astype("<u4"), "c": (c & np.uint64(0xFFFFFFFF)).astype("<u4"),
                 "c2": (c >> np.uint64(32)).astype("<u2"), "left": left, "right": right, "row": row.astype("<u2"),
@@ -305,10 +322,15 @@ def _deal_anchors(how: Repeats, shards: int, frequent: np.ndarray):
 def _meet(how: Repeats, lots: int):
     """A shard's anchors: what is covered by an equal context, and which contexts need a closer look."""
     sided = how.length - GRAM >= 2 * GRAM - 1  # a window reaches a whole gram before the anchor or behind it
-    return lambda part: _met(part, sided, lots)
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        out = _met(part, sided, lots, how.part)
+        give_back()
+        return out
+    return run
 
 
-def _met(part: pd.DataFrame, sided: bool, lots: int) -> pd.DataFrame:
+def _met(part: pd.DataFrame, sided: bool, lots: int, most: int) -> pd.DataFrame:
     shard = int(part["shard"].iloc[0])
     x = gather(part["entries"], ENTRY)
     block = np.repeat(part["block"].to_numpy(), [len(b) // sum(np.dtype(k).itemsize for k in ENTRY.values()) for b in part["entries"]])
@@ -334,12 +356,24 @@ def _met(part: pd.DataFrame, sided: bool, lots: int) -> pd.DataFrame:
     over = ids > least
     look = ~over & (several | (deal > 0))
     covers = {"row": row[over].astype("<u4"), "start": (pos - lo)[over], "end": (pos + hi)[over]}
-    asked = {"row": row[look].astype("<u4"), "pos": pos[look], "lo": lo[look], "hi": hi[look],
-             "shard": np.full(look.sum(), shard, "<i4"), "deal": deal[look]}
+    place, wide = _parts(a[look], (lo + hi)[look], most)
+    asked = {"row": row[look].astype("<u4"), "pos": pos[look], "lo": lo[look].astype("u1"), "hi": hi[look].astype("u1"),
+             "shard": np.full(look.sum(), shard, "<i4"), "part": place.astype("<u2"), "deal": deal[look] | wide}
     out = [(k, v, None) for k, v in _by_lot(block[over], covers, lots)] + [(k, None, v) for k, v in _by_lot(block[look], asked, lots)]
     return pd.DataFrame(out, columns=["lot", "covers", "requests"])
 
 
+def _parts(a: np.ndarray, size: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """For contexts in order of their anchors the number of a part, and whether their anchor is in several parts: a part
+    begins with an anchor, or within one that has over ``most`` bytes, and holds at most twice as many."""
+    if not len(a):
+        return np.zeros(0, np.int64), np.zeros(0, np.uint8)
+    first = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
+    times, start = np.diff(np.append(first, len(a))), np.cumsum(size) - size
+    wide = np.repeat(np.add.reduceat(size, first) > most, times)
+    return np.where(wide, start, np.repeat(start[first], times)) // most, wide.astype(np.uint8)
+
+
 def _fetch(texts: pd.DataFrame, requests: pd.DataFrame) -> pd.DataFrame:
     """The contexts asked for, by shard."""
     if not len(texts) or not len(requests):
@@ -349,9 +383,9 @@ def _fetch(texts: pd.DataFrame, requests: pd.DataFrame) -> pd.DataFrame:
     x = gather(requests["requests"], REQUEST)
     row = x["row"].astype(np.int64)
     first = starts[row] + x["pos"] - x["lo"]
-    size = x["lo"] + x["hi"]
+    size = x["lo"].astype("<u2") + x["hi"]
     held = {"block": np.full(len(row), block, "<i8"), "row": x["row"], "id": ids[row], "start": x["pos"] - x["lo"], "size": size,
-            "deal": x["deal"], "first": first}
+            "part": x["part"], "deal": x["deal"], "first": first}
     press, out = zstandard.ZstdCompressor(level=1), []
     for k, v in by_key(x["shard"].astype(np.int64), held):
         raw = b"".join([data[f:f + s] for f, s in zip(v.pop("first").tolist(), v["size"].tolist())])
@@ -360,34 +394,42 @@ def _fetch(texts: pd.DataFrame, requests: pd.DataFrame) -> pd.DataFrame:
 
 
 def _look(how: Repeats, ranges: int, lots: int):
-    """A shard's contexts in suffix order: equal windows of larger ids are covered; of windows around dealt-out anchors
-    the first is sent on to the merge."""
+    """A shard's contexts in suffix order, part by part: equal windows of larger ids are covered; of windows around anchors
+    that are in several parts or shards the first is sent on to the merge."""
+    def sorted_part(x: dict[str, np.ndarray], texts: list[bytes]) -> tuple[tuple, dict[str, np.ndarray]]:
+        at, group, text, offset, words = equal_windows(texts, how.length)
+        heads = np.flatnonzero(np.diff(group, prepend=-1))
+        ids, size = x["id"][text[at]], np.diff(np.append(heads, len(group)))
+        over = ids > np.repeat(np.minimum.reduceat(ids, heads), size)
+        covered = np.zeros(len(text), bool)
+        covered[at[over]] = True
+        start = np.flatnonzero(covered)  # in the order of the contexts
+        covers = _joined(x["block"][text[start]], x["row"][text[start]], x["start"][text[start]] + offset[start], how.length)
+        # a window counts as dealt out if any of its contexts is; all rows of its smallest id go on
+        lead = at[(np.repeat(np.maximum.reduceat(x["deal"][text[at]], heads), size) > 0) & ~over]
+        return covers, {"key": window_keys(words, lead, how.length), "id": x["id"][text[lead]], "block": x["block"][text[lead]],
+                        "row": x["row"][text[lead]], "start": x["start"][text[lead]] + offset[lead]}
+
     def run(part: pd.DataFrame) -> pd.DataFrame:
         open_ = zstandard.ZstdDecompressor()
         x = gather(part["contexts"], CONTEXT)
         data = b"".join(open_.decompress(d) for d in part["data"])
-        ends = np.cumsum(x["size"])
-        at, group, text, offset, words = equal_windows([data[e - s:e] for s, e in zip(x["size"].tolist(), ends.tolist())], how.length)
-        rows = []
-        if len(at):
-            ids, heads = x["id"][text[at]], np.flatnonzero(np.diff(group, prepend=-1))
-            size = np.diff(np.append(heads, len(group)))
-            over = ids > np.repeat(np.minimum.reduceat(ids, heads), size)
-            covered = np.zeros(len(text), bool)
-            covered[at[over]] = True
-            start = np.flatnonzero(covered)  # in the order of the contexts
-            rows += _by_lot(*_joined(x["block"][text[start]], x["row"][text[start]], x["start"][text[start]] + offset[start], how.length), lots)
-            # a window counts as dealt out if any of its contexts is; all rows of its smallest id go on
-            lead = at[(np.repeat(np.maximum.reduceat(x["deal"][text[at]], heads), size) > 0) & ~over]
-            key = window_keys(words, lead, how.length)
-            order = np.argsort(key, kind="stable")
-            key, lead = key[order], lead[order]
-            sent = {"key": key, "id": x["id"][text[lead]], "block": x["block"][text[lead]], "row": x["row"][text[lead]],
-                    "start": x["start"][text[lead]] + offset[lead]}
-            place = (key >> np.uint64(32)).astype(np.int64) * ranges >> 32
+        long = x["size"] >= how.length
+        x = {k: v[long] for k, v in (x | {"end": np.cumsum(x["size"], dtype=np.int64)}).items()}
+        rows, covers = [], []
+        for _, own in by_key(x["part"], x):
+            size, end = own["size"].tolist(), own["end"].tolist()
+            (block, ranges_), sent = sorted_part(own, [data[e - s:e] for s, e in zip(size, end)])
+            covers.append({"block": block, **ranges_})
+            order = np.argsort(sent["key"], kind="stable")
+            sent = {k: v[order] for k, v in sent.items()}
+            place = (sent["key"] >> np.uint64(32)).astype(np.int64) * ranges >> 32
             rows += [(None, None, k, pack(v)) for k, v in by_key(place, sent)]
-        return pd.DataFrame([r if len(r) == 4 else (*r, None, None) for r in rows], columns=["lot", "covers", "range", "leaders"]).astype(
-            {"lot": "Int64", "range": "Int64"})
+        if covers:
+            held = {k: np.concatenate([c[k] for c in covers]) for k in covers[0]}
+            rows += [(k, v, None, None) for k, v in _by_lot(held.pop("block"), held, lots)]
+        give_back()
+        return pd.DataFrame(rows, columns=["lot", "covers", "range", "leaders"]).astype({"lot": "Int64", "range": "Int64"})
     return run
 
 
@@ -413,7 +455,10 @@ def _per_block(name: str, kinds: dict[str, str]):
     def run(part: pd.DataFrame) -> pd.DataFrame:
         x = gather(part[name], {"block": "<i8", **kinds})
         block = x.pop("block")
-        return pd.DataFrame([(k, pack(v)) for k, v in by_key(block, x)], columns=["block", name])
+        out = pd.DataFrame([(k, pack(v)) for k, v in by_key(block, x)], columns=["block", name])
+        del x, block
+        give_back()
+        return out
     return run
 
 
@@ -429,7 +474,9 @@ def _merge(how: Repeats, lots: int):
         over = [r["id"] > least[at] for r, at in zip(runs, found)]
         block, row, start = (np.concatenate([r[name][o] for r, o in zip(runs, over)]) for name in ("block", "row", "start"))
         order = np.lexsort((start, row, block))
-        return pd.DataFrame(_by_lot(*_joined(block[order], row[order].astype(np.int64), start[order], how.length), lots), columns=["lot", "covers"])
+        out = _by_lot(*_joined(block[order], row[order].astype(np.int64), start[order], how.length), lots)
+        give_back()
+        return pd.DataFrame(out, columns=["lot", "covers"])
     return run
 
 
@@ -467,20 +514,56 @@ def _remove(kept: int, with_text: bool):
     return run
 
 
-def _frequent_anchors(docs: DataFrame, how: Repeats) -> np.ndarray:
-    """Gram hashes found in a large share of a bounded sample of texts (those of the smallest id hashes)."""
-    sample = docs.orderBy(F.xxhash64("id"), "id").limit(how.sample)
+COUNTED = 4_000_000  # anchors counted together in a task
+
+
+def _count_anchors(how: Repeats, shards: int):
+    """Anchors with their numbers, where they are frequent among those counted together, and 0 with the number of all. One
+    with over ``frequent`` of a mean shard is left out only where it is rarer than half of that, so half is found."""
+    def counted(held: list[np.ndarray]) -> pa.RecordBatch:
+        a = np.concatenate(held)
+        value, times = np.unique(a, return_counts=True)
+        many = times * 2 * shards >= how.frequent * len(a)
+        value, times = np.append(value[many], np.uint64(0)), np.append(times[many], len(a))
+        return pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(times.astype(np.int64))], names=["a", "n"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        for _, _, texts in shipped_blocks(batches):
+            held.append(text_anchors(texts, how.length, anchor_grams)[2])
+            if sum(map(len, held)) >= COUNTED:
+                yield counted(held)
+                held = []
+        if held:
+            yield counted(held)
+    return run
+
+
+def _frequent_anchors(blocks: DataFrame, how: Repeats, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """Gram hashes, in order, that have over ``frequent`` of a mean shard's anchors (or over half of that), and over how many
+    shards each is to be dealt."""
+    most = int(2 * shards / how.frequent) + 1  # as many can be frequent, and the number of all
+    rows = (blocks.mapInArrow(_count_anchors(how, shards), "a long, n long").groupBy("a").agg(F.sum("n").alias("n"))
+            .orderBy(F.desc("n"), "a").limit(most).collect())
+    found = {r["a"]: r["n"] for r in rows}
+    least = how.frequent * found.pop(0, 0) / shards
+    kept = sorted((np.uint64(a % 2 ** 64), min(shards, int(np.ceil(n / least + 0.5)))) for a, n in found.items() if n > max(1, least / 2))
+    return np.array([a for a, _ in kept], np.uint64), np.array([n for _, n in kept], np.int64)
+
+
+def _text_bytes(blocks: DataFrame) -> int:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, _, a, *_ = text_anchors([(t or "").encode() for t in batch.column(1).to_pylist()], how.length)
-            if len(row):
-                own = np.unique(np.stack([row.astype(np.uint64), a], axis=1), axis=0)[:, 1]
-                yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int64))], names=["a"])
+            yield pa.RecordBatch.from_arrays([pa.array([sum(int(np.frombuffer(s.as_py(), "<i8").sum()) for s in batch.column(0))], pa.int64())], names=["n"])
+    return blocks.select("sizes").mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
+
 
-    least = max(8, int(how.frequent * how.sample))
-    found = sample.mapInArrow(run, "a long").groupBy("a").count().where(F.col("count") >= least).select("a").collect()
-    return np.array([r["a"] for r in found], np.int64).astype(np.uint64)
+def _staged(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """:func:`materialize`, after which the driver drops the shuffles behind the table; they would stay on the executors' disks
+    until it happens to collect its garbage."""
+    out = materialize(df, name, **options)
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
 
 
 def remove_repeats(docs: DataFrame, how: Repeats = Repeats(), id_col: str = "doc_id", text_col: str = "text",
@@ -502,18 +585,18 @@ def remove_repeats(docs: DataFrame, how: Repeats = Repeats(), id_col: str = "doc
     kept = [c for c in ([c for c in docs.columns if c != text_col] if keep is None else keep) if c not in result]
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"),
                          *[F.col(c).alias(f"c{k}") for k, c in enumerate(kept)])
-    shipped = materialize(source.mapInArrow(ship_texts(len(kept)), SHIPPED), "repeats-blocks")
+    shipped = _staged(source.mapInArrow(ship_texts(len(kept)), SHIPPED), "repeats-blocks", compression="zstd")  # on the heap, for large pages
     blocks = shipped.drop("others")
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions")) * how.shards_per_partition
-    frequent = _frequent_anchors(source.select("id", "text"), how)
-    entries = blocks.mapInArrow(_deal_anchors(how, shards, frequent), "shard int, block long, entries binary")
-    lots = max(12, shards // (4 * how.shards_per_partition))
-    met = materialize(entries.groupBy("shard").applyInPandas(_meet(how, lots), "lot long, covers binary, requests binary"), "anchors")
+    expected = 2 * _text_bytes(blocks) // (how.grams + 1)  # of as many random hashes one is the least of some window
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")) * how.shards_per_partition, -(-expected // how.shard))
+    entries = blocks.mapInArrow(_deal_anchors(how, shards, *_frequent_anchors(blocks, how, shards)), "shard int, block long, entries binary")
+    lots = max(12, shards // how.shards_per_partition)
+    met = _staged(entries.groupBy("shard").applyInPandas(_meet(how, lots), "lot long, covers binary, requests binary"), "anchors")
     requests = (met.where(F.col("requests").isNotNull()).select("lot", "requests").groupBy("lot")
                 .applyInPandas(_per_block("requests", REQUEST), "block long, requests binary"))
     contexts = (blocks.groupBy("block").cogroup(requests.groupBy("block"))
                 .applyInPandas(_fetch, "shard int, contexts binary, data binary"))
-    looked = materialize(contexts.groupBy("shard").applyInPandas(
+    looked = _staged(contexts.groupBy("shard").applyInPandas(
         _look(how, lots, lots), "lot long, covers binary, range long, leaders binary"), "suffixes")
     merged = (looked.where(F.col("range").isNotNull()).select("range", "leaders").groupBy("range")
               .applyInPandas(_merge(how, lots), "lot long, covers binary"))

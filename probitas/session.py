@@ -63,8 +63,8 @@ def stage_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet under the checkpoint folder and read it back.
+def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """Write ``df`` as Parquet, with the writer's ``options``, under the checkpoint folder and read it back.
 
     Cuts the lineage at a stage boundary: a lost executor later re-reads the
     written files instead of recomputing the whole upstream plan. The table belongs to
@@ -72,7 +72,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = stage_path(spark, name)
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").options(**options).parquet(path)
     return spark.read.parquet(path)
 
 

@@ -260,6 +260,53 @@ def test_removal_does_not_depend_on_batch_ends(spark, docs, conf):
     assert all(r.source == "s" * 300 for r in got.values())
 
 
+def test_an_anchor_repeated_in_few_texts_is_dealt_over_shards(docs, monkeypatch):
+    """15 of 400 texts say one word over and over: few texts, but most of all anchors."""
+    meet = suffix_dedup._meet
+
+    def bounded(how, lots):
+        def run(part):
+            anchors = sum(len(b) for b in part["entries"]) // sum(np.dtype(k).itemsize for k in suffix_dedup.ENTRY.values())
+            if anchors > 15_000:
+                raise ValueError(f"{anchors} anchors in a shard")
+            return real(part)
+        real = meet(how, lots)
+        return run
+
+    monkeypatch.setattr(suffix_dedup, "_meet", bounded)
+    texts = passages(14, 400)
+    for k in range(15):
+        texts[20 * k] = "the " * (2400 + k) + f"end {k}"
+    got = {r.doc_id: r for r in suffix_dedup.remove_repeats(docs(texts).repartition(4)).collect()}
+    want = plain_removal([t.encode() for t in texts], range(len(texts)), 50)
+    assert [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, bytes(r.kept)) for _, r in sorted(got.items())] == want
+
+
+def test_contexts_of_an_anchor_in_several_parts(docs):
+    texts = passages(15, 150)
+    got = {r.doc_id: r for r in suffix_dedup.remove_repeats(docs(texts).repartition(3), suffix_dedup.Repeats(part=500)).collect()}
+    want = plain_removal([t.encode() for t in texts], range(len(texts)), 50)
+    assert [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, bytes(r.kept)) for _, r in sorted(got.items())] == want
+
+
+def test_parts_are_bounded_and_keep_anchors_together():
+    rng = np.random.default_rng(3)
+    a = np.sort(np.concatenate([rng.integers(0, 500, 2000), np.full(3000, 77)]))
+    size = rng.integers(50, 85, len(a))
+    part, wide = suffix_dedup._parts(a, size, 10_000)
+    assert np.bincount(part, size).max() <= 20_000 + 84 and set(a[wide > 0]) == {77}
+    assert all(len(set(part[a == x])) == 1 for x in set(a.tolist()) - {77})
+    assert all(len(x) == 0 for x in suffix_dedup._parts(a[:0], size[:0], 10_000))
+
+
+def test_a_few_partitions_do_not_make_shards_large(docs, monkeypatch):
+    deal, made = suffix_dedup._deal_anchors, []
+    monkeypatch.setattr(suffix_dedup, "_deal_anchors", lambda how, shards, *x: made.append(shards) or deal(how, shards, *x))
+    texts = passages(16, 60)
+    suffix_dedup.remove_repeats(docs(texts), suffix_dedup.Repeats(shard=50))
+    assert made[0] >= 2 * sum(len(t.encode()) for t in texts) // (36 * 50) > 20
+
+
 def test_stripping_keeps_columns_and_whole_characters(docs):
     passage = "é" * 60
     out = {r.doc_id: r for r in suffix_dedup.strip_repeats(docs([passage, "x" + passage + "é!", None])).collect()}
